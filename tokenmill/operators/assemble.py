@@ -54,8 +54,11 @@ def assemble(
     cold = dictionary.table.select("word", *payload).join(
         F.broadcast(hot.select("word")), "word", "left_anti"
     )
-    rare = joined.filter(F.col("word").isNotNull() & F.col("_hot").isNull()).drop(
-        *payload, "_hot"
+    # rare words are shuffled by word anyway, so their texts need no placing
+    rare = (
+        split(texts)
+        .filter(F.col("word").isNotNull())
+        .join(F.broadcast(hot.select("word")), "word", "left_anti")
     )
     far = (
         rare.join(cold, "word")
