@@ -25,11 +25,9 @@ def decode_tokens(
     rows = encoded.select(*keys, F.posexplode_outer("token_ids").alias("pos", "token_id"))
     # of several tokens with one ID the vocabulary keeps one
     names = vocab.tokens.groupBy("token_id").agg(F.max("token").alias("token"))
-    if vocab.lookup() is not vocab.tokens:
-        names = F.broadcast(names)
     part = F.when(F.col("token").isNotNull(), F.struct("pos", "token"))
     joined = (
-        rows.join(names, "token_id", "left")
+        rows.join(vocab.sized(names), "token_id", "left")
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_list(part)).alias("_parts"))
     )

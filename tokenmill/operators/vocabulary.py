@@ -22,11 +22,15 @@ class Vocabulary:
     space_id: int | None
     covers_all_bytes: bool
 
-    def lookup(self) -> DataFrame:
-        """The token table, for broadcast while its size is in bounds."""
+    def sized(self, table: DataFrame) -> DataFrame:
+        """A table of at most this vocabulary's size, marked for broadcast
+        while that is in bounds."""
         if self.n_tokens <= BROADCAST_ROWS and self.n_bytes <= BROADCAST_BYTES:
-            return F.broadcast(self.tokens)
-        return self.tokens
+            return F.broadcast(table)
+        return table
+
+    def lookup(self) -> DataFrame:
+        return self.sized(self.tokens)
 
 
 def vocabulary(tokens: DataFrame) -> Vocabulary:
