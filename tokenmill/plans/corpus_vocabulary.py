@@ -7,7 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tokenmill.functions.bytelevel import byte_symbols, to_byte_symbols
+from tokenmill.functions.words import basic_tokens
 from tokenmill.operators.dictionary import word_counts, word_forms
+from tokenmill.operators.wordpiece import CONTINUATION
+
+SPECIAL_TOKENS = ("[UNK]", "[CLS]", "[SEP]")
 
 
 def substring_counts(counts: DataFrame, form, sizes=(2, 3, 4)) -> DataFrame:
@@ -61,3 +65,70 @@ def byte_level_vocabulary(words: DataFrame, n_words: int = 4000, n_pieces: int =
         .filter(~F.col("token").isin(byte_symbols()))
     )
     return byte_tokens(words.sparkSession).union(numbered(tokens, 256))
+
+
+def wordpiece_vocabulary(
+    chunks: DataFrame, n_words: int = 3000, n_pieces: int = 3000
+) -> DataFrame:
+    """``(token, token_id)``: the special tokens, then the most frequent basic
+    tokens and the most frequent beginnings and continuations of one to four
+    characters."""
+    basic = (
+        word_counts(chunks)
+        .select(F.explode(basic_tokens(F.col("word"))).alias("form"), "n_occ")
+        .groupBy("form")
+        .agg(F.sum("n_occ").alias("n_occ"))
+    )
+    starts = basic.withColumn(
+        "start", F.explode(F.sequence(F.lit(1), F.length("form")))
+    ).withColumn("size", F.explode(F.array(*[F.lit(k) for k in (1, 2, 3, 4)])))
+    piece = F.substring("form", F.col("start"), F.col("size"))
+    pieces = (
+        starts.filter(F.col("start") + F.col("size") <= F.length("form") + 1)
+        .select(
+            F.when(F.col("start") > 1, F.concat(F.lit(CONTINUATION), piece))
+            .otherwise(piece)
+            .alias("piece"),
+            "n_occ",
+        )
+        .groupBy("piece")
+        .agg(F.sum("n_occ").alias("n_occ"))
+    )
+    tokens = (
+        most_frequent(basic, "form", n_words)
+        .select(F.col("form").alias("token"), "n_occ")
+        .union(
+            most_frequent(pieces, "piece", n_pieces).select(
+                F.col("piece").alias("token"), "n_occ"
+            )
+        )
+        .groupBy("token")
+        .agg(F.max("n_occ").alias("n_occ"))
+    )
+    special = chunks.sparkSession.createDataFrame(
+        [(t, i) for i, t in enumerate(SPECIAL_TOKENS)], "token string, token_id int"
+    )
+    return special.union(numbered(tokens, len(SPECIAL_TOKENS)))
+
+
+def substring_merges(pre_tokens: DataFrame, n_rules: int = 400) -> DataFrame:
+    """``(left, right, rank)``: the most frequent substrings of two to four
+    symbols, short ones first; three symbols join a pair and a symbol, four
+    symbols join two pairs."""
+    counts = substring_counts(word_counts(pre_tokens), to_byte_symbols(F.col("word")))
+    top = most_frequent(counts, "piece", n_rules)
+    cut = F.when(F.length("piece") == 2, 1).otherwise(2)
+    order = W.orderBy(F.length("piece"), F.desc("n_occ"), "piece")
+    return top.select(
+        F.substring("piece", F.lit(1), cut).alias("left"),
+        F.substring("piece", cut + 1, F.length("piece")).alias("right"),
+        (F.row_number().over(order) - 1).alias("rank"),
+    )
+
+
+def merge_vocabulary(merges: DataFrame) -> DataFrame:
+    """``(token, token_id)``: the byte alphabet, then one token per rule."""
+    made = merges.select(
+        F.concat("left", "right").alias("token"), (F.col("rank") + 256).alias("token_id")
+    )
+    return byte_tokens(merges.sparkSession).union(made)
