@@ -469,8 +469,8 @@ def _checksum(rows, *keys):
     total = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)
     return rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_vectors"),
-        F.round(F.sum(total), 3).alias("sum_all"),
-        F.round(F.sum(F.get("vec", F.lit(0))), 3).alias("sum_first"),
+        (F.round(F.sum(total), 3) + 0).alias("sum_all"),
+        (F.round(F.sum(F.get("vec", F.lit(0))), 3) + 0).alias("sum_first"),
     )
 
 
