@@ -61,18 +61,14 @@ def whole_word_misses(forms: DataFrame, vocab: Vocabulary) -> DataFrame:
     return forms.join(vocab.lookup().withColumnRenamed("token", "form"), "form", "left_anti")
 
 
-def candidates(
-    words: DataFrame, longest: int, min_start: int = 0, whole: Column | None = None
-) -> DataFrame:
+def candidates(words: DataFrame, longest: int, min_start: int = 0) -> DataFrame:
     """Substrings of ``form`` up to ``longest`` symbols: adds ``start``,
-    ``size`` and ``token``. ``min_start=-1`` adds a row for the prefixed whole
-    word, ``whole`` names when the uncut word is wanted beyond ``longest``."""
+    ``size`` and ``token``. Start -1 stands for the word with the space symbol
+    before it, start -2 for the word as it is."""
     n = F.length("form")
     windows = words.withColumn(
         "_offset",
-        F.explode(
-            F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(WINDOW))
-        ),
+        F.explode(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(WINDOW))),
     ).withColumn(
         "_text", F.substring("form", F.col("_offset") + 1, F.lit(WINDOW + longest - 1))
     )
@@ -82,19 +78,18 @@ def candidates(
         "_at", F.explode(F.sequence(first, F.greatest(in_window - 1, first)))
     )
     room = F.least(F.lit(longest), F.length("_text") - F.col("_at"))
-    sizes = F.when(F.col("_at") < 0, F.array(n + 1)).when(
+    sizes = F.when(F.col("_at") < 0, F.array(n)).when(
         room > 0, F.sequence(F.lit(1), F.greatest(room, F.lit(1)))
     )
-    at_start = (F.col("_at") == 0) & (F.col("_offset") == 0)
-    if whole is not None:
-        sizes = F.when(at_start & whole, F.concat(sizes, F.array(n))).otherwise(sizes)
-    pieces = starts.withColumn("size", F.explode(sizes))
-    token = F.when(F.col("_at") < 0, F.concat(F.lit(SPACE_SYMBOL), F.col("form")))
-    if whole is not None:
-        token = token.when(at_start & (F.col("size") == n), F.col("form"))
-    token = token.otherwise(F.substring("_text", F.col("_at") + 1, F.col("size")))
-    return pieces.withColumn("start", F.col("_offset") + F.col("_at")).select(
-        *words.columns, "start", "size", token.alias("token")
+    token = (
+        F.when(F.col("_at") == -1, F.concat(F.lit(SPACE_SYMBOL), F.col("form")))
+        .when(F.col("_at") == -2, F.col("form"))
+        .otherwise(F.substring("_text", F.col("_at") + 1, F.col("size")))
+    )
+    return (
+        starts.withColumn("size", F.explode(sizes))
+        .withColumn("start", F.col("_offset") + F.col("_at"))
+        .select(*words.columns, "start", "size", token.alias("token"))
     )
 
 
@@ -146,38 +141,36 @@ def segment_words(
     form = symbols(F.col("word"))
     if max_word_bytes is not None:
         form = F.substring(form, F.lit(1), F.lit(max_word_bytes))
-    longest, whole = vocab.longest, None
+    longest, min_start = max(vocab.longest, 1), -1
     if max_match_bytes is not None:
-        longest = max(1, min(longest, max_match_bytes))
-        whole = F.length("form") > longest
+        longest, min_start = max(1, min(longest, max_match_bytes)), -2
     others = [c for c in words.columns if c != "word"]
-    rows = candidates(words.withColumn("form", form), max(longest, 1), -1, whole)
+    rows = candidates(words.withColumn("form", form), longest, min_start)
     if max_match_bytes is not None:
         rows = rows.filter(
-            (F.col("start") < 0)
-            | (F.octet_length("token") <= max_match_bytes)
-            | ((F.col("start") == 0) & (F.col("size") == F.length("form")))
+            (F.col("start") < 0) | (F.octet_length("token") <= max_match_bytes)
         )
+    # the prefixed word keeps its row, so that no word is lost
     found = rows.join(vocab.lookup(), "token", "left").filter(
-        F.col("token_id").isNotNull() | (F.col("start") < 0)
+        F.col("token_id").isNotNull() | (F.col("start") == -1)
     )
     hit = F.struct("start", (-F.col("size")).alias("neg_size"), "token_id")
-    grouped = found.groupBy("word").agg(
-        *[F.first(c).alias(c) for c in others],
-        F.max(F.when(F.col("start") < 0, F.col("token_id"))).alias("_prefixed"),
+    grouped = found.groupBy("word", *others).agg(
+        F.max(F.when(F.col("start") == -2, F.col("token_id"))).alias("_whole"),
+        F.max(F.when(F.col("start") == -1, F.col("token_id"))).alias("_prefixed"),
         F.collect_list(F.when(F.col("start") >= 0, hit)).alias("_hits"),
     )
-    bare = longest_match_walk(F.sort_array("_hits"))
     space = F.array(F.lit(vocab.space_id)) if vocab.space_id is not None else F.array()
-    return (
-        grouped.withColumn("bare", bare)
-        .withColumn(
-            "spaced",
-            F.when(F.col("_prefixed").isNotNull(), F.array("_prefixed")).otherwise(
-                F.concat(space.cast("array<int>"), F.col("bare"))
-            ),
-        )
-        .select("word", *others, "bare", "spaced")
+    cut = grouped.withColumn("_cut", longest_match_walk(F.sort_array("_hits")))
+    return cut.select(
+        "word",
+        *others,
+        F.when(F.col("_whole").isNotNull(), F.array("_whole"))
+        .otherwise(F.col("_cut"))
+        .alias("bare"),
+        F.when(F.col("_prefixed").isNotNull(), F.array("_prefixed"))
+        .otherwise(F.concat(space.cast("array<int>"), F.col("_cut")))
+        .alias("spaced"),
     )
 
 
