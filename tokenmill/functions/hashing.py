@@ -15,18 +15,15 @@ WORDPIECE_MODULUS = 30522
 
 def hash_tokens(text: Column, modulus: int = BPE_MODULUS) -> Column:
     """Token IDs of the whole groups of four bytes; tail bytes are ignored."""
-    data = text.cast("binary")
-    groups = F.floor(F.octet_length(data) / 4).cast("int")
+    # four bytes are eight hexadecimal digits
+    groups = F.regexp_extract_all(F.hex(text.cast("binary")), F.lit(".{8}"), F.lit(0))
 
-    def token(index: Column) -> Column:
-        chunk = F.conv(F.hex(F.substring(data, index * 4 + 1, F.lit(4))), 16, 10).cast("long")
+    def token(group: Column) -> Column:
+        chunk = F.conv(group, 16, 10).cast("long")
         value = F.lit(HASH_START * HASH_FACTOR**4)
         for place in range(4):
             byte = F.shiftright(chunk, 24 - 8 * place).bitwiseAND(255)
             value = value + byte * HASH_FACTOR ** (3 - place)
         return (value % 4294967296 % modulus).cast("int")
 
-    return F.when(
-        groups > 0,
-        F.transform(F.sequence(F.lit(0), F.greatest(groups - 1, F.lit(0))), token),
-    ).otherwise(F.array().cast("array<int>"))
+    return F.transform(groups, token)

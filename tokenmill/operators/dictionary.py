@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tokenmill.functions.bytelevel import (
     SPACE_SYMBOL,
+    byte_symbols,
     symbols_of_byte_view,
     to_byte_symbols,
 )
@@ -61,10 +62,18 @@ def whole_word_misses(forms: DataFrame, vocab: Vocabulary) -> DataFrame:
     return forms.join(vocab.lookup().withColumnRenamed("token", "form"), "form", "left_anti")
 
 
-def candidates(words: DataFrame, longest: int, min_start: int = 0) -> DataFrame:
-    """Substrings of ``form`` up to ``longest`` symbols: adds ``start``,
-    ``size`` and ``token``. Start -1 stands for the word with the space symbol
-    before it, start -2 for the word as it is."""
+def candidates(
+    words: DataFrame, heads: DataFrame, longest: int, min_start: int = 0
+) -> DataFrame:
+    """Substrings of ``form`` that may be tokens: adds ``start``, ``size`` and
+    ``token``.
+
+    Two symbols are always tried; from three on, ``heads(head, sizes)`` tells
+    which sizes up to ``longest`` any token with this beginning has, so the
+    number of candidates grows with the word and not with its square. Start -1
+    stands for the word with the space symbol before it, start -2 for the word
+    as it is.
+    """
     n = F.length("form")
     windows = words.withColumn(
         "_offset",
@@ -76,10 +85,13 @@ def candidates(words: DataFrame, longest: int, min_start: int = 0) -> DataFrame:
     in_window = F.least(F.lit(WINDOW), F.length("_text"))
     starts = windows.withColumn(
         "_at", F.explode(F.sequence(first, F.greatest(in_window - 1, first)))
-    )
+    ).withColumn("head", F.when(F.col("_at") >= 0, F.substring("_text", F.col("_at") + 1, F.lit(3))))
     room = F.least(F.lit(longest), F.length("_text") - F.col("_at"))
-    sizes = F.when(F.col("_at") < 0, F.array(n)).when(
-        room > 0, F.sequence(F.lit(1), F.greatest(room, F.lit(1)))
+    known = F.filter("sizes", lambda size: size <= room)
+    sizes = (
+        F.when(F.col("_at") < 0, F.array(n))
+        .when(F.col("sizes").isNotNull(), F.concat(F.array(F.lit(2)), known))
+        .otherwise(F.array(F.lit(2)))
     )
     token = (
         F.when(F.col("_at") == -1, F.concat(F.lit(SPACE_SYMBOL), F.col("form")))
@@ -87,40 +99,58 @@ def candidates(words: DataFrame, longest: int, min_start: int = 0) -> DataFrame:
         .otherwise(F.substring("_text", F.col("_at") + 1, F.col("size")))
     )
     return (
-        starts.withColumn("size", F.explode(sizes))
+        starts.join(heads, "head", "left")
+        .withColumn("size", F.explode(sizes))
+        .filter((F.col("_at") < 0) | (F.col("size") <= room))
         .withColumn("start", F.col("_offset") + F.col("_at"))
         .select(*words.columns, "start", "size", token.alias("token"))
     )
 
 
-def longest_match_walk(hits: Column) -> Column:
-    """Token IDs of a left-to-right walk over ``(start, -size, token_id)``
-    sorted ascending: the first entry at or after the end of the previous match
-    is the longest one there, and symbols without an entry are passed over."""
-    ids = F.array().cast("array<int>")
+def symbol_ids(form: Column, vocab: Vocabulary) -> Column:
+    """Token ID, or NULL, of every symbol of a word in the byte alphabet."""
+    by_code: list[int | None] = [None] * (max(map(ord, byte_symbols())) + 1)
+    for symbol, token_id in zip(byte_symbols(), vocab.single_ids):
+        by_code[ord(symbol)] = token_id
+    table = F.array(*[F.lit(i).cast("int") for i in by_code])
+    symbols = F.when(form != "", F.split(form, "")).otherwise(F.array().cast("array<string>"))
+    return F.transform(symbols, lambda symbol: F.get(table, F.ascii(symbol)))
+
+
+def longest_match_walk(hits: Column, singles: Column) -> Column:
+    """Token IDs of a left-to-right walk.
+
+    ``hits`` are matches of two and more symbols as ``(start, -size,
+    token_id)``, ascending: the first at or after the end of the previous match
+    is the longest one at its place. Symbols between two matches give their own
+    token from ``singles``, or nothing.
+    """
     state = F.struct(
         F.lit(0).alias("next"),
-        ids.alias("block"),
+        F.array().cast("array<int>").alias("block"),
         F.array().cast("array<array<int>>").alias("blocks"),
     )
 
     def step(acc: Column, hit: Column) -> Column:
         full = F.size(acc["block"]) >= BLOCK
-        one = F.array(hit["token_id"])
+        between = F.slice(singles, acc["next"] + 1, hit["start"] - acc["next"])
+        added = F.concat(between, F.array(hit["token_id"]))
         return F.when(
             hit["start"] >= acc["next"],
             F.struct(
                 (hit["start"] - hit["neg_size"]).alias("next"),
-                F.when(full, one).otherwise(F.concat(acc["block"], one)).alias("block"),
+                F.when(full, added).otherwise(F.concat(acc["block"], added)).alias("block"),
                 F.when(full, F.concat(acc["blocks"], F.array(acc["block"])))
                 .otherwise(acc["blocks"])
                 .alias("blocks"),
             ),
         ).otherwise(acc)
 
-    return F.aggregate(
-        hits, state, step, lambda acc: F.concat(F.flatten(acc["blocks"]), acc["block"])
-    )
+    def finish(acc: Column) -> Column:
+        rest = F.slice(singles, acc["next"] + 1, F.size(singles))
+        return F.concat(F.flatten(acc["blocks"]), acc["block"], rest)
+
+    return F.filter(F.aggregate(hits, state, step, finish), lambda token_id: token_id.isNotNull())
 
 
 def segment_words(
@@ -145,7 +175,7 @@ def segment_words(
     if max_match_bytes is not None:
         longest, min_start = max(1, min(longest, max_match_bytes)), -2
     others = [c for c in words.columns if c != "word"]
-    rows = candidates(words.withColumn("form", form), longest, min_start)
+    rows = candidates(words.withColumn("form", form), vocab.heads(), longest, min_start)
     if max_match_bytes is not None:
         rows = rows.filter(
             (F.col("start") < 0) | (F.octet_length("token") <= max_match_bytes)
@@ -155,13 +185,22 @@ def segment_words(
         F.col("token_id").isNotNull() | (F.col("start") == -1)
     )
     hit = F.struct("start", (-F.col("size")).alias("neg_size"), "token_id")
-    grouped = found.groupBy("word", *others).agg(
+    grouped = found.groupBy("word", *others, "form").agg(
         F.max(F.when(F.col("start") == -2, F.col("token_id"))).alias("_whole"),
         F.max(F.when(F.col("start") == -1, F.col("token_id"))).alias("_prefixed"),
         F.collect_list(F.when(F.col("start") >= 0, hit)).alias("_hits"),
     )
     space = F.array(F.lit(vocab.space_id)) if vocab.space_id is not None else F.array()
-    cut = grouped.withColumn("_cut", longest_match_walk(F.sort_array("_hits")))
+    singles = symbol_ids(F.col("form"), vocab)
+    if max_match_bytes is not None and max_match_bytes < 2:
+        # a symbol of two bytes is beyond the limit
+        one_byte = F.transform(
+            F.split("form", ""), lambda symbol: F.octet_length(symbol) <= max_match_bytes
+        )
+        singles = F.zip_with(singles, one_byte, lambda i, fits: F.when(fits, i))
+    cut = grouped.withColumn("_singles", singles).withColumn(
+        "_cut", longest_match_walk(F.sort_array("_hits"), F.col("_singles"))
+    )
     return cut.select(
         "word",
         *others,

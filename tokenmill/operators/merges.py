@@ -18,7 +18,7 @@ from tokenmill.operators.dictionary import (
     word_counts,
 )
 from tokenmill.operators.greedy import with_token_ids
-from tokenmill.operators.vocabulary import Vocabulary
+from tokenmill.operators.vocabulary import Vocabulary, token_heads
 from tokenmill.sizes import broadcast_if_small
 
 
@@ -27,6 +27,7 @@ class MergeRules:
     """``rules(token, left_size, rank)`` keyed by the merged token."""
 
     rules: DataFrame
+    heads: DataFrame
     longest: int
     learned_order: bool
 
@@ -46,8 +47,13 @@ def merge_rules(merges: DataFrame) -> MergeRules:
     parts = merges.select("rank", F.explode(F.array("left", "right")).alias("token"))
     late = parts.join(made, "token").filter("made_at >= rank").limit(1).count()
     longest = rules.agg(F.max(F.length("token"))).first()[0] or 1
-    small = broadcast_if_small(rules, F.octet_length("token") + 12)
-    return MergeRules(small, longest, late == 0)
+    heads = token_heads(rules)
+    return MergeRules(
+        broadcast_if_small(rules, F.octet_length("token") + 12),
+        broadcast_if_small(heads, F.octet_length("head") + 4 * F.size("sizes")),
+        longest,
+        late == 0,
+    )
 
 
 def _binary(text: str) -> Column:
@@ -95,13 +101,14 @@ def merge_words(words: DataFrame, merges: MergeRules, vocab: Vocabulary) -> Data
     """``ids`` of distinct ``word`` rows (pre-tokens)."""
     others = [c for c in words.columns if c != "word"]
     forms = words.withColumn("form", to_byte_symbols(F.col("word")))
-    # the row of a whole symbol keeps words that no rule fits
+    # the row of the prefixed word keeps words that no rule fits
     found = (
-        candidates(forms, max(merges.longest, 1))
+        candidates(forms, merges.heads, max(merges.longest, 2), -1)
         .join(merges.rules, "token", "left")
-        .filter(F.col("rank").isNotNull() | ((F.col("start") == 0) & (F.col("size") == 1)))
+        .filter(F.col("rank").isNotNull() | (F.col("start") == -1))
     )
-    rule = F.when(F.col("rank").isNotNull(), F.struct("rank", "start", "size", "left_size"))
+    fits = F.col("rank").isNotNull() & (F.col("start") >= 0)
+    rule = F.when(fits, F.struct("rank", "start", "size", "left_size"))
     cut = found.groupBy("word", *others, "form").agg(
         F.sort_array(F.collect_list(rule)).alias("_rules")
     )

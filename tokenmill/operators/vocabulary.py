@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenmill.functions.bytelevel import SPACE_SYMBOL, byte_symbols
+from tokenmill.functions.bytelevel import byte_symbols
 from tokenmill.sizes import BROADCAST_BYTES, BROADCAST_ROWS
 
 
@@ -19,8 +19,16 @@ class Vocabulary:
     n_tokens: int
     n_bytes: int
     longest: int
-    space_id: int | None
-    covers_all_bytes: bool
+    single_ids: tuple[int | None, ...]
+
+    @property
+    def covers_all_bytes(self) -> bool:
+        """Whether each of the 256 byte symbols is a token."""
+        return None not in self.single_ids
+
+    @property
+    def space_id(self) -> int | None:
+        return self.single_ids[ord(" ")]
 
     def sized(self, table: DataFrame) -> DataFrame:
         """A table of at most this vocabulary's size, marked for broadcast
@@ -32,6 +40,19 @@ class Vocabulary:
     def lookup(self) -> DataFrame:
         return self.sized(self.tokens)
 
+    def heads(self) -> DataFrame:
+        return self.sized(token_heads(self.tokens))
+
+
+def token_heads(tokens: DataFrame) -> DataFrame:
+    """``(head, sizes)``: the lengths of the tokens that begin with the same
+    three symbols."""
+    return (
+        tokens.filter(F.length("token") >= 3)
+        .groupBy(F.substring("token", 1, 3).alias("head"))
+        .agg(F.collect_set(F.length("token")).alias("sizes"))
+    )
+
 
 def vocabulary(tokens: DataFrame) -> Vocabulary:
     """Measure a ``(token, token_id)`` table in one small aggregation.
@@ -39,19 +60,20 @@ def vocabulary(tokens: DataFrame) -> Vocabulary:
     Negative IDs count as absent, as in a lookup that answers -1 for a miss.
     """
     tokens = tokens.select("token", F.col("token_id").cast("int")).filter("token_id >= 0")
-    single = F.when(F.col("token").isin(byte_symbols()), F.col("token"))
+    symbols = byte_symbols()
+    single = F.when(F.col("token").isin(symbols), F.struct("token", "token_id"))
     row = tokens.agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.octet_length("token") + 4).alias("size"),
         F.max(F.length("token")).alias("longest"),
-        F.max(F.when(F.col("token") == SPACE_SYMBOL, F.col("token_id"))).alias("space_id"),
-        F.count_distinct(single).alias("n_single"),
+        # at most one entry per byte
+        F.collect_set(single).alias("single"),
     ).first()
+    ids = {entry.token: entry.token_id for entry in row.single}
     return Vocabulary(
         tokens=tokens,
         n_tokens=row.n,
         n_bytes=row.size or 0,
         longest=row.longest or 0,
-        space_id=row.space_id,
-        covers_all_bytes=row.n_single == 256,
+        single_ids=tuple(ids.get(s) for s in symbols),
     )
