@@ -69,29 +69,36 @@ def candidates(
     ``token``.
 
     Two symbols are always tried; from three on, ``heads(head, sizes)`` tells
-    which sizes up to ``longest`` any token with this beginning has, so the
+    which sizes up to ``longest`` tokens with this beginning have, so the
     number of candidates grows with the word and not with its square. Start -1
     stands for the word with the space symbol before it, start -2 for the word
     as it is.
     """
     n = F.length("form")
-    windows = words.withColumn(
-        "_offset",
-        F.explode(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(WINDOW))),
-    ).withColumn(
-        "_text", F.substring("form", F.col("_offset") + 1, F.lit(WINDOW + longest - 1))
-    )
     first = F.when(F.col("_offset") == 0, F.lit(min_start)).otherwise(F.lit(0))
-    in_window = F.least(F.lit(WINDOW), F.length("_text"))
-    starts = windows.withColumn(
-        "_at", F.explode(F.sequence(first, F.greatest(in_window - 1, first)))
-    ).withColumn("head", F.when(F.col("_at") >= 0, F.substring("_text", F.col("_at") + 1, F.lit(3))))
-    room = F.least(F.lit(longest), F.length("_text") - F.col("_at"))
-    known = F.filter("sizes", lambda size: size <= room)
-    sizes = (
-        F.when(F.col("_at") < 0, F.array(n))
-        .when(F.col("sizes").isNotNull(), F.concat(F.array(F.lit(2)), known))
-        .otherwise(F.array(F.lit(2)))
+    last = F.least(F.lit(WINDOW), F.col("_len")) - 1
+    starts = (
+        words.withColumn(
+            "_offset",
+            F.explode(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(WINDOW))),
+        )
+        .withColumn(
+            "_text", F.substring("form", F.col("_offset") + 1, F.lit(WINDOW + longest - 1))
+        )
+        .withColumn("_len", F.length("_text"))
+        .withColumn("_at", F.explode(F.sequence(first, F.greatest(last, first))))
+        .withColumn("_room", F.least(F.lit(longest), F.col("_len") - F.col("_at")))
+        .withColumn(
+            "head",
+            F.when(
+                (F.col("_at") >= 0) & (F.col("_room") >= 3),
+                F.substring("_text", F.col("_at") + 1, F.lit(3)),
+            ),
+        )
+    )
+    # no lambda here: it would keep the whole stage from being compiled
+    sizes = F.when(F.col("_at") < 0, F.array(n)).otherwise(
+        F.coalesce("sizes", F.array(F.lit(2)))
     )
     token = (
         F.when(F.col("_at") == -1, F.concat(F.lit(SPACE_SYMBOL), F.col("form")))
@@ -101,7 +108,7 @@ def candidates(
     return (
         starts.join(heads, "head", "left")
         .withColumn("size", F.explode(sizes))
-        .filter((F.col("_at") < 0) | (F.col("size") <= room))
+        .filter((F.col("_at") < 0) | (F.col("size") <= F.col("_room")))
         .withColumn("start", F.col("_offset") + F.col("_at"))
         .select(*words.columns, "start", "size", token.alias("token"))
     )
@@ -185,17 +192,17 @@ def segment_words(
         F.col("token_id").isNotNull() | (F.col("start") == -1)
     )
     hit = F.struct("start", (-F.col("size")).alias("neg_size"), "token_id")
-    grouped = found.groupBy("word", *others, "form").agg(
+    grouped = found.groupBy("word", *others).agg(
         F.max(F.when(F.col("start") == -2, F.col("token_id"))).alias("_whole"),
         F.max(F.when(F.col("start") == -1, F.col("token_id"))).alias("_prefixed"),
         F.collect_list(F.when(F.col("start") >= 0, hit)).alias("_hits"),
     )
     space = F.array(F.lit(vocab.space_id)) if vocab.space_id is not None else F.array()
-    singles = symbol_ids(F.col("form"), vocab)
+    singles = symbol_ids(form, vocab)
     if max_match_bytes is not None and max_match_bytes < 2:
         # a symbol of two bytes is beyond the limit
         one_byte = F.transform(
-            F.split("form", ""), lambda symbol: F.octet_length(symbol) <= max_match_bytes
+            F.split(form, ""), lambda symbol: F.octet_length(symbol) <= max_match_bytes
         )
         singles = F.zip_with(singles, one_byte, lambda i, fits: F.when(fits, i))
     cut = grouped.withColumn("_singles", singles).withColumn(

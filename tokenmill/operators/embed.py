@@ -57,42 +57,55 @@ def embedding_sum(
     seq_len: Column,
     type_id: int = 0,
 ) -> DataFrame:
-    """Adds the vectors of place ``pos % seq_len`` and of the type.
+    """Adds the vectors of place ``pos % seq_len`` and of the type."""
+    joined = rows.withColumn("_at", (F.col("pos") % seq_len).cast("int")).join(
+        place_vectors(pos_vec, type_vec, type_id), "_at", "left"
+    )
+    summed = F.zip_with("vec", "_place_vec", lambda x, y: x + y)
+    return joined.withColumn("vec", summed).drop("_at", "_place_vec")
+
 
-    Both tables are bounded by the longest sequence the model knows.
+def place_vectors(pos_vec: DataFrame, type_vec: DataFrame, type_id: int) -> DataFrame:
+    """``(_at, _place_vec)``: position and type vector added once per place.
+
+    The table has as many rows as the longest sequence the model knows.
     """
     n, size = pos_vec.agg(F.count(F.lit(1)), F.sum(_vector_bytes("vec"))).first()
-    placed = pos_vec.select(
-        F.col("pos").cast("int").alias("_at"),
-        F.col("vec").cast("array<double>").alias("_pos_vec"),
-        F.lit(type_id).alias("_type"),
-    ).join(
-        type_vec.filter(F.col("type_id") == type_id).select(
-            F.col("type_id").cast("int").alias("_type"),
-            F.col("vec").cast("array<double>").alias("_type_vec"),
-        ),
-        "_type",
-    )
-    if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES:
-        placed = F.broadcast(placed)
-    joined = rows.withColumn("_at", (F.col("pos") % seq_len).cast("int")).join(
-        placed.drop("_type"), "_at", "left"
+    placed = (
+        pos_vec.select(
+            F.col("pos").cast("int").alias("_at"),
+            F.col("vec").cast("array<double>").alias("_pos_vec"),
+            F.lit(type_id).alias("_type"),
+        )
+        .join(
+            type_vec.select(
+                F.col("type_id").cast("int").alias("_type"),
+                F.col("vec").cast("array<double>").alias("_type_vec"),
+            ),
+            "_type",
+        )
+        .select(
+            "_at",
+            F.zip_with("_pos_vec", "_type_vec", lambda x, y: x + y).alias("_place_vec"),
+        )
     )
-    summed = F.zip_with(
-        F.zip_with("vec", "_pos_vec", lambda x, y: x + y), "_type_vec", lambda x, y: x + y
-    )
-    return joined.withColumn("vec", summed).drop("_at", "_pos_vec", "_type_vec")
+    if n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES:
+        return F.broadcast(placed)
+    return placed
 
 
 def affine_tanh(rows: DataFrame, gamma: Sequence[float], beta: Sequence[float]) -> DataFrame:
     """``tanh(vec * gamma + beta)`` place by place; one factor and one shift
     per dimension."""
-    g = F.array(*[F.lit(float(x)) for x in gamma])
-    b = F.array(*[F.lit(float(x)) for x in beta])
+    g, b = _factors(gamma), _factors(beta)
     scaled = F.zip_with(F.zip_with("vec", g, lambda x, y: x * y), b, lambda x, y: x + y)
     return rows.withColumn("vec", F.transform(scaled, lambda x: F.tanh(x)))
 
 
+def _factors(values: Sequence[float]) -> Column:
+    return F.array(*[F.lit(float(v)) for v in values])
+
+
 def bert_embedding(
     tokens: DataFrame,
     word_vec: DataFrame,
@@ -102,6 +115,24 @@ def bert_embedding(
     beta: Sequence[float],
     seq_len: Column,
 ) -> DataFrame:
-    """Vectors of fixed-length token rows ``(…, pos, token_id)``."""
-    found = embedding_lookup(tokens, word_vec)
-    return affine_tanh(embedding_sum(found, pos_vec, type_vec, seq_len), gamma, beta)
+    """Vectors of fixed-length token rows ``(…, pos, token_id)``.
+
+    Scale and shift distribute over the sum, so they are applied once to the
+    rows of the tables; each token is left with one addition and the tanh.
+    """
+    g, b = _factors(gamma), _factors(beta)
+
+    def times_gamma(column: str) -> Column:
+        return F.zip_with(F.col(column).cast("array<double>"), g, lambda x, y: x * y)
+
+    shifted = F.zip_with(times_gamma("vec"), b, lambda x, y: x + y)
+    word = word_vec.withColumn("vec", times_gamma("vec"))
+    kind = type_vec.withColumn("vec", shifted)
+    pos = pos_vec.withColumn("vec", times_gamma("vec"))
+    found = embedding_lookup(tokens, word)
+    placed = place_vectors(pos, kind, 0)
+    joined = found.withColumn("_at", (F.col("pos") % seq_len).cast("int")).join(
+        placed, "_at", "left"
+    )
+    vec = F.zip_with("vec", "_place_vec", lambda x, y: F.tanh(x + y))
+    return joined.withColumn("vec", vec).drop("_at", "_place_vec")

@@ -24,7 +24,8 @@ from tokenmill.sizes import broadcast_if_small
 
 @dataclass(frozen=True)
 class MergeRules:
-    """``rules(token, left_size, rank)`` keyed by the merged token."""
+    """``rules(token, left_size, wanted, rank)`` keyed by the merged token;
+    ``wanted`` are the boundary marks of a place where the rule applies."""
 
     rules: DataFrame
     heads: DataFrame
@@ -41,6 +42,13 @@ def merge_rules(merges: DataFrame) -> MergeRules:
     rules = merges.select(
         F.concat("left", "right").alias("token"),
         F.length("left").alias("left_size"),
+        F.concat(
+            F.rpad(F.lit("1"), F.length("left"), F.lit("0")),
+            F.rpad(F.lit("1"), F.length("right"), F.lit("0")),
+            F.lit("1"),
+        )
+        .cast("binary")
+        .alias("wanted"),
         "rank",
     )
     made = rules.groupBy("token").agg(F.max("rank").alias("made_at"))
@@ -49,7 +57,7 @@ def merge_rules(merges: DataFrame) -> MergeRules:
     longest = rules.agg(F.max(F.length("token"))).first()[0] or 1
     heads = token_heads(rules)
     return MergeRules(
-        broadcast_if_small(rules, F.octet_length("token") + 12),
+        broadcast_if_small(rules, 2 * F.octet_length("token") + 12),
         broadcast_if_small(heads, F.octet_length("head") + 4 * F.size("sizes")),
         longest,
         late == 0,
@@ -63,21 +71,14 @@ def _binary(text: str) -> Column:
 def merge_walk(rules: Column, n_symbols: Column, learned_order: bool) -> Column:
     """Boundaries of a word after merging, a binary string of ``n + 1`` marks.
 
-    ``rules`` are ``(rank, start, size, left_size)``, ascending: the lowest
+    ``rules`` are ``(rank, start, size, left_size, wanted)``, ascending: the lowest
     rank first and the leftmost place within a rank. A rule applies where its
     two parts stand side by side.
     """
     marks = F.repeat(F.lit("1"), n_symbols + 1).cast("binary")
 
     def applies(acc: Column, rule: Column) -> Column:
-        wanted = F.concat(
-            F.lit("1"),
-            F.repeat(F.lit("0"), rule["left_size"] - 1),
-            F.lit("1"),
-            F.repeat(F.lit("0"), rule["size"] - rule["left_size"] - 1),
-            F.lit("1"),
-        ).cast("binary")
-        return F.substring(acc, rule["start"] + 1, rule["size"] + 1) == wanted
+        return F.substring(acc, rule["start"] + 1, rule["size"] + 1) == rule["wanted"]
 
     def merged(acc: Column, rule: Column) -> Column:
         return F.overlay(acc, _binary("0"), rule["start"] + rule["left_size"] + 1)
@@ -108,7 +109,7 @@ def merge_words(words: DataFrame, merges: MergeRules, vocab: Vocabulary) -> Data
         .filter(F.col("rank").isNotNull() | (F.col("start") == -1))
     )
     fits = F.col("rank").isNotNull() & (F.col("start") >= 0)
-    rule = F.when(fits, F.struct("rank", "start", "size", "left_size"))
+    rule = F.when(fits, F.struct("rank", "start", "size", "left_size", "wanted"))
     cut = found.groupBy("word", *others, "form").agg(
         F.sort_array(F.collect_list(rule)).alias("_rules")
     )

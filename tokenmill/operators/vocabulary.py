@@ -45,12 +45,13 @@ class Vocabulary:
 
 
 def token_heads(tokens: DataFrame) -> DataFrame:
-    """``(head, sizes)``: the lengths of the tokens that begin with the same
-    three symbols."""
+    """``(head, sizes)``: the sizes to try, two and the lengths of the tokens
+    that begin with the same three symbols."""
+    lengths = F.collect_set(F.length("token"))
     return (
         tokens.filter(F.length("token") >= 3)
         .groupBy(F.substring("token", 1, 3).alias("head"))
-        .agg(F.collect_set(F.length("token")).alias("sizes"))
+        .agg(F.concat(F.array(F.lit(2)), lengths).alias("sizes"))
     )
 
 

@@ -49,6 +49,20 @@ def whole_cover_walk(hits: Column, n_chars: Column, unknown: int) -> Column:
     )
 
 
+def piece_heads(tokens: DataFrame) -> DataFrame:
+    """``(head, sizes)``: the sizes to try, one, two and the lengths of the
+    pieces that begin with the same three characters, continuations apart from
+    beginnings."""
+    marked = F.col("token").startswith(CONTINUATION)
+    skip = F.when(marked, len(CONTINUATION)).otherwise(0)
+    size = F.length("token") - skip
+    return (
+        tokens.filter(size >= 3)
+        .groupBy(F.substring("token", F.lit(1), skip + 3).alias("head"))
+        .agg(F.concat(F.array(F.lit(1), F.lit(2)), F.collect_set(size)).alias("sizes"))
+    )
+
+
 def piece_words(
     words: DataFrame, vocab: Vocabulary, unk: str = "[UNK]"
 ) -> DataFrame:
@@ -60,34 +74,45 @@ def piece_words(
     basic = words.select(
         "word", *others, F.posexplode_outer(basic_tokens(F.col("word"))).alias("_at", "form")
     )
-    n = F.coalesce(F.length("form"), F.lit(0))
-    cut = F.when(n <= MAX_WORD_CHARS, n).otherwise(0)
+    basic = basic.withColumn("_len", F.coalesce(F.length("form"), F.lit(0)))
+    cut = F.when(F.col("_len") <= MAX_WORD_CHARS, F.col("_len")).otherwise(0)
+    mark = F.when(F.col("start") > 0, CONTINUATION).otherwise("")
     # start -1 keeps basic tokens without any piece
     starts = basic.withColumn("start", F.explode(F.sequence(F.lit(-1), cut - 1)))
-    room = F.least(F.lit(longest), n - F.col("start"))
+    placed = starts.withColumn(
+        "_room", F.least(F.lit(longest), F.col("_len") - F.col("start"))
+    ).withColumn(
+        "head",
+        F.when(
+            (F.col("start") >= 0) & (F.col("_room") >= 3),
+            F.concat(mark, F.substring("form", F.col("start") + 1, F.lit(3))),
+        ),
+    )
     sizes = F.when(F.col("start") < 0, F.array(F.lit(0))).otherwise(
-        F.sequence(F.lit(1), F.greatest(room, F.lit(1)))
+        F.coalesce("sizes", F.array(F.lit(1), F.lit(2)))
     )
-    pieces = starts.withColumn("size", F.explode(sizes)).withColumn(
-        "token",
-        F.when(F.col("start") < 0, None)
-        .when(F.col("start") == 0, F.substring("form", F.lit(1), F.col("size")))
-        .otherwise(
-            F.concat(
-                F.lit(CONTINUATION), F.substring("form", F.col("start") + 1, F.col("size"))
-            )
-        ),
+    pieces = (
+        placed.join(vocab.sized(piece_heads(vocab.tokens)), "head", "left")
+        .withColumn("size", F.explode(sizes))
+        .filter((F.col("start") < 0) | (F.col("size") <= F.col("_room")))
+        .withColumn(
+            "token",
+            F.when(
+                F.col("start") >= 0,
+                F.concat(mark, F.substring("form", F.col("start") + 1, F.col("size"))),
+            ),
+        )
     )
     found = pieces.join(vocab.lookup(), "token", "left").filter(
         F.col("token_id").isNotNull() | (F.col("start") < 0)
     )
     hit = F.struct("start", (-F.col("size")).alias("neg_size"), "token_id")
     per_basic = (
-        found.groupBy("word", *others, "_at", "form")
+        found.groupBy("word", *others, "_at", F.length("form").alias("_n"))
         .agg(F.sort_array(F.collect_list(F.when(F.col("start") >= 0, hit))).alias("_hits"))
-        .withColumn("ids", whole_cover_walk(F.col("_hits"), F.length("form"), unknown))
+        .withColumn("ids", whole_cover_walk(F.col("_hits"), F.col("_n"), unknown))
     )
-    part = F.when(F.col("form").isNotNull(), F.struct("_at", "ids"))
+    part = F.when(F.col("_n").isNotNull(), F.struct("_at", "ids"))
     return (
         per_basic.groupBy("word", *others)
         .agg(F.sort_array(F.collect_list(part)).alias("_parts"))
