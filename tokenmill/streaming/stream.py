@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
@@ -19,12 +19,14 @@ def encode_stream(
     checkpoint: str,
     keys: Sequence[str] = ("doc_id",),
     batch_size: int | None = None,
+    trigger: Mapping[str, object] | None = None,
 ) -> StreamingQuery:
     """Token rows of a stream of texts as parquet under ``out_path``.
 
     Each micro-batch runs the batch job and replaces its own folder, so a
     repeated batch leaves no duplicates. ``batch_size`` asks for padded
-    batches instead of whole token sequences. Stops when all input is read.
+    batches instead of whole token sequences. Without a ``trigger`` the query
+    stops when all present input is read.
     """
 
     def encode(batch: DataFrame) -> DataFrame:
@@ -35,7 +37,7 @@ def encode_stream(
     return (
         texts.writeStream.foreachBatch(_writer(encode, out_path))
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
