@@ -88,6 +88,13 @@ def test_skip_warmup(spark):
     )
 
 
+def test_warmup_ranking_is_limited_before_the_shuffle(spark):
+    df = spark.range(100).select("id", (F.col("id") % 3).alias("g"))
+    place = F.row_number().over(ranking.W.partitionBy("g").orderBy("id"))
+    plan = df.withColumn("p", place).filter("p <= 3")._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
 def test_iteration_stats(spark):
     df = spark.createDataFrame([("x", 1.0), ("x", 3.0)], "g string, v double")
     row = measures.iteration_stats(df, ["g"], "v").first()

@@ -192,10 +192,17 @@ def segment_words(
         F.col("token_id").isNotNull() | (F.col("start") == -1)
     )
     hit = F.struct("start", (-F.col("size")).alias("neg_size"), "token_id")
-    grouped = found.groupBy("word", *others).agg(
-        F.max(F.when(F.col("start") == -2, F.col("token_id"))).alias("_whole"),
-        F.max(F.when(F.col("start") == -1, F.col("token_id"))).alias("_prefixed"),
-        F.collect_list(F.when(F.col("start") >= 0, hit)).alias("_hits"),
+    # every word has one such row, which brings its other columns along
+    own = F.when(F.col("start") == -1, F.struct(F.col("token_id").alias("_prefixed"), *others))
+    whole = F.max(F.when(F.col("start") == -2, F.col("token_id")))
+    grouped = (
+        found.groupBy("word")
+        .agg(
+            F.first(own, ignorenulls=True).alias("_own"),
+            (whole if min_start == -2 else F.lit(None).cast("int")).alias("_whole"),
+            F.collect_list(F.when(F.col("start") >= 0, hit)).alias("_hits"),
+        )
+        .select("word", "_own.*", "_whole", "_hits")
     )
     space = F.array(F.lit(vocab.space_id)) if vocab.space_id is not None else F.array()
     singles = symbol_ids(form, vocab)

@@ -33,10 +33,10 @@ def skip_warmup(df: DataFrame, groups: Sequence[str], order: str, n: int) -> Dat
         .groupBy(*groups)
         .agg(F.max(order).alias("_last_warmup"))
     )
-    sized = broadcast_if_small(first, F.lit(32))
-    return join_on_groups(df, sized, groups).filter(
-        F.col(order) > F.col("_last_warmup")
-    ).drop("_last_warmup")
+    # one row per group, read for its size and for the join
+    sized = broadcast_if_small(stored(first, "warmup"), F.lit(32))
+    kept = join_on_groups(df, sized, groups).filter(F.col(order) > F.col("_last_warmup"))
+    return kept.drop("_last_warmup")
 
 
 def latency_summary(df: DataFrame, groups: Sequence[str], values: Sequence[str]) -> DataFrame:
