@@ -33,6 +33,14 @@ from tokenmill.streaming.stream import encode_stream
 
 import oracles
 
+try:  # the operators for training data may be left out
+    from tokenmill.llm import queries as llm
+    import corpus_pipeline
+except ModuleNotFoundError as error:
+    if error.name not in ("tokenmill.llm", "tokenmill.llm.queries", "corpus_pipeline"):
+        raise
+    llm = corpus_pipeline = None
+
 BATCH = 8
 SEED = 42
 EVENT_TYPES = ["signup", "purchase", "error", "view", "click"]
@@ -607,7 +615,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    found = {
         "scan_payloads": scan_payloads,
         "byte_alphabet": byte_alphabet,
         "byte_round_trip": byte_round_trip,
@@ -667,7 +675,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "best_platform": best_platform,
         "stage_timeline": stage_timeline,
     }
+    if llm:
+        found |= llm.QUERIES
+    if corpus_pipeline:
+        found["pipeline"] = corpus_pipeline.run
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: oracles.statement(sql) for name, sql in oracles.QUERIES.items()}
+    found = {name: oracles.statement(sql) for name, sql in oracles.QUERIES.items()}
+    if llm:
+        found |= llm.ORACLES
+    if corpus_pipeline and corpus_pipeline.ORACLE_SQL:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
