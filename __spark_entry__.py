@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable
+from importlib import import_module
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
@@ -33,13 +34,19 @@ from tokenmill.streaming.stream import encode_stream
 
 import oracles
 
-try:  # the operators for training data may be left out
-    from tokenmill.llm import queries as llm
-    import corpus_pipeline
-except ModuleNotFoundError as error:
-    if error.name not in ("tokenmill.llm", "tokenmill.llm.queries", "corpus_pipeline"):
-        raise
-    llm = corpus_pipeline = None
+
+def _optional(name: str):
+    """A module that may be left out as a whole; its own errors are raised."""
+    try:
+        return import_module(name)
+    except ModuleNotFoundError as error:
+        if error.name is None or not f"{name}.".startswith(f"{error.name}."):
+            raise
+        return None
+
+
+llm = _optional("tokenmill.llm.queries")
+corpus_pipeline = _optional("corpus_pipeline")
 
 BATCH = 8
 SEED = 42
