@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import zlib
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +21,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 FOLDS = 5
 
 
+ROOT = str(Path(__file__).resolve().parents[2])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table. Workers that start later find this package where the
+    driver has it; on a cluster without shared folders use ``--py-files``."""
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,7 +51,7 @@ def sub_batches(batches: Iterable[pa.RecordBatch], column: str, limit: int = 8 <
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pa.compute.binary_length(batch.column(column)).fill_null(0)
+        sizes = pc.binary_length(batch.column(column)).fill_null(0)
         ends = np.cumsum(np.asarray(sizes, dtype=np.int64))
         start, base = 0, 0
         while start < batch.num_rows:
@@ -76,3 +89,43 @@ class Memo(dict):
                 self.clear()
             self[key] = value
         return value
+
+
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: Column, per_class: int, id_col: str = "doc_id"
+) -> tuple[DataFrame, dict[int, int]]:
+    """Documents with ``y`` and ``fold`` for a bounded fit, and the number of
+    labelled ids of each class.
+
+    At most ``per_class`` ids of each class, the first by hash. Ids of fold 0
+    are never among them. An id with several labels has its greatest, an id or
+    label that is null is left out. Ids are thinned by their hash before they
+    are ordered, so no task sees many more than it keeps.
+    """
+    ids = labels.select(F.col(id_col).alias("_id"), label.cast("int").alias("y"))
+    ids = ids.where(F.col("_id").isNotNull() & F.col("y").isNotNull() & (fold("_id") != 0))
+    ids = ids.groupBy("_id").agg(F.max("y").alias("y")).withColumn("_h", F.xxhash64("_id"))
+    counts = {r["y"]: r["count"] for r in ids.groupBy("y").count().collect()}
+    low = F.col("_h").bitwiseAND((1 << 31) - 1)
+    taken = [
+        ids.where((F.col("y") == y) & (low < int(min(1.0, 2 * per_class / n) * 2**31)))
+        .orderBy("_h", "_id")
+        .limit(per_class)
+        for y, n in sorted(counts.items())
+    ]
+    if not taken:
+        return docs.limit(0).withColumns({"y": F.lit(0), "fold": F.lit(0)}), counts
+    sample = taken[0]
+    for more in taken[1:]:
+        sample = sample.unionByName(more)
+    sample = F.broadcast(sample.select("_id", "y", fold("_id").alias("fold")))
+    return docs.join(sample, docs[id_col] == sample["_id"]).drop("_id"), counts
+
+
+#: ASCII that is neither letter nor digit separates the words of classifiers.
+SEPARATED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+
+
+def plain_words(text: str) -> list[bytes]:
+    """Lower-cased words without marks."""
+    return text.lower().encode().translate(SEPARATED).split()

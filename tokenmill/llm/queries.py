@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenmill.llm import bpe, idfiles, mixing, sharding
+from tokenmill.llm import bpe, idfiles, mixing, ordinal, quality, sharding, toxicity
 from tokenmill.llm.common import table
 
 
@@ -28,6 +28,18 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
+def op3_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordinal.graded(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
     return rows.select(
@@ -47,6 +59,15 @@ def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op2_mixing, op9_histogram_sort, op10_id_files)
+    f.__name__: f
+    for f in (
+        op1_byte_bpe,
+        op2_mixing,
+        op3_divergence_rules,
+        op6_toxicity,
+        op8_ordinal_quality,
+        op9_histogram_sort,
+        op10_id_files,
+    )
 }
 ORACLES: dict[str, str] = {}
