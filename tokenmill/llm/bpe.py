@@ -32,10 +32,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from tokenmill.llm.common import Memo, list_array, sub_batches
+from tokenmill.llm.common import Memo, extended, list_array, sub_batches
 
 LEAF = 32
 NONE = 1 << 30
@@ -217,8 +218,7 @@ def encode_texts(
                 [*(batch.column(c) for c in keep), lists], names=[*keep, "ids"]
             )
 
-    fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep]
-    return kept.mapInArrow(run, ", ".join([*fields, "ids array<int>"]))
+    return kept.mapInArrow(run, extended(df, keep, "ids array<int>"))
 
 
 def decode_ids(df: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
@@ -236,17 +236,16 @@ def decode_ids(df: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFram
         for batch in batches:
             lists = batch.column(ids_col)
             ends = np.zeros(len(lists) + 1, dtype=np.int64)
-            sizes = pa.compute.list_value_length(lists).fill_null(0)
+            sizes = pc.list_value_length(lists).fill_null(0)
             np.cumsum(np.asarray(sizes), out=ends[1:])
             taken = tokens.take(lists.flatten())
             if taken.null_count:
                 raise ValueError("an id is not in the vocabulary")
             places = np.zeros(len(taken) + 1, dtype=np.int64)
-            np.cumsum(np.asarray(pa.compute.binary_length(taken)), out=places[1:])
+            np.cumsum(np.asarray(pc.binary_length(taken)), out=places[1:])
             offsets = pa.py_buffer(places[ends].astype(np.int32))
             body = taken.buffers()[2] or pa.py_buffer(b"")
             joined = pa.Array.from_buffers(pa.binary(), len(lists), [None, offsets, body])
             yield pa.RecordBatch.from_arrays([*batch.columns, joined], names=names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, f"{schema}, decoded binary")
+    return df.mapInArrow(run, extended(df, df.columns, "decoded binary"))

@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: White space of the word contracts: blank and the controls 9 to 13. It is
 #: also what ``bytes.split()`` splits at.
@@ -34,6 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def extended(df: DataFrame, keep: Iterable[str], added: str) -> StructType:
+    """Schema of the kept columns and the added ones."""
+    return StructType([*(df.schema[c] for c in keep), *StructType.fromDDL(added)])
+
+
 def fold(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo FOLDS; a null id counts as empty text."""
     text = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
