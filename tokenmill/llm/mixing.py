@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tokenmill.llm.common import WORD
+from tokenmill.llm.common import WORD, extended
 from tokenmill.scratch import stored
 
 #: Words of a block.
@@ -99,8 +99,7 @@ def _laid_out(docs: DataFrame) -> DataFrame:
 
     order = ["_s", "_h", "doc_id", "size"]
     ranged = docs.repartitionByRange(*order).sortWithinPartitions(*order)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    summed = ranged.mapInArrow(run, f"{schema}, _at long").withColumn("_part", F.spark_partition_id())
+    summed = ranged.mapInArrow(run, extended(docs, docs.columns, "_at long")).withColumn("_part", F.spark_partition_id())
     summed = stored(summed, "mix-places")
     parts = summed.groupBy("_s", "_part").agg(F.sum("size").alias("_n"))
     before = Window.partitionBy("_s").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -224,12 +223,13 @@ def mix(
 
 def taken_words(df: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target and the words the mix takes of each
-    document, repeats counted."""
+    document, repeats counted; text_key is xxhash64 of id and text."""
     docs, mixed = mix(df, **options)
     # a place belongs to one document of its source, whatever its id
     taken = mixed.groupBy("_s", "_at").agg(F.sum("n_words").alias("taken"))
     sized = docs.where("size > 0").join(taken, ["_s", "_at"], "left")
     columns = ["doc_id", "size", "source_size", "target"]
-    return sized.select(*columns, F.coalesce("taken", F.lit(0)).alias("taken")).unionByName(
-        docs.where("size = 0").select(*columns, F.lit(0).cast("long").alias("taken"))
+    key = F.col("_h").alias("text_key")
+    return sized.select(*columns, F.coalesce("taken", F.lit(0)).alias("taken"), key).unionByName(
+        docs.where("size = 0").select(*columns, F.lit(0).cast("long").alias("taken"), key)
     )

@@ -7,15 +7,15 @@ thresholds are ordered and the weights are shared by all of them, which is the
 cumulative-link (proportional-odds) model. It gives the expected grade, and the
 chance of a grade at or above a wanted one, by which documents are selected.
 
-Features: the distinct lower-cased words, each 1 / sqrt(their number), and the
-shape of the text: shares of words that are upper case, repeat the word before,
+Features: the distinct lower-cased words and their beginnings of 4 and 6
+characters, each 1 / sqrt(their number), and the shape of the text: shares of words that are upper case, repeat the word before,
 end in marks, hold no letter, in steps of a tenth.
 
 The fit is Adagrad in numpy on the driver over at most ``PER_GRADE`` labelled
-documents of each grade, weighted to the shares of all labels; feature numbers
-go there, not texts. Null and empty texts have shape features only. Without
-labels of two grades every document has the one grade there is (0 without any)
-for certain.
+documents of each grade, all grades weighing the same; feature numbers go there,
+not texts. Null and empty texts have shape features only. Without
+labelled documents of two grades every document has the greatest grade there is
+(0 without any) for certain.
 """
 
 from __future__ import annotations
@@ -29,16 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenmill.llm.common import Memo, fold, labelled_sample, plain_words, sub_batches, texts_of
+from tokenmill.llm.common import Memo, extended, fold, labelled_sample, plain_words, sub_batches, texts_of
 
 #: Bound of the fit: labelled documents of each grade.
 PER_GRADE = 4000
 BITS = 18
 EPOCHS = 6
 BATCH = 32
-RATE = 0.3
+RATE = 1.0
 DECAY = 1e-5
 SHAPES = 4
+BEGINNINGS = (4, 6)
 STEPS = 11
 
 
@@ -64,14 +65,22 @@ def shape_steps(text: str) -> list[int]:
     return [i * STEPS + 10 * s // n for i, s in enumerate(shares)]
 
 
+def hashed(word: bytes) -> np.ndarray:
+    """Feature numbers of a word and its beginnings."""
+    text = word.decode()
+    parts = [word, *(b"^" + text[:n].encode() for n in BEGINNINGS if len(text) > n)]
+    return np.array([zlib.crc32(p) & ((1 << BITS) - 1) for p in parts], dtype=np.int32)
+
+
 class Features:
     """Feature numbers of a text: distinct words, then shapes above them."""
 
     def __init__(self) -> None:
-        self.known = Memo(lambda word: zlib.crc32(word) & ((1 << BITS) - 1))
+        self.known = Memo(lambda word: hashed(word).tobytes())
 
     def __call__(self, text: str) -> np.ndarray:
-        words = np.array(sorted(set(map(self.known.__getitem__, plain_words(text)))), dtype=np.int64)
+        data = b"".join(map(self.known.__getitem__, set(plain_words(text))))
+        words = np.unique(np.frombuffer(data, dtype=np.int32))
         return np.concatenate([words, np.array(shape_steps(text)) + (1 << BITS)]).astype(np.int32)
 
 
@@ -152,8 +161,9 @@ def train(
         docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), rated, grade, per_grade
     )
     grades = sorted(counts)
+    nothing = Model(np.zeros((1 << BITS) + SHAPES * STEPS), np.zeros(0), grades[-1:] or [0])
     if len(grades) < 2:
-        return Model(np.zeros((1 << BITS) + SHAPES * STEPS), np.zeros(0), grades or [0])
+        return nothing
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Features()
@@ -169,8 +179,9 @@ def train(
     features = [flat[ends[i] : ends[i + 1]] for i in order]
     y = np.searchsorted(grades, rows["y"].to_numpy()[order])
     drawn = np.bincount(y, minlength=len(grades))
-    natural = np.array([counts[g] for g in grades]) / np.maximum(1, drawn)
-    weight = natural[y]
+    if (drawn > 0).sum() < 2:
+        return nothing
+    weight = (1 / np.maximum(1, drawn))[y]
     return fit(features, y, weight / weight.mean(), grades)
 
 
@@ -195,8 +206,7 @@ def grade_texts(
                 names=[*keep, "expected_grade", "tail_probability"],
             )
 
-    kept = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep]
-    return rows.mapInArrow(run, ", ".join([*kept, "expected_grade double, tail_probability double"]))
+    return rows.mapInArrow(run, extended(df, keep, "expected_grade double, tail_probability double"))
 
 
 def graded(docs: DataFrame, labels: DataFrame, min_grade: int = 2, **options) -> DataFrame:

@@ -3,8 +3,10 @@
 A document's histograms of character classes and of common words are compared
 with references of its language by Jensen-Shannon distance (base 2, 0 to 1).
 Symbols between words, shouting, tables and word salad move one of them far
-from what the language looks like. Short texts have noisy histograms, so each
-comparison has a length below which it abstains.
+from what the language looks like. Short texts have noisy histograms: each
+comparison has a length below which it abstains, and the distance allowed for
+words adds to ``Limits.words`` what random texts of that many words reach that
+are drawn from the reference itself.
 
 The references are statistics of all documents. A word is common in a language
 if it is at least ``COMMON`` of its words; such words are found in two passes:
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenmill.llm.common import sub_batches
+from tokenmill.llm.common import extended, sub_batches
 from tokenmill.scratch import stored
 
 COMMON = 0.002
@@ -128,6 +130,20 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> float:
     return max(0.0, entropy(m) - (entropy(p) + entropy(q)) / 2) ** 0.5
 
 
+#: Lengths at which chance distances are drawn.
+LENGTHS = tuple(50 * 2**i for i in range(12))
+DRAWS = 200
+
+
+def chance_distances(words: np.ndarray, seed: int = 42) -> np.ndarray:
+    """Greatest distance to a histogram among random texts drawn from it, for
+    each length."""
+    if not words.sum():
+        return np.zeros(len(LENGTHS))
+    rng, share = np.random.default_rng(seed), words / words.sum()
+    return np.array([max(js_distance(d, share) for d in rng.multinomial(n, share, DRAWS)) for n in LENGTHS])
+
+
 @dataclass
 class Reference:
     """Histograms of a language: classes, and common words with the rest at the
@@ -136,6 +152,12 @@ class Reference:
     classes: np.ndarray
     place: dict[bytes, int] = field(default_factory=dict)
     words: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    noise: np.ndarray = field(default_factory=lambda: np.zeros(len(LENGTHS)))
+
+    def word_limit(self, n_words: int, allowed: float) -> float:
+        """Distance allowed for a text of that length."""
+        chance = np.interp(np.log(max(1, n_words)), np.log(LENGTHS), self.noise)
+        return float((allowed**2 + chance**2) ** 0.5)
 
 
 @dataclass
@@ -143,9 +165,9 @@ class Limits:
     """Largest distances, and the words below which a comparison abstains."""
 
     classes: float = 0.3
-    words: float = 0.34
+    words: float = 0.18
     classes_min_words: int = 50
-    words_min_words: int = 100
+    words_min_words: int = 50
 
 
 # -- references --------------------------------------------------------------
@@ -229,6 +251,7 @@ def references(df: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
         ref.place = {w: i for i, (w, _) in enumerate(words)}
         counts_ = [n for _, n in words]
         ref.words = np.array([*counts_, sizes[lang] - sum(counts_)], dtype=float)
+        ref.noise = chance_distances(ref.words)
     return out
 
 
@@ -256,7 +279,7 @@ def judge(text: str, ref: Reference, limits: Limits) -> tuple:
     by_word = js_distance(seen, ref.words)
     failed = n < MIN_WORDS or 100 * base["n_repeat_words"] > 50 * n
     far = (n >= limits.classes_min_words and by_class > limits.classes) or (
-        n >= limits.words_min_words and by_word > limits.words
+        n >= limits.words_min_words and by_word > ref.word_limit(n, limits.words)
     )
     return (*base.values(), by_class, by_word, failed, not failed and not far)
 
@@ -286,5 +309,4 @@ def quality_rules(
                 [*(batch.column(c) for c in keep), *columns], names=[*keep, *(n for n, _ in fields)]
             )
 
-    kept = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep]
-    return rows.mapInArrow(run, ", ".join([*kept, SCHEMA]))
+    return rows.mapInArrow(run, extended(df, keep, SCHEMA))

@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenmill.llm import bpe, idfiles, mixing, ordinal, quality, sharding, toxicity
+from tokenmill.llm import (
+    bpe,
+    extraction,
+    idfiles,
+    mixing,
+    multiindex,
+    ordermin,
+    ordinal,
+    quality,
+    sharding,
+    toxicity,
+)
 from tokenmill.llm.common import table
 
 
@@ -25,17 +36,31 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.taken_words(table(spark, sf_dir, "documents"))
+    return mixing.taken_words(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op3_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = multiindex.sign_codes(table(spark, sf_dir, "embeddings"))
+    return multiindex.nearest(codes, codes.where("id % 20 = 0"), k=10)
+
+
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordermin.classes(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = extraction.extract(table(spark, sf_dir, "pages"))
+    return texts.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op8_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.graded(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -64,10 +89,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_byte_bpe,
         op2_mixing,
         op3_divergence_rules,
+        op4_multi_index,
+        op5_order_minhash,
         op6_toxicity,
+        op7_main_text,
         op8_ordinal_quality,
         op9_histogram_sort,
         op10_id_files,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_multi_index": """
+        WITH codes AS (
+            SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS bits FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        ), pairs AS (
+            SELECT a.vec_id AS query_id, b.vec_id AS id,
+                   min(len(list_filter(list_zip(a.bits, b.bits), lambda z: z[1] <> z[2]))) AS distance
+            FROM codes a JOIN codes b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id GROUP BY ALL
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM pairs
+        )
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, id, CAST(distance AS INTEGER) AS distance
+        FROM ranked WHERE rank <= 10
+    """,
+}
