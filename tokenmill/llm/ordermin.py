@@ -11,16 +11,18 @@ length, is 0.8 or more. The distance is found by an alignment in a band as wide
 as that similarity allows (bit vectors, one step a word), after a bound by
 common words.
 
-Copies of a text are one node. Pairs are never spread out within a group:
+Copies of a text are one node. Pairs are never spread out within a group. The
+candidates of a node are the least node of each of its groups: those that share
+a sketch, and among them those of about the same length (two staggered scales,
+so that lengths within the similarity share a step of one). Groups are only ever
+reduced to their least node and joined back.
 
-1. Every node is verified against the least node it shares a sketch with.
-2. Nodes of a sketch that are not in one class yet are verified against the
-   sketch's least node; then that one's class leaves the sketch, and so on while
-   a round still finds links.
+1. Every node is verified against the least of its candidates, which settles
+   most copies of one text, however many there are.
+2. All candidates that are not in one class by then are verified.
 
-So each round verifies at most one pair for each node and sketch, and large
-groups of copies of one text are done in the first. Classes are the connected
-components of the links, and each document gets the least id of its class.
+Classes are the connected components of the links, and each document gets the
+least id of its class.
 
 Rows with one id are one document, null ids too (their class is null if no other
 id is in it). A null text counts as empty; empty texts are copies of each other.
@@ -224,35 +226,36 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         longer, shorter = F.greatest(x, y), F.least(x, y)
         return shorter * SIMILAR[1] >= longer * SIMILAR[0]
 
-    def led(members: DataFrame) -> DataFrame:
-        """Members with the least node of their sketch."""
-        least = members.groupBy("key").agg(F.min(F.struct("node", "n", "label")).alias("first"))
-        return members.join(least, "key").select(
-            "key", "node", "n", "label",
-            F.col("first.node").alias("a"), F.col("first.n").alias("a_n"), F.col("first.label").alias("a_label"),
-        )
-
-    members = shared.withColumn("label", F.col("node"))
-    first = led(members).where((F.col("a") < F.col("node")) & near("n", "a_n"))
-    pairs = stored(first.groupBy(F.col("node").alias("b")).agg(F.min("a").alias("a")), "near-pairs")
-    tested = pairs.select("a", "b")
+    # groups of a sketch: all, and by two staggered scales of length
+    step = F.log(F.col("n")) / float(np.log(SIMILAR[1] / SIMILAR[0])) / 2
+    scales = F.array(F.lit(-1), 2 * F.floor(step), 2 * F.floor(step + 0.5) + 1)
+    members = shared.withColumn("scale", F.explode(scales))
+    least = members.groupBy("key", "scale").agg(F.min(F.struct("node", "n")).alias("first"))
+    candidates = (
+        members.join(least, ["key", "scale"])
+        .select(F.col("first.node").alias("a"), F.col("first.n").alias("a_n"), F.col("node").alias("b"), "n")
+        .where((F.col("a") < F.col("b")) & near("n", "a_n"))
+        .select("a", "b")
+        .distinct()
+    )
+    candidates = stored(candidates, "near-candidates")
+    first = candidates.groupBy("b").agg(F.min("a").alias("a"))
     # ids that stand for several texts join them
     edges = nodes.where("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"))
-    edges = edges.unionByName(stored(verified(pairs), "near-links"))
-    while True:
-        labels = components(edges)
-        known = labels.select("node", F.col("label").alias("_label"))
-        members = members.drop("label").join(known, "node", "left")
-        members = members.select("key", "node", "n", F.coalesce("_label", "node").alias("label"))
-        rest = led(members).where("label <> a_label")
-        rest = stored(rest, "near-rest")
-        pairs = rest.where(near("n", "a_n")).select("a", F.col("node").alias("b")).distinct()
-        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        found = stored(verified(pairs), "near-links")
-        if not found.limit(1).count():
-            break
-        tested, edges = tested.unionByName(pairs), edges.unionByName(found)
-        members = rest.select("key", "node", "n", "label")
+    labels = components(edges.unionByName(stored(verified(first), "near-links")))
+    rest = candidates.join(first, ["a", "b"], "left_anti")
+    for end in ("a", "b"):
+        of = labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
+        rest = rest.join(of, end, "left").withColumn(f"{end}_label", F.coalesce(f"{end}_label", end))
+    rest = stored(rest.where("a_label <> b_label"), "near-rest")
+    links = verified(rest).join(rest, ["a", "b"])
+    # classes of classes: only the newly linked ones are walked again
+    joined = components(links.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")))
+    joined = joined.select(F.col("node").alias("label"), F.col("label").alias("_joined"))
+    labels = labels.unionByName(
+        joined.select(F.col("label").alias("node"), "label").join(labels.select("node"), "node", "left_anti")
+    )
+    labels = labels.join(joined, "label", "left").select("node", F.coalesce("_joined", "label").alias("label"))
     result = nodes.select("id", "node").join(labels, "node", "left")
     return result.select(
         F.nullif("id", F.lit(NO_ID)).alias(id_col), F.coalesce("label", "node").alias("_class")
