@@ -9,7 +9,7 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenmill.functions import bytelevel, shape, synth
@@ -30,6 +30,7 @@ from tokenmill.operators.wordpiece import wordpiece_encode
 from tokenmill.plans import corpus_vocabulary as cv
 from tokenmill.plans.batches import padded_batches, transfer_modes
 from tokenmill.scratch import new_path, stored
+from tokenmill.sources import measurements, sinks, vocabularies
 from tokenmill.streaming.stream import encode_stream
 
 import oracles
@@ -50,6 +51,8 @@ corpus_pipeline = _optional("corpus_pipeline")
 
 BATCH = 8
 SEED = 42
+STREAM_FILES = 8
+RESULT_FILES = 8
 EVENT_TYPES = ["signup", "purchase", "error", "view", "click"]
 
 
@@ -60,17 +63,8 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """A file of one row group is read by one task; spread its rows when the
-    scan gives fewer tasks than there are cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _texts(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
-    # words expand into many candidate rows, so small partitions pay off
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "32k")
-    return _spread(_read(spark, sf_dir, "documents").select("doc_id", *more, "text"))
+    return _read(spark, sf_dir, "documents").select("doc_id", *more, "text")
 
 
 _fixtures: dict[tuple, object] = {}
@@ -88,7 +82,8 @@ def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], object
 def _vocab(spark: SparkSession, sf_dir: str) -> Vocabulary:
     def make():
         words = split_words(_texts(spark, sf_dir).select("text"))
-        return vocabulary(stored(cv.byte_level_vocabulary(words), "vocab"))
+        made = cv.byte_level_vocabulary(words, oracles.VOCAB_WORDS, oracles.VOCAB_PIECES)
+        return vocabulary(stored(made, "vocab"))
 
     return _once(spark, sf_dir, "vocab", make)
 
@@ -96,15 +91,23 @@ def _vocab(spark: SparkSession, sf_dir: str) -> Vocabulary:
 def _wp_vocab(spark: SparkSession, sf_dir: str) -> Vocabulary:
     def make():
         chunks = split_chunks(_texts(spark, sf_dir).select("text"))
-        return vocabulary(stored(cv.wordpiece_vocabulary(chunks), "wp-vocab"))
+        made = cv.wordpiece_vocabulary(chunks, oracles.PIECE_WORDS, oracles.PIECE_PARTS)
+        return vocabulary(stored(made, "wp-vocab"))
 
     return _once(spark, sf_dir, "wp-vocab", make)
 
 
-def _merges(spark: SparkSession, sf_dir: str) -> tuple[MergeRules, Vocabulary]:
+def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     def make():
         tokens = split_pre_tokens(_texts(spark, sf_dir).select("text"))
-        merges = stored(cv.substring_merges(tokens), "merges")
+        return stored(cv.substring_merges(tokens, oracles.MERGE_RULES), "merges")
+
+    return _once(spark, sf_dir, "rules", make)
+
+
+def _merges(spark: SparkSession, sf_dir: str) -> tuple[MergeRules, Vocabulary]:
+    def make():
+        merges = _rules(spark, sf_dir)
         return merge_rules(merges), vocabulary(stored(cv.merge_vocabulary(merges), "merge-vocab"))
 
     return _once(spark, sf_dir, "merges", make)
@@ -263,13 +266,13 @@ def gen_pattern_text(spark, sf_dir):
 
 
 def gen_random_text(spark, sf_dir):
-    rows = _spread(_read(spark, sf_dir, "documents").select("doc_id", "n_chars"))
+    rows = _read(spark, sf_dir, "documents").select("doc_id", "n_chars")
     text = synth.random_text(F.col("doc_id"), F.col("n_chars"), SEED)
     return rows.select("doc_id", F.md5(text.cast("binary")).alias("text_md5"))
 
 
 def gen_random_words(spark, sf_dir):
-    rows = _spread(_read(spark, sf_dir, "documents").select("doc_id", "n_chars"))
+    rows = _read(spark, sf_dir, "documents").select("doc_id", "n_chars")
     text = synth.random_words_text(F.col("doc_id"), F.col("n_chars"), SEED)
     return rows.select("doc_id", F.md5(text.cast("binary")).alias("text_md5"))
 
@@ -317,7 +320,10 @@ def greedy_bpe_encode(spark, sf_dir):
 def greedy_device_limits(spark, sf_dir):
     texts = _texts(spark, sf_dir).withColumn("cap", F.floor(F.octet_length("text") / 2))
     encoded = greedy_encode(
-        texts, _vocab(spark, sf_dir), max_word_bytes=64, max_match_bytes=32
+        texts,
+        _vocab(spark, sf_dir),
+        max_word_bytes=oracles.DEVICE_WORD,
+        max_match_bytes=oracles.DEVICE_MATCH,
     )
     capped = encoded.withColumn(
         "token_ids", F.slice("token_ids", F.lit(1), F.col("cap").cast("int"))
@@ -326,7 +332,7 @@ def greedy_device_limits(spark, sf_dir):
 
 
 def encode_conversations(spark, sf_dir):
-    turns = _spread(_read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return _joined(greedy_encode(turns, _vocab(spark, sf_dir), ["conv_id", "turn"]))
 
 
@@ -341,7 +347,8 @@ def truncate_tokens_query(spark, sf_dir):
 
 
 def padded_batches_query(spark, sf_dir):
-    return _joined(padded_batches(_texts(spark, sf_dir), _vocab(spark, sf_dir), BATCH))
+    batches = padded_batches(_texts(spark, sf_dir), _vocab(spark, sf_dir), BATCH)
+    return _joined(batches).withColumn("tail_bytes", F.col("tail_bytes").cast("long"))
 
 
 def transfer_modes_query(spark, sf_dir):
@@ -419,9 +426,9 @@ def token_counts(spark, sf_dir):
 
 def token_counts_by_label(spark, sf_dir):
     labels = _read(spark, sf_dir, "labels")
-    return accounts.token_totals(
-        _greedy(spark, sf_dir).join(labels, "doc_id"), ["quality", "toxic"]
-    )
+    texts = _texts(spark, sf_dir).join(labels.select("doc_id"), "doc_id", "left_semi")
+    encoded = greedy_encode(texts, _vocab(spark, sf_dir))
+    return accounts.token_totals(encoded.join(labels, "doc_id"), ["quality", "toxic"])
 
 
 def tokenizer_comparison(spark, sf_dir):
@@ -449,16 +456,19 @@ def payload_bytes(spark, sf_dir):
 
 def stream_encode(spark, sf_dir):
     documents = _read(spark, sf_dir, "documents")
+    # a pattern stands for a file as well as for a folder of files
     stream = (
         spark.readStream.schema(documents.schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(sf_dir)
+        .option("maxFilesPerTrigger", STREAM_FILES)
+        .parquet(f"{sf_dir}/documents.parque[t]")
         .select("doc_id", "text")
     )
     out, state = new_path(spark, "stream-out"), new_path(spark, "stream-state")
+    schema = "doc_id bigint, token_ids array<int>, n_tokens int"
+    # no input gives no batch: the output begins with an empty one
+    spark.createDataFrame([], schema).write.parquet(f"{out}/batch=-1")
     query = encode_stream(stream, _vocab(spark, sf_dir), out, state)
     query.awaitTermination()
-    schema = "doc_id bigint, token_ids array<int>, n_tokens int"
     return _joined(spark.read.schema(schema).parquet(f"{out}/batch=*"))
 
 
@@ -466,17 +476,17 @@ def stream_encode(spark, sf_dir):
 
 
 def _tables(spark, sf_dir):
-    """The supplied vectors as word, position and type table; rows 1 and 2 as
-    scale and shift."""
+    """The supplied vectors as position and type table and, repeated over the
+    vocabulary, as word table; rows 1 and 2 as scale and shift; the number of
+    positions."""
     table = _read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
-    word = table.withColumnRenamed("vec_id", "token_id")
+    n = table.count()
+    tokens = _vocab(spark, sf_dir).tokens.select("token_id", (F.col("token_id") % n).alias("vec_id"))
+    word = tokens.join(table, "vec_id").select("token_id", "vec")
     pos = table.withColumnRenamed("vec_id", "pos")
     kind = table.withColumnRenamed("vec_id", "type_id").filter("type_id < 2")
     params = {r.vec_id: r.vec for r in table.filter("vec_id in (1, 2)").collect()}
-    return word, pos, kind, params[1], params[2]
-
-
-SEQ = 256
+    return word, pos, kind, params[1], params[2], n
 
 
 def _checksum(rows, *keys):
@@ -497,24 +507,24 @@ def embedding_lookup(spark, sf_dir):
 
 
 def embedding_sum(spark, sf_dir):
-    word, pos, kind, _, _ = _tables(spark, sf_dir)
+    word, pos, kind, _, _, n = _tables(spark, sf_dir)
     found = embed.embedding_lookup(token_positions(_greedy(spark, sf_dir)), word)
-    return _checksum(embed.embedding_sum(found, pos, kind, F.lit(SEQ)), "doc_id")
+    return _checksum(embed.embedding_sum(found, pos, kind, F.lit(n)), "doc_id")
 
 
 def embedding_affine_tanh(spark, sf_dir):
-    word, _, _, gamma, beta = _tables(spark, sf_dir)
+    word, _, _, gamma, beta, _ = _tables(spark, sf_dir)
     found = embed.embedding_lookup(token_positions(_greedy(spark, sf_dir)), word)
     return _checksum(embed.affine_tanh(found, gamma, beta), "doc_id")
 
 
 def bert_embedding(spark, sf_dir):
-    word, pos, kind, gamma, beta = _tables(spark, sf_dir)
+    word, pos, kind, gamma, beta, n = _tables(spark, sf_dir)
     batches = padded_batches(_texts(spark, sf_dir), _vocab(spark, sf_dir), BATCH)
     tokens = token_positions(batches)
-    # positions wrap at the length of the position table
+    # positions wrap at the sequence, or at the position table if it is shorter
     rows = embed.bert_embedding(
-        tokens, word, pos, kind, gamma, beta, F.least(F.col("seq_len"), F.lit(SEQ))
+        tokens, word, pos, kind, gamma, beta, F.least(F.col("seq_len"), F.lit(n))
     )
     return _checksum(rows, "doc_id", "batch_idx")
 
@@ -581,14 +591,186 @@ def stage_share(spark, sf_dir):
 
 
 def throughput(spark, sf_dir):
-    rows = _read(spark, sf_dir, "documents").select(
-        "lang",
-        F.octet_length("text").cast("long").alias("bytes"),
-        F.floor(F.octet_length("text") / 4).alias("ids"),
-        "n_chars",
+    """Bytes and tokens of the texts over the times of the events of the same
+    number."""
+    times = _read(spark, sf_dir, "events").select(
+        F.col("event_id").alias("doc_id"), F.col("value").alias("time_us")
+    )
+    rows = (
+        _greedy(spark, sf_dir, "lang")
+        .join(_texts(spark, sf_dir), "doc_id")
+        .join(times, "doc_id")
+        .select(
+            "lang",
+            F.octet_length("text").cast("long").alias("bytes"),
+            F.col("n_tokens").cast("long").alias("ids"),
+            "time_us",
+        )
     )
-    rates = measures.throughput(rows, ["lang"], "bytes", "ids", "n_chars")
-    return _rounded(rates, "mb_per_s", "tokens_per_s")
+    rates = measures.throughput(rows, ["lang"], "bytes", "ids", "time_us")
+    return _rounded(rates, "mb_per_s", "tokens_per_s", "total_us")
+
+
+# -- files: written under the shared folder and read back ---------------------
+
+
+def _one_text(value, spark: SparkSession, name: str) -> str:
+    """Path of a file that holds one small text."""
+    path = new_path(spark, name)
+    value.coalesce(1).write.text(path)
+    return path
+
+
+def _lines(order: str, line: Column) -> Column:
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), line.alias("line"))))
+    return F.array_join(F.transform(rows, lambda r: r["line"]), "\n")
+
+
+def bpe_vocabulary_file(spark, sf_dir):
+    tokens = _vocab(spark, sf_dir).tokens
+    entries = F.array_sort(F.collect_list(F.struct("token", "token_id")))
+    value = tokens.agg(F.to_json(F.map_from_entries(entries)).alias("value"))
+    return vocabularies.load_bpe_vocabulary(spark, _one_text(value, spark, "vocab-json"))
+
+
+def merges_file(spark, sf_dir):
+    lines = _lines("rank", F.concat_ws(" ", "left", "right"))
+    value = _rules(spark, sf_dir).agg(F.concat(F.lit("#version: 0.2\n"), lines).alias("value"))
+    return vocabularies.load_merges(spark, _one_text(value, spark, "merges-txt"))
+
+
+def wordpiece_vocabulary_file(spark, sf_dir):
+    value = _wp_vocab(spark, sf_dir).tokens.agg(_lines("token_id", F.col("token")).alias("value"))
+    return vocabularies.load_wordpiece_vocabulary(spark, _one_text(value, spark, "vocab-txt"))
+
+
+def greedy_from_file(spark, sf_dir):
+    vocab = vocabulary(stored(bpe_vocabulary_file(spark, sf_dir), "file-vocab"))
+    return _joined(greedy_encode(_texts(spark, sf_dir), vocab))
+
+
+def merge_from_files(spark, sf_dir):
+    rules = stored(merges_file(spark, sf_dir), "file-merges")
+    vocab = vocabulary(stored(cv.merge_vocabulary(rules), "file-merge-vocab"))
+    return _joined(merge_encode(_texts(spark, sf_dir), merge_rules(rules), vocab))
+
+
+def measurement_files(spark, sf_dir):
+    """Events, a third in each CSV shape, read into one table."""
+    events, paths = _events(spark, sf_dir), {}
+    time, number = F.col("time_us"), F.col("event_id")
+    timed = (number % 100).cast("string")
+    warm = F.when(number % 2 == 0, F.concat(F.lit("warmup"), number % 10)).otherwise(timed)
+    values = {
+        "scenario": F.col("scenario"),
+        "payload_kb": F.col("payload_kb"),
+        "iteration": warm,
+        "run": number % 100,
+        "gpu_util_pct": number % 50,
+        "gpu_mem_mb": number % 500,
+        "cpu_pct": number % 7,
+    }
+    for at, (shape_name, columns) in enumerate(measurements.SHAPES.items()):
+        path = paths[shape_name] = new_path(spark, f"csv-{shape_name}")
+        cells = []
+        for name, (common, kind) in columns.items():
+            value = values.get(common, number % 1000 if kind == "int" else time)
+            cells.append(value.cast(kind).alias(name))
+        rows = events.filter(number % 3 == at).select(*cells)
+        rows.write.option("header", True).csv(path)
+    read = measurements.read_all_measurements(spark, {k: [v] for k, v in paths.items()})
+    # a missing number is told apart from others alike in all engines
+    return read.withColumns({c: F.col(c).cast("double") for c in ("gpu_mem_mb", "cpu_pct")})
+
+
+def summary_file(spark, sf_dir):
+    """Mean and deviation of every scenario under the three header lines."""
+    stats = measures.latency_summary(_events(spark, sf_dir), ["scenario", "payload_kb"], ["time_us"])
+    head = ",,TextGen_us,TextGen_us\n,,mean,std\nScenario,PayloadKB,,\n"
+    part = {"mean": F.round("time_us_mean", 2), "std": F.round("time_us_std", 2)}
+    part |= {"min": F.col("time_us_min"), "max": F.col("time_us_max")}
+    cells = [
+        F.coalesce(F.col(name) if name in stats.columns else part[name.rpartition("_")[2]], F.lit(""))
+        for name in (field.split()[0] for field in measurements.SUMMARY_SCHEMA.split(", "))
+    ]
+    line = F.concat_ws(",", *[c.cast("string") for c in cells])
+    rows = stats.select(F.concat_ws("/", "scenario", "payload_kb").alias("at"), line.alias("line"))
+    value = rows.agg(F.concat(F.lit(head), _lines("at", F.col("line"))).alias("value"))
+    return measurements.read_summary(spark, _one_text(value, spark, "summary"))
+
+
+def log_markers(spark, sf_dir):
+    """Every event as a log line between others; values by marker."""
+    names = F.array(*[F.lit(m) for m in measurements.LOG_MARKERS])
+    marker = F.get(names, (F.col("event_id") % len(measurements.LOG_MARKERS)).cast("int"))
+    value = F.col("time_us").cast("decimal(18,2)").cast("string")
+    line = F.concat(F.lit("[12:00] "), marker, F.lit(": "), value, F.lit(" us"))
+    path = new_path(spark, "logs")
+    lines = _events(spark, sf_dir).select(F.explode(F.array(line, F.lit("noise: 3"))).alias("value"))
+    lines.write.text(path)
+    found = measurements.read_log_markers(spark, path)
+    return found.groupBy("marker").agg(
+        F.count(F.lit(1)).alias("n"), _exact_sum("value").alias("total"), F.max("value").alias("most")
+    )
+
+
+def result_files(spark, sf_dir):
+    """Nested results of every payload size, written as JSON and flattened."""
+    stats = _rounded(
+        measures.iteration_stats(_events(spark, sf_dir), ["payload_kb", "scenario"], "time_us"), "mean_us", "std_us"
+    )
+    rows = stats.select(
+        "payload_kb",
+        F.col("scenario").alias("tokenizer"),
+        F.concat(F.lit("the "), "scenario").alias("name"),
+        F.lit("host").alias("platform"),
+        F.lit("table").alias("implementation"),
+        "mean_us",
+        "min_us",
+        "max_us",
+        "std_us",
+        F.col("iterations").cast("int").alias("tokens"),
+        F.col("iterations").cast("int").alias("iterations"),
+        (F.col("payload_kb") * 1024).alias("text_bytes"),
+    )
+    path = new_path(spark, "results")
+    nested = measurements.nest_results(rows).repartition(RESULT_FILES, "payload_kb")
+    nested.write.option("maxRecordsPerFile", 1).json(path)
+    return measurements.explode_results(measurements.read_results(spark, path))
+
+
+def transfer_files(spark, sf_dir):
+    """Both modes written and read back: what each row holds."""
+    texts, path = _texts(spark, sf_dir), new_path(spark, "transfer")
+    batches = padded_batches(texts, _vocab(spark, sf_dir), BATCH)
+    sinks.write_transfer(path, texts, batches)
+    ids = _joined(spark.read.parquet(f"{path}/mode=A"))
+    sent = spark.read.parquet(f"{path}/mode=B")
+    return ids.select(
+        F.lit("A").alias("mode"), "doc_id", "batch_idx", F.md5(F.col("token_ids").cast("binary")).alias("content_md5")
+    ).unionByName(
+        sent.select(
+            F.lit("B").alias("mode"),
+            "doc_id",
+            F.lit(-1).alias("batch_idx"),
+            F.md5(F.encode("text", "UTF-8")).alias("content_md5"),
+        )
+    )
+
+
+def statistics_file(spark, sf_dir):
+    stats = measures.latency_percentiles(_events(spark, sf_dir), ["scenario", "payload_kb"], "time_us")
+    path = new_path(spark, "statistics")
+    sinks.write_statistics(stats, path, 3)
+    return spark.read.schema(stats.schema).option("header", True).csv(path)
+
+
+def metric_percentiles(spark, sf_dir):
+    """Statistics of several metrics at once, in long form."""
+    names = {c: f"{c}_us" for c in EVENT_TYPES}
+    long = measures.unpivot_metrics(_wide_times(spark, sf_dir), ["user_id"], names)
+    stats = measures.latency_percentiles(long, ["metric"], "value")
+    return _rounded(stats, "mean_us", "std_us", "p50", "p90", "p99")
 
 
 def speedup_vs_slowest(spark, sf_dir):
@@ -681,6 +863,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "platform_rank": platform_rank,
         "best_platform": best_platform,
         "stage_timeline": stage_timeline,
+        "bpe_vocabulary_file": bpe_vocabulary_file,
+        "merges_file": merges_file,
+        "wordpiece_vocabulary_file": wordpiece_vocabulary_file,
+        "greedy_from_file": greedy_from_file,
+        "merge_from_files": merge_from_files,
+        "measurement_files": measurement_files,
+        "summary_file": summary_file,
+        "log_markers": log_markers,
+        "result_files": result_files,
+        "transfer_files": transfer_files,
+        "statistics_file": statistics_file,
+        "metric_percentiles": metric_percentiles,
     }
     if llm:
         found |= llm.QUERIES

@@ -9,9 +9,14 @@ from __future__ import annotations
 
 import re
 
-VOCAB_WORDS, VOCAB_PIECES = 4000, 2000
-PIECE_WORDS, PIECE_PARTS = 3000, 3000
-MERGE_RULES = 400
+# Sizes of the derived vocabularies: with bytes and special tokens at most the
+# published 50,257 and 30,522. The statement replays every rule on every word,
+# which bounds the number of rules here; the operator has no such bound.
+VOCAB_WORDS, VOCAB_PIECES = 30_000, 20_001
+PIECE_WORDS, PIECE_PARTS = 15_000, 15_519
+MERGE_RULES = 1000
+# Limits that bind: symbols of a word, bytes of a match.
+DEVICE_WORD, DEVICE_MATCH = 8, 3
 
 BYTES_TO_SYMBOLS = (
     "array_to_string(list_transform(range(0, strlen({0})), "
@@ -84,6 +89,33 @@ CTES: dict[str, str] = {
                                     FROM tokens GROUP BY doc_id) t USING (doc_id)""",
 }
 
+# -- limits: words cut to some symbols, matches to some bytes -------------------
+CTES |= {
+    "device_forms": f"SELECT DISTINCT substr(form, 1, {DEVICE_WORD}) AS form FROM wform",
+    "device_best": f"""
+        SELECT form, s, max(k) AS k, arg_max(token_id, k) AS id
+        FROM (SELECT form, s, k, substr(form, s + 1, k) AS token
+              FROM (SELECT form, s, unnest(range(1, length(form) - s + 1)) AS k
+                    FROM (SELECT form, unnest(range(0, length(form))) AS s FROM device_forms)))
+        JOIN vocab USING (token) WHERE strlen(token) <= {DEVICE_MATCH} GROUP BY form, s""",
+    "device_walk": """
+        SELECT form, s, s + k AS nxt, id FROM device_best WHERE s = 0
+        UNION ALL
+        SELECT b.form, b.s, b.s + b.k, b.id
+        FROM device_walk w JOIN device_best b ON b.form = w.form AND b.s = w.nxt""",
+    "device_seg": """
+        SELECT f.form, CASE WHEN b.token_id IS NULL THEN ids ELSE [b.token_id] END AS bare,
+               CASE WHEN p.token_id IS NULL THEN [32] || ids ELSE [p.token_id] END AS spaced
+        FROM device_forms f
+        JOIN (SELECT form, list(id ORDER BY s) AS ids FROM device_walk GROUP BY form) USING (form)
+        LEFT JOIN vocab b ON b.token = f.form LEFT JOIN vocab p ON p.token = 'Ġ' || f.form""",
+    "device_ids": f"""
+        SELECT doc_id, flatten(list(CASE WHEN has_space AND word_idx > 0 THEN spaced ELSE bare END
+                                    ORDER BY word_idx)) AS ids
+        FROM words JOIN wform USING (word) JOIN device_seg s ON s.form = substr(wform.form, 1, {DEVICE_WORD})
+        GROUP BY doc_id""",
+}
+
 # -- slices: the same walk over byte slices of every text ----------------------
 BATCH = 8
 CTES |= {
@@ -125,7 +157,7 @@ CTES |= {
               FROM slice_words JOIN slice_seg USING (form))
         GROUP BY ALL""",
     "padded": """
-        SELECT doc_id, batch_idx, seq_len,
+        SELECT doc_id, batch_idx, seq_len, coalesce(len(ids), 0) AS n_all,
                list_resize(coalesce(ids, []::INT[]), seq_len, 0) AS ids
         FROM slices LEFT JOIN sliced_tokens USING (doc_id, batch_idx)""",
 }
@@ -259,7 +291,6 @@ CTES |= {
 }
 
 # -- vectors, measurements -----------------------------------------------------
-SEQ = 256
 HASH_FAST = """
     SELECT doc_id, list(((((((5381::BIGINT * 33 + b[1]) * 33 + b[2]) * 33 + b[3]) * 33 + b[4])
                          % 4294967296) % {0})::INT ORDER BY i) AS ids
@@ -272,13 +303,13 @@ EVENTS = """
            value AS time_us FROM events"""
 CTES |= {
     "wv": "SELECT vec_id::INT AS id, embedding::DOUBLE[] AS vec FROM embeddings",
-    "looked": """
-        SELECT doc_id, pos, vec FROM (SELECT doc_id, pos, CASE WHEN id <= (SELECT max(id) FROM wv)
-                                             THEN id ELSE 0 END AS id FROM tokens) t
-        JOIN wv USING (id)""",
-    "summed": f"""
+    "places": "SELECT count(*) AS n FROM wv",
+    "token_vec": """
+        SELECT token_id AS id, vec FROM places, vocab JOIN wv ON wv.id = token_id % n""",
+    "looked": "SELECT doc_id, pos, vec FROM tokens JOIN token_vec USING (id)",
+    "summed": """
         SELECT l.doc_id, l.pos, list_transform(list_zip(l.vec, p.vec, t.vec), lambda z: z[1] + z[2] + z[3]) AS vec
-        FROM looked l JOIN wv p ON p.id = l.pos % {SEQ} JOIN wv t ON t.id = 0""",
+        FROM places, looked l JOIN wv p ON p.id = l.pos % n JOIN wv t ON t.id = 0""",
     "m": EVENTS,
     "times": """
         SELECT scenario AS algo, 'p' || (user_id % 16) AS platform,
@@ -364,21 +395,24 @@ QUERIES: dict[str, str] = {
     "word_dictionary": "SELECT form, n AS n_occ FROM forms",
     "whole_word_hits": "SELECT form, n AS n_occ, token_id FROM forms JOIN vocab ON token = form",
     "whole_word_misses": """
-        SELECT form, n AS n_occ FROM forms
-        WHERE form NOT IN (SELECT token FROM (SELECT * FROM vocab))""",
+        SELECT form, n AS n_occ FROM forms ANTI JOIN vocab ON token = form""",
     "greedy_segments": """
         SELECT s.word, n AS n_occ, array_to_string(ids, ' ') AS bare, array_to_string(spaced, ' ') AS spaced
         FROM seg s JOIN wform w ON w.word = s.word""",
     "greedy_bpe_encode": f"SELECT doc_id, {joined('ids')} FROM greedy",
     "greedy_device_limits": f"""
         SELECT doc_id, {joined('ids')}
-        FROM (SELECT doc_id, ids[1:strlen(text) // 2] AS ids FROM greedy JOIN documents USING (doc_id))""",
+        FROM (SELECT doc_id, coalesce(ids, [])[1:strlen(text) // 2] AS ids
+              FROM documents LEFT JOIN device_ids USING (doc_id))""",
     "encode_conversations": f"""
         SELECT conv_id, turn, role, {joined('coalesce(ids, [])')}
         FROM conversations LEFT JOIN turn_ids USING (conv_id, turn, role)""",
     "token_positions": "SELECT doc_id, pos, id AS token_id FROM tokens",
     "truncate_tokens": f"SELECT doc_id, {joined('ids[1:512]')} FROM greedy",
-    "padded_batches": "SELECT doc_id, batch_idx, seq_len, array_to_string(ids, ' ') AS token_ids FROM padded",
+    "padded_batches": f"""
+        SELECT doc_id, batch_idx, seq_len, array_to_string(ids, ' ') AS token_ids,
+               greatest(n_all - seq_len, 0)::INT AS cut_tokens, strlen(text) % {BATCH} AS tail_bytes
+        FROM padded JOIN documents USING (doc_id)""",
     "transfer_modes": """
         SELECT doc_id, 'A' AS mode, sum(4 * seq_len)::BIGINT AS n_bytes,
                least(sum(4 * seq_len), 65536)::BIGINT AS sent_bytes FROM padded GROUP BY doc_id
@@ -437,8 +471,8 @@ QUERIES: dict[str, str] = {
                                     lambda z: tanh((z[1] + z[2] + z[3]) * z[4] + z[5])) AS v
               FROM (SELECT doc_id, batch_idx, seq_len, unnest(ids) AS id,
                            generate_subscripts(ids, 1) - 1 AS pos FROM padded) x
-              JOIN wv w ON w.id = CASE WHEN x.id <= (SELECT max(id) FROM wv) THEN x.id ELSE 0 END
-              JOIN wv p ON p.id = x.pos % least(seq_len, {SEQ})
+              JOIN token_vec w ON w.id = x.id
+              JOIN wv p ON p.id = x.pos % least(seq_len, (SELECT n FROM places))
               JOIN wv t ON t.id = 0 JOIN wv g ON g.id = 1 JOIN wv b ON b.id = 2)
         GROUP BY doc_id, batch_idx""",
     "skip_warmup": """
@@ -485,8 +519,66 @@ QUERIES: dict[str, str] = {
         SELECT lang, n_bytes, n_tokens, total_us,
                round(n_bytes / 1024.0::DOUBLE / 1024.0::DOUBLE / (total_us / 1e6::DOUBLE), 6) AS mb_per_s,
                round(n_tokens / (total_us / 1e6::DOUBLE), 6) AS tokens_per_s
-        FROM (SELECT lang, sum(strlen(text))::BIGINT AS n_bytes, sum(strlen(text) // 4)::BIGINT AS n_tokens,
-                     sum(n_chars)::BIGINT AS total_us FROM documents GROUP BY lang)""",
+        FROM (SELECT lang, sum(strlen(text))::BIGINT AS n_bytes, sum(len(ids))::BIGINT AS n_tokens,
+                     round(sum(value), 6) AS total_us
+              FROM greedy JOIN documents USING (doc_id) JOIN events ON event_id = doc_id GROUP BY lang)""",
+    "bpe_vocabulary_file": "SELECT token, token_id FROM vocab",
+    "merges_file": """
+        SELECT substr(piece, 1, cut) AS "left", substr(piece, cut + 1) AS "right", rank FROM rules""",
+    "wordpiece_vocabulary_file": "SELECT token, token_id FROM wp_vocab",
+    "greedy_from_file": f"SELECT doc_id, {joined('ids')} FROM greedy",
+    "merge_from_files": f"SELECT doc_id, {joined('ids')} FROM merge_bpe",
+    "measurement_files": """
+        SELECT scenario, payload_kb,
+               CASE WHEN event_id % 3 = 0 THEN CASE WHEN event_id % 2 = 0 THEN 'warmup' || (event_id % 10)
+                    ELSE (event_id % 100)::VARCHAR END END AS iteration,
+               (CASE WHEN event_id % 3 < 2 THEN time_us ELSE event_id % 1000 END)::DOUBLE AS textgen_us,
+               (CASE WHEN event_id % 3 < 2 THEN time_us ELSE event_id % 1000 END)::DOUBLE AS tokenize_us,
+               CASE WHEN event_id % 3 < 2 THEN time_us END AS total_us,
+               time_us AS transfer_us, time_us AS compute_us,
+               CASE WHEN event_id % 3 <> 1 THEN (event_id % 50)::DOUBLE END AS gpu_util_pct,
+               CASE WHEN event_id % 3 <> 1 THEN (event_id % 500)::DOUBLE END AS gpu_mem_mb,
+               CASE WHEN event_id % 3 = 0 THEN (event_id % 7)::DOUBLE END AS cpu_pct,
+               (CASE WHEN event_id % 6 = 0 THEN event_id % 10 ELSE event_id % 100 END)::INT AS run,
+               event_id % 6 = 0 AS is_warmup
+        FROM m""",
+    "summary_file": f"""
+        SELECT scenario, payload_kb, {', '.join(f'mean AS {c}_mean, std AS {c}_std' for c in (
+            'textgen_us', 'tokenize_us', 'total_us', 'transfer_us', 'compute_us'))},
+               least_ AS compute_us_min, most AS compute_us_max, mean AS gpu_util_pct_mean,
+               mean AS gpu_mem_mb_mean, mean AS cpu_pct_mean
+        FROM (SELECT scenario, payload_kb, round(avg(time_us), 2) AS mean, round(stddev_samp(time_us), 2) AS std,
+                     min(time_us) AS least_, max(time_us) AS most FROM m GROUP BY ALL)""",
+    "log_markers": """
+        SELECT marker, count(*) AS n, sum(v)::DOUBLE AS total, max(v)::DOUBLE AS most
+        FROM (SELECT (['DPU_TEXTGEN_TIME', 'DPU_TOKENIZE_TIME', 'DPU_TOTAL_TIME', 'LATENCY_RESULT',
+                       'COMPUTE_RESULT', 'COMPUTE_LATENCY', 'CPU_BPE_TIME', 'CPU_WORDPIECE_TIME',
+                       'WORDPIECE_TIME', 'WORDPIECE_TOKENS', 'WORDPIECE_GPU_TIME',
+                       'WORDPIECE_GPU_TOKENS'])[event_id % 12 + 1] AS marker, time_us::DECIMAL(18,2) AS v FROM m)
+        GROUP BY marker""",
+    "result_files": """
+        SELECT payload_kb, scenario AS tokenizer, 'the ' || scenario AS name, 'host' AS platform,
+               'table' AS implementation, round(avg(time_us), 6) AS mean_us, min(time_us) AS min_us,
+               max(time_us) AS max_us, round(stddev_pop(time_us), 6) AS std_us, count(*)::INT AS tokens,
+               count(*)::INT AS iterations, payload_kb * 1024 AS text_bytes
+        FROM m GROUP BY payload_kb, scenario""",
+    "transfer_files": """
+        SELECT 'A' AS mode, doc_id, batch_idx, md5(array_to_string(ids, ' ')) AS content_md5 FROM padded
+        UNION ALL SELECT 'B', doc_id, -1, md5(text) FROM documents""",
+    "statistics_file": """
+        SELECT scenario, payload_kb, round(avg(time_us), 3) AS mean_us,
+               round(stddev_pop(time_us), 3) AS std_us, round(quantile_cont(time_us, 0.5), 3) AS p50,
+               round(quantile_cont(time_us, 0.9), 3) AS p90, round(quantile_cont(time_us, 0.99), 3) AS p99
+        FROM m GROUP BY scenario, payload_kb""",
+    "metric_percentiles": """
+        SELECT metric, round(avg(value), 6) AS mean_us, round(stddev_pop(value), 6) AS std_us,
+               round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90,
+               round(quantile_cont(value, 0.99), 6) AS p99
+        FROM (SELECT 'signup_us' AS metric, signup AS value FROM wide
+              UNION ALL SELECT 'purchase_us', purchase FROM wide
+              UNION ALL SELECT 'error_us', error FROM wide
+              UNION ALL SELECT 'view_us', view FROM wide
+              UNION ALL SELECT 'click_us', click FROM wide) GROUP BY metric""",
     "speedup_vs_slowest": """
         SELECT algo, platform, time_us, max(time_us) OVER (PARTITION BY algo) / time_us AS speedup FROM times""",
     "speedup_vs_baseline": """
@@ -508,7 +600,7 @@ QUERIES: dict[str, str] = {
 
 # Every CTE that is read more than once or costly is materialised.
 MATERIALIZED = {
-    "byte_table", "alpha", "words", "wform", "vocab", "best", "seg", "greedy", "tokens",
+    "forms", "token_vec", "places", "device_forms", "device_best", "device_seg", "byte_table", "alpha", "words", "wform", "vocab", "best", "seg", "greedy", "tokens",
     "chunks", "basic", "wp_words", "wp_vocab", "wp_best", "wp_ids", "wordpiece",
     "pre_words", "pre_forms", "rules", "merged", "merge_bpe", "slices", "slice_words", "slice_best", "turn_words", "turn_forms", "turn_best",
     "symbols", "times", "stages", "sliced_tokens", "padded", "wv",

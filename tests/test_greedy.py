@@ -212,3 +212,15 @@ def test_encode_plan_shuffles_texts_only_once(spark, docs, corpus_vocab):
     physical = plan.split("== Physical Plan ==")[1]
     assert physical.count("Exchange hashpartitioning") == 1
     assert "BroadcastHashJoin" in physical and "Python" not in physical
+
+
+def test_hot_words_are_chosen_without_ordering_words(spark):
+    from tokenmill.operators.dictionary import Dictionary, hot_words
+
+    rows = [(f"w{i}", n, 10) for i, n in enumerate([1000, 1004, 57, 57, 3, 3, 1, 1, 1])]
+    table = spark.createDataFrame(rows, "word string, n_occ long, n_bytes long")
+    for max_rows, max_bytes, want in ((9, 90, 9), (4, 90, 4), (5, 90, 4), (9, 25, 2), (1, 90, 0), (0, 0, 0)):
+        chosen = hot_words(Dictionary(table, 9, 90), max_rows, max_bytes)
+        assert chosen.count() == want
+        plan = chosen._jdf.queryExecution().toString()
+        assert "TakeOrdered" not in plan and "Window" not in plan

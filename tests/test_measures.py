@@ -1,3 +1,5 @@
+import math
+
 import random
 
 import numpy as np
@@ -160,3 +162,18 @@ def test_throughput(spark):
     df = spark.createDataFrame([("c", 8192, 5481, 332)], "g string, b long, t long, us long")
     row = measures.throughput(df, ["g"], "b", "t", "us").first()
     assert round(row.mb_per_s, 1) == 23.5 and round(row.tokens_per_s) == 16509036
+
+
+@pytest.mark.parametrize("odd", [[], [float("inf")], [float("-inf")], [float("nan")], [float("inf"), float("-inf"), float("nan")] * 3])
+def test_percentiles_with_infinities_and_nan(spark, odd):
+    """A small limit forces refinement; NaN is greater than all numbers."""
+    values = [float(i) for i in range(40)] + [1.7e308, -1.7e308] + odd
+    df = spark.createDataFrame([("g", v) for v in values], "g string, v double")
+    probs = (0.0, 0.25, 0.5, 0.75, 1.0)
+    row = measures.exact_percentiles(df, ["g"], "v", probs, limit=10, buckets=4).first()
+    ordered = sorted(values, key=lambda v: (math.isnan(v), v))
+    for p in probs:
+        at = p * (len(ordered) - 1)
+        low, high = ordered[math.floor(at)], ordered[math.ceil(at)]
+        want = low + (high - low) * (at - math.floor(at))
+        assert row[f"p{p * 100:g}"] == pytest.approx(want, nan_ok=True)

@@ -112,3 +112,17 @@ def test_substring_merges_are_in_learned_order(spark, docs):
     rules = merge_rules(merges)
     assert rules.learned_order and rules.longest <= 4
     assert vocabulary(merge_vocabulary(merges)).n_tokens == 456
+
+
+def test_walk_is_not_repeated_for_every_symbol(spark):
+    """A word of 100,000 letters: pieces from one walk, in one pass."""
+    rules = merge_rules(
+        spark.createDataFrame([("a", "b", 0), ("ab", "ab", 1)], "left string, right string, rank int")
+    )
+    vocab = vocabulary(spark.createDataFrame([("a", 1), ("b", 2), ("ab", 3), ("abab", 4)], "token string, token_id int"))
+    texts = spark.createDataFrame([(1, "ab" * 50_001 + "a")], "doc_id long, text string")
+    encoded = merge_encode(texts, rules, vocab)
+    plan = encoded._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("lambdafunction(aggregate" in line.replace(" ", "") for line in plan.splitlines())
+    ids = encoded.first().token_ids
+    assert ids == [4] * 25_000 + [3, 1]

@@ -34,3 +34,31 @@ def test_stream_equals_batch(spark, docs, tmp_path):
     got = run("padded", batch_size=4)
     assert got.count() == padded.count()
     assert got.exceptAll(padded.select(*got.columns)).count() == 0
+
+
+def test_stream_leaves_no_tables_and_takes_no_input(spark, docs, tmp_path):
+    import os
+
+    from tokenmill.scratch import scratch_dir
+
+    vocab = vocabulary(
+        stored(byte_level_vocabulary(split_words(docs.select("text")), 300, 300), "stream-vocab")
+    )
+    folder = f"{scratch_dir(spark).removeprefix('file:')}/{spark.sparkContext.applicationId}"
+
+    def run(source):
+        stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 2).parquet(source)
+        query = encode_stream(stream, vocab, f"{source}-out", f"{source}-state")
+        query.awaitTermination()
+
+    source = str(tmp_path / "some")
+    docs.repartition(4).write.parquet(source)
+    before = set(os.listdir(folder))
+    run(source)
+    assert set(os.listdir(folder)) == before
+    assert spark.read.parquet(f"{source}-out").count() == docs.count()
+    assert len([f for f in os.listdir(f"{source}-out") if f.startswith("batch=")]) == 2
+    none = str(tmp_path / "none")
+    os.mkdir(none)
+    run(none)
+    assert not os.path.exists(f"{none}-out")

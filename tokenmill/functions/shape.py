@@ -29,9 +29,13 @@ def clamp_transfer(n_bytes: Column) -> Column:
 
 
 def batch_slices(texts: DataFrame, batch_size: int) -> DataFrame:
-    """Equal byte slices of every text, the tail dropped: ``batch_idx``,
-    ``seq_len`` (a quarter of the slice) and ``text`` as a byte view."""
-    batch_size = clamp_batch_size(batch_size)
+    """Equal byte slices of every text: ``batch_idx``, ``seq_len`` (a quarter of
+    the slice) and ``text`` as a byte view.
+
+    The bytes beyond equal slices are in none of them; ``tail_bytes`` counts
+    them. Sizes outside the limits are refused; clamp them before."""
+    if clamp_batch_size(batch_size) != batch_size:
+        raise ValueError(f"batch size {batch_size} is outside {BATCH_SIZE}")
     others = [c for c in texts.columns if c != "text"]
     each = F.floor(F.length("_bytes") / batch_size).cast("int")
     sliced = texts.select(*others, F.encode("text", "UTF-8").alias("_bytes")).withColumn(
@@ -42,6 +46,7 @@ def batch_slices(texts: DataFrame, batch_size: int) -> DataFrame:
         *others,
         "batch_idx",
         F.floor(each / 4).cast("int").alias("seq_len"),
+        (F.length("_bytes") % batch_size).alias("tail_bytes"),
         F.decode(part, "ISO-8859-1").alias("text"),
     )
 

@@ -6,7 +6,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tokenmill.functions.bytelevel import (
@@ -262,10 +261,27 @@ def greedy_dictionary(
     return store_dictionary(table, size, "greedy-words")
 
 
+def frequency_bins(counts: DataFrame, *sums: Column) -> DataFrame:
+    """Rows by the two leading digits of ``n_occ``: ``least`` and ``rows``, at
+    most 90 for each power of ten, whatever the table's size."""
+    digits = F.length(F.col("n_occ").cast("string"))
+    scale = F.pow(F.lit(10.0), F.greatest(digits - 2, F.lit(0)))
+    least = (F.floor(F.col("n_occ") / scale) * scale).cast("long")
+    return counts.groupBy(least.alias("least")).agg(F.count(F.lit(1)).alias("rows"), *sums)
+
+
 def hot_words(dictionary: Dictionary, max_rows: int, max_bytes: int) -> DataFrame:
-    """The most frequent words whose rows fit the bounds together."""
-    top = dictionary.table.orderBy(F.desc("n_occ"), "word").limit(max_rows)
-    running = F.sum("n_bytes").over(
-        W.orderBy(F.desc("n_occ"), "word").rowsBetween(W.unboundedPreceding, 0)
-    )
-    return top.withColumn("_running", running).filter(F.col("_running") <= max_bytes)
+    """All words that are used at least so often that their rows fit the bounds
+    together.
+
+    The frequency is read off a histogram, so no task sorts words.
+    """
+    bins = frequency_bins(dictionary.table, F.sum("n_bytes").alias("size")).collect()
+    rows = size = 0
+    least = None
+    for one in sorted(bins, key=lambda r: -r["least"]):
+        rows, size = rows + one["rows"], size + one["size"]
+        if rows > max_rows or size > max_bytes:
+            break
+        least = one["least"]
+    return dictionary.table.filter(F.lit(False) if least is None else F.col("n_occ") >= least)

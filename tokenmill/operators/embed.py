@@ -1,6 +1,7 @@
 """Token IDs to vectors: lookup, position and type, scale, shift and tanh.
 
-Vectors stay arrays; arithmetic is in DOUBLE.
+Vectors stay arrays. Tables keep their FLOAT through the joins; arithmetic is in
+DOUBLE.
 """
 
 from __future__ import annotations
@@ -12,41 +13,43 @@ from pyspark.sql import functions as F
 
 from tokenmill.sizes import BROADCAST_BYTES, BROADCAST_ROWS
 
-SALTS = 64
 
 
-def _vector_bytes(column: str) -> Column:
-    return F.size(column) * 8 + 16
+def _vector_bytes(df: DataFrame, column: str) -> Column:
+    """Bytes of a row as it is sent."""
+    each = 4 if "float" in df.schema[column].dataType.simpleString() else 8
+    return F.size(column) * each + 16
+
+
+def _doubles(column: str) -> Column:
+    return F.col(column).cast("array<double>")
 
 
 def embedding_lookup(
     tokens: DataFrame,
     word_vec: DataFrame,
-    salts: int = SALTS,
     max_rows: int = BROADCAST_ROWS,
     max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Adds ``row_id`` and ``vec`` to rows with ``token_id``.
 
-    ``word_vec(token_id, vec)`` numbers its rows from 0; IDs outside it take
-    row 0. A table too large to broadcast is joined with salted keys, since a
-    few tokens make up most rows.
+    IDs without a row in ``word_vec(token_id, vec)`` take row 0. A table too
+    large to broadcast is joined by a shuffle, whose partitions adaptive
+    execution splits where a few tokens make up most rows.
     """
-    bounds = word_vec.agg(
-        F.max("token_id"), F.count(F.lit(1)), F.sum(_vector_bytes("vec"))
-    ).first()
-    known = F.col("token_id").between(0, bounds[0])
-    rows = tokens.withColumn("row_id", F.when(known, F.col("token_id")).otherwise(0))
+    count, size = word_vec.agg(F.count(F.lit(1)), F.sum(_vector_bytes(word_vec, "vec"))).first()
+    zero = word_vec.filter("token_id = 0").select(_doubles("vec")).first()
     table = word_vec.select(
-        F.col("token_id").cast("int").alias("row_id"),
-        F.col("vec").cast("array<double>").alias("vec"),
+        F.col("token_id").cast("int").alias("token_id"), F.col("vec").alias("_vec")
     )
-    if bounds[1] <= max_rows and bounds[2] <= max_bytes:
-        return rows.join(F.broadcast(table), "row_id", "left")
-    salt = F.pmod(F.xxhash64(*tokens.columns), F.lit(salts)).cast("int")
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return (
-        rows.withColumn("_salt", salt).join(copies, ["row_id", "_salt"], "left").drop("_salt")
+    if count <= max_rows and (size or 0) <= max_bytes:
+        table = F.broadcast(table)
+    found = tokens.join(table, "token_id", "left")
+    row_zero = _factors(zero[0]) if zero else F.lit(None).cast("array<double>")
+    return found.select(
+        *tokens.columns,
+        F.when(F.col("_vec").isNotNull(), F.col("token_id")).otherwise(0).alias("row_id"),
+        F.coalesce(_doubles("_vec"), row_zero).alias("vec"),
     )
 
 
@@ -68,26 +71,16 @@ def embedding_sum(
 def place_vectors(pos_vec: DataFrame, type_vec: DataFrame, type_id: int) -> DataFrame:
     """``(_at, _place_vec)``: position and type vector added once per place.
 
-    The table has as many rows as the longest sequence the model knows.
+    The table has as many rows as the longest sequence the model knows; the
+    vector of the type is looked up and added as a constant.
     """
-    n, size = pos_vec.agg(F.count(F.lit(1)), F.sum(_vector_bytes("vec"))).first()
-    placed = (
-        pos_vec.select(
-            F.col("pos").cast("int").alias("_at"),
-            F.col("vec").cast("array<double>").alias("_pos_vec"),
-            F.lit(type_id).alias("_type"),
-        )
-        .join(
-            type_vec.select(
-                F.col("type_id").cast("int").alias("_type"),
-                F.col("vec").cast("array<double>").alias("_type_vec"),
-            ),
-            "_type",
-        )
-        .select(
-            "_at",
-            F.zip_with("_pos_vec", "_type_vec", lambda x, y: x + y).alias("_place_vec"),
-        )
+    n, size = pos_vec.agg(F.count(F.lit(1)), F.sum(_vector_bytes(pos_vec, "vec"))).first()
+    kind = type_vec.filter(F.col("type_id") == type_id).select(_doubles("vec")).first()
+    if kind is None:
+        raise ValueError(f"no vector of type {type_id}")
+    placed = pos_vec.select(
+        F.col("pos").cast("int").alias("_at"),
+        F.zip_with(_doubles("vec"), _factors(kind[0]), lambda x, y: x + y).alias("_place_vec"),
     )
     if n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES:
         return F.broadcast(placed)
@@ -117,22 +110,19 @@ def bert_embedding(
 ) -> DataFrame:
     """Vectors of fixed-length token rows ``(…, pos, token_id)``.
 
-    Scale and shift distribute over the sum, so they are applied once to the
-    rows of the tables; each token is left with one addition and the tanh.
+    Scale and shift distribute over the sum: those of position and type are
+    applied once to each place, so a token is left with its own.
     """
     g, b = _factors(gamma), _factors(beta)
-
-    def times_gamma(column: str) -> Column:
-        return F.zip_with(F.col(column).cast("array<double>"), g, lambda x, y: x * y)
-
-    shifted = F.zip_with(times_gamma("vec"), b, lambda x, y: x + y)
-    word = word_vec.withColumn("vec", times_gamma("vec"))
-    kind = type_vec.withColumn("vec", shifted)
-    pos = pos_vec.withColumn("vec", times_gamma("vec"))
-    found = embedding_lookup(tokens, word)
-    placed = place_vectors(pos, kind, 0)
-    joined = found.withColumn("_at", (F.col("pos") % seq_len).cast("int")).join(
-        placed, "_at", "left"
+    scaled = F.zip_with("_place_vec", g, lambda x, y: x * y)
+    placed = place_vectors(pos_vec, type_vec, 0).withColumn(
+        "_place_vec", F.zip_with(scaled, b, lambda x, y: x + y)
+    )
+    joined = (
+        embedding_lookup(tokens, word_vec)
+        .withColumn("_at", (F.col("pos") % seq_len).cast("int"))
+        .join(placed, "_at", "left")
     )
-    vec = F.zip_with("vec", "_place_vec", lambda x, y: F.tanh(x + y))
+    own = F.zip_with("vec", g, lambda x, y: x * y)
+    vec = F.zip_with(own, "_place_vec", lambda x, y: F.tanh(x + y))
     return joined.withColumn("vec", vec).drop("_at", "_place_vec")

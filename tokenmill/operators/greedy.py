@@ -49,13 +49,19 @@ def greedy_encode(
         parts = F.transform("entries", lambda e: e["entry"])
     else:
         emitting = F.filter("entries", lambda e: F.size(e["entry"]["bare"]) > 0)
-        rows = rows.withColumn("_first", F.get(emitting, F.lit(0))["word_idx"])
-        parts = F.transform(
-            "entries",
-            lambda e: F.when(
-                e["word_idx"] > F.col("_first"), e["entry"]["later"]
-            ).otherwise(e["entry"]["bare"]),
+        # the first emitting word is a variable of the outer lambda: found once
+        # for a text, not once for each of its words
+        first = F.array(F.get(emitting, F.lit(0))["word_idx"])
+        by_first = F.transform(
+            first,
+            lambda at: F.transform(
+                "entries",
+                lambda e: F.when(e["word_idx"] > at, e["entry"]["later"]).otherwise(
+                    e["entry"]["bare"]
+                ),
+            ),
         )
+        parts = F.get(by_first, F.lit(0))
     return with_token_ids(rows, F.flatten(parts), max_tokens)
 
 

@@ -84,6 +84,8 @@ def exact_percentiles(
     wanted rank has more than ``limit`` distinct values, it is cut into
     ``buckets`` by width, bucket counts tell where the ranks lie and only those
     buckets are kept. So no task sorts more than ``limit`` values of a group.
+    Infinities and NaN, which is greater than all numbers, are buckets of their
+    own, so every round with two numbers splits its range.
     """
     groups = list(groups)
     counts = stored(
@@ -93,28 +95,32 @@ def exact_percentiles(
         "value-counts",
     )
     by_range = [*groups, "_range"]
+    value_ = F.col("_value")
+    finite = F.when(~F.isnan(value_) & (F.abs(value_) != float("inf")), value_)
+    bounds = [F.min(finite).alias("_low"), F.max(finite).alias("_high")]
     rows = counts.withColumn("_range", F.lit("0"))
     ranges = (
         rows.groupBy(*by_range)
         .agg(
             F.sum("_n").alias("_total"),
             F.count(F.lit(1)).alias("_values"),
-            F.min("_value").alias("_low"),
-            F.max("_value").alias("_high"),
+            *bounds,
         )
         .withColumn("_before", F.lit(0).cast("long"))
     )
     wanted = [r for p in probs for r in _ranks(F.col("_total"), p)[:2]]
     while (ranges.agg(F.max("_values")).first()[0] or 0) > limit:
         sized = broadcast_if_small(ranges.drop("_values"), F.lit(64))
-        share = (F.col("_value") - F.col("_low")) / (F.col("_high") - F.col("_low"))
-        bucket = F.when(F.col("_high") > F.col("_low"), F.floor(share * buckets)).otherwise(0)
-        cut = (
-            join_on_groups(rows, sized, by_range)
-            .withColumn(
-                "_bucket", F.least(bucket, F.lit(buckets - 1))
-            )
+        # halves, so that the width of any two numbers is a number
+        low, high = F.col("_low") / 2, F.col("_high") / 2
+        share = F.when(high > low, (value_ / 2 - low) / (high - low)).otherwise(F.lit(0.0))
+        bucket = (
+            F.when(F.isnan(value_), buckets + 1)
+            .when(value_ == float("inf"), buckets)
+            .when(value_ == float("-inf"), -1)
+            .otherwise(F.least(F.floor(share * buckets), F.lit(buckets - 1)))
         )
+        cut = join_on_groups(rows, sized, by_range).withColumn("_bucket", bucket.cast("long"))
         order = W.partitionBy(*by_range).orderBy("_bucket")
         running = F.sum("_count").over(order.rowsBetween(W.unboundedPreceding, 0))
         held = (
@@ -122,8 +128,7 @@ def exact_percentiles(
             .agg(
                 F.sum("_n").alias("_count"),
                 F.count(F.lit(1)).alias("_values"),
-                F.min("_value").alias("_low"),
-                F.max("_value").alias("_high"),
+                *bounds,
             )
             .withColumn("_before", F.col("_before") + running - F.col("_count"))
         )

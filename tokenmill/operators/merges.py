@@ -69,11 +69,12 @@ def _binary(text: str) -> Column:
 
 
 def merge_walk(rules: Column, n_symbols: Column, learned_order: bool) -> Column:
-    """Boundaries of a word after merging, a binary string of ``n + 1`` marks.
+    """Places where the pieces of a word start after merging.
 
     ``rules`` are ``(rank, start, size, left_size, wanted)``, ascending: the lowest
     rank first and the leftmost place within a rank. A rule applies where its
-    two parts stand side by side.
+    two parts stand side by side. The walk keeps ``n + 1`` boundary marks and
+    reads the places off them at its end, so no later expression repeats it.
     """
     marks = F.repeat(F.lit("1"), n_symbols + 1).cast("binary")
 
@@ -83,11 +84,18 @@ def merge_walk(rules: Column, n_symbols: Column, learned_order: bool) -> Column:
     def merged(acc: Column, rule: Column) -> Column:
         return F.overlay(acc, _binary("0"), rule["start"] + rule["left_size"] + 1)
 
+    def places(acc: Column) -> Column:
+        return F.filter(
+            F.sequence(F.lit(0), F.greatest(n_symbols, F.lit(1)) - 1),
+            lambda i: F.substring(acc, i + 1, F.lit(1)) == _binary("1"),
+        )
+
     if learned_order:
         return F.aggregate(
             rules,
             marks,
             lambda acc, rule: F.when(applies(acc, rule), merged(acc, rule)).otherwise(acc),
+            places,
         )
 
     def one_merge(acc: Column, _: Column) -> Column:
@@ -95,48 +103,49 @@ def merge_walk(rules: Column, n_symbols: Column, learned_order: bool) -> Column:
         best = F.get(fitting, F.lit(0))
         return F.when(best.isNotNull(), merged(acc, best)).otherwise(acc)
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n_symbols, F.lit(1))), marks, one_merge)
+    steps = F.sequence(F.lit(1), F.greatest(n_symbols, F.lit(1)))
+    return F.aggregate(steps, marks, one_merge, places)
 
 
 def merge_words(words: DataFrame, merges: MergeRules, vocab: Vocabulary) -> DataFrame:
     """``ids`` of distinct ``word`` rows (pre-tokens)."""
-    others = [c for c in words.columns if c != "word"]
-    forms = words.withColumn("form", to_byte_symbols(F.col("word")))
+    # rows of candidates and pieces carry a key of the word, not the word: a
+    # long one would be copied once for each of its symbols
+    forms = words.withColumn("_key", F.md5(F.col("word").cast("binary")))
+    form = to_byte_symbols(F.col("word"))
     # the row of the prefixed word keeps words that no rule fits
     found = (
-        candidates(forms, merges.heads, max(merges.longest, 2), -1)
+        candidates(forms.select("_key", form.alias("form")), merges.heads, max(merges.longest, 2), -1)
+        .drop("form")
         .join(merges.rules, "token", "left")
         .filter(F.col("rank").isNotNull() | (F.col("start") == -1))
     )
     fits = F.col("rank").isNotNull() & (F.col("start") >= 0)
     rule = F.when(fits, F.struct("rank", "start", "size", "left_size", "wanted"))
-    cut = found.groupBy("word", *others, "form").agg(
-        F.sort_array(F.collect_list(rule)).alias("_rules")
-    )
+    cut = found.groupBy("_key").agg(F.sort_array(F.collect_list(rule)).alias("_rules"))
     n = F.length("form")
-    marked = cut.withColumn(
-        "_marks", merge_walk(F.col("_rules"), n, merges.learned_order)
-    )
-    starts = F.filter(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.substring("_marks", i + 1, F.lit(1)) == _binary("1"),
+    starts = (
+        cut.join(forms.select("_key", form.alias("form")), "_key")
+        .withColumn("_starts", merge_walk(F.col("_rules"), n, merges.learned_order))
     )
-    pieces = marked.withColumn("_starts", starts).withColumn(
-        "_pieces",
-        F.zip_with(
-            "_starts",
-            F.concat(F.slice("_starts", F.lit(2), F.size("_starts")), F.array(n)),
-            lambda a, b: F.substring("form", a + 1, b - a),
+    ends = F.concat(F.slice("_starts", F.lit(2), F.size("_starts")), F.array(n))
+    # the symbols are a variable of the outer lambda: split once for a word
+    cut_up = F.transform(
+        F.array(F.split("form", "")),
+        lambda symbols: F.zip_with(
+            "_starts", ends, lambda a, b: F.array_join(F.slice(symbols, a + 1, b - a), "")
         ),
     )
-    placed = pieces.select("word", *others, F.posexplode("_pieces").alias("_at", "token"))
+    pieces = starts.select("_key", F.get(cut_up, F.lit(0)).alias("_pieces"))
+    placed = pieces.select("_key", F.posexplode("_pieces").alias("_at", "token"))
     hit = F.when(F.col("token_id").isNotNull(), F.struct("_at", "token_id"))
-    return (
+    ids = (
         placed.join(vocab.lookup(), "token", "left")
-        .groupBy("word", *others)
+        .groupBy("_key")
         .agg(F.sort_array(F.collect_list(hit)).alias("_ids"))
-        .select("word", *others, F.transform("_ids", lambda e: e["token_id"]).alias("ids"))
+        .select("_key", F.transform("_ids", lambda e: e["token_id"]).alias("ids"))
     )
+    return forms.join(ids, "_key").drop("_key")
 
 
 def merge_dictionary(words: DataFrame, merges: MergeRules, vocab: Vocabulary) -> Dictionary:

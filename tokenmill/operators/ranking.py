@@ -71,6 +71,7 @@ def stage_timeline(
     stages: DataFrame, groups: Sequence[str], order: Column, time: str = "time_us"
 ) -> DataFrame:
     """Start and end of every stage of a scenario in stage order."""
-    upto = W.partitionBy(*groups).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    ended = stages.withColumn("end_us", F.sum(time).over(upto))
-    return ended.withColumn("start_us", F.col("end_us") - F.col(time))
+    in_order = W.partitionBy(*groups).orderBy(order)
+    before = F.sum(time).over(in_order.rowsBetween(W.unboundedPreceding, -1))
+    ended = F.sum(time).over(in_order.rowsBetween(W.unboundedPreceding, 0))
+    return stages.withColumns({"end_us": ended, "start_us": F.coalesce(before, F.lit(0.0))})

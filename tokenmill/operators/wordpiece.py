@@ -13,7 +13,8 @@ from tokenmill.operators.dictionary import Dictionary, store_dictionary, word_co
 from tokenmill.operators.greedy import with_token_ids
 from tokenmill.operators.vocabulary import Vocabulary
 
-# Mark of a continuation piece and longest word that is cut.
+# Mark of a continuation piece and longest word that the published
+# rule cuts.
 CONTINUATION = "##"
 MAX_WORD_CHARS = 100
 
@@ -64,18 +65,26 @@ def piece_heads(tokens: DataFrame) -> DataFrame:
 
 
 def piece_words(
-    words: DataFrame, vocab: Vocabulary, unk: str = "[UNK]"
+    words: DataFrame,
+    vocab: Vocabulary,
+    unk: str = "[UNK]",
+    max_word_chars: int | None = MAX_WORD_CHARS,
 ) -> DataFrame:
     """``pieces`` of distinct ``word`` rows (chunks between white space): one
-    array of token IDs per basic token."""
+    array of token IDs per basic token. Basic tokens of more than
+    ``max_word_chars`` characters are unknown; None sets no limit."""
     unknown = special_id(vocab, unk)
     others = [c for c in words.columns if c != "word"]
-    longest = min(max(vocab.longest, 1), MAX_WORD_CHARS)
+    longest = max(vocab.longest, 1)
+    if max_word_chars is not None:
+        longest = min(longest, max_word_chars)
     basic = words.select(
         "word", *others, F.posexplode_outer(basic_tokens(F.col("word"))).alias("_at", "form")
     )
     basic = basic.withColumn("_len", F.coalesce(F.length("form"), F.lit(0)))
-    cut = F.when(F.col("_len") <= MAX_WORD_CHARS, F.col("_len")).otherwise(0)
+    cut = F.col("_len")
+    if max_word_chars is not None:
+        cut = F.when(cut <= max_word_chars, cut).otherwise(0)
     mark = F.when(F.col("start") > 0, CONTINUATION).otherwise("")
     # start -1 keeps basic tokens without any piece
     starts = basic.withColumn("start", F.explode(F.sequence(F.lit(-1), cut - 1)))
@@ -120,8 +129,10 @@ def piece_words(
     )
 
 
-def piece_dictionary(words: DataFrame, vocab: Vocabulary) -> Dictionary:
-    table = piece_words(word_counts(words), vocab)
+def piece_dictionary(
+    words: DataFrame, vocab: Vocabulary, max_word_chars: int | None = MAX_WORD_CHARS
+) -> Dictionary:
+    table = piece_words(word_counts(words), vocab, max_word_chars=max_word_chars)
     ids = F.flatten("pieces")
     size = F.octet_length("word") + 8 * F.size("pieces") + 4 * F.size(ids) + 32
     return store_dictionary(table, size, "piece-words")
@@ -135,6 +146,7 @@ def wordpiece_encode(
     max_words: int | None = None,
     max_tokens: int | None = None,
     special_tokens: bool = False,
+    max_word_chars: int | None = MAX_WORD_CHARS,
     hot_rows: int = HOT_ROWS,
     hot_bytes: int = HOT_BYTES,
 ) -> DataFrame:
@@ -144,7 +156,7 @@ def wordpiece_encode(
     tokens; ``special_tokens`` puts ``[CLS]`` and ``[SEP]`` around them.
     """
     if dictionary is None:
-        dictionary = piece_dictionary(split_chunks(texts.select("text")), vocab)
+        dictionary = piece_dictionary(split_chunks(texts.select("text")), vocab, max_word_chars)
     rows = assemble(
         texts, keys, split_chunks, dictionary, F.col("pieces"), hot_rows, hot_bytes
     )

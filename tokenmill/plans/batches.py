@@ -20,11 +20,19 @@ def padded_batches(
     keys: Sequence[str] = ("doc_id",),
 ) -> DataFrame:
     """``batch_size`` rows per text: equal byte slices, each encoded on its
-    own, cut or filled with 0 to ``seq_len`` tokens."""
+    own, cut or filled with 0 to ``seq_len`` tokens.
+
+    ``cut_tokens`` counts the tokens beyond ``seq_len``, ``tail_bytes`` the
+    bytes of the text that are in no slice."""
     slices = batch_slices(texts.select(*keys, "text"), batch_size)
     encoded = greedy_encode(slices, vocab, [*keys, "batch_idx"], byte_view=True)
     return encoded.select(
-        *keys, "batch_idx", "seq_len", pad(F.col("token_ids"), F.col("seq_len")).alias("token_ids")
+        *keys,
+        "batch_idx",
+        "seq_len",
+        pad(F.col("token_ids"), F.col("seq_len")).alias("token_ids"),
+        F.greatest(F.size("token_ids") - F.col("seq_len"), F.lit(0)).alias("cut_tokens"),
+        "tail_bytes",
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tokenmill.functions.bytelevel import byte_symbols, to_byte_symbols
 from tokenmill.functions.words import basic_tokens
-from tokenmill.operators.dictionary import word_counts, word_forms
+from tokenmill.operators.dictionary import frequency_bins, word_counts, word_forms
 from tokenmill.operators.wordpiece import CONTINUATION
 
 SPECIAL_TOKENS = ("[UNK]", "[CLS]", "[SEP]")
@@ -34,7 +34,24 @@ def substring_counts(counts: DataFrame, form, sizes=(2, 3, 4)) -> DataFrame:
 
 
 def most_frequent(counts: DataFrame, key: str, n: int) -> DataFrame:
-    return counts.orderBy(F.desc("n_occ"), key).limit(n)
+    """The ``n`` most frequent rows, equal counts by ``key``.
+
+    Rows that are too rare to be among them are left out before the ordering,
+    by a histogram of two leading digits.
+    """
+    least = least_frequency(counts, n)
+    return counts.filter(F.col("n_occ") >= least).orderBy(F.desc("n_occ"), key).limit(n)
+
+
+def least_frequency(counts: DataFrame, n: int) -> int:
+    """A frequency that at least ``n`` rows reach, if there are as many."""
+    rows = frequency_bins(counts).collect()
+    held = 0
+    for row in sorted(rows, key=lambda r: -r["least"]):
+        held += row["rows"]
+        if held >= n:
+            return row["least"]
+    return 0
 
 
 def numbered(tokens: DataFrame, first_id: int) -> DataFrame:
@@ -50,9 +67,12 @@ def byte_tokens(spark) -> DataFrame:
     return spark.createDataFrame(rows, "token string, token_id int")
 
 
-def byte_level_vocabulary(words: DataFrame, n_words: int = 4000, n_pieces: int = 2000) -> DataFrame:
+def byte_level_vocabulary(
+    words: DataFrame, n_words: int = 30_000, n_pieces: int = 20_001
+) -> DataFrame:
     """``(token, token_id)``: the byte alphabet, then the most frequent word
-    forms and the most frequent short substrings."""
+    forms and the most frequent short substrings. The defaults give at most the
+    published 50,257 tokens; a corpus that has fewer gives what it has."""
     forms = most_frequent(word_forms(words), "form", n_words)
     pieces = most_frequent(
         substring_counts(word_counts(words), to_byte_symbols(F.col("word"))), "piece", n_pieces
@@ -68,11 +88,11 @@ def byte_level_vocabulary(words: DataFrame, n_words: int = 4000, n_pieces: int =
 
 
 def wordpiece_vocabulary(
-    chunks: DataFrame, n_words: int = 3000, n_pieces: int = 3000
+    chunks: DataFrame, n_words: int = 15_000, n_pieces: int = 15_519
 ) -> DataFrame:
     """``(token, token_id)``: the special tokens, then the most frequent basic
     tokens and the most frequent beginnings and continuations of one to four
-    characters."""
+    characters; at most the published 30,522 by default."""
     basic = (
         word_counts(chunks)
         .select(F.explode(basic_tokens(F.col("word"))).alias("form"), "n_occ")
@@ -111,7 +131,7 @@ def wordpiece_vocabulary(
     return special.union(numbered(tokens, len(SPECIAL_TOKENS)))
 
 
-def substring_merges(pre_tokens: DataFrame, n_rules: int = 400) -> DataFrame:
+def substring_merges(pre_tokens: DataFrame, n_rules: int = 49_992) -> DataFrame:
     """``(left, right, rank)``: the most frequent substrings of two to four
     symbols, short ones first; three symbols join a pair and a symbol, four
     symbols join two pairs."""

@@ -4,10 +4,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside are deleted at the end; nothing may read them
+    later."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for path in _scopes.pop():
+            place = hadoop(path)
+            files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            files.delete(place, True)
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -34,5 +52,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     the loss of executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

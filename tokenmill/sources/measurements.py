@@ -73,6 +73,7 @@ LOG_MARKERS = (
     "WORDPIECE_GPU_TOKENS",
 )
 
+# Key names of the nested results.
 RESULT_SCHEMA = (
     "payload_kb int, text_bytes int, iterations int, tokenizers map<string, struct<"
     "name: string, platform: string, implementation: string, mean_us: double, "

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tokenmill.operators.greedy import greedy_encode
 from tokenmill.operators.vocabulary import Vocabulary
 from tokenmill.plans.batches import padded_batches
+from tokenmill.scratch import temporary_tables
 
 
 def encode_stream(
@@ -24,9 +25,11 @@ def encode_stream(
     """Token rows of a stream of texts as parquet under ``out_path``.
 
     Each micro-batch runs the batch job and replaces its own folder, so a
-    repeated batch leaves no duplicates. ``batch_size`` asks for padded
-    batches instead of whole token sequences. Without a ``trigger`` the query
-    stops when all present input is read.
+    repeated batch leaves no duplicates; the tables it stores on the way are
+    deleted with it. ``batch_size`` asks for padded batches instead of whole
+    token sequences. Without a ``trigger`` the query stops when all present
+    input is read. How much a micro-batch reads is up to the source
+    (``maxFilesPerTrigger``).
     """
 
     def encode(batch: DataFrame) -> DataFrame:
@@ -46,11 +49,8 @@ def _writer(
     encode: Callable[[DataFrame], DataFrame], out_path: str
 ) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
-        # the dictionary and the texts both read the batch
-        batch.persist()
-        try:
+        # the dictionary and the texts both read the batch from its files
+        with temporary_tables(batch.sparkSession):
             encode(batch).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
-        finally:
-            batch.unpersist()
 
     return write
