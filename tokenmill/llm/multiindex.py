@@ -43,6 +43,8 @@ BITS = 64
 WIDTH = 16
 #: Codes of the first bound.
 SAMPLE = 1024
+#: Radii are probed together while a query needs no more probes than this.
+FEW = 1024
 #: Codes that may be sent to all tasks.
 PROBES = 1 << 16
 
@@ -90,22 +92,29 @@ def ring(width: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << i for i in bits) for bits in combinations(range(width), radius)], dtype=np.int64)
 
 
-def _probes(queries: DataFrame, shift: int, width: int, radius: int) -> DataFrame:
-    """q, bound and every segment value ``radius`` bits from the query's."""
+def _probes(queries: DataFrame, cuts: list[tuple[int, int]], radii: list[int]) -> DataFrame:
+    """q, bound, segment s and every value v of it at one of the radii from the
+    query's own, but for those that the query's bound makes needless."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks = ring(width, radius)
+        masks = {(w, r): ring(w, r) for _, w in cuts for r in radii}
         for batch in batches:
-            step = max(1, (1 << 18) // len(masks))
-            for at in range(0, batch.num_rows, step):
-                some = batch.slice(at, step)
-                q, bound = (np.asarray(some.column(c)) for c in ("q", "bound"))
+            q, bound = (np.asarray(batch.column(c)) for c in ("q", "bound"))
+            for i, (shift, width) in enumerate(cuts):
                 own = (q.view(np.uint64) >> np.uint64(shift)).astype(np.int64) & ((1 << width) - 1)
-                values = (own[:, None] ^ masks[None, :]).ravel()
-                columns = [np.repeat(q, len(masks)), np.repeat(bound, len(masks)), values]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["q", "bound", "v"])
+                for r in radii:
+                    # what smaller radii and the segments before cover may do
+                    asking = np.flatnonzero(bound > len(cuts) * r + i - 1)
+                    ring_ = masks[width, r]
+                    step = max(1, (1 << 18) // len(ring_))
+                    for at in range(0, len(asking), step):
+                        some = asking[at : at + step]
+                        values = (own[some][:, None] ^ ring_[None, :]).ravel()
+                        columns = [np.repeat(q[some], len(ring_)), np.repeat(bound[some], len(ring_))]
+                        columns += [np.full(len(values), i, dtype=np.int32), values]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["q", "bound", "s", "v"])
 
-    return queries.select("q", "bound").mapInArrow(run, "q long, bound int, v long")
+    return queries.select("q", "bound").mapInArrow(run, "q long, bound int, s int, v long")
 
 
 def _least(rows: DataFrame, key: str, k: int) -> DataFrame:
@@ -180,26 +189,27 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             break
         best = best.join(live.select("q"), "q", "left_semi")
         open_ = live.select("q")
-        probes = sum(comb(w, radius) for _, w in cuts)
+        radii = [radius]
+        while sum(comb(w, r) for _, w in cuts for r in (*radii, radii[-1] + 1)) <= FEW:
+            radii.append(radii[-1] + 1)
+        probes = sum(comb(w, r) for _, w in cuts for r in radii)
         if probes > n and n <= PROBES:
             best = stored(_against(open_, *listed(index), want), "near-best")
             covered = BITS
             continue
-        for i, (shift, width) in enumerate(cuts):
-            # what the earlier segments cover may already do
-            reach = len(cuts) * radius + i - 1
-            probing = _probes(live.where(F.col("bound") > reach), shift, width, radius)
-            cells = parts.where(F.col("s") == i).select("v", "code", "ids")
-            dist = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
-            met = (
-                probing.join(cells, (probing["v"] == cells["v"]) & (dist <= F.col("bound")))
-                .select("q", dist.alias("dist"), "ids")
-                .distinct()
-                .select("q", "dist", F.explode("ids").alias("id"))
-            )
-            best = best.unionByName(_least(met, "q", want))
-        best = stored(_least(best.groupBy("q", "id").agg(F.min("dist").alias("dist")).select("q", "dist", "id"), "q", want), "near-best")
-        radius += 1
+        dist = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
+        met = (
+            _probes(live, cuts, radii)
+            # probes pack so well that their size on disk invites a broadcast
+            .join(parts.hint("merge"), ["s", "v"])
+            .where(dist <= F.col("bound"))
+            .select("q", dist.alias("dist"), "code", "ids")
+            .dropDuplicates(["q", "code"])
+            .select("q", "dist", F.explode("ids").alias("id"))
+        )
+        both = best.unionByName(_least(met, "q", want)).groupBy("q", "id").agg(F.min("dist").alias("dist"))
+        best = stored(_least(both.select("q", "dist", "id"), "q", want), "near-best")
+        radius = radii[-1] + 1
         covered = len(cuts) * radius - 1
     both = asked.join(found, "q").where(F.col("id") != F.col("query_id"))
     both = both.groupBy("query_id", "id").agg(F.min("dist").alias("distance"))
