@@ -687,7 +687,7 @@ def summary_file(spark, sf_dir):
     """Mean and deviation of every scenario under the three header lines."""
     stats = measures.latency_summary(_events(spark, sf_dir), ["scenario", "payload_kb"], ["time_us"])
     head = ",,TextGen_us,TextGen_us\n,,mean,std\nScenario,PayloadKB,,\n"
-    part = {"mean": F.round("time_us_mean", 2), "std": F.round("time_us_std", 2)}
+    part = {"mean": F.round("time_us_mean", 6), "std": F.round("time_us_std", 6)}
     part |= {"min": F.col("time_us_min"), "max": F.col("time_us_max")}
     cells = [
         F.coalesce(F.col(name) if name in stats.columns else part[name.rpartition("_")[2]], F.lit(""))
@@ -761,7 +761,7 @@ def transfer_files(spark, sf_dir):
 def statistics_file(spark, sf_dir):
     stats = measures.latency_percentiles(_events(spark, sf_dir), ["scenario", "payload_kb"], "time_us")
     path = new_path(spark, "statistics")
-    sinks.write_statistics(stats, path, 3)
+    sinks.write_statistics(stats, path, 6)
     return spark.read.schema(stats.schema).option("header", True).csv(path)
 
 

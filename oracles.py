@@ -547,7 +547,7 @@ QUERIES: dict[str, str] = {
             'textgen_us', 'tokenize_us', 'total_us', 'transfer_us', 'compute_us'))},
                least_ AS compute_us_min, most AS compute_us_max, mean AS gpu_util_pct_mean,
                mean AS gpu_mem_mb_mean, mean AS cpu_pct_mean
-        FROM (SELECT scenario, payload_kb, round(avg(time_us), 2) AS mean, round(stddev_samp(time_us), 2) AS std,
+        FROM (SELECT scenario, payload_kb, round(avg(time_us), 6) AS mean, round(stddev_samp(time_us), 6) AS std,
                      min(time_us) AS least_, max(time_us) AS most FROM m GROUP BY ALL)""",
     "log_markers": """
         SELECT marker, count(*) AS n, sum(v)::DOUBLE AS total, max(v)::DOUBLE AS most
@@ -566,9 +566,9 @@ QUERIES: dict[str, str] = {
         SELECT 'A' AS mode, doc_id, batch_idx, md5(array_to_string(ids, ' ')) AS content_md5 FROM padded
         UNION ALL SELECT 'B', doc_id, -1, md5(text) FROM documents""",
     "statistics_file": """
-        SELECT scenario, payload_kb, round(avg(time_us), 3) AS mean_us,
-               round(stddev_pop(time_us), 3) AS std_us, round(quantile_cont(time_us, 0.5), 3) AS p50,
-               round(quantile_cont(time_us, 0.9), 3) AS p90, round(quantile_cont(time_us, 0.99), 3) AS p99
+        SELECT scenario, payload_kb, round(avg(time_us), 6) AS mean_us,
+               round(stddev_pop(time_us), 6) AS std_us, round(quantile_cont(time_us, 0.5), 6) AS p50,
+               round(quantile_cont(time_us, 0.9), 6) AS p90, round(quantile_cont(time_us, 0.99), 6) AS p99
         FROM m GROUP BY scenario, payload_kb""",
     "metric_percentiles": """
         SELECT metric, round(avg(value), 6) AS mean_us, round(stddev_pop(value), 6) AS std_us,
