@@ -17,21 +17,27 @@ from tokenmill.llm.common import table
 from tokenmill.scratch import stored
 
 
-def _whole(docs: DataFrame) -> DataFrame:
-    """Text and language beside the whole row, whatever its columns."""
-    return docs.select("text", "lang", F.struct("*").alias("__row"))
+def _numbered(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...], dict[str, str]]:
+    """The rows under names that no operator uses, those names, and the places
+    of text and language among them."""
+    names = tuple(f"__{i}" for i in range(len(docs.columns)))
+    place = {c: names[docs.columns.index(c)] for c in ("text", "lang")}
+    return docs.toDF(*names), names, {"text_col": place["text"], "lang_col": place["lang"]}
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules; the references are those of its input."""
-    return quality.quality_rules(_whole(docs), keep=("__row",)).where("kept").select("__row.*")
+    rows, names, places = _numbered(docs)
+    return quality.quality_rules(rows, keep=names, **places).where("kept").select(*names).toDF(*docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below their language's threshold. The model learns from the
     labelled documents among them."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(_whole(docs), model, keep=("__row",)).where("not rejected").select("__row.*")
+    rows, names, places = _numbered(docs)
+    scored = toxicity.score(rows, model, keep=names, **places)
+    return scored.where("not rejected").select(*names).toDF(*docs.columns)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +61,12 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id and ids of every document, and whether they decode to its text."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = bpe.encode_texts(docs, ranks, public_tokenizers.PATTERN, keep=("doc_id", "text"))
-    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return bpe.decode_ids(ids, ranks).select(
-        "doc_id", F.size("ids").alias("n_tokens"), "ids", (F.col("decoded") == text).alias("round_trip")
+    digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    rows = docs.select("doc_id", "text", digest.alias("digest"))
+    ids = bpe.encode_texts(rows, ranks, public_tokenizers.PATTERN, keep=("doc_id", "digest"), decode=True)
+    same = F.md5("decoded") == F.col("digest")
+    return ids.select(
+        "doc_id", F.size("ids").alias("n_tokens"), "ids", same.alias("round_trip")
     )
 
 

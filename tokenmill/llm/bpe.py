@@ -40,6 +40,8 @@ from tokenmill.llm.common import Memo, extended, list_array, sub_batches
 
 LEAF = 32
 NONE = 1 << 30
+#: Ids decoded at a time.
+DECODED = 1 << 20
 
 
 class ByteBpe:
@@ -197,28 +199,70 @@ def bpe(data: bytes, pattern: str) -> ByteBpe:
     return _loaded[key]
 
 
+def token_bytes(data: bytes) -> pa.LargeBinaryArray:
+    """Bytes of each id of a rank file; null where there is none."""
+    ranks = load_ranks(data)
+    by_id: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        by_id[rank] = token
+    return pa.array(by_id, pa.large_binary())
+
+
+def decode_lists(tokens: pa.LargeBinaryArray, lists: pa.ListArray) -> pa.Array:
+    """The joined bytes of each list of ids."""
+    ends = np.zeros(len(lists) + 1, dtype=np.int64)
+    sizes = pc.list_value_length(lists).fill_null(0)
+    np.cumsum(np.asarray(sizes), out=ends[1:])
+    taken = tokens.take(lists.flatten())
+    if taken.null_count:
+        raise ValueError("an id is not in the vocabulary")
+    places = np.zeros(len(taken) + 1, dtype=np.int64)
+    np.cumsum(np.asarray(pc.binary_length(taken)), out=places[1:])
+    offsets = pa.py_buffer(places[ends].astype(np.int32))
+    body = taken.buffers()[2] or pa.py_buffer(b"")
+    return pa.Array.from_buffers(pa.binary(), len(lists), [None, offsets, body])
+
+
 def encode_texts(
-    df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", keep: tuple[str, ...] = ()
+    df: DataFrame,
+    ranks_path: str,
+    pattern: str,
+    text_col: str = "text",
+    keep: tuple[str, ...] = (),
+    decode: bool = False,
 ) -> DataFrame:
-    """Columns ``keep`` and ``ids`` (array of int) for each row. The rank file
-    is read here and sent to the tasks (under 1 MB for 50,000 tokens)."""
+    """Columns ``keep`` and ``ids`` (array of int) for each row; with
+    ``decode`` also ``decoded``, the bytes the ids give back. The rank file is
+    read here and sent to the tasks (under 1 MB for 50,000 tokens)."""
     with open(ranks_path, "rb") as file:
         data = file.read()
     kept = df.select(*keep, df[text_col].alias("_text"))
     if len(set(kept.columns)) != len(kept.columns):
         raise ValueError("give each kept column once")
+    added = ["ids", *["decoded"] * decode]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = bpe(data, pattern).encode
-        for batch in sub_batches(batches, "_text"):
+        encode, tokens = bpe(data, pattern).encode, token_bytes(data) if decode else None
+        for batch in sub_batches(batches, "_text", 4 << 20):
             ids = [encode(x) if x else b"" for x in batch.column("_text").to_pylist()]
             values = np.frombuffer(b"".join(ids), dtype="<i4")
             lists = list_array(values, [len(x) // 4 for x in ids])
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), lists], names=[*keep, "ids"]
-            )
+            made = [lists, *([decode_lists(tokens, lists)] if decode else [])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], names=[*keep, *added])
+
+    kinds = "ids array<int>" + ", decoded binary" * decode
+    return kept.mapInArrow(run, extended(df, keep, kinds))
 
-    return kept.mapInArrow(run, extended(df, keep, "ids array<int>"))
+
+def _few_ids(batches: Iterator[pa.RecordBatch], ids_col: str) -> Iterator[pa.RecordBatch]:
+    """Slices of about DECODED ids, or one longer list."""
+    for batch in batches:
+        sizes = pc.list_value_length(batch.column(ids_col)).fill_null(0)
+        ends, start, base = np.cumsum(np.asarray(sizes, dtype=np.int64)), 0, 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, base + DECODED, "right")))
+            yield batch.slice(start, stop - start)
+            base, start = int(ends[stop - 1]), stop
 
 
 def decode_ids(df: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
@@ -228,24 +272,9 @@ def decode_ids(df: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFram
     names = [*df.columns, "decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = load_ranks(data)
-        by_id: list[bytes | None] = [None] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            by_id[rank] = token
-        tokens = pa.array(by_id, pa.large_binary())
-        for batch in batches:
-            lists = batch.column(ids_col)
-            ends = np.zeros(len(lists) + 1, dtype=np.int64)
-            sizes = pc.list_value_length(lists).fill_null(0)
-            np.cumsum(np.asarray(sizes), out=ends[1:])
-            taken = tokens.take(lists.flatten())
-            if taken.null_count:
-                raise ValueError("an id is not in the vocabulary")
-            places = np.zeros(len(taken) + 1, dtype=np.int64)
-            np.cumsum(np.asarray(pc.binary_length(taken)), out=places[1:])
-            offsets = pa.py_buffer(places[ends].astype(np.int32))
-            body = taken.buffers()[2] or pa.py_buffer(b"")
-            joined = pa.Array.from_buffers(pa.binary(), len(lists), [None, offsets, body])
-            yield pa.RecordBatch.from_arrays([*batch.columns, joined], names=names)
+        tokens = token_bytes(data)
+        for batch in _few_ids(batches, ids_col):
+            decoded = decode_lists(tokens, batch.column(ids_col))
+            yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names=names)
 
     return df.mapInArrow(run, extended(df, df.columns, "decoded binary"))

@@ -81,7 +81,7 @@ class Memo(dict):
     held, and frequent keys stay.
     """
 
-    def __init__(self, make, limit: int = 300_000, longest: int = 64) -> None:
+    def __init__(self, make, limit: int = 100_000, longest: int = 64) -> None:
         super().__init__()
         self.make, self.limit, self.longest, self.old = make, limit, longest, {}
 

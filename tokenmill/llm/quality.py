@@ -185,7 +185,7 @@ def _languages(batch: pa.RecordBatch) -> Iterator[tuple[str, list[str]]]:
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in sub_batches(batches, "_text", 32 << 20):
+    for batch in sub_batches(batches, "_text", 16 << 20):
         rows = []
         for lang, texts in _languages(batch):
             words: Counter = Counter()
@@ -294,16 +294,17 @@ def quality_rules(
     """Columns ``keep`` and the columns of SCHEMA for each row."""
     refs = references(df, text_col, lang_col)
     limits = limits or Limits()
-    rows = df.select(*keep, df[text_col].alias("_text"), df[lang_col].cast("string").alias("_lang"))
+    text = text_col if text_col in keep else "_text"  # sent once
+    rows = df.select(*keep, *([] if text in keep else [df[text_col].alias(text)]), df[lang_col].cast("string").alias("_lang"))
     names = SCHEMA.split(", ")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
         fields = [n.split() for n in names]
-        for batch in sub_batches(batches, "_text"):
+        for batch in sub_batches(batches, text, 4 << 20):
             found = []
-            for lang, text in zip(batch.column("_lang").to_pylist(), batch.column("_text").to_pylist()):
-                found.append(judge(text or "", refs.get(lang) or refs[""], limits))
+            for lang, one in zip(batch.column("_lang").to_pylist(), batch.column(text).to_pylist()):
+                found.append(judge(one or "", refs.get(lang) or refs[""], limits))
             columns = [pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*found), fields)]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in keep), *columns], names=[*keep, *(n for n, _ in fields)]

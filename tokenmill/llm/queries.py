@@ -26,8 +26,8 @@ from tokenmill.llm.common import table
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, sf_dir, "documents")
-    ids = bpe.encode_texts(docs, ranks, public_tokenizers.PATTERN, keep=("doc_id",))
-    return bpe.decode_ids(ids, ranks).select(
+    ids = bpe.encode_texts(docs, ranks, public_tokenizers.PATTERN, keep=("doc_id",), decode=True)
+    return ids.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
