@@ -41,8 +41,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each class of near-duplicates."""
-    return ordermin.first_of_class(docs).select(*docs.columns)
+    """One row of each class of near-duplicates, that of the least id. Ids that
+    come again with other texts lose none of them."""
+    return ordermin.first_of_class(docs, one_per_id=False).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -139,6 +139,23 @@ def test_null_id_joins_its_copies(spark):
     assert got == {None: 3, 4: 3, 3: 3}
 
 
+def test_rows_without_or_with_one_id_are_texts_of_their_own(spark):
+    rng = random.Random(11)
+    a, b, c, d = (words(rng, 60) for _ in range(4))
+    rows = [(4, a, "en", "a"), (None, a, "en", "a"), (5, b, "en", "a"), (None, b, "en", "a")]
+    rows += [(None, c, "en", "a"), (None, d, "en", "a"), (7, a + " x", "en", "a"), (7, d + " y", "en", "a")]
+    got = ordermin.classes(frame(spark, rows)).collect()
+    assert sorted(((r["doc_id"] or 0), r["class_id"] or 0) for r in got) == [
+        (0, 0), (0, 4), (0, 5), (0, 7), (4, 4), (5, 5), (7, 4), (7, 7)
+    ]
+    for one_per_id in (True, False):
+        kept = ordermin.first_of_class(frame(spark, rows), one_per_id=one_per_id).collect()
+        assert sorted(r["text"] for r in kept) == sorted([a, b, c, d + " y"])
+    again = [(8, a, "en", "a"), (8, b, "en", "a"), (8, b, "en", "a")]
+    kept = ordermin.first_of_class(frame(spark, again), one_per_id=False).collect()
+    assert sorted(r["text"] for r in kept) == sorted([a, b])
+
+
 def test_empty_table(none):
     assert ordermin.classes(none).collect() == []
     assert ordermin.first_of_class(none).collect() == []

@@ -11,23 +11,21 @@ length, is 0.8 or more. The distance is found by an alignment in a band as wide
 as that similarity allows (bit vectors, one step a word), after a bound by
 common words.
 
-Copies of a text are one node. Pairs are never spread out within a group. The
-candidates of a node are the least node of each of its groups: those that share
-a sketch, and among them those of about the same length (two staggered scales,
-so that lengths within the similarity share a step of one). Groups are only ever
-reduced to their least node and joined back.
+Copies of a text are one node. A group is the nodes that share a sketch and are
+of about one length (two staggered scales, so that lengths within the similarity
+share a step of one).
 
-1. Every node is verified against the least of its candidates, which settles
-   most copies of one text, however many there are.
-2. All candidates that are not in one class by then are verified.
+1. Every node is verified against the least of its candidates, the least nodes
+   of its groups, which settles most copies of one text, however many there are.
+2. All those candidates that are not in one class by then are verified.
 
 Classes are the connected components of the links, and each document gets the
-least id of its class.
+least id of its class, null if no row of it has one.
 
-Rows with one id are one document, null ids too (their class is null if no other
-id is in it). A null text counts as empty; empty texts are copies of each other.
-Texts of less than five words have one run, all their words. Only id and text
-are read.
+Ids name documents only at the end: rows with one id, or none, and different
+texts are different nodes. A null text counts as empty; empty texts are copies
+of each other. Texts of less than five words have one run, all their words. Only
+id and text are read.
 """
 
 from __future__ import annotations
@@ -49,7 +47,6 @@ RUN = 5
 BANDS = 32
 #: Similarity as a fraction, to compare whole numbers.
 SIMILAR = (4, 5)
-NO_ID = -(1 << 63)
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 MIX2 = np.uint64(0xBF58476D1CE4E5B9)
@@ -196,29 +193,30 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
 
 
-def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and class_id, one row for each row of the input."""
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), df[text_col].alias("_text"))
+def _labelled(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, copy (md5 of the text) and label, one row for each row of the input."""
+    docs = df.select(F.col(id_col).cast("long").alias("_id"), df[text_col].alias("_text"))
     marked = docs.withColumn("_copy", F.md5(F.coalesce("_text", F.lit("")).cast("binary")))
-    sketched = stored(
-        marked.mapInArrow(_sketched, "id long, copy string, n long, keys array<long>"), "near-sketches"
-    )
-    copies = sketched.groupBy("copy").agg(F.min("id").alias("node"))
-    nodes = stored(sketched.join(copies, "copy").select("id", "node", "n", "keys"), "near-nodes")
+    sketched = marked.mapInArrow(_sketched, "id long, copy string, n long, keys array<long>")
+    # numbers stay as they are once they are written
+    sketched = stored(sketched.withColumn("row", F.monotonically_increasing_id()), "near-sketches")
+    copies = sketched.groupBy("copy").agg(F.min("row").alias("node"), F.min("id").alias("least"))
+    copies = stored(copies, "near-copies")
+    nodes = sketched.join(copies.select(F.col("node").alias("row")), "row", "left_semi")
+    nodes = stored(nodes.select(F.col("row").alias("node"), "n", "keys"), "near-nodes")
 
     # sketches of more than one node
-    shared = (
-        nodes.where("id = node").select("node", "n", F.explode("keys").alias("key")).dropDuplicates(["key", "node", "n"])
-    )
+    shared = nodes.select("node", "n", F.explode(F.array_distinct("keys")).alias("key"))
     groups = shared.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
     shared = stored(shared.join(groups, "key"), "near-shared")
-    wanted = shared.select(F.col("node").alias("_id")).distinct()
-    # an id with several texts is compared by each of them
-    texts = stored(docs.join(wanted, "_id", "left_semi").distinct(), "near-texts")
+    wanted = copies.join(shared.select("node").distinct(), "node", "left_semi")
+    # only rows with the least id of their text are sent
+    one = (F.col("_copy") == F.col("copy")) & F.col("_id").eqNullSafe(F.col("least"))
+    texts = stored(marked.join(wanted, one).select("node", F.col("_text").alias("text")).distinct(), "near-texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        left = texts.select(F.col("_id").alias("a"), F.col("_text").alias("text_a"))
-        right = texts.select(F.col("_id").alias("b"), F.col("_text").alias("text_b"))
+        left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+        right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
         both = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
         return both.mapInArrow(_verified, "a long, b long")
 
@@ -240,40 +238,48 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
     candidates = stored(candidates, "near-candidates")
     first = candidates.groupBy("b").agg(F.min("a").alias("a"))
-    # ids that stand for several texts join them
-    edges = nodes.where("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"))
-    labels = components(edges.unionByName(stored(verified(first), "near-links")))
-    rest = candidates.join(first, ["a", "b"], "left_anti")
+    labels = components(stored(verified(first), "near-links"))
+    labels = _joined(candidates.join(first, ["a", "b"], "left_anti"), labels, verified)
+    rows = sketched.select("id", "copy").join(copies, "copy").join(labels, "node", "left")
+    return stored(rows.select("id", "copy", F.coalesce("label", "node").alias("label")), "near-rows")
+
+
+def _joined(pairs: DataFrame, labels: DataFrame, verified) -> DataFrame:
+    """Labels after the pairs that are not of one class are verified."""
     for end in ("a", "b"):
         of = labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
-        rest = rest.join(of, end, "left").withColumn(f"{end}_label", F.coalesce(f"{end}_label", end))
-    rest = stored(rest.where("a_label <> b_label"), "near-rest")
-    links = verified(rest).join(rest, ["a", "b"])
+        pairs = pairs.join(of, end, "left").withColumn(f"{end}_label", F.coalesce(f"{end}_label", end))
+    pairs = stored(pairs.where("a_label <> b_label"), "near-rest")
+    links = verified(pairs).join(pairs, ["a", "b"])
     # classes of classes: only the newly linked ones are walked again
     joined = components(links.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")))
     joined = joined.select(F.col("node").alias("label"), F.col("label").alias("_joined"))
     labels = labels.unionByName(
         joined.select(F.col("label").alias("node"), "label").join(labels.select("node"), "node", "left_anti")
     )
-    labels = labels.join(joined, "label", "left").select("node", F.coalesce("_joined", "label").alias("label"))
-    result = nodes.select("id", "node").join(labels, "node", "left")
-    return result.select(
-        F.nullif("id", F.lit(NO_ID)).alias(id_col), F.coalesce("label", "node").alias("_class")
-    ).transform(_named, id_col)
-
-
-def _named(rows: DataFrame, id_col: str) -> DataFrame:
-    """The class by its least id that is not null; NO_ID is least of all."""
-    alone = rows.where(F.col("_class") == NO_ID).agg(F.min(id_col)).first()[0]
-    named = F.when(F.col("_class") == NO_ID, F.lit(alone).cast("long")).otherwise(F.col("_class"))
-    return rows.select(id_col, named.alias("class_id"))
-
-
-def first_of_class(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose id is the least of its class, all columns; of several
-    rows with that id one stays."""
-    mine = "__class_member_id"
-    kept = classes(df, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("class_id")))
-    kept = kept.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias(mine))
-    rows = df.withColumn(mine, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)))
-    return rows.join(kept, mine, "left_semi").dropDuplicates([mine]).drop(mine)
+    return labels.join(joined, "label", "left").select("node", F.coalesce("_joined", "label").alias("label"))
+
+
+def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and class_id, one row for each row of the input."""
+    rows = _labelled(df, id_col, text_col)
+    names = rows.groupBy("label").agg(F.min("id").alias("class_id"))
+    return rows.join(names, "label").select(F.col("id").alias(id_col), "class_id")
+
+
+def first_of_class(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", one_per_id: bool = True
+) -> DataFrame:
+    """One row of each class, of its least id, all columns. With ``one_per_id``
+    one row stays of several kept ones with the same id; null is no id."""
+    firsts = _labelled(df, id_col, text_col).groupBy("label")
+    kept = firsts.agg(F.min(F.struct(F.col("id").isNull(), "id", "copy")).alias("_kept")).select("_kept.id", "_kept.copy")
+    if one_per_id:
+        kept = kept.groupBy("id", F.when(F.col("id").isNull(), F.col("copy"))).agg(F.min("copy").alias("copy"))
+    kept = kept.select(F.col("id").alias("__class_id"), F.col("copy").alias("__class_copy"))
+    mine, copy = "__class_member_id", "__class_member_copy"
+    rows = df.withColumns(
+        {mine: F.col(id_col).cast("long"), copy: F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))}
+    )
+    same = F.col(mine).eqNullSafe(F.col("__class_id")) & (F.col(copy) == F.col("__class_copy"))
+    return rows.join(kept, same, "left_semi").dropDuplicates([mine, copy]).drop(mine, copy)
