@@ -156,6 +156,35 @@ def test_rows_without_or_with_one_id_are_texts_of_their_own(spark):
     assert sorted(r["text"] for r in kept) == sorted([a, b])
 
 
+def with_passage(rng, groups):
+    """Pairs of like texts, most of whose words are a passage shared by all."""
+    passage, rows = words(rng, 150), []
+    for i in range(groups):
+        text = f"{words(rng, 30)} {passage} {words(rng, 30)}"
+        rows += [(2 * i, text, "en", "a"), (2 * i + 1, edited(rng, text, 0.1), "en", "a")]
+    return rows
+
+
+def test_like_texts_whose_groups_have_another_least_node(spark, monkeypatch):
+    rows = with_passage(random.Random(12), 40)
+    monkeypatch.setattr(ordermin, "BLOCK", 16)  # several blocks
+    got = {r["doc_id"]: r["class_id"] for r in ordermin.classes(frame(spark, rows)).collect()}
+    # every pair that shares a sketch is compared
+    texts = {i: t.encode().split() for i, t, *_ in rows}
+    keys = {i: set(ordermin.sketch(t).tolist()) for i, t in texts.items()}
+    like = [(a, b) for a in texts for b in texts if a < b and keys[a] & keys[b] and ordermin.alike(texts[a], texts[b])]
+    assert len(like) >= 35 and got == union(like, sorted(texts))
+
+
+def test_profiles_bound_the_words():
+    rng = random.Random(13)
+    for _ in range(50):
+        a = words(rng, 100)
+        a, b = a.encode().split(), edited(rng, a, 0.2).encode().split()
+        apart = int(abs(ordermin.profile(a).astype(int) - ordermin.profile(b)).sum())
+        assert apart <= len(a) + len(b) - 2 * (Counter(a) & Counter(b)).total()
+
+
 def test_empty_table(none):
     assert ordermin.classes(none).collect() == []
     assert ordermin.first_of_class(none).collect() == []

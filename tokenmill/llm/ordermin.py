@@ -18,6 +18,9 @@ share a step of one).
 1. Every node is verified against the least of its candidates, the least nodes
    of its groups, which settles most copies of one text, however many there are.
 2. All those candidates that are not in one class by then are verified.
+3. Groups that still hold several classes are compared in full: all pairs of
+   different classes whose word counts allow the similarity are verified. Groups
+   are dealt into blocks for that; the bound is exact, so no pair is lost.
 
 Classes are the connected components of the links, and each document gets the
 least id of its class, null if no row of it has one.
@@ -47,6 +50,9 @@ RUN = 5
 BANDS = 32
 #: Similarity as a fraction, to compare whole numbers.
 SIMILAR = (4, 5)
+#: Places of a word profile, and members of a group that are compared at once.
+PROFILE = 512
+BLOCK = 1024
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 MIX2 = np.uint64(0xBF58476D1CE4E5B9)
@@ -161,6 +167,13 @@ def alike(a: list[bytes], b: list[bytes]) -> bool:
     return banded_distance(a, b, most) <= most
 
 
+def profile(words: list[bytes]) -> np.ndarray:
+    """Words counted in PROFILE places, at most 255 each. Two profiles are at
+    most as far apart as the words of their texts."""
+    places = np.fromiter(map(xxhash.xxh32_intdigest, words), dtype=np.int64, count=len(words)) % PROFILE
+    return np.minimum(np.bincount(places, minlength=PROFILE), 255).astype(np.uint8)
+
+
 # -- jobs --------------------------------------------------------------------
 
 
@@ -240,6 +253,9 @@ def _labelled(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     first = candidates.groupBy("b").agg(F.min("a").alias("a"))
     labels = components(stored(verified(first), "near-links"))
     labels = _joined(candidates.join(first, ["a", "b"], "left_anti"), labels, verified)
+    labels = stored(labels, "near-labels")
+    rest = _residual(members.where("scale >= 0"), labels, texts).join(candidates, ["a", "b"], "left_anti")
+    labels = _joined(rest, labels, verified)
     rows = sketched.select("id", "copy").join(copies, "copy").join(labels, "node", "left")
     return stored(rows.select("id", "copy", F.coalesce("label", "node").alias("label")), "near-rows")
 
@@ -260,6 +276,80 @@ def _joined(pairs: DataFrame, labels: DataFrame, verified) -> DataFrame:
     return labels.join(joined, "label", "left").select("node", F.coalesce("_joined", "label").alias("label"))
 
 
+PROFILED = "key long, scale long, low int, high int, block int, node long, label long, n long, profile binary"
+
+
+def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in sub_batches(batches, "text"):
+        found = [profile((x or "").encode().split()).tobytes() for x in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], names=["node", "profile"])
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of each pair of blocks; rows come ordered by those."""
+    places = ("key", "scale", "low", "high")
+    held: list[pa.RecordBatch] = []
+
+    def pairs(rows: pa.Table) -> pa.RecordBatch:
+        node, label, n = (rows.column(c).to_numpy() for c in ("node", "label", "n"))
+        block = rows.column("block").to_numpy()
+        profiles = np.frombuffer(b"".join(rows.column("profile").to_pylist()), dtype=np.uint8)
+        profiles = profiles.reshape(len(node), PROFILE).astype(np.int16)
+        crossed = rows.column("low")[0] != rows.column("high")[0]
+        a, b = [], []
+        for i in range(len(node)):
+            others = np.flatnonzero((block > block[i] if crossed else np.arange(len(node)) > i) & (label != label[i]))
+            longer, shorter = np.maximum(n[others], n[i]), np.minimum(n[others], n[i])
+            others = others[shorter * SIMILAR[1] >= longer * SIMILAR[0]]
+            if not len(others):
+                continue
+            longer = np.maximum(n[others], n[i])
+            most = longer * (SIMILAR[1] - SIMILAR[0]) // SIMILAR[1]
+            apart = np.abs(profiles[others] - profiles[i]).sum(axis=1)
+            for j in others[apart <= n[others] + n[i] - 2 * (longer - most)]:
+                a.append(min(node[i], node[j]))
+                b.append(max(node[i], node[j]))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows = pa.Table.from_batches(held)
+        marks = np.stack([rows.column(c).to_numpy() for c in places])
+        starts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1).tolist()]
+        for start, stop in zip(starts, starts[1:]):
+            yield pairs(rows.slice(start, stop - start))
+        held = rows.slice(starts[-1]).to_batches()
+    if held:
+        yield pairs(pa.Table.from_batches(held))
+
+
+def _residual(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs within groups of more than one class that the word counts do not
+    rule out, whatever the size of the group.
+
+    A group is dealt into blocks and every two blocks are compared by a task of
+    their own, so rows grow with members times blocks; pairs become rows only
+    after their bound.
+    """
+    members = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    groups = members.groupBy("key", "scale").agg(
+        F.count("*").alias("_n"), F.min("label").alias("_least"), F.max("label").alias("_most")
+    )
+    # the least node of a group has been compared with the others
+    groups = groups.where("_n > 2 AND _least < _most").select("key", "scale", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"))
+    left = stored(members.join(groups, ["key", "scale"]), "near-left")
+    profiles = texts.join(left.select("node").distinct(), "node", "left_semi").mapInArrow(_profiles, "node long, profile binary")
+    blocks = left.withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    blocks = blocks.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    blocks = blocks.withColumns({"low": F.least("block", "_other"), "high": F.greatest("block", "_other")})
+    blocks = blocks.join(stored(profiles, "near-profiles"), "node").select(*(c.split()[0] for c in PROFILED.split(", ")))
+    places = ("key", "scale", "low", "high")
+    ordered = blocks.repartition(*places).sortWithinPartitions(*places)
+    return ordered.mapInArrow(_compared, "a long, b long").distinct()
+
+
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and class_id, one row for each row of the input."""
     rows = _labelled(df, id_col, text_col)
