@@ -176,6 +176,18 @@ def test_like_texts_whose_groups_have_another_least_node(spark, monkeypatch):
     assert len(like) >= 35 and got == union(like, sorted(texts))
 
 
+def test_like_texts_at_the_border_share_a_sketch():
+    rng, found = random.Random(14), 0
+    for _ in range(300):
+        a = [b"w%d" % rng.randrange(5000) for _ in range(400)]
+        b = a[:]
+        for i in rng.sample(range(400), 80):
+            b[i] = b"new%d" % rng.randrange(10**9)
+        assert ordermin.alike(a, b)
+        found += bool((ordermin.sketch(a) == ordermin.sketch(b)).any())
+    assert found >= 0.97 * 300
+
+
 def test_profiles_bound_the_words():
     rng = random.Random(13)
     for _ in range(50):

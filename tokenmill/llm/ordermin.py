@@ -47,7 +47,9 @@ from tokenmill.llm.components import components
 from tokenmill.scratch import stored
 
 RUN = 5
-BANDS = 32
+#: Of pairs just at the similarity, by scattered changes of words, 99 % share a
+#: sketch: 37 of 4,000 did not, with 120 bands 45 and with 32 bands 1,138.
+BANDS = 128
 #: Similarity as a fraction, to compare whole numbers.
 SIMILAR = (4, 5)
 #: Places of a word profile, and members of a group that are compared at once.
