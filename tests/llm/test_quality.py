@@ -90,6 +90,27 @@ def test_language_without_reference_uses_all(spark, corpus):
     assert quality.judge(text, refs.get("xx") or refs[""], quality.Limits())[-1] is True
 
 
+def test_clean_texts_of_rare_or_no_language_stay(spark):
+    rng = random.Random(21)
+    spanish, rare = ("el", "que", "cion", "mente"), ("fjo", "nyk", "wau")
+    rows = [(i, words(rng, 150), "en", "a") for i in range(300)]
+    rows += [(300 + i, words(rng, 150, spanish), "es", "a") for i in range(20)]
+    rows += [(500 + i, words(rng, 150, spanish), [None, ""][i % 2], "a") for i in range(10)]
+    rows += [(600 + i, words(rng, 100, rare).replace("the", "hwa"), "xx", "a") for i in range(4)]
+    rows += [(700 + i, " ".join(w + "%%%" for w in words(rng, 150).split()), [None, "xx"][i % 2], "a") for i in range(4)]
+    kept = {r["doc_id"]: r["kept"] for r in quality.quality_rules(frame(spark, rows)).collect()}
+    assert {i for i, k in kept.items() if not k} == {700, 701, 702, 703}
+
+
+def test_share_of_a_language_does_not_matter(spark):
+    rng = random.Random(22)
+    rows = [(i, words(rng, 20_000), "en", "a") for i in range(130)]
+    rows += [(300 + i, words(rng, 150, ("el", "que")).replace("the", "del"), "es", "a") for i in range(16)]
+    df = frame(spark, rows)
+    assert set(quality.references(df)) == {"", "en", "es"}
+    assert all(r["kept"] for r in quality.quality_rules(df).collect() if r["doc_id"] >= 300)
+
+
 def test_empty_table(none):
     assert quality.quality_rules(none).collect() == []
 

@@ -17,9 +17,12 @@ if it is at least ``COMMON`` of its words; such words are found in two passes:
    at most 2 / COMMON for each language, whatever the size of the corpus.
 2. Those are counted exactly.
 
-A language needs ``LANGUAGE`` of all words for a reference of its own (so there
-are at most 1 / LANGUAGE of them); documents of other languages, or of none, are
-compared with the reference of all documents together.
+A language needs ``LANGUAGE`` words for a reference of its own, however small its
+share of the corpus. A document without a language is compared with the language
+whose words are nearest to its own. A document of a language without reference,
+or without a language where there is no reference, is not judged by its words,
+and by its character classes against those of all documents, letters without
+case counted as lower-case ones.
 
 Words are maximal runs without blank and the controls 9 to 13; a null text has
 none. Null ids and languages, repeated rows and empty tables are no exception:
@@ -42,7 +45,7 @@ from tokenmill.llm.common import extended, sub_batches
 from tokenmill.scratch import stored
 
 COMMON = 0.002
-LANGUAGE = 0.001
+LANGUAGE = 2000
 MIN_WORDS = 50
 SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\x0b\x0c\r"
@@ -153,6 +156,8 @@ class Reference:
     place: dict[bytes, int] = field(default_factory=dict)
     words: np.ndarray = field(default_factory=lambda: np.zeros(1))
     noise: np.ndarray = field(default_factory=lambda: np.zeros(len(LENGTHS)))
+    #: Whether letters without case count as lower-case ones.
+    caseless: bool = False
 
     def word_limit(self, n_words: int, allowed: float) -> float:
         """Distance allowed for a text of that length."""
@@ -213,7 +218,7 @@ def references(df: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     everything = totals.where("lang = ''").first()
     if everything is None:
         return {"": Reference(np.zeros(len(CLASSES)))}
-    kept = totals.where(F.col("words") >= LANGUAGE * everything["words"])  # 1 / LANGUAGE rows
+    kept = totals.where((F.col("words") >= LANGUAGE) | (F.col("lang") == ""))
     sizes = {r["lang"]: r["words"] for r in kept.collect()}
     out = {lang: Reference(np.zeros(len(CLASSES))) for lang in sizes}
     counts = first.join(F.broadcast(kept), "lang")
@@ -263,20 +268,38 @@ SCHEMA = (
 )
 
 
-def judge(text: str, ref: Reference, limits: Limits) -> tuple:
-    """The values of SCHEMA for one text."""
-    ids, known = numbered(text.encode().split())
-    base = base_counts(text, ids, len(known))
-    n = base["n_words"]
-    by_class = js_distance(class_counts(text), ref.classes)
+def caseless(classes: np.ndarray) -> np.ndarray:
+    """Classes with letters without case among the lower-case ones."""
+    out, lower, letter = classes.copy(), CLASSES.index("lower"), CLASSES.index("letter")
+    out[lower] += out[letter]
+    out[letter] = 0
+    return out
+
+
+def word_distance(ids: np.ndarray, known: dict[bytes, int], ref: Reference) -> float:
+    """Distance of the words of a text to a reference."""
     seen = np.zeros(len(ref.words))
-    if n:
+    if len(ids):
         uses = np.bincount(ids)
         place = ref.place
         for word in place.keys() & known.keys():
             seen[place[word]] = uses[known[word]]
-        seen[-1] = n - seen.sum()
-    by_word = js_distance(seen, ref.words)
+        seen[-1] = len(ids) - seen.sum()
+    return js_distance(seen, ref.words)
+
+
+def judge(text: str, ref: Reference | list[Reference], limits: Limits) -> tuple:
+    """The values of SCHEMA for one text; of several references the one with the
+    nearest words counts."""
+    ids, known = numbered(text.encode().split())
+    base = base_counts(text, ids, len(known))
+    n = base["n_words"]
+    if isinstance(ref, list):
+        by_word, ref = min(((word_distance(ids, known, r), r) for r in ref), key=lambda x: x[0])
+    else:
+        by_word = word_distance(ids, known, ref)
+    counts = class_counts(text)
+    by_class = js_distance(caseless(counts) if ref.caseless else counts, ref.classes)
     failed = n < MIN_WORDS or 100 * base["n_repeat_words"] > 50 * n
     far = (n >= limits.classes_min_words and by_class > limits.classes) or (
         n >= limits.words_min_words and by_word > ref.word_limit(n, limits.words)
@@ -284,6 +307,14 @@ def judge(text: str, ref: Reference, limits: Limits) -> tuple:
     return (*base.values(), by_class, by_word, failed, not failed and not far)
 
 
+def reference_for(lang: str | None, refs: dict[str, Reference]) -> Reference | list[Reference]:
+    """What a document of that language is compared with."""
+    if lang and lang in refs:
+        return refs[lang]
+    # a reference without words gives the distance 0
+    return (not lang and [r for g, r in refs.items() if g]) or Reference(caseless(refs[""].classes), caseless=True)
+
+
 def quality_rules(
     df: DataFrame,
     limits: Limits | None = None,
@@ -304,7 +335,7 @@ def quality_rules(
         for batch in sub_batches(batches, text, 4 << 20):
             found = []
             for lang, one in zip(batch.column("_lang").to_pylist(), batch.column(text).to_pylist()):
-                found.append(judge(one or "", refs.get(lang) or refs[""], limits))
+                found.append(judge(one or "", reference_for(lang, refs), limits))
             columns = [pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*found), fields)]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in keep), *columns], names=[*keep, *(n for n, _ in fields)]
