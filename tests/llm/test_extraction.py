@@ -38,6 +38,25 @@ def test_pages_without_text(weights, page):
     assert extraction.main_text(page, weights).strip("<") == ""
 
 
+@pytest.mark.parametrize(
+    "body, want",
+    [
+        ('<h1>T</h1><p class="notice">Note.<p>One.</p><p>Two.</p>', "T\nOne.\nTwo."),
+        ('<h1>T</h1><p class="notice">Note <b>x<p>One.<p>Two.', "T\nOne.\nTwo."),
+        ('<p class="notice">Note.<h2>One.</h2><p>Two.', "One.\nTwo."),
+        ('<ul><li class="ad">Buy<ul><li>more</ul><li>One.<li>Two.</ul><p>Three.', "One.\nTwo.\nThree."),
+        ('<ul><li>One.<li class="ad">Buy</ul><p>Two.</p>', "One.\nTwo."),
+        ('<table><tr><td class="ad">Buy<td>One.<tr><td>Two.</table><p>Three.', "One.\nTwo.\nThree."),
+        ('<dl><dt>One.<dd><div class="ad">Buy</dl><p>Two.</p>', "One.\nTwo."),
+        ('<div>One.<div class="ad">Buy <p>now</div></div><p>Two.</p>', "One.\nTwo."),
+        ('<section>One.<div class="ad"><div>Buy</div></section><p>Two.</p>', "One.\nTwo."),
+        ('<p>One.<div class="ad"><table><tr><td>a</article>b</table></div><p>Two.</p>', "One.\nTwo."),
+    ],
+)
+def test_left_out_elements_without_end_tag(body, want):
+    assert extraction.main_text(f"<body><article>{body}</article></body>", {}) == want
+
+
 def test_best_run_against_all_runs():
     rng = random.Random(1)
     for _ in range(300):

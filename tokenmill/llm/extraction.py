@@ -20,7 +20,9 @@ in two.
 Character references are decoded; white space inside a block becomes one blank;
 blocks are joined by one line feed in page order; nothing else is dropped. Null
 and empty pages, and pages without a word outside such elements, give an empty
-text. Tags that are never closed end with the page. Each row gives one row.
+text. Elements end at their end tag, at the end of an element opened before
+them, where HTML lets their end tag be left out (p, li, td and others) also at
+the tag that ends them there, or else with the page. Each row gives one row.
 """
 
 from __future__ import annotations
@@ -77,6 +79,27 @@ HEADER = re.compile(r"(?:^|[^a-z0-9])(?:header|site-header|page-header)(?:$|[^a-
 #: whole page are not.
 BOXES = frozenset("div section ul ol dl p span table td li figure header details".split())
 
+#: Tags that end an open p, and what ends other elements without end tags; the
+#: second names are those that shield an element from tags inside of them.
+ENDS_P = frozenset(
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form "
+    "h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul li dd dt "
+    "td th tr tbody thead tfoot caption".split()
+)
+ROWS = frozenset("tr tbody thead tfoot".split())
+TABLES = frozenset(["table", "template"])
+LISTS = frozenset("ul ol menu dir dl table td th template section article blockquote form fieldset".split())
+ENDS = {
+    "p": (ENDS_P, frozenset("table td th caption button object template".split())),
+    "li": (frozenset(["li"]), LISTS),
+    "dd": (frozenset(["dd", "dt"]), LISTS),
+    "dt": (frozenset(["dd", "dt"]), LISTS),
+    "td": (ROWS | {"td", "th"}, TABLES),
+    "th": (ROWS | {"td", "th"}, TABLES),
+    "tr": (ROWS, TABLES),
+    "head": (frozenset(["body", "frameset"]), frozenset()),
+}
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']+|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
@@ -103,46 +126,100 @@ def is_left_out(name: str, attributes: str, in_text: bool) -> bool:
     return False
 
 
+class _Open:
+    """Open elements, with their numbers by name."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.number: Counter = Counter()
+
+    def push(self, name: str) -> None:
+        self.names.append(name)
+        self.number[name] += 1
+
+    def cut(self, at: int) -> None:
+        while len(self.names) > at:
+            self.number[self.names.pop()] -= 1
+
+    def end(self, name: str) -> bool:
+        """Ends the last element of that name and all in it."""
+        if not self.number[name]:
+            return False
+        while self.names[-1] != name:
+            self.cut(len(self.names) - 1)
+        self.cut(len(self.names) - 1)
+        return True
+
+    def start(self, name: str) -> None:
+        """Ends what a start tag ends, outermost last."""
+        for other, (by, shields) in ENDS.items():
+            if name in by and self.number[other]:
+                for at in range(len(self.names) - 1, -1, -1):
+                    if self.names[at] == other:
+                        self.cut(at)
+                        break
+                    if self.names[at] in shields:
+                        break
+
+
 def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
     """Kind, text and whether it is left out, of each tag and piece of text.
     Kinds: a tag's name with a slash when it closes, "" for plain text and "#"
     for text inside a link."""
     at, n = 0, len(page)
-    left, depth, of_text, links = "", 0, 0, 0
+    of_text, links = 0, 0
+    # elements around, and from the one that is left out
+    around, left = _Open(), _Open()
     while at < n:
         found = TOKEN.search(page, at)
         if not found:
             break
         if found.start() > at:
-            yield "#" if links else "", page[at : found.start()], bool(left)
+            yield "#" if links else "", page[at : found.start()], bool(left.names)
         at = found.end()
         close, name = found[1], (found[2] or "").lower()
         if not name:
             continue
-        if left:
-            # the same name may stand inside the element
-            if name == left:
-                depth += -1 if close else 1
-                if not depth:
-                    left = ""
-            yield close + name, "", True
-            if name in RAW and not close:
-                end = re.compile(f"</{re.escape(name)}", re.I).search(page, at)
-                at = end.start() if end else n
-            continue
+        if left.names:
+            foreign = left.number["svg"] or left.number["math"]
+            ended = False
+            if not close:
+                if not foreign:
+                    left.start(name)
+                ended = not left.names
+                if not ended and name not in VOID and not (foreign and found[3].endswith("/")):
+                    left.push(name)
+            elif not left.end(name):
+                # a cell is not left by the end of what is around its table
+                shielded = left.number["table"] and name not in ("table", "body", "html")
+                ended = around.number[name] > 0 and not shielded
+                if ended:
+                    left.cut(0)
+            if not ended:
+                yield close + name, "", True
+                if name in RAW and not close:
+                    end = re.compile(f"</{re.escape(name)}", re.I).search(page, at)
+                    at = end.start() if end else n
+                continue
         if name in TEXT_MARKS:
             of_text = max(0, of_text + (-1 if close else 1))
         elif name == "a":
             links = 0 if close else 1
+        if close:
+            around.end(name)
+        else:
+            around.start(name)
         out = not close and name not in VOID and is_left_out(name, found[3], of_text > 0)
         if out:
-            left, depth = name, 1
+            left.push(name)
+        elif not close and name not in VOID and name not in INLINE:
+            around.push(name)
         yield close + name, "", out
         if out and name in RAW:
             end = re.compile(f"</{re.escape(name)}", re.I).search(page, at)
             at = end.start() if end else n
     if at < n:
-        yield "#" if links else "", page[at:], bool(left)
+        yield "#" if links else "", page[at:], bool(left.names)
 
 
 # -- weights -----------------------------------------------------------------
