@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from tokenmill.llm.common import sub_batches
 from tokenmill.llm.components import components
-from tokenmill.scratch import stored
+from tokenmill.scratch import new_path, stored, temporary_tables
 
 RUN = 5
 #: Of pairs just at the similarity, by scattered changes of words, 99 % share a
@@ -209,7 +209,16 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _labelled(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, copy (md5 of the text) and label, one row for each row of the input."""
+    """id, copy (md5 of the text) and label, one row for each row of the input.
+    Only this table stays in the shared folder."""
+    path = new_path(df.sparkSession, "near-rows")
+    with temporary_tables(df.sparkSession):
+        rows = _walked(df, id_col, text_col)
+        rows.write.parquet(path)
+    return df.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _walked(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     docs = df.select(F.col(id_col).cast("long").alias("_id"), df[text_col].alias("_text"))
     marked = docs.withColumn("_copy", F.md5(F.coalesce("_text", F.lit("")).cast("binary")))
     sketched = marked.mapInArrow(_sketched, "id long, copy string, n long, keys array<long>")
@@ -217,13 +226,13 @@ def _labelled(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     sketched = stored(sketched.withColumn("row", F.monotonically_increasing_id()), "near-sketches")
     copies = sketched.groupBy("copy").agg(F.min("row").alias("node"), F.min("id").alias("least"))
     copies = stored(copies, "near-copies")
-    nodes = sketched.join(copies.select(F.col("node").alias("row")), "row", "left_semi")
-    nodes = stored(nodes.select(F.col("row").alias("node"), "n", "keys"), "near-nodes")
 
-    # sketches of more than one node
-    shared = nodes.select("node", "n", F.explode(F.array_distinct("keys")).alias("key"))
-    groups = shared.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
-    shared = stored(shared.join(groups, "key"), "near-shared")
+    # sketches of more than one text; arrays of sketches are never sent
+    keyed = sketched.select("row", "n", F.xxhash64("copy").alias("_h"), F.explode(F.array_distinct("keys")).alias("key"))
+    groups = keyed.groupBy("key").agg(F.min("_h").alias("_low"), F.max("_h").alias("_high"))
+    groups = groups.where("_low < _high").select("key")
+    shared = keyed.select(F.col("row").alias("node"), "n", "key").join(groups, "key")
+    shared = stored(shared.join(copies.select("node"), "node", "left_semi"), "near-shared")
     wanted = copies.join(shared.select("node").distinct(), "node", "left_semi")
     # only rows with the least id of their text are sent
     one = (F.col("_copy") == F.col("copy")) & F.col("_id").eqNullSafe(F.col("least"))
@@ -259,7 +268,7 @@ def _labelled(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rest = _residual(members.where("scale >= 0"), labels, texts).join(candidates, ["a", "b"], "left_anti")
     labels = _joined(rest, labels, verified)
     rows = sketched.select("id", "copy").join(copies, "copy").join(labels, "node", "left")
-    return stored(rows.select("id", "copy", F.coalesce("label", "node").alias("label")), "near-rows")
+    return rows.select("id", "copy", F.coalesce("label", "node").alias("label"))
 
 
 def _joined(pairs: DataFrame, labels: DataFrame, verified) -> DataFrame:
