@@ -18,6 +18,7 @@ from tokenmill.llm import (
     ordinal,
     quality,
     sharding,
+    spelling,
     toxicity,
 )
 from tokenmill.llm.common import table
@@ -83,6 +84,10 @@ def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.id_digests(table(spark, sf_dir, "documents"), tokenizer, end_id=2)
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_ordinal_quality,
         op9_histogram_sort,
         op10_id_files,
+        op13_spelling_variants,
     )
 }
 ORACLES: dict[str, str] = {
