@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenmill.llm import (
+    alignment,
     bpe,
     extraction,
     idfiles,
@@ -84,6 +85,11 @@ def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.id_digests(table(spark, sf_dir, "documents"), tokenizer, end_id=2)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, second = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.cross_aligned(table(spark, sf_dir, "documents"), first, second)
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -101,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_ordinal_quality,
         op9_histogram_sort,
         op10_id_files,
+        op11_alignment,
         op13_spelling_variants,
     )
 }
