@@ -17,6 +17,7 @@ from tokenmill.llm import (
     multiindex,
     ordermin,
     ordinal,
+    packing,
     quality,
     sharding,
     spelling,
@@ -90,6 +91,11 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.cross_aligned(table(spark, sf_dir, "documents"), first, second)
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer, end_id=0)
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -108,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_histogram_sort,
         op10_id_files,
         op11_alignment,
+        op12_packing,
         op13_spelling_variants,
     )
 }
