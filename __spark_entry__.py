@@ -36,18 +36,21 @@ from tokenmill.streaming.stream import encode_stream
 import oracles
 
 
-def _optional(name: str):
-    """A module that may be left out as a whole; its own errors are raised."""
+def _optional(name: str, needed: str):
+    """A module that may be left out together with the package it is built on;
+    any other error is raised."""
     try:
         return import_module(name)
     except ModuleNotFoundError as error:
-        if error.name is None or not f"{name}.".startswith(f"{error.name}."):
+        missing = f"{error.name}."
+        if error.name is None or not any(f"{n}.".startswith(missing) for n in (name, needed)):
             raise
         return None
 
 
-llm = _optional("tokenmill.llm.queries")
-corpus_pipeline = _optional("corpus_pipeline")
+LLM = "tokenmill.llm"
+llm = _optional(f"{LLM}.queries", LLM)
+corpus_pipeline = _optional("corpus_pipeline", LLM)
 
 BATCH = 8
 SEED = 42
