@@ -7,8 +7,6 @@ from plain import SYMBOLS, greedy, spaced_words
 from tokenmill.functions.words import split_words
 from tokenmill.operators.decode import decode_tokens
 from tokenmill.operators.dictionary import (
-    BLOCK,
-    WINDOW,
     greedy_dictionary,
     whole_word_hits,
     whole_word_misses,
@@ -133,6 +131,9 @@ def test_result_does_not_depend_on_partitions(spark, docs, corpus_vocab):
         spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
+WINDOW, BLOCK = 256, 512
+
+
 def test_long_words_cross_windows_and_blocks(spark):
     rng = random.Random(7)
     tokens = full_alphabet()

@@ -3,10 +3,15 @@ tokens once, however often the corpus uses it."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tokenmill.functions.bytelevel import (
     SPACE_SYMBOL,
@@ -14,16 +19,10 @@ from tokenmill.functions.bytelevel import (
     symbols_of_byte_view,
     to_byte_symbols,
 )
+from tokenmill.operators.trie import Trie, bytes_of_forms, lists
 from tokenmill.operators.vocabulary import Vocabulary
 from tokenmill.scratch import stored
 
-# Start positions handled together, so that cutting candidates out of a very
-# long word costs the window and not the word.
-WINDOW = 256
-# Token IDs appended to one block before a new block starts; appending copies
-# the block, not the whole word.
-BLOCK = 512
-
 
 def word_counts(words: DataFrame) -> DataFrame:
     """``(word, n_occ)``; partial counts are combined before the shuffle, so a
@@ -61,102 +60,56 @@ def whole_word_misses(forms: DataFrame, vocab: Vocabulary) -> DataFrame:
     return forms.join(vocab.lookup().withColumnRenamed("token", "form"), "form", "left_anti")
 
 
-def candidates(
-    words: DataFrame, heads: DataFrame, longest: int, min_start: int = 0
-) -> DataFrame:
-    """Substrings of ``form`` that may be tokens: adds ``start``, ``size`` and
-    ``token``.
-
-    Two symbols are always tried; from three on, ``heads(head, sizes)`` tells
-    which sizes up to ``longest`` tokens with this beginning have, so the
-    number of candidates grows with the word and not with its square. Start -1
-    stands for the word with the space symbol before it, start -2 for the word
-    as it is.
-    """
-    n = F.length("form")
-    first = F.when(F.col("_offset") == 0, F.lit(min_start)).otherwise(F.lit(0))
-    last = F.least(F.lit(WINDOW), F.col("_len")) - 1
-    starts = (
-        words.withColumn(
-            "_offset",
-            F.explode(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(WINDOW))),
-        )
-        .withColumn(
-            "_text", F.substring("form", F.col("_offset") + 1, F.lit(WINDOW + longest - 1))
-        )
-        .withColumn("_len", F.length("_text"))
-        .withColumn("_at", F.explode(F.sequence(first, F.greatest(last, first))))
-        .withColumn("_room", F.least(F.lit(longest), F.col("_len") - F.col("_at")))
-        .withColumn(
-            "head",
-            F.when(
-                (F.col("_at") >= 0) & (F.col("_room") >= 3),
-                F.substring("_text", F.col("_at") + 1, F.lit(3)),
-            ),
-        )
-    )
-    # no lambda here: it would keep the whole stage from being compiled
-    sizes = F.when(F.col("_at") < 0, F.array(n)).otherwise(
-        F.coalesce("sizes", F.array(F.lit(2)))
-    )
-    token = (
-        F.when(F.col("_at") == -1, F.concat(F.lit(SPACE_SYMBOL), F.col("form")))
-        .when(F.col("_at") == -2, F.col("form"))
-        .otherwise(F.substring("_text", F.col("_at") + 1, F.col("size")))
-    )
-    return (
-        starts.join(heads, "head", "left")
-        .withColumn("size", F.explode(sizes))
-        .filter((F.col("_at") < 0) | (F.col("size") <= F.col("_room")))
-        .withColumn("start", F.col("_offset") + F.col("_at"))
-        .select(*words.columns, "start", "size", token.alias("token"))
-    )
-
-
-def symbol_ids(form: Column, vocab: Vocabulary) -> Column:
-    """Token ID, or NULL, of every symbol of a word in the byte alphabet."""
-    by_code: list[int | None] = [None] * (max(map(ord, byte_symbols())) + 1)
-    for symbol, token_id in zip(byte_symbols(), vocab.single_ids):
-        by_code[ord(symbol)] = token_id
-    table = F.array(*[F.lit(i).cast("int") for i in by_code])
-    symbols = F.when(form != "", F.split(form, "")).otherwise(F.array().cast("array<string>"))
-    return F.transform(symbols, lambda symbol: F.get(table, F.ascii(symbol)))
-
+class Segmenter:
+    """Greedy tokens of columns of forms: tries and token IDs of a vocabulary.
 
-def longest_match_walk(hits: Column, singles: Column) -> Column:
-    """Token IDs of a left-to-right walk.
-
-    ``hits`` are matches of two and more symbols as ``(start, -size,
-    token_id)``, ascending: the first at or after the end of the previous match
-    is the longest one at its place. Symbols between two matches give their own
-    token from ``singles``, or nothing.
+    Without limits one trie serves; with ``max_match_bytes`` tokens longer than
+    that in the byte alphabet are matched as whole words only.
     """
-    state = F.struct(
-        F.lit(0).alias("next"),
-        F.array().cast("array<int>").alias("block"),
-        F.array().cast("array<array<int>>").alias("blocks"),
-    )
-
-    def step(acc: Column, hit: Column) -> Column:
-        full = F.size(acc["block"]) >= BLOCK
-        between = F.slice(singles, acc["next"] + 1, hit["start"] - acc["next"])
-        added = F.concat(between, F.array(hit["token_id"]))
-        return F.when(
-            hit["start"] >= acc["next"],
-            F.struct(
-                (hit["start"] - hit["neg_size"]).alias("next"),
-                F.when(full, added).otherwise(F.concat(acc["block"], added)).alias("block"),
-                F.when(full, F.concat(acc["blocks"], F.array(acc["block"])))
-                .otherwise(acc["blocks"])
-                .alias("blocks"),
-            ),
-        ).otherwise(acc)
 
-    def finish(acc: Column) -> Column:
-        rest = F.slice(singles, acc["next"] + 1, F.size(singles))
-        return F.concat(F.flatten(acc["blocks"]), acc["block"], rest)
-
-    return F.filter(F.aggregate(hits, state, step, finish), lambda token_id: token_id.isNotNull())
+    def __init__(self, tokens: dict[str, int], max_match_bytes: int | None = None) -> None:
+        fitting = tokens.items()
+        if max_match_bytes is not None:
+            fitting = [(t, i) for t, i in fitting if len(t.encode()) <= max_match_bytes]
+        symbols = {s: b for b, s in enumerate(byte_symbols())}
+        # a token with other symbols fits nowhere
+        self.trie = Trie((bytes(symbols[s] for s in t), i) for t, i in fitting if t and set(t) <= symbols.keys())
+        self.whole_first = max_match_bytes is not None
+        self.names = pa.array(list(tokens), pa.string())
+        self.ids = np.array([*tokens.values(), -1], dtype=np.int32)
+        self.space = tokens.get(SPACE_SYMBOL)
+
+    def whole(self, forms: pa.Array) -> np.ndarray:
+        """Token IDs of whole forms, -1 where there is none."""
+        found = pc.index_in(forms, self.names)
+        return self.ids[found.fill_null(len(self.names)).to_numpy(zero_copy_only=False)]
+
+    def __call__(self, forms: pa.Array) -> tuple[pa.ListArray, pa.ListArray]:
+        """``bare`` and ``spaced`` of every form."""
+        data, ends = bytes_of_forms(forms.to_pylist())
+        starts = np.concatenate([np.zeros(1, np.int64), ends[:-1]]) if len(ends) else ends
+        ids, counts = self.trie.cut(data, starts, ends)
+        bare = _replaced(ids, counts, self.whole(forms)) if self.whole_first else (ids, counts)
+        prefixed = self.whole(pc.binary_join_element_wise(pa.scalar(SPACE_SYMBOL), forms, ""))
+        spaced, n_spaced = ids, counts
+        if self.space is not None:
+            firsts = np.cumsum(counts) - counts
+            spaced, n_spaced = np.insert(ids, firsts, np.int32(self.space)), counts + 1
+        spaced, n_spaced = _replaced(spaced, n_spaced, prefixed)
+        return lists(*bare), lists(spaced, n_spaced)
+
+
+def _replaced(ids: np.ndarray, counts: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of IDs with those of words that are a token taken by it."""
+    found = whole >= 0
+    kept = ids[~np.repeat(found, counts)]
+    counts = np.where(found, 1, counts)
+    firsts = np.cumsum(counts) - counts
+    out = np.empty(counts.sum(), dtype=np.int32)
+    taken = np.zeros(len(out), dtype=bool)
+    taken[firsts[found]] = True
+    out[taken], out[~taken] = whole[found], kept
+    return out, counts
 
 
 def segment_words(
@@ -170,60 +123,24 @@ def segment_words(
 
     Adds ``bare`` (token IDs of the word without a space before it) and
     ``spaced`` (with one): the prefixed whole word if it is a token, else the
-    space symbol, when the vocabulary has it, and the bare tokens. Candidates
-    stay in the partition of their word, so no further shuffle follows.
+    space symbol, when the vocabulary has it, and the bare tokens. Words are cut
+    where they are, in columns of some thousands; nothing is shuffled.
     """
     symbols = symbols_of_byte_view if byte_view else to_byte_symbols
     form = symbols(F.col("word"))
     if max_word_bytes is not None:
         form = F.substring(form, F.lit(1), F.lit(max_word_bytes))
-    longest, min_start = max(vocab.longest, 1), -1
-    if max_match_bytes is not None:
-        longest, min_start = max(1, min(longest, max_match_bytes)), -2
-    others = [c for c in words.columns if c != "word"]
-    rows = candidates(words.withColumn("form", form), vocab.heads(), longest, min_start)
-    if max_match_bytes is not None:
-        rows = rows.filter(
-            (F.col("start") < 0) | (F.octet_length("token") <= max_match_bytes)
-        )
-    # the prefixed word keeps its row, so that no word is lost
-    found = rows.join(vocab.lookup(), "token", "left").filter(
-        F.col("token_id").isNotNull() | (F.col("start") == -1)
-    )
-    hit = F.struct("start", (-F.col("size")).alias("neg_size"), "token_id")
-    # every word has one such row, which brings its other columns along
-    own = F.when(F.col("start") == -1, F.struct(F.col("token_id").alias("_prefixed"), *others))
-    whole = F.max(F.when(F.col("start") == -2, F.col("token_id")))
-    grouped = (
-        found.groupBy("word")
-        .agg(
-            F.first(own, ignorenulls=True).alias("_own"),
-            (whole if min_start == -2 else F.lit(None).cast("int")).alias("_whole"),
-            F.collect_list(F.when(F.col("start") >= 0, hit)).alias("_hits"),
-        )
-        .select("word", "_own.*", "_whole", "_hits")
-    )
-    space = F.array(F.lit(vocab.space_id)) if vocab.space_id is not None else F.array()
-    singles = symbol_ids(form, vocab)
-    if max_match_bytes is not None and max_match_bytes < 2:
-        # a symbol of two bytes is beyond the limit
-        one_byte = F.transform(
-            F.split(form, ""), lambda symbol: F.octet_length(symbol) <= max_match_bytes
-        )
-        singles = F.zip_with(singles, one_byte, lambda i, fits: F.when(fits, i))
-    cut = grouped.withColumn("_singles", singles).withColumn(
-        "_cut", longest_match_walk(F.sort_array("_hits"), F.col("_singles"))
-    )
-    return cut.select(
-        "word",
-        *others,
-        F.when(F.col("_whole").isNotNull(), F.array("_whole"))
-        .otherwise(F.col("_cut"))
-        .alias("bare"),
-        F.when(F.col("_prefixed").isNotNull(), F.array("_prefixed"))
-        .otherwise(F.concat(space.cast("array<int>"), F.col("_cut")))
-        .alias("spaced"),
-    )
+    segmenter = Segmenter(vocab.mapping(), max_match_bytes)
+    rows = words.withColumn("_form", form)
+    names = [*words.columns, "bare", "spaced"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = segmenter(batch.column(batch.num_columns - 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cut], names=names)
+
+    schema = StructType([*words.schema.fields, *StructType.fromDDL("bare array<int>, spaced array<int>").fields])
+    return rows.mapInArrow(run, schema)
 
 
 @dataclass(frozen=True)

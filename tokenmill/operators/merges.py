@@ -2,150 +2,115 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import heapq
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tokenmill.functions.bytelevel import to_byte_symbols
 from tokenmill.functions.words import split_pre_tokens
 from tokenmill.operators.assemble import HOT_BYTES, HOT_ROWS, assemble
-from tokenmill.operators.dictionary import (
-    Dictionary,
-    candidates,
-    store_dictionary,
-    word_counts,
-)
+from tokenmill.operators.dictionary import Dictionary, store_dictionary, word_counts
 from tokenmill.operators.greedy import with_token_ids
-from tokenmill.operators.vocabulary import Vocabulary, token_heads
-from tokenmill.sizes import broadcast_if_small
+from tokenmill.operators.trie import lists
+from tokenmill.operators.vocabulary import Vocabulary
+from tokenmill.sizes import BROADCAST_BYTES, BROADCAST_ROWS
+
+#: Pairs that no rule joins.
+NEVER = 1 << 62
 
 
 @dataclass(frozen=True)
 class MergeRules:
-    """``rules(token, left_size, wanted, rank)`` keyed by the merged token;
-    ``wanted`` are the boundary marks of a place where the rule applies."""
+    """``rules(token, left_size, rank)`` and the rank of every pair that a rule
+    joins. In learned order both parts of every rule are made by rules of lower
+    rank; published files need not be."""
 
     rules: DataFrame
-    heads: DataFrame
+    ranks: dict[tuple[str, str], int]
     longest: int
     learned_order: bool
 
 
 def merge_rules(merges: DataFrame) -> MergeRules:
-    """Measure a ``(left, right, rank)`` table.
-
-    Rules are in learned order when both parts of every rule are made by rules
-    of lower rank only; a single pass over a word's rules is then exact.
-    """
+    """Measure a ``(left, right, rank)`` table and take it in. Of equal rules
+    the first counts. Beyond the broadcast bounds it is refused: every task
+    holds the rules."""
+    size = F.octet_length("left") + F.octet_length("right") + 8
+    n_rules, n_bytes = merges.agg(F.count(F.lit(1)), F.sum(size)).first()
+    if n_rules > BROADCAST_ROWS or (n_bytes or 0) > BROADCAST_BYTES:
+        raise ValueError(f"{n_rules} rules of {n_bytes} bytes are too many to send")
+    ranks: dict[tuple[str, str], int] = {}
+    made: dict[str, int] = {}
+    for r in merges.orderBy("rank").collect():
+        ranks.setdefault((r.left, r.right), r.rank)
+        made[r.left + r.right] = r.rank
+    late = any(made.get(part, -1) >= rank for pair, rank in ranks.items() for part in pair)
     rules = merges.select(
-        F.concat("left", "right").alias("token"),
-        F.length("left").alias("left_size"),
-        F.concat(
-            F.rpad(F.lit("1"), F.length("left"), F.lit("0")),
-            F.rpad(F.lit("1"), F.length("right"), F.lit("0")),
-            F.lit("1"),
-        )
-        .cast("binary")
-        .alias("wanted"),
-        "rank",
-    )
-    made = rules.groupBy("token").agg(F.max("rank").alias("made_at"))
-    parts = merges.select("rank", F.explode(F.array("left", "right")).alias("token"))
-    late = parts.join(made, "token").filter("made_at >= rank").limit(1).count()
-    longest = rules.agg(F.max(F.length("token"))).first()[0] or 1
-    heads = token_heads(rules)
-    return MergeRules(
-        broadcast_if_small(rules, 2 * F.octet_length("token") + 12),
-        broadcast_if_small(heads, F.octet_length("head") + 4 * F.size("sizes")),
-        longest,
-        late == 0,
+        F.concat("left", "right").alias("token"), F.length("left").alias("left_size"), "rank"
     )
+    return MergeRules(rules, ranks, max(map(len, made), default=1), not late)
 
 
-def _binary(text: str) -> Column:
-    return F.lit(text).cast("binary")
+def merged(form: str, ranks: dict[tuple[str, str], int]) -> list[str]:
+    """The pieces of a form: again and again the pair of lowest rank is joined,
+    the leftmost of equal ones.
 
-
-def merge_walk(rules: Column, n_symbols: Column, learned_order: bool) -> Column:
-    """Places where the pieces of a word start after merging.
-
-    ``rules`` are ``(rank, start, size, left_size, wanted)``, ascending: the lowest
-    rank first and the leftmost place within a rank. A rule applies where its
-    two parts stand side by side. The walk keeps ``n + 1`` boundary marks and
-    reads the places off them at its end, so no later expression repeats it.
+    Pieces are a linked list, and a queue gives the next pair; an entry whose
+    pieces have changed since is passed over.
     """
-    marks = F.repeat(F.lit("1"), n_symbols + 1).cast("binary")
-
-    def applies(acc: Column, rule: Column) -> Column:
-        return F.substring(acc, rule["start"] + 1, rule["size"] + 1) == rule["wanted"]
-
-    def merged(acc: Column, rule: Column) -> Column:
-        return F.overlay(acc, _binary("0"), rule["start"] + rule["left_size"] + 1)
-
-    def places(acc: Column) -> Column:
-        return F.filter(
-            F.sequence(F.lit(0), F.greatest(n_symbols, F.lit(1)) - 1),
-            lambda i: F.substring(acc, i + 1, F.lit(1)) == _binary("1"),
-        )
-
-    if learned_order:
-        return F.aggregate(
-            rules,
-            marks,
-            lambda acc, rule: F.when(applies(acc, rule), merged(acc, rule)).otherwise(acc),
-            places,
-        )
-
-    def one_merge(acc: Column, _: Column) -> Column:
-        fitting = F.filter(rules, lambda rule: applies(acc, rule))
-        best = F.get(fitting, F.lit(0))
-        return F.when(best.isNotNull(), merged(acc, best)).otherwise(acc)
-
-    steps = F.sequence(F.lit(1), F.greatest(n_symbols, F.lit(1)))
-    return F.aggregate(steps, marks, one_merge, places)
+    pieces: list[str | None] = list(form)
+    n = len(pieces)
+    if n < 2:
+        return pieces
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    queue = [
+        (rank, i, a, b)
+        for i, (a, b) in enumerate(zip(form, form[1:]))
+        if (rank := ranks.get((a, b), NEVER)) < NEVER
+    ]
+    heapq.heapify(queue)
+    while queue:
+        _, i, a, b = heapq.heappop(queue)
+        j = after[i] if pieces[i] == a else n
+        if j >= n or pieces[j] != b:
+            continue
+        pieces[i], pieces[j] = a + b, None
+        after[i] = k = after[j]
+        if k < n:
+            before[k] = i
+            if (rank := ranks.get((a + b, pieces[k]), NEVER)) < NEVER:
+                heapq.heappush(queue, (rank, i, a + b, pieces[k]))
+        h = before[i]
+        if h >= 0 and (rank := ranks.get((pieces[h], a + b), NEVER)) < NEVER:
+            heapq.heappush(queue, (rank, h, pieces[h], a + b))
+    return [p for p in pieces if p is not None]
 
 
 def merge_words(words: DataFrame, merges: MergeRules, vocab: Vocabulary) -> DataFrame:
-    """``ids`` of distinct ``word`` rows (pre-tokens)."""
-    # rows of candidates and pieces carry a key of the word, not the word: a
-    # long one would be copied once for each of its symbols
-    forms = words.withColumn("_key", F.md5(F.col("word").cast("binary")))
-    form = to_byte_symbols(F.col("word"))
-    # the row of the prefixed word keeps words that no rule fits
-    found = (
-        candidates(forms.select("_key", form.alias("form")), merges.heads, max(merges.longest, 2), -1)
-        .drop("form")
-        .join(merges.rules, "token", "left")
-        .filter(F.col("rank").isNotNull() | (F.col("start") == -1))
-    )
-    fits = F.col("rank").isNotNull() & (F.col("start") >= 0)
-    rule = F.when(fits, F.struct("rank", "start", "size", "left_size", "wanted"))
-    cut = found.groupBy("_key").agg(F.sort_array(F.collect_list(rule)).alias("_rules"))
-    n = F.length("form")
-    starts = (
-        cut.join(forms.select("_key", form.alias("form")), "_key")
-        .withColumn("_starts", merge_walk(F.col("_rules"), n, merges.learned_order))
-    )
-    ends = F.concat(F.slice("_starts", F.lit(2), F.size("_starts")), F.array(n))
-    # the symbols are a variable of the outer lambda: split once for a word
-    cut_up = F.transform(
-        F.array(F.split("form", "")),
-        lambda symbols: F.zip_with(
-            "_starts", ends, lambda a, b: F.array_join(F.slice(symbols, a + 1, b - a), "")
-        ),
-    )
-    pieces = starts.select("_key", F.get(cut_up, F.lit(0)).alias("_pieces"))
-    placed = pieces.select("_key", F.posexplode("_pieces").alias("_at", "token"))
-    hit = F.when(F.col("token_id").isNotNull(), F.struct("_at", "token_id"))
-    ids = (
-        placed.join(vocab.lookup(), "token", "left")
-        .groupBy("_key")
-        .agg(F.sort_array(F.collect_list(hit)).alias("_ids"))
-        .select("_key", F.transform("_ids", lambda e: e["token_id"]).alias("ids"))
-    )
-    return forms.join(ids, "_key").drop("_key")
+    """``ids`` of distinct ``word`` rows (pre-tokens), found where the words are.
+    A piece without a token gives nothing."""
+    ranks, tokens = merges.ranks, vocab.mapping()
+    names = [*words.columns, "ids"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids: list[int] = []
+            counts = []
+            for form in batch.column(batch.num_columns - 1).to_pylist():
+                held = len(ids)
+                ids += [i for i in map(tokens.get, merged(form, ranks)) if i is not None]
+                counts.append(len(ids) - held)
+            found = lists(np.array(ids, dtype=np.int32), np.array(counts, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], names=names)
+
+    schema = StructType([*words.schema.fields, *StructType.fromDDL("ids array<int>").fields])
+    return words.withColumn("_form", to_byte_symbols(F.col("word"))).mapInArrow(run, schema)
 
 
 def merge_dictionary(words: DataFrame, merges: MergeRules, vocab: Vocabulary) -> Dictionary:

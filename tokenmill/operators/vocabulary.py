@@ -40,19 +40,12 @@ class Vocabulary:
     def lookup(self) -> DataFrame:
         return self.sized(self.tokens)
 
-    def heads(self) -> DataFrame:
-        return self.sized(token_heads(self.tokens))
-
-
-def token_heads(tokens: DataFrame) -> DataFrame:
-    """``(head, sizes)``: the sizes to try, two and the lengths of the tokens
-    that begin with the same three symbols."""
-    lengths = F.collect_set(F.length("token"))
-    return (
-        tokens.filter(F.length("token") >= 3)
-        .groupBy(F.substring("token", 1, 3).alias("head"))
-        .agg(F.concat(F.array(F.lit(2)), lengths).alias("sizes"))
-    )
+    def mapping(self) -> dict[str, int]:
+        """Token to ID, for structures that are sent to every task; refused
+        beyond the broadcast bounds. Of equal tokens the last ID counts."""
+        if self.n_tokens > BROADCAST_ROWS or self.n_bytes > BROADCAST_BYTES:
+            raise ValueError(f"a vocabulary of {self.n_tokens} tokens and {self.n_bytes} bytes is too large to send")
+        return {r.token: r.token_id for r in self.tokens.orderBy("token_id").collect()}
 
 
 def vocabulary(tokens: DataFrame) -> Vocabulary:
