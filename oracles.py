@@ -10,11 +10,10 @@ from __future__ import annotations
 import re
 
 # Sizes of the derived vocabularies: with bytes and special tokens at most the
-# published 50,257 and 30,522. The statement replays every rule on every word,
-# which bounds the number of rules here; the operator has no such bound.
+# published 50,257 and 30,522, and the published number of merge rules.
 VOCAB_WORDS, VOCAB_PIECES = 30_000, 20_001
 PIECE_WORDS, PIECE_PARTS = 15_000, 15_519
-MERGE_RULES = 1000
+MERGE_RULES = 49_992
 # Limits that bind: symbols of a word, bytes of a match.
 DEVICE_WORD, DEVICE_MATCH = 8, 3
 
@@ -246,6 +245,17 @@ CTES |= {
 # -- merge-rank BPE ------------------------------------------------------------
 # A mark before the last of several white-space characters that precede other
 # text stands for the look-ahead of the pre-token pattern.
+# Rules of two, three and four symbols come in this order, so each size is done
+# by itself. Places of one size that overlap their neighbours are taken by rank:
+# on a run of them one is taken if the ascents that lead down from it to the
+# lowest rank on either side both have an even number of steps.
+TAKEN = """
+        SELECT tok, p
+        FROM (SELECT tok, p, p - max(CASE WHEN rises THEN p END) OVER (PARTITION BY tok, run ORDER BY p) AS l,
+                     min(CASE WHEN falls THEN p END) OVER (PARTITION BY tok, run ORDER BY p DESC) - p AS r
+              FROM (SELECT *, coalesce(lag(v) OVER w > v, true) AS rises, coalesce(lead(v) OVER w > v, true) AS falls
+                    FROM {0} WINDOW w AS (PARTITION BY tok, run ORDER BY p)))
+        WHERE l % 2 = 0 AND r % 2 = 0"""
 CTES |= {
     "pre_words": """
         SELECT doc_id, unnest(ws) AS tok, generate_subscripts(ws, 1) AS i
@@ -265,24 +275,43 @@ CTES |= {
         SELECT piece, CASE WHEN length(piece) = 2 THEN 1 ELSE 2 END AS cut,
                (row_number() OVER (ORDER BY length(piece), n DESC, piece) - 1)::INT AS rank
         FROM (SELECT * FROM pre_parts ORDER BY n DESC, piece LIMIT {MERGE_RULES})""",
-    "rule_list": """
-        SELECT list(chr(1) || substr(piece, 1, cut) || chr(2) || chr(1) || substr(piece, cut + 1) || chr(2)
-                    || chr(3) || chr(1) || piece || chr(2) ORDER BY rank) AS rs FROM rules""",
     "merge_ids": """
         SELECT s AS token, b AS token_id FROM byte_table
         UNION ALL SELECT piece, 256 + rank FROM rules""",
-    "merged": """
-        SELECT tok, list_reduce(
-            list_prepend(array_to_string(list_transform(string_split(form, ''),
-                                                        lambda c: chr(1) || c || chr(2)), ''), rs),
-            lambda acc, r: replace(acc, split_part(r, chr(3), 1), split_part(r, chr(3), 2))) AS m
-        FROM pre_forms, rule_list""",
+    "pre_places": "SELECT tok, form, unnest(range(1, length(form) + 1)) AS p FROM pre_forms",
+    "pairs": f"""
+        SELECT tok, p, p - row_number() OVER (PARTITION BY tok ORDER BY p) AS run,
+               rank::BIGINT << 32 | p AS v
+        FROM (SELECT tok, p, substr(form, p, 2) AS piece FROM pre_places WHERE p < length(form))
+        JOIN rules USING (piece)""",
+    "taken_pairs": f"{TAKEN.format('pairs')}",
+    "twos": """
+        SELECT tok, form, p, CASE WHEN t.p IS NULL THEN 1 ELSE 2 END AS k
+        FROM (SELECT * FROM pre_places
+              WHERE (tok, p) NOT IN (SELECT (tok, p + 1) FROM taken_pairs)) s
+        LEFT JOIN taken_pairs t USING (tok, p)""",
+    "threes": """
+        SELECT tok, form, p, CASE WHEN joins THEN 3 ELSE k END AS k,
+               row_number() OVER (PARTITION BY tok ORDER BY p) AS j
+        FROM (SELECT *, lag(joins) OVER (PARTITION BY tok ORDER BY p) AS used
+              FROM (SELECT n.*, rank IS NOT NULL AS joins
+                    FROM (SELECT *, CASE WHEN k = 2 AND lead(k) OVER (PARTITION BY tok ORDER BY p) = 1
+                                         THEN substr(form, p, 3) END AS piece FROM twos) n
+                    LEFT JOIN rules USING (piece)))
+        WHERE used IS NOT TRUE""",
+    "doubles": """
+        SELECT tok, j AS p, j - row_number() OVER (PARTITION BY tok ORDER BY j) AS run, rank::BIGINT << 32 | j AS v
+        FROM (SELECT *, CASE WHEN k = 2 AND lead(k) OVER (PARTITION BY tok ORDER BY j) = 2
+                             THEN substr(form, p, 4) END AS piece FROM threes)
+        JOIN rules USING (piece)""",
+    "taken_doubles": f"{TAKEN.format('doubles')}",
+    "fours": """
+        SELECT tok, p, substr(form, begin_at, CASE WHEN t.p IS NULL THEN k ELSE 4 END) AS token
+        FROM (SELECT tok, form, p AS begin_at, j AS p, k FROM threes
+              WHERE (tok, j) NOT IN (SELECT (tok, p + 1) FROM taken_doubles)) s
+        LEFT JOIN taken_doubles t USING (tok, p)""",
     "merged_ids": """
-        SELECT tok, list(token_id ORDER BY j) AS ids
-        FROM (SELECT tok, unnest(ps) AS token, generate_subscripts(ps, 1) AS j
-              FROM (SELECT tok, string_split(substr(m, 2, length(m) - 2), chr(2) || chr(1)) AS ps
-                    FROM merged))
-        JOIN merge_ids USING (token) GROUP BY tok""",
+        SELECT tok, list(token_id ORDER BY p) AS ids FROM fours JOIN merge_ids USING (token) GROUP BY tok""",
     "merge_bpe": """
         SELECT doc_id, coalesce(ids, []) AS ids
         FROM documents LEFT JOIN (SELECT doc_id, flatten(list(ids ORDER BY i)) AS ids
@@ -602,7 +631,7 @@ QUERIES: dict[str, str] = {
 MATERIALIZED = {
     "forms", "token_vec", "places", "device_forms", "device_best", "device_seg", "byte_table", "alpha", "words", "wform", "vocab", "best", "seg", "greedy", "tokens",
     "chunks", "basic", "wp_words", "wp_vocab", "wp_best", "wp_ids", "wordpiece",
-    "pre_words", "pre_forms", "rules", "merged", "merge_bpe", "slices", "slice_words", "slice_best", "turn_words", "turn_forms", "turn_best",
+    "pre_words", "pre_forms", "rules", "pre_places", "taken_pairs", "twos", "threes", "taken_doubles", "merge_bpe", "slices", "slice_words", "slice_best", "turn_words", "turn_forms", "turn_best",
     "symbols", "times", "stages", "sliced_tokens", "padded", "wv",
 }
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -112,6 +113,12 @@ def _replaced(ids: np.ndarray, counts: np.ndarray, whole: np.ndarray) -> tuple[n
     return out, counts
 
 
+@lru_cache(maxsize=8)
+def vocabulary_segmenter(vocab: Vocabulary, max_match_bytes: int | None) -> Segmenter:
+    """Built once for a vocabulary, whatever the number of jobs that use it."""
+    return Segmenter(vocab.mapping, max_match_bytes)
+
+
 def segment_words(
     words: DataFrame,
     vocab: Vocabulary,
@@ -130,7 +137,7 @@ def segment_words(
     form = symbols(F.col("word"))
     if max_word_bytes is not None:
         form = F.substring(form, F.lit(1), F.lit(max_word_bytes))
-    segmenter = Segmenter(vocab.mapping(), max_match_bytes)
+    segmenter = vocabulary_segmenter(vocab, max_match_bytes)
     rows = words.withColumn("_form", form)
     names = [*words.columns, "bare", "spaced"]
 

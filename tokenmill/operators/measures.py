@@ -69,50 +69,58 @@ def _ranks(total: Column, prob: float) -> tuple[Column, Column, Column]:
     return low, F.ceil(place), place - low
 
 
+def _holds(probs: Sequence[float]) -> Column:
+    """Whether the ``_count`` values after the first ``_before`` have a wanted
+    rank among them."""
+    wanted = [r for p in probs for r in _ranks(F.col("_total"), p)[:2]]
+    end = F.col("_before") + F.col("_count")
+    return F.exists(F.array(*wanted), lambda r: (r >= F.col("_before")) & (r < end))
+
+
+def _inside(rows: DataFrame, ranges: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """The values that lie in a range of their group, with the range; ranges of
+    a group share no value."""
+    sized = broadcast_if_small(ranges, F.lit(96))
+    return join_on_groups(rows, sized, groups).filter(F.col("_value").between(F.col("_low"), F.col("_high")))
+
+
 def exact_percentiles(
     df: DataFrame,
     groups: Sequence[str],
     value: str,
     probs: Sequence[float] = PERCENTILES,
-    limit: int = 1_000_000,
+    limit: int = 65_536,
     buckets: int = 4096,
 ) -> DataFrame:
     """Exact percentiles with linear interpolation: ``groups`` and one column
     ``p<percent>`` per probability.
 
-    Equal values are counted first. While a range of values that holds a
-    wanted rank has more than ``limit`` distinct values, it is cut into
-    ``buckets`` by width, bucket counts tell where the ranks lie and only those
-    buckets are kept. So no task sorts more than ``limit`` values of a group.
-    Infinities and NaN, which is greater than all numbers, are buckets of their
-    own, so every round with two numbers splits its range.
+    A range of values that holds a wanted rank is cut into ``buckets`` by width
+    while more than ``limit`` different rows are in it: each task counts its own
+    rows by bucket, so buckets are sent and not values, and only the buckets
+    with a wanted rank are cut again. The values of what is left are counted and
+    ordered, at most ``limit`` for each wanted rank. The input is read once for
+    each round; what is shuffled does not grow with its rows. Infinities and NaN,
+    which is greater than all numbers, are buckets of their own, so every round
+    with two numbers splits its range.
     """
     groups = list(groups)
-    counts = stored(
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*groups, F.col(value).cast("double").alias("_value"))
-        .agg(F.count(F.lit(1)).alias("_n")),
-        "value-counts",
-    )
-    by_range = [*groups, "_range"]
     value_ = F.col("_value")
+    rows = df.select(*groups, F.col(value).cast("double").alias("_value")).filter(value_.isNotNull())
+    bounds = [F.count(F.lit(1)).alias("_count"), F.min("_value").alias("_low"), F.max("_value").alias("_high")]
     finite = F.when(~F.isnan(value_) & (F.abs(value_) != float("inf")), value_)
-    bounds = [F.min(finite).alias("_low"), F.max(finite).alias("_high")]
-    rows = counts.withColumn("_range", F.lit("0"))
-    ranges = (
-        rows.groupBy(*by_range)
-        .agg(
-            F.sum("_n").alias("_total"),
-            F.count(F.lit(1)).alias("_values"),
-            *bounds,
-        )
-        .withColumn("_before", F.lit(0).cast("long"))
+    edges = [F.min(finite).alias("_least"), F.max(finite).alias("_most")]
+    ranges = stored(
+        rows.groupBy(*groups)
+        .agg(*bounds, *edges)
+        .withColumns({"_total": F.col("_count"), "_before": F.lit(0).cast("long")}),
+        "value-ranges",
     )
-    wanted = [r for p in probs for r in _ranks(F.col("_total"), p)[:2]]
-    while (ranges.agg(F.max("_values")).first()[0] or 0) > limit:
-        sized = broadcast_if_small(ranges.drop("_values"), F.lit(64))
+    names = ranges.columns
+    wide = (F.col("_count") > limit) & (F.col("_low") < F.col("_high"))
+    while ranges.filter(wide).limit(1).count():
         # halves, so that the width of any two numbers is a number
-        low, high = F.col("_low") / 2, F.col("_high") / 2
+        low, high = F.col("_least") / 2, F.col("_most") / 2
         share = F.when(high > low, (value_ / 2 - low) / (high - low)).otherwise(F.lit(0.0))
         bucket = (
             F.when(F.isnan(value_), buckets + 1)
@@ -120,41 +128,31 @@ def exact_percentiles(
             .when(value_ == float("-inf"), -1)
             .otherwise(F.least(F.floor(share * buckets), F.lit(buckets - 1)))
         )
-        cut = join_on_groups(rows, sized, by_range).withColumn("_bucket", bucket.cast("long"))
-        order = W.partitionBy(*by_range).orderBy("_bucket")
-        running = F.sum("_count").over(order.rowsBetween(W.unboundedPreceding, 0))
-        held = (
-            cut.groupBy(*by_range, "_bucket", "_total", "_before")
-            .agg(
-                F.sum("_n").alias("_count"),
-                F.count(F.lit(1)).alias("_values"),
-                *bounds,
-            )
-            .withColumn("_before", F.col("_before") + running - F.col("_count"))
-        )
-        holds = F.exists(
-            F.array(*wanted),
-            lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_count")),
+        kept = ["_total", "_before"]
+        cut = (
+            _inside(rows, ranges.filter(wide).drop("_count"), groups)
+            .withColumn("_bucket", bucket.cast("long"))
+            .groupBy(*groups, *kept, "_bucket")
+            .agg(*bounds, *edges)
         )
-        kept = stored(held.filter(holds).drop("_count"), "value-ranges")
-        keys = [*by_range, "_bucket"]
-        rows = stored(
-            join_on_groups(
-                cut.select(*keys, "_value", "_n"),
-                broadcast_if_small(kept.select(*keys), F.lit(64)),
-                keys,
-            ).select(
-                *groups, F.concat_ws(".", "_range", "_bucket").alias("_range"), "_value", "_n"
-            ),
-            "value-counts",
+        order = W.partitionBy(*groups, *kept).orderBy("_bucket")
+        running = F.sum("_count").over(order.rowsBetween(W.unboundedPreceding, 0))
+        cut = cut.withColumn("_before", F.col("_before") + running - F.col("_count"))
+        ranges = stored(
+            ranges.filter(~wide).unionByName(cut.filter(_holds(probs)).select(*names)), "value-ranges"
         )
-        ranges = kept.withColumn("_range", F.concat_ws(".", "_range", "_bucket")).drop("_bucket")
 
-    sized = broadcast_if_small(ranges.select(*by_range, "_total", "_before"), F.lit(64))
-    ordered = W.partitionBy(*by_range).orderBy("_value").rowsBetween(W.unboundedPreceding, 0)
-    ranked = join_on_groups(rows, sized, by_range).withColumn(
-        "_upto", F.col("_before") + F.sum("_n").over(ordered)
+    # a range of one value needs no rows
+    single = F.col("_low") == F.col("_high")
+    known = [*groups, "_total", "_before"]
+    counted = (
+        _inside(rows, ranges.filter(~single).select(*known, "_low", "_high"), groups)
+        .groupBy(*known, "_value")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .unionByName(ranges.filter(single).select(*known, F.col("_low").alias("_value"), F.col("_count").alias("_n")))
     )
+    ordered = W.partitionBy(*known).orderBy("_value").rowsBetween(W.unboundedPreceding, 0)
+    ranked = counted.withColumn("_upto", F.col("_before") + F.sum("_n").over(ordered))
 
     def at(rank: Column) -> Column:
         inside = (F.col("_upto") > rank) & (F.col("_upto") - F.col("_n") <= rank)

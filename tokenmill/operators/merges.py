@@ -95,7 +95,7 @@ def merged(form: str, ranks: dict[tuple[str, str], int]) -> list[str]:
 def merge_words(words: DataFrame, merges: MergeRules, vocab: Vocabulary) -> DataFrame:
     """``ids`` of distinct ``word`` rows (pre-tokens), found where the words are.
     A piece without a token gives nothing."""
-    ranks, tokens = merges.ranks, vocab.mapping()
+    ranks, tokens = merges.ranks, vocab.mapping
     names = [*words.columns, "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,7 @@ class Vocabulary:
     def lookup(self) -> DataFrame:
         return self.sized(self.tokens)
 
+    @cached_property
     def mapping(self) -> dict[str, int]:
         """Token to ID, for structures that are sent to every task; refused
         beyond the broadcast bounds. Of equal tokens the last ID counts."""
