@@ -86,8 +86,8 @@ def filled(index: Index, sizes: np.ndarray, window: int) -> Iterator[list[tuple[
         room = window - int(left[seed])
         left[seed] = 0
         if room:
-            ranked = np.argsort(-index.scores(seed), kind="stable")
-            ranked = ranked[left[ranked] > 0]
+            unused = np.flatnonzero(left)
+            ranked = unused[np.argsort(-index.scores(seed)[unused], kind="stable")]
             fits = ranked[left[ranked] <= room]
             while len(fits):  # as a whole
                 one = int(fits[0])
@@ -215,20 +215,14 @@ def packed(
                     [*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, "_key"]
                 )
 
-        schema = f"{PIECE}, ids binary, _row long, _key long"
-        rests = rests.mapInArrow(keyed, schema)
+        rests = stored(rests.mapInArrow(keyed, f"{PIECE}, ids binary, _row long, _key long"), "rests")
         counts = {r["_key"]: r["count"] for r in rests.groupBy("_key").count().collect()}
         base, number = shards_of(counts, len(weights), shard)
-
-        def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                key = batch.column("_key").to_numpy()
-                columns = [*batch.columns[:-1], pa.array(base[key]), pa.array(number[key])]
-                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "_base", "_number"])
-
-        rests = rests.mapInArrow(dealt, f"{schema.removesuffix(', _key long')}, _base long, _number long")
+        known = np.array(sorted(counts), dtype=np.int64)
+        places = pa.table({"_key": known, "_base": base[known], "_number": number[known]})
+        rests = rests.join(F.broadcast(spark.createDataFrame(places)), "_key")  # as long as the vocabulary at most
         place = F.col("_base") + F.pmod(F.xxhash64("_row"), "_number")
-        rests = rests.withColumn("_shard", place).drop("_base", "_number")
+        rests = rests.withColumn("_shard", place).drop("_key", "_base", "_number")
 
         def pack(table: pa.Table) -> pa.Table:
             # as the rows come in any order
