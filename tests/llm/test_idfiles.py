@@ -1,3 +1,4 @@
+import random
 import struct
 import zlib
 
@@ -13,8 +14,7 @@ PATH = public.path("word_bpe_49k.json")
 
 @pytest.fixture(scope="module")
 def theirs():
-    tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
+    tokenizer = Tokenizer.from_file(PATH)  # as it is: strings of special tokens are those
     return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
 
@@ -55,6 +55,43 @@ def test_words_like_the_library(theirs):
         assert memoryview(mine(text)).cast("I").tolist() == theirs(text), text
 
 
+def test_special_tokens_like_the_library(theirs):
+    with open(PATH, encoding="utf-8") as file:
+        mine = idfiles.word_encoder(file.read())
+    texts = ["<|endoftext|>", "x<|endoftext|>y", "<|startoftext|><|endoftext|>", "a <|endoftext", "<|ENDOFTEXT|>", "É<|endoftext|>日"]
+    assert theirs(texts[1])[1] == 49407
+    for text, ids in zip(texts, mine.encode(texts)):
+        assert memoryview(ids).cast("I").tolist() == theirs(text), text
+
+
+def test_words_of_a_batch_like_the_library(theirs, monkeypatch):
+    """Many different words, more than are kept from batch to batch."""
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyzäöüßéèàçñøœıƒ"
+    texts = []
+    for _ in range(60):
+        some = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 14))) for _ in range(120)]
+        texts.append(" ".join(w.upper() if rng.random() < 0.2 else w + rng.choice(["", ",", "'s", "9", "\t", "中"]) for w in some))
+    texts.append("ab" * 40_000)
+    monkeypatch.setattr(idfiles.WordEncoder, "LIMIT", 1000)
+    with open(PATH, encoding="utf-8") as file:
+        mine = idfiles.WordEncoder(file.read())
+    assert mine.plain
+    for start in range(0, len(texts), 7):
+        for text, ids in zip(texts[start : start + 7], mine.encode(texts[start : start + 7])):
+            assert memoryview(ids).cast("I").tolist() == theirs(text)
+        assert len(mine.known) <= 1000
+
+
+def test_other_tokenizers_go_through_the_library():
+    path = public.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as file:
+        mine = idfiles.WordEncoder(file.read())
+    assert not mine.plain
+    known = Tokenizer.from_file(path)
+    assert memoryview(mine.by_library("a piece")).cast("I").tolist() == known.encode("a piece").ids
+
+
 @pytest.mark.parametrize("file_ids", [idfiles.FILE_IDS, 500])
 def test_digests_of_written_files(odd, odd_rows, theirs, file_ids):
     rows = idfiles.id_digests(odd, PATH, 2, file_ids=file_ids).collect()

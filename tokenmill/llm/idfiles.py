@@ -42,7 +42,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tokenmill.llm.common import Memo, sub_batches, texts_of
+from tokenmill.functions.bytelevel import byte_symbols
+from tokenmill.llm.common import sub_batches, texts_of
 from tokenmill.scratch import new_path, stored
 
 MAGIC = b"PFR1"
@@ -50,6 +51,7 @@ BLOCK = 256
 PERCENTILE = 90
 FILE_IDS = 8 << 20
 CHUNK = 4096  # blocks that are packed at once
+BATCH = 4 << 20  # bytes of text that are encoded together
 FOOTER = struct.Struct("<6Q4s")
 
 
@@ -90,10 +92,13 @@ def pack_blocks(ids: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, n
                 body = np.packbits(bits.reshape(len(same), -1), axis=1)
                 for i, data in zip(same, body):
                     packed[i] = data.tobytes()
-        for i in range(len(rows)):
-            if count[i]:
-                places = np.flatnonzero(odd[i])
-                packed[i] += places.astype("<u2").tobytes() + rows[i, places].astype("<u4").tobytes()
+        places = np.nonzero(odd)[1].astype("<u2").tobytes()
+        whole = rows[odd].astype("<u4").tobytes()
+        end = 0
+        for i, n in enumerate(count.tolist()):
+            if n:
+                packed[i] += places[2 * end : 2 * (end + n)] + whole[4 * end : 4 * (end + n)]
+                end += n
         blocks += packed
         lows.append(low)
         widths.append(width)
@@ -123,10 +128,13 @@ def unpack_blocks(
             bits = np.zeros((len(some), BLOCK, wide), dtype=np.uint8)
             bits[:, :, wide - w :] = np.unpackbits(body, axis=1).reshape(len(some), BLOCK, w)
             out[some] = np.packbits(bits.reshape(len(some), -1), axis=1).view(kind)
-    for i in np.flatnonzero(counts):
-        at, n = int(starts[i]) + BLOCK * int(widths[i]) // 8, int(counts[i])
-        places = np.frombuffer(data, "<u2", n, at)
-        out[i, places] = np.frombuffer(data, "<u4", n, at + 2 * n)
+    n = counts.astype(np.int64)
+    block = np.repeat(np.arange(len(starts)), n)
+    number = np.arange(len(block)) - np.repeat(np.cumsum(n) - n, n)
+    body = starts.astype(np.int64) + BLOCK * widths.astype(np.int64) // 8
+    places = raw[(body[block] + 2 * number)[:, None] + np.arange(2)].view("<u2").reshape(-1)
+    whole = raw[((body + 2 * n)[block] + 4 * number)[:, None] + np.arange(4)].view("<u4").reshape(-1)
+    out[block, places] = whole
     return out + lows[:, None]
 
 
@@ -166,56 +174,143 @@ def read_file(data: bytes) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray
 
 class WordEncoder:
     """Ids of whole texts by the tokenizers library, for tokenizers that drop
-    white space and never join across it: texts are cut at blanks and line
-    feeds, and each piece is looked up or encoded.
+    white space and never join across it. The different words of a batch that
+    are not known yet are encoded together.
 
     The library normalises with a map of places, which costs more than the
-    merges. In a piece of ASCII and letters below U+0250 lower case is all that
-    its normaliser does (composed forms stay as they are), so such a piece is
-    split here, and its words go straight to the library's model, in the byte
-    alphabet. The patterns are tied to the tokenizer's normaliser and splitter,
-    which are compared; with others every piece takes the long way.
+    merges. In a text of ASCII and letters below U+0250 lower case is all that
+    its normaliser does (composed forms stay as they are), so such a text is
+    split here; of others, each piece between blanks and line feeds that is not
+    so simple goes through the library. Words are merged by the tiktoken library: the last byte of a
+    word, which the vocabulary marks as a word's end, is given as another byte
+    that no word has (a capital, or one below 64). The patterns are tied to the
+    tokenizer's normaliser, splitter and the order of its merges, which are
+    compared; with others every piece takes the long way.
+
+    The strings of special tokens inside texts are those tokens, which is the
+    library's default.
     """
 
     # fixed values
     NORMALIZERS = ["NFC", "Replace", "Lowercase"]
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-    LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ƿǄ-ɏ"  # without U+0130, whose lower case is two
-    PLAIN = re.compile(f"[{LETTERS}]+")
-    SIMPLE = re.compile(f"[!-~{LETTERS}]+")
-    MATCH = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^0-9{LETTERS}]+")
+    END = "</w>"
+    LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ƿǄ-ȹȻ-Ƚȿ-ɏ"  # without U+0130, U+023A and U+023E
+    LOWERED = LETTERS + "ɐ-ʯ"  # of some, the lower case is beyond U+024F
+    PLAIN = re.compile(f"[{LOWERED}]+")
+    SIMPLE = re.compile(f"[ \\n!-~{LETTERS}]*")
+    MATCH = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LOWERED}]+|[0-9]|[^0-9{LOWERED} \\n]+")
+    LIMIT = 400_000  # words that are kept from batch to batch
+    LONGEST = 64  # letters of those
 
     def __init__(self, data: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_str(data)
-        self.tokenizer.encode_special_tokens = True  # their strings are text
-        self.model = self.tokenizer.model
-        self.alphabet = ByteLevel(add_prefix_space=False, use_regex=False)
         settings = json.loads(data)
-        steps = [n["type"] for n in settings["normalizer"].get("normalizers", [])]
-        split = settings["pre_tokenizer"].get("pretokenizers", [{}])[0].get("pattern", {})
-        self.plain = steps == self.NORMALIZERS and split.get("Regex") == self.SPLIT
-        self.pieces = Memo(self.encode_piece)
-
-    def encode_piece(self, piece: str) -> bytes:
-        if self.plain and self.PLAIN.fullmatch(piece):
-            word = piece.lower()
-            if word != piece:
-                return self.pieces[word]
-            if not word.isascii():
-                word = self.alphabet.pre_tokenize_str(word)[0][0]
-            return array.array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
-        if self.plain and self.SIMPLE.fullmatch(piece):
-            matches = self.MATCH.findall(piece.lower())
-            if len(matches) > 1:
-                return b"".join(map(self.pieces.__getitem__, matches))
+        self.special = {t["content"]: array.array("I", [t["id"]]).tobytes() for t in settings["added_tokens"]}
+        self.special_parts = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
+        model = settings["model"]
+        steps = [n["type"] for n in (settings["normalizer"] or {}).get("normalizers", [])]
+        split = (settings["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0].get("pattern", {})
+        made = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+        self.plain = (
+            steps == self.NORMALIZERS
+            and split.get("Regex") == self.SPLIT
+            and model["end_of_word_suffix"] == self.END
+            and made == list(range(512, 512 + len(made)))
+        )
+        if self.plain:
+            self._words(model["vocab"])
+        self.known = dict(self.special)
+
+    def _words(self, vocab: dict[str, int]) -> None:
+        """The vocabulary of lower-case words, with marked ends."""
+        import tiktoken
+
+        byte = {symbol: b for b, symbol in enumerate(byte_symbols())}
+        inner = {*range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xCB)}
+        ranks = {}
+        for token, number in vocab.items():
+            ends = token.endswith(self.END)
+            name = bytes(byte.get(c, 0) for c in token.removesuffix(self.END))
+            if name and inner.issuperset(name) and not (ends and name[-1] >= 0xC0):
+                ranks[self.marked(name) if ends else name] = number
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in ranks.items() if t[-1] < 64 or 65 <= t[-1] <= 90]] = True
+        words = tiktoken.Encoding("words", pat_str="[a-z]*[A-Z]", mergeable_ranks=ranks, special_tokens={})
+        self.joined = words.encode_to_numpy
+        self.one = words._core_bpe.encode_single_piece
+
+    @staticmethod
+    def marked(word: bytes) -> bytes:
+        last = word[-1]
+        return word[:-1] + bytes([last - 32 if last < 0x80 else last - 0x80])
+
+    def by_library(self, piece: str) -> bytes:
         return array.array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
 
+    def encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of lower-case words; those of a-z all at once."""
+        found = {}
+        ascii_ = [w for w in words if w.isascii()]
+        ids = self.joined(" ".join([w[:-1] + w[-1].upper() for w in ascii_]))
+        ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+        raw, start = ids.astype("<u4").tobytes(), 0
+        for word, end in zip(ascii_, ends.tolist()):
+            found[word] = raw[start:end]
+            start = end
+        for word in words:
+            if word not in found:
+                found[word] = array.array("I", self.one(self.marked(word.encode()))).tobytes()
+        return found
+
+    def learn(self, parts: set[str]) -> dict[str, bytes]:
+        """Ids of parts that are not known."""
+        found = self.encode_words([p for p in parts if self.PLAIN.fullmatch(p)]) if self.plain else {}
+        return found | {p: self.by_library(p) for p in parts.difference(found)}
+
+    def split(self, text: str) -> list[str]:
+        """The words and marks of a text, and whole pieces that are not simple."""
+        if self.plain and self.SIMPLE.fullmatch(text):
+            return self.MATCH.findall(text.lower())
+        parts = []
+        for piece in text.replace("\n", " ").split(" "):
+            if self.plain and self.SIMPLE.fullmatch(piece):
+                parts += self.MATCH.findall(piece.lower())
+            else:
+                parts.append(piece)
+        return parts
+
+    def parts_of(self, text: str) -> list[str]:
+        """Parts and strings of special tokens; a part is never such a string."""
+        if not self.special_parts.search(text):
+            return self.split(text)
+        parts, at = [], 0
+        for match in self.special_parts.finditer(text):
+            parts += [*self.split(text[at : match.start()]), match[0]]
+            at = match.end()
+        return parts + self.split(text[at:])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as unsigned 32-bit integers."""
+        rows = [self.parts_of(t) for t in texts]
+        parts = set().union(*rows)
+        if len(self.known) + len(parts) > self.LIMIT:
+            self.known = dict(self.special)
+        missing = self.learn(parts.difference(self.known))
+        self.known |= missing
+        out = [b"".join(map(self.known.__getitem__, row)) for row in rows]
+        if len(self.known) > self.LIMIT:
+            self.known = dict(self.special)
+        for part in missing:
+            if len(part) > self.LONGEST:
+                self.known.pop(part, None)
+        return out
+
     def __call__(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" ")))
+        return self.encode([text])[0]
 
 
 _encoders: dict[int, WordEncoder] = {}
@@ -248,7 +343,7 @@ def write_id_files(
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = word_encoder(data), TaskContext.get().partitionId()
+        encoder, part = word_encoder(data), TaskContext.get().partitionId()
         number, held, doc_ids, ids = 0, 0, [], []
 
         def closed() -> pa.RecordBatch:
@@ -256,10 +351,9 @@ def write_id_files(
                 {"file": pa.array([file_bytes(part, number, doc_ids, ids)], pa.binary())}
             )
 
-        for batch in sub_batches(batches, "_text"):
+        for batch in sub_batches(batches, "_text", BATCH):
             texts = texts_of(batch.column("_text"))
-            for doc_id, text in zip(batch.column("_id").to_pylist(), texts):
-                one = encode(text)
+            for doc_id, one in zip(batch.column("_id").to_pylist(), encoder.encode(texts)):
                 doc_ids.append(doc_id)
                 ids.append(one + end)
                 held += len(one) // 4 + 1
