@@ -47,12 +47,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{app}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
     """Write once, read from the files afterwards: cuts lineage and survives
-    the loss of executors."""
+    the loss of executors. With ``outer`` the table outlives the innermost
+    ``temporary_tables`` and is deleted with the one around it."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    if _scopes:
-        _scopes[-1].append(path)
+    scopes = _scopes[:-1] if outer else _scopes
+    if scopes:
+        scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
