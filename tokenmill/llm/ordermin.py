@@ -45,6 +45,7 @@ from pyspark.sql import functions as F
 from tokenmill.llm.common import sub_batches
 from tokenmill.llm.components import components
 from tokenmill.scratch import new_path, stored, temporary_tables
+from tokenmill.sizes import broadcast_if_small
 
 RUN = 5
 #: Of pairs just at the similarity, by scattered changes of words, 99 % share a
@@ -221,22 +222,26 @@ def _labelled(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _walked(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     docs = df.select(F.col(id_col).cast("long").alias("_id"), df[text_col].alias("_text"))
     marked = docs.withColumn("_copy", F.md5(F.coalesce("_text", F.lit("")).cast("binary")))
-    sketched = marked.mapInArrow(_sketched, "id long, copy string, n long, keys array<long>")
-    # numbers stay as they are once they are written
-    sketched = stored(sketched.withColumn("row", F.monotonically_increasing_id()), "near-sketches")
-    copies = sketched.groupBy("copy").agg(F.min("row").alias("node"), F.min("id").alias("least"))
-    copies = stored(copies, "near-copies")
-
-    # sketches of more than one text; arrays of sketches are never sent
-    keyed = sketched.select("row", "n", F.xxhash64("copy").alias("_h"), F.explode(F.array_distinct("keys")).alias("key"))
-    groups = keyed.groupBy("key").agg(F.min("_h").alias("_low"), F.max("_h").alias("_high"))
-    groups = groups.where("_low < _high").select("key")
-    shared = keyed.select(F.col("row").alias("node"), "n", "key").join(groups, "key")
-    shared = stored(shared.join(copies.select("node"), "node", "left_semi"), "near-shared")
-    wanted = copies.join(shared.select("node").distinct(), "node", "left_semi")
-    # only rows with the least id of their text are sent
+    with temporary_tables(df.sparkSession):  # of sketches, the largest table
+        sketched = marked.mapInArrow(_sketched, "id long, copy string, n long, keys array<long>")
+        # numbers stay as they are once they are written
+        sketched = stored(sketched.withColumn("row", F.monotonically_increasing_id()), "near-sketches")
+        named = stored(sketched.select("id", "copy"), "near-names", outer=True)
+        copies = sketched.groupBy("copy").agg(F.min(F.struct("row", "n")).alias("_first"), F.min("id").alias("least"))
+        copies = copies.select("copy", "least", F.col("_first.row").alias("node"), F.col("_first.n").alias("n"))
+        copies = stored(copies, "near-copies", outer=True)
+        # sketches of more than one row; arrays of sketches are never sent
+        keyed = sketched.select(F.col("row").alias("node"), F.explode(F.array_distinct("keys")).alias("key"))
+        groups = keyed.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
+        shared = keyed.join(groups, "key").join(copies.select("node", "n"), "node")
+        shared = stored(shared.select("node", "n", "key"), "near-shared", outer=True)
+    wanted = stored(copies.join(shared.select("node").distinct(), "node", "left_semi"), "near-wanted")
+    # only rows with the least id of their text are sent, and none while the
+    # list of those is small
     one = (F.col("_copy") == F.col("copy")) & F.col("_id").eqNullSafe(F.col("least"))
-    texts = stored(marked.join(wanted, one).select("node", F.col("_text").alias("text")).distinct(), "near-texts")
+    listed = broadcast_if_small(wanted.select("copy", "least", "node"), F.lit(64))
+    texts = marked.join(listed, one).select("node", F.col("_text").alias("text"))
+    texts = stored(texts.dropDuplicates(["node"]), "near-texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
@@ -248,9 +253,9 @@ def _walked(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         longer, shorter = F.greatest(x, y), F.least(x, y)
         return shorter * SIMILAR[1] >= longer * SIMILAR[0]
 
-    # groups of a sketch: all, and by two staggered scales of length
+    # groups of a sketch, by two staggered scales of length
     step = F.log(F.col("n")) / float(np.log(SIMILAR[1] / SIMILAR[0])) / 2
-    scales = F.array(F.lit(-1), 2 * F.floor(step), 2 * F.floor(step + 0.5) + 1)
+    scales = F.array(2 * F.floor(step), 2 * F.floor(step + 0.5) + 1)
     members = shared.withColumn("scale", F.explode(scales))
     least = members.groupBy("key", "scale").agg(F.min(F.struct("node", "n")).alias("first"))
     candidates = (
@@ -265,9 +270,9 @@ def _walked(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     labels = components(stored(verified(first), "near-links"))
     labels = _joined(candidates.join(first, ["a", "b"], "left_anti"), labels, verified)
     labels = stored(labels, "near-labels")
-    rest = _residual(members.where("scale >= 0"), labels, texts).join(candidates, ["a", "b"], "left_anti")
+    rest = _residual(members, labels, texts).join(candidates, ["a", "b"], "left_anti")
     labels = _joined(rest, labels, verified)
-    rows = sketched.select("id", "copy").join(copies, "copy").join(labels, "node", "left")
+    rows = named.join(copies, "copy").join(labels, "node", "left")
     return rows.select("id", "copy", F.coalesce("label", "node").alias("label"))
 
 
