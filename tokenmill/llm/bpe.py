@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from tokenmill.llm.common import Memo, extended, list_array, sub_batches
+from tokenmill.llm.common import Memo, extended, frugal, list_array, sub_batches
 
 LEAF = 32
 NONE = 1 << 30
@@ -243,7 +243,7 @@ def encode_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, tokens = bpe(data, pattern).encode, token_bytes(data) if decode else None
-        for batch in sub_batches(batches, "_text", 4 << 20):
+        for batch in sub_batches(batches, "_text", 2 << 20):
             ids = [encode(x) if x else b"" for x in batch.column("_text").to_pylist()]
             values = np.frombuffer(b"".join(ids), dtype="<i4")
             lists = list_array(values, [len(x) // 4 for x in ids])
@@ -251,7 +251,7 @@ def encode_texts(
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], names=[*keep, *added])
 
     kinds = "ids array<int>" + ", decoded binary" * decode
-    return kept.mapInArrow(run, extended(df, keep, kinds))
+    return kept.mapInArrow(frugal(run), extended(df, keep, kinds))
 
 
 def _few_ids(batches: Iterator[pa.RecordBatch], ids_col: str) -> Iterator[pa.RecordBatch]:

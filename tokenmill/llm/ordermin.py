@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenmill.llm.common import sub_batches
+from tokenmill.llm.common import frugal, sub_batches
 from tokenmill.llm.components import components
 from tokenmill.scratch import new_path, stored, temporary_tables
 from tokenmill.sizes import broadcast_if_small
@@ -91,7 +91,7 @@ def sketch(words: list[bytes]) -> np.ndarray:
         return np.zeros(0, dtype=np.int64)
     runs, labelled = labelled_runs(words)
     keys = np.empty(BANDS, dtype=np.uint64)
-    step = max(1, (1 << 21) // len(runs))
+    step = max(1, (1 << 18) // len(runs))
     for at in range(0, BANDS, step):
         seeds = SEEDS[at : at + step]
         values = _mixed((labelled[None, :] ^ seeds[:, None]) * MIX)
@@ -181,7 +181,7 @@ def profile(words: list[bytes]) -> np.ndarray:
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in sub_batches(batches, "_text"):
+    for batch in sub_batches(batches, "_text", 2 << 20):
         words = [(x or "").encode().split() for x in batch.column("_text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [
@@ -223,7 +223,7 @@ def _walked(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     docs = df.select(F.col(id_col).cast("long").alias("_id"), df[text_col].alias("_text"))
     marked = docs.withColumn("_copy", F.md5(F.coalesce("_text", F.lit("")).cast("binary")))
     with temporary_tables(df.sparkSession):  # of sketches, the largest table
-        sketched = marked.mapInArrow(_sketched, "id long, copy string, n long, keys array<long>")
+        sketched = marked.mapInArrow(frugal(_sketched), "id long, copy string, n long, keys array<long>")
         # numbers stay as they are once they are written
         sketched = stored(sketched.withColumn("row", F.monotonically_increasing_id()), "near-sketches")
         named = stored(sketched.select("id", "copy"), "near-names", outer=True)
@@ -247,7 +247,7 @@ def _walked(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
         right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
         both = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
-        return both.mapInArrow(_verified, "a long, b long")
+        return both.mapInArrow(frugal(_verified), "a long, b long")
 
     def near(x: str, y: str):
         longer, shorter = F.greatest(x, y), F.least(x, y)
@@ -363,7 +363,7 @@ def _residual(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFr
     blocks = blocks.join(stored(profiles, "near-profiles"), "node").select(*(c.split()[0] for c in PROFILED.split(", ")))
     places = ("key", "scale", "low", "high")
     ordered = blocks.repartition(*places).sortWithinPartitions(*places)
-    return ordered.mapInArrow(_compared, "a long, b long").distinct()
+    return ordered.mapInArrow(frugal(_compared), "a long, b long").distinct()
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenmill.llm.common import extended, sub_batches
+from tokenmill.llm.common import extended, frugal, sub_batches
 from tokenmill.scratch import stored
 
 COMMON = 0.002
@@ -190,7 +190,7 @@ def _languages(batch: pa.RecordBatch) -> Iterator[tuple[str, list[str]]]:
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in sub_batches(batches, "_text", 16 << 20):
+    for batch in sub_batches(batches, "_text", 4 << 20):
         rows = []
         for lang, texts in _languages(batch):
             words: Counter = Counter()
@@ -211,7 +211,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def references(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, Reference]:
     """Reference of each language, and of all documents under the empty name."""
     texts = df.select(F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
-    first = texts.mapInArrow(_first_pass, "lang string, word binary, class int, n long, total long")
+    first = texts.mapInArrow(frugal(_first_pass), "lang string, word binary, class int, n long, total long")
     first = first.groupBy("lang", "word", "class").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
     first = stored(first, "quality-counts")
     totals = first.where("class = 0").select("lang", F.col("total").alias("words"))
@@ -232,7 +232,7 @@ def references(df: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted = {lang: Counter(dict.fromkeys(words, 0)) for lang, words in wanted.items()}
-        for batch in batches:
+        for batch in sub_batches(batches, "_text", 4 << 20):
             for lang, texts in _languages(batch):
                 if lang in counted:
                     mine = counted[lang]
@@ -246,7 +246,7 @@ def references(df: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
             yield pa.RecordBatch.from_arrays(arrays, names=["lang", "word", "n"])
 
-    second = texts.mapInArrow(second_pass, "lang string, word binary, n long")
+    second = texts.mapInArrow(frugal(second_pass), "lang string, word binary, n long")
     common: dict[str, list[tuple[bytes, int]]] = {lang: [] for lang in sizes}
     for r in second.groupBy("lang", "word").agg(F.sum("n").alias("n")).collect():
         if r["n"] >= COMMON * sizes[r["lang"]]:
@@ -341,4 +341,4 @@ def quality_rules(
                 [*(batch.column(c) for c in keep), *columns], names=[*keep, *(n for n, _ in fields)]
             )
 
-    return rows.mapInArrow(run, extended(df, keep, SCHEMA))
+    return rows.mapInArrow(frugal(run), extended(df, keep, SCHEMA))
