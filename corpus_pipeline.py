@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenmill.llm import bpe, mixing, ordermin, quality, toxicity
-from tokenmill.llm.common import table
+from tokenmill.llm.common import short_batches, table
 from tokenmill.scratch import stored
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...], dict[str, str]]:
     """The rows under names that no operator uses, those names, and the places
     of text and language among them."""
+    short_batches(docs.sparkSession)
     names = tuple(f"__{i}" for i in range(len(docs.columns)))
     place = {c: names[docs.columns.index(c)] for c in ("text", "lang")}
     return docs.toDF(*names), names, {"text_col": place["text"], "lang_col": place["lang"]}
