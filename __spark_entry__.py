@@ -28,7 +28,7 @@ from tokenmill.operators.merges import MergeRules, merge_encode, merge_rules
 from tokenmill.operators.vocabulary import Vocabulary, vocabulary
 from tokenmill.operators.wordpiece import wordpiece_encode
 from tokenmill.plans import corpus_vocabulary as cv
-from tokenmill.plans.batches import padded_batches, transfer_modes
+from tokenmill.plans.batches import batch_sweep, padded_batches, transfer_modes
 from tokenmill.scratch import new_path, stored
 from tokenmill.sources import measurements, sinks, vocabularies
 from tokenmill.streaming.stream import encode_stream
@@ -457,7 +457,7 @@ def payload_bytes(spark, sf_dir):
     return accounts.transfer_accounts(encoded, ["lang", "source"])
 
 
-def stream_encode(spark, sf_dir):
+def _streamed(spark, sf_dir, schema, **options):
     documents = _read(spark, sf_dir, "documents")
     # a pattern stands for a file as well as for a folder of files
     stream = (
@@ -467,14 +467,27 @@ def stream_encode(spark, sf_dir):
         .select("doc_id", "text")
     )
     out, state = new_path(spark, "stream-out"), new_path(spark, "stream-state")
-    schema = "doc_id bigint, token_ids array<int>, n_tokens int"
     # no input gives no batch: the output begins with an empty one
     spark.createDataFrame([], schema).write.parquet(f"{out}/batch=-1")
-    query = encode_stream(stream, _vocab(spark, sf_dir), out, state)
+    query = encode_stream(stream, _vocab(spark, sf_dir), out, state, **options)
     query.awaitTermination()
     return _joined(spark.read.schema(schema).parquet(f"{out}/batch=*"))
 
 
+def stream_encode(spark, sf_dir):
+    return _streamed(spark, sf_dir, "doc_id bigint, token_ids array<int>, n_tokens int")
+
+
+def stream_padded_batches(spark, sf_dir):
+    schema = "doc_id bigint, batch_idx int, seq_len int, token_ids array<int>, cut_tokens int, tail_bytes int"
+    batches = _streamed(spark, sf_dir, schema, batch_size=BATCH)
+    return batches.withColumn("tail_bytes", F.col("tail_bytes").cast("long"))
+
+
+def batch_sweep_query(spark, sf_dir):
+    return batch_sweep(_texts(spark, sf_dir), oracles.SWEEP)
+
+
 # -- embedding ---------------------------------------------------------------
 
 
@@ -847,6 +860,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "tokenizer_comparison": tokenizer_comparison,
         "payload_bytes": payload_bytes,
         "stream_encode": stream_encode,
+        "stream_padded_batches": stream_padded_batches,
+        "batch_sweep": batch_sweep_query,
         "embedding_lookup": embedding_lookup,
         "embedding_sum": embedding_sum,
         "embedding_affine_tanh": embedding_affine_tanh,

@@ -14,6 +14,8 @@ import re
 VOCAB_WORDS, VOCAB_PIECES = 30_000, 20_001
 PIECE_WORDS, PIECE_PARTS = 15_000, 15_519
 MERGE_RULES = 49_992
+# Batch sizes of the published sweep.
+SWEEP = [1, 4, 8, 16, 32]
 # Limits that bind: symbols of a word, bytes of a match.
 DEVICE_WORD, DEVICE_MATCH = 8, 3
 
@@ -442,6 +444,15 @@ QUERIES: dict[str, str] = {
         SELECT doc_id, batch_idx, seq_len, array_to_string(ids, ' ') AS token_ids,
                greatest(n_all - seq_len, 0)::INT AS cut_tokens, strlen(text) % {BATCH} AS tail_bytes
         FROM padded JOIN documents USING (doc_id)""",
+    "stream_padded_batches": f"""
+        SELECT doc_id, batch_idx, seq_len, array_to_string(ids, ' ') AS token_ids,
+               greatest(n_all - seq_len, 0)::INT AS cut_tokens, strlen(text) % {BATCH} AS tail_bytes
+        FROM padded JOIN documents USING (doc_id)""",
+    "batch_sweep": f"""
+        SELECT doc_id, size AS batch_size, s AS seq_len, s * size AS n_ids, 4 * s * size AS n_bytes,
+               strlen(text) % size AS tail_bytes
+        FROM (SELECT doc_id, text, size, (strlen(text) // size // 4)::BIGINT AS s
+              FROM documents, (SELECT unnest({SWEEP})::INT AS size))""",
     "transfer_modes": """
         SELECT doc_id, 'A' AS mode, sum(4 * seq_len)::BIGINT AS n_bytes,
                least(sum(4 * seq_len), 65536)::BIGINT AS sent_bytes FROM padded GROUP BY doc_id

@@ -48,3 +48,44 @@ def test_formula(spark, tokens):
             for w, p, t, g, b in zip(word, f32, TYPE[0], GAMMA, BETA)
         ]
         assert r.vec == pytest.approx(want, abs=1e-6)
+
+
+def test_a_full_size_table_is_sent_and_nothing_is_shuffled(spark, tokens):
+    """30,522 rows of 768: one narrow pass over the tokens."""
+    word = spark.range(30_522).select(
+        F.col("id").alias("token_id"), F.array_repeat(F.col("id").cast("float"), 768).alias("vec")
+    )
+    rows = embed.embedding_lookup(tokens, word)
+    assert {r.token_id: (r.row_id, r.vec[767], len(r.vec)) for r in rows.collect()} == {
+        0: (0, 0.0, 768), 1: (1, 1.0, 768), 2: (2, 2.0, 768), 3: (3, 3.0, 768), -5: (0, 0.0, 768), 30522: (0, 0.0, 768),
+    }
+    plan = rows._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "MapInArrow" in plan and "Exchange" not in plan and "Join" not in plan
+
+
+def test_steps_agree_with_the_whole_and_with_a_joined_table(spark, tokens):
+    word, pos, kind = vectors(spark, WORD, "token_id"), vectors(spark, POS, "pos"), vectors(spark, TYPE, "type_id")
+
+    def by_place(df):
+        return {r.pos: r.vec for r in df.collect()}
+
+    whole = by_place(embed.bert_embedding(tokens, word, pos, kind, GAMMA, BETA, F.lit(2)))
+    for bounds in ({}, {"max_rows": 0}):
+        found = embed.embedding_lookup(tokens, word, **bounds)
+        steps = by_place(embed.affine_tanh(embed.embedding_sum(found, pos, kind, F.lit(2)), GAMMA, BETA))
+        assert steps.keys() == whole.keys()
+        for place, vec in steps.items():
+            assert vec == pytest.approx(whole[place])
+
+
+def test_no_row_zero_and_no_place_give_null(spark, tokens):
+    word = vectors(spark, {1: [1.0, -1.0]}, "token_id")
+    rows = {r.token_id: r.vec for r in embed.embedding_lookup(tokens, word).collect()}
+    assert rows[1] == [1.0, -1.0] and rows[2] is None and rows[0] is None
+    summed = embed.embedding_sum(
+        embed.embedding_lookup(tokens, word), vectors(spark, POS, "pos"), vectors(spark, TYPE, "type_id"), F.lit(99)
+    )
+    got = {(r.pos, r.token_id): r.vec for r in summed.collect()}
+    assert got[1, 1] == pytest.approx([2.3, 0.4], abs=1e-6) and got[5, 1] is None and got[0, 0] is None
+    none = spark.createDataFrame([], "doc_id long, pos int, token_id int")
+    assert embed.embedding_lookup(none, word).collect() == []

@@ -62,3 +62,34 @@ def test_stream_leaves_no_tables_and_takes_no_input(spark, docs, tmp_path):
     os.mkdir(none)
     run(none)
     assert not os.path.exists(f"{none}-out")
+
+
+def test_known_words_are_not_cut_again(spark, tmp_path):
+    """A second batch of the same words adds none; a run that stopped after the
+    first batch goes on from the checkpoint with the same rows."""
+    vocab = vocabulary(
+        spark.createDataFrame([(s, i) for i, s in enumerate(["a", "b", "c", "ab", "Ġ", "Ġab", "bc"])], "token string, token_id int")
+    )
+    source = str(tmp_path / "in")
+    parts = [["ab abc", "c ab"], ["abc ab", "ab c ab"], ["ab newc", "bcbc"]]
+    schema = "doc_id long, text string"
+
+    def add(k):
+        rows = [(10 * k + i, t) for i, t in enumerate(parts[k])]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{source}/{k}")
+
+    def run(out):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{source}/*")
+        encode_stream(stream, vocab, f"{tmp_path}/{out}", f"{tmp_path}/{out}-state").awaitTermination()
+        return {r.doc_id: r.token_ids for r in spark.read.parquet(f"{tmp_path}/{out}").collect()}
+
+    for k in range(3):
+        add(k)
+        stepped = run("stepped")
+    whole = run("whole")
+    texts = spark.createDataFrame([(10 * k + i, t) for k, p in enumerate(parts) for i, t in enumerate(p)], schema)
+    assert stepped == whole == {r.doc_id: r.token_ids for r in greedy_encode(texts, vocab).collect()}
+    (words,) = (tmp_path / "stepped-state-words").iterdir()
+    added = {int(d.name.split("=")[1]): spark.read.parquet(str(d)) for d in words.iterdir() if d.name.startswith("batch=")}
+    met = {k: sorted(r.word for r in df.collect()) for k, df in added.items()}
+    assert met == {-1: [], 0: ["ab", "abc", "c"], 1: [], 2: ["bcbc", "newc"]}

@@ -1,28 +1,98 @@
 """Token IDs to vectors: lookup, position and type, scale, shift and tanh.
 
-Vectors stay arrays. Tables keep their FLOAT through the joins; arithmetic is in
-DOUBLE.
+Vector tables in the broadcast bounds are sent as matrices, and rows are worked
+on in columns of some thousands. Tables keep their FLOAT; arithmetic is in
+DOUBLE. A word table beyond the bounds is joined by a shuffle, whose partitions
+adaptive execution splits where a few tokens make up most rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tokenmill.sizes import BROADCAST_BYTES, BROADCAST_ROWS
 
 
+class Matrix:
+    """Rows of a vector table by their number; row 0 stands in for others."""
 
-def _vector_bytes(df: DataFrame, column: str) -> Column:
-    """Bytes of a row as it is sent."""
-    each = 4 if "float" in df.schema[column].dataType.simpleString() else 8
-    return F.size(column) * each + 16
+    def __init__(self, numbers: np.ndarray, rows: np.ndarray) -> None:
+        order = np.argsort(numbers, kind="stable")
+        self.numbers, self.rows = numbers[order], rows[order]
+        self.zero = self.row(0)
 
+    def places(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each number, and whether there is one."""
+        at = np.searchsorted(self.numbers, numbers)
+        known = at < len(self.numbers)
+        known[known] = self.numbers[at[known]] == numbers[known]
+        return at, known
 
-def _doubles(column: str) -> Column:
-    return F.col(column).cast("array<double>")
+    def row(self, number: int) -> np.ndarray | None:
+        at, known = self.places(np.array([number]))
+        return self.rows[at[0]].astype(np.float64) if known[0] else None
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors of the numbers, as doubles, and whether there are any: others
+        take row 0, which may be missing as well."""
+        at, known = self.places(numbers)
+        out = self.rows[np.where(known, at, 0)].astype(np.float64)
+        if self.zero is not None:
+            out[~known] = self.zero
+            return out, np.ones(len(numbers), dtype=bool)
+        return out, known
+
+
+def _bounded(df: DataFrame, max_rows: int, max_bytes: int) -> bool:
+    """Whether the table of vectors is in the bounds, counted."""
+    each = 4 if "float" in df.schema["vec"].dataType.simpleString() else 8
+    count, size = df.agg(F.count(F.lit(1)), F.sum(F.size("vec") * each + 16)).first()
+    return 0 < count <= max_rows and (size or 0) <= max_bytes
+
+
+def matrix(
+    df: DataFrame, number: str, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+) -> Matrix | None:
+    """A table of ``number`` and ``vec`` as a matrix; None beyond the bounds."""
+    if not _bounded(df, max_rows, max_bytes):
+        return None
+    table = df.select(F.col(number).cast("long").alias("number"), "vec").toArrow()
+    values = table["vec"].combine_chunks().flatten().to_numpy()
+    return Matrix(table["number"].to_numpy(), values.reshape(len(table), -1))
+
+
+def _vectors(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors that are there as a matrix of doubles, and which rows have one."""
+    valid = column.is_valid().to_numpy(zero_copy_only=False)
+    return column.flatten().to_numpy().astype(np.float64).reshape(-1, width), valid
+
+
+def _lists(vectors: np.ndarray, valid: np.ndarray) -> pa.ListArray:
+    """A row of ``vectors`` for each valid row, null for the others."""
+    width = vectors.shape[1] if vectors.size else 0
+    offsets = np.concatenate([[0], np.cumsum(valid * width)]).astype(np.int32)
+    mask = None if valid.all() else pa.array(~valid)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(vectors.reshape(-1)), mask=mask)
+
+
+def _mapped(
+    rows: DataFrame, kept: Sequence[str], added: str, work: Callable[[pa.RecordBatch], list[pa.Array]]
+) -> DataFrame:
+    """Columns ``kept`` and those ``work`` makes of each batch."""
+    fields = StructType.fromDDL(added).fields
+    names = [*kept, *(f.name for f in fields)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *work(batch)], names=names)
+
+    return rows.mapInArrow(run, StructType([*(rows.schema[c] for c in kept), *fields]))
 
 
 def embedding_lookup(
@@ -33,26 +103,59 @@ def embedding_lookup(
 ) -> DataFrame:
     """Adds ``row_id`` and ``vec`` to rows with ``token_id``.
 
-    IDs without a row in ``word_vec(token_id, vec)`` take row 0. A table too
-    large to broadcast is joined by a shuffle, whose partitions adaptive
-    execution splits where a few tokens make up most rows.
+    IDs without a row in ``word_vec(token_id, vec)`` take row 0.
     """
-    count, size = word_vec.agg(F.count(F.lit(1)), F.sum(_vector_bytes(word_vec, "vec"))).first()
-    zero = word_vec.filter("token_id = 0").select(_doubles("vec")).first()
-    table = word_vec.select(
-        F.col("token_id").cast("int").alias("token_id"), F.col("vec").alias("_vec")
-    )
-    if count <= max_rows and (size or 0) <= max_bytes:
-        table = F.broadcast(table)
-    found = tokens.join(table, "token_id", "left")
-    row_zero = _factors(zero[0]) if zero else F.lit(None).cast("array<double>")
-    return found.select(
+    words = matrix(word_vec, "token_id", max_rows, max_bytes)
+    if words is None:
+        return _joined_lookup(tokens, word_vec)
+
+    def work(batch: pa.RecordBatch) -> list[pa.Array]:
+        numbers = batch.column("token_id").fill_null(-1).to_numpy().astype(np.int64)
+        vectors, valid = words.take(numbers)
+        row_id = np.where(words.places(numbers)[1], numbers, 0).astype(np.int32)
+        return [pa.array(row_id), _lists(vectors[valid], valid)]
+
+    return _mapped(tokens, tokens.columns, "row_id int, vec array<double>", work)
+
+
+def _joined_lookup(tokens: DataFrame, word_vec: DataFrame) -> DataFrame:
+    zero = word_vec.filter("token_id = 0").select(F.col("vec").cast("array<double>")).first()
+    table = word_vec.select(F.col("token_id").cast("int").alias("token_id"), F.col("vec").alias("_vec"))
+    row_zero = F.array(*map(F.lit, zero[0])) if zero else F.lit(None).cast("array<double>")
+    return tokens.join(table, "token_id", "left").select(
         *tokens.columns,
         F.when(F.col("_vec").isNotNull(), F.col("token_id")).otherwise(0).alias("row_id"),
-        F.coalesce(_doubles("_vec"), row_zero).alias("vec"),
+        F.coalesce(F.col("_vec").cast("array<double>"), row_zero).alias("vec"),
     )
 
 
+def place_matrix(pos_vec: DataFrame, type_vec: DataFrame, type_id: int) -> Matrix:
+    """Position and type vector added once for each place: as many rows as the
+    longest sequence the model knows, which is refused beyond the bounds."""
+    kind = type_vec.filter(F.col("type_id") == type_id).select(F.col("vec").cast("array<double>")).first()
+    if kind is None:
+        raise ValueError(f"no vector of type {type_id}")
+    places = matrix(pos_vec, "pos")
+    if places is None:
+        raise ValueError("a position table is empty or too large to send")
+    return Matrix(places.numbers, places.rows.astype(np.float64) + np.array(kind[0]))
+
+
+def _placed(rows: DataFrame, places: Matrix, seq_len: Column, work) -> DataFrame:
+    """``vec`` by ``work(vectors, vectors of their places)``; null where a row has
+    no vector or its place none."""
+    kept = [c for c in rows.columns if c != "vec"]
+
+    def run(batch: pa.RecordBatch) -> list[pa.Array]:
+        vectors, valid = _vectors(batch.column("vec"), places.rows.shape[1])
+        at, known = places.places(batch.column("_at").fill_null(-1).to_numpy().astype(np.int64))
+        both = valid & known
+        return [_lists(work(vectors[both[valid]], places.rows[at[both]]), both)]
+
+    placed = rows.withColumn("_at", (F.col("pos") % seq_len).cast("int"))
+    return _mapped(placed, kept, "vec array<double>", run)
+
+
 def embedding_sum(
     rows: DataFrame,
     pos_vec: DataFrame,
@@ -61,42 +164,20 @@ def embedding_sum(
     type_id: int = 0,
 ) -> DataFrame:
     """Adds the vectors of place ``pos % seq_len`` and of the type."""
-    joined = rows.withColumn("_at", (F.col("pos") % seq_len).cast("int")).join(
-        place_vectors(pos_vec, type_vec, type_id), "_at", "left"
-    )
-    summed = F.zip_with("vec", "_place_vec", lambda x, y: x + y)
-    return joined.withColumn("vec", summed).drop("_at", "_place_vec")
-
-
-def place_vectors(pos_vec: DataFrame, type_vec: DataFrame, type_id: int) -> DataFrame:
-    """``(_at, _place_vec)``: position and type vector added once per place.
-
-    The table has as many rows as the longest sequence the model knows; the
-    vector of the type is looked up and added as a constant.
-    """
-    n, size = pos_vec.agg(F.count(F.lit(1)), F.sum(_vector_bytes(pos_vec, "vec"))).first()
-    kind = type_vec.filter(F.col("type_id") == type_id).select(_doubles("vec")).first()
-    if kind is None:
-        raise ValueError(f"no vector of type {type_id}")
-    placed = pos_vec.select(
-        F.col("pos").cast("int").alias("_at"),
-        F.zip_with(_doubles("vec"), _factors(kind[0]), lambda x, y: x + y).alias("_place_vec"),
-    )
-    if n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES:
-        return F.broadcast(placed)
-    return placed
+    places = place_matrix(pos_vec, type_vec, type_id)
+    return _placed(rows, places, seq_len, lambda own, place: own + place)
 
 
 def affine_tanh(rows: DataFrame, gamma: Sequence[float], beta: Sequence[float]) -> DataFrame:
     """``tanh(vec * gamma + beta)`` place by place; one factor and one shift
     per dimension."""
-    g, b = _factors(gamma), _factors(beta)
-    scaled = F.zip_with(F.zip_with("vec", g, lambda x, y: x * y), b, lambda x, y: x + y)
-    return rows.withColumn("vec", F.transform(scaled, lambda x: F.tanh(x)))
+    g, b = np.array(gamma, dtype=np.float64), np.array(beta, dtype=np.float64)
 
+    def work(batch: pa.RecordBatch) -> list[pa.Array]:
+        vectors, valid = _vectors(batch.column("vec"), len(g))
+        return [_lists(np.tanh(vectors * g + b), valid)]
 
-def _factors(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+    return _mapped(rows, [c for c in rows.columns if c != "vec"], "vec array<double>", work)
 
 
 def bert_embedding(
@@ -110,19 +191,27 @@ def bert_embedding(
 ) -> DataFrame:
     """Vectors of fixed-length token rows ``(…, pos, token_id)``.
 
-    Scale and shift distribute over the sum: those of position and type are
-    applied once to each place, so a token is left with its own.
+    Scale and shift distribute over the sum: they are applied once to each row
+    of the tables, so a token is left with one addition and the tanh.
     """
-    g, b = _factors(gamma), _factors(beta)
-    scaled = F.zip_with("_place_vec", g, lambda x, y: x * y)
-    placed = place_vectors(pos_vec, type_vec, 0).withColumn(
-        "_place_vec", F.zip_with(scaled, b, lambda x, y: x + y)
-    )
-    joined = (
-        embedding_lookup(tokens, word_vec)
-        .withColumn("_at", (F.col("pos") % seq_len).cast("int"))
-        .join(placed, "_at", "left")
-    )
-    own = F.zip_with("vec", g, lambda x, y: x * y)
-    vec = F.zip_with(own, "_place_vec", lambda x, y: F.tanh(x + y))
-    return joined.withColumn("vec", vec).drop("_at", "_place_vec")
+    g, b = np.array(gamma, dtype=np.float64), np.array(beta, dtype=np.float64)
+    places = place_matrix(pos_vec, type_vec, 0)
+    placed = Matrix(places.numbers, places.rows * g + b)
+    words = matrix(word_vec, "token_id")
+    if words is None:
+        found = _joined_lookup(tokens, word_vec)
+        return _placed(found, placed, seq_len, lambda own, place: np.tanh(own * g + place))
+
+    def work(batch: pa.RecordBatch) -> list[pa.Array]:
+        numbers = batch.column("token_id").fill_null(-1).to_numpy().astype(np.int64)
+        at, there = placed.places(batch.column("_at").fill_null(-1).to_numpy().astype(np.int64))
+        vectors, valid = words.take(numbers)
+        both = valid & there
+        row_id = np.where(words.places(numbers)[1], numbers, 0).astype(np.int32)
+        vectors = vectors if both.all() else vectors[both]
+        vectors *= g
+        vectors += placed.rows[at[both]]
+        return [pa.array(row_id), _lists(np.tanh(vectors, out=vectors), both)]
+
+    rows = tokens.withColumn("_at", (F.col("pos") % seq_len).cast("int"))
+    return _mapped(rows, tokens.columns, "row_id int, vec array<double>", work)
