@@ -29,6 +29,7 @@ from tokenmill.operators.vocabulary import Vocabulary, vocabulary
 from tokenmill.operators.wordpiece import wordpiece_encode
 from tokenmill.plans import corpus_vocabulary as cv
 from tokenmill.plans.batches import batch_sweep, padded_batches, transfer_modes
+from tokenmill.plans.comparison import compare_tokenizers
 from tokenmill.scratch import new_path, stored
 from tokenmill.sources import measurements, sinks, vocabularies
 from tokenmill.streaming.stream import encode_stream
@@ -435,15 +436,9 @@ def token_counts_by_label(spark, sf_dir):
 
 
 def tokenizer_comparison(spark, sf_dir):
-    hashed = _hashed(spark, sf_dir, BPE_MODULUS).withColumn("n_tokens", F.size("token_ids"))
-    return accounts.compare_tokenizers(
-        {
-            "greedy": _greedy(spark, sf_dir),
-            "merge_bpe": _merged(spark, sf_dir),
-            "wordpiece": _wordpiece(spark, sf_dir),
-            "hash": hashed,
-        }
-    )
+    merges, merge_vocab = _merges(spark, sf_dir)
+    vocab, pieces = _vocab(spark, sf_dir), _wp_vocab(spark, sf_dir)
+    return compare_tokenizers(_texts(spark, sf_dir), vocab, merges, merge_vocab, pieces)
 
 
 def payload_bytes(spark, sf_dir):

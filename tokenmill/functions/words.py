@@ -31,6 +31,20 @@ CJK = (
 PUNCTUATION = "!-/:-@\\[-`{-~\\p{P}"
 
 
+def spaced_words(text: str) -> Column:
+    """Words, with the space directly before them where there is one."""
+    return F.regexp_extract_all(text, F.lit(SPACED_WORD), F.lit(0))
+
+
+def pre_token_list(text: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(PRE_TOKEN), F.lit(0))
+
+
+def chunk_list(text: str) -> Column:
+    # naming the common characters first spares most of them the long set
+    return F.regexp_extract_all(text, F.lit(f"[!-~[^{WHITE_SPACE}]]+"), F.lit(0))
+
+
 def split_words(df: DataFrame, text: str = "text") -> DataFrame:
     """One row per word: ``word_idx``, ``word`` and ``has_space`` replace the
     text. A text without words keeps one row with a NULL word."""
@@ -38,9 +52,7 @@ def split_words(df: DataFrame, text: str = "text") -> DataFrame:
     return (
         df.select(
             *others,
-            F.posexplode_outer(
-                F.regexp_extract_all(text, F.lit(SPACED_WORD), F.lit(0))
-            ).alias("word_idx", "_spaced"),
+            F.posexplode_outer(spaced_words(text)).alias("word_idx", "_spaced"),
         )
         .withColumn("has_space", F.col("_spaced").startswith(" "))
         .withColumn(
@@ -58,9 +70,7 @@ def split_pre_tokens(df: DataFrame, text: str = "text") -> DataFrame:
     others = [c for c in df.columns if c != text]
     return df.select(
         *others,
-        F.posexplode_outer(
-            F.regexp_extract_all(text, F.lit(PRE_TOKEN), F.lit(0))
-        ).alias("word_idx", "word"),
+        F.posexplode_outer(pre_token_list(text)).alias("word_idx", "word"),
     )
 
 
@@ -69,10 +79,7 @@ def split_chunks(df: DataFrame, text: str = "text") -> DataFrame:
     others = [c for c in df.columns if c != text]
     return df.select(
         *others,
-        F.posexplode_outer(
-            # naming the common characters first spares most of them the long set
-            F.regexp_extract_all(text, F.lit(f"[!-~[^{WHITE_SPACE}]]+"), F.lit(0))
-        ).alias("word_idx", "word"),
+        F.posexplode_outer(chunk_list(text)).alias("word_idx", "word"),
     )
 
 
