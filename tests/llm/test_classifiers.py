@@ -1,5 +1,6 @@
 """Toxicity and ordinal quality on small learnable corpora."""
 
+import math
 import random
 import zlib
 
@@ -131,6 +132,58 @@ def test_tails_and_expected_grade_agree():
     assert chances @ [0, 1, 2] == pytest.approx(tails[:, 1:].sum(axis=1))
 
 
+def plain_loss(weights, free, batch, y, share):
+    """Negative log-likelihood, one text after the other."""
+    cuts, loss = [], 0.0
+    for i, f in enumerate(free):
+        cuts.append(f if not i else cuts[-1] + math.exp(f))
+    for features, grade, part in zip(batch, y, share):
+        words = [f for f in features if f < 1 << ordinal.BITS]
+        latent = sum(weights[f] for f in features if f >= 1 << ordinal.BITS)
+        latent += sum(weights[f] for f in words) / math.sqrt(max(1, len(words)))
+        at_most = [0.0, *(1 / (1 + math.exp(latent - c)) for c in cuts), 1.0]
+        loss -= part * math.log(at_most[grade + 1] - at_most[grade])
+    return loss
+
+
+def test_gradients_by_finite_differences():
+    rng = np.random.default_rng(1)
+    shapes = np.arange(ordinal.SHAPES) * ordinal.STEPS + (1 << ordinal.BITS)
+    batch = [np.concatenate([rng.choice(30, n, replace=False), shapes + n]).astype(np.int32) for n in (1, 4, 9, 6, 2)]
+    y, share = np.array([0, 2, 1, 3, 2]), np.array([0.1, 0.3, 0.2, 0.25, 0.15])
+    weights = rng.normal(0, 0.5, (1 << ordinal.BITS) + ordinal.SHAPES * ordinal.STEPS)
+    free = np.array([-0.4, 0.2, -0.7])
+    used, grad, grad_free = ordinal.gradients(weights, free, batch, y, share)
+    assert set(used.tolist()) == {int(f) for features in batch for f in features}
+
+    def slope(array, i, step=1e-6):
+        ends = []
+        for sign in (1, -1):
+            moved = array.copy()
+            moved[i] += sign * step
+            args = (moved, free) if array is weights else (weights, moved)
+            ends.append(plain_loss(*args, batch, y, share))
+        return (ends[0] - ends[1]) / (2 * step)
+
+    assert grad == pytest.approx([slope(weights, i) for i in used], abs=1e-6)
+    assert grad_free == pytest.approx([slope(free, i) for i in range(3)], abs=1e-6)
+
+
+def test_grades_as_scored_plainly(spark, corpus):
+    model = ordinal.train(*corpus)
+    texts = ["", "ka lo ka NASTY vile", "### ### ##", "the the the the", "Tertermi, on. 123 ba!"]
+    got = {r["doc_id"]: r for r in ordinal.grade_texts(frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), model).collect()}
+    make = ordinal.Features()
+    for i, text in enumerate(texts):
+        features = make(text)
+        words = [f for f in features if f < 1 << ordinal.BITS]
+        latent = sum(model.weights[f] for f in features if f >= 1 << ordinal.BITS)
+        latent += sum(model.weights[f] for f in words) / math.sqrt(max(1, len(words)))
+        above = [1 / (1 + math.exp(c - latent)) for c in model.thresholds]
+        assert got[i]["expected_grade"] == pytest.approx(sum(above))
+        assert got[i]["tail_probability"] == pytest.approx(above[1])
+
+
 def test_ordinal_odd_rows(odd, odd_rows, corpus):
     rows = ordinal.graded(odd, corpus[1]).collect()
     assert len(rows) == len(odd_rows) and all(0 <= r["expected_grade"] <= 2 for r in rows)

@@ -8,8 +8,9 @@ cumulative-link (proportional-odds) model. It gives the expected grade, and the
 chance of a grade at or above a wanted one, by which documents are selected.
 
 Features: the distinct lower-cased words and their beginnings of 4 and 6
-characters, each 1 / sqrt(their number), and the shape of the text: shares of words that are upper case, repeat the word before,
-end in marks, hold no letter, in steps of a tenth.
+characters, each 1 / sqrt(their number), and the shape of the text: shares of
+words that are upper case, repeat the word before, end in marks, hold no letter,
+in steps of a tenth.
 
 The fit is Adagrad in numpy on the driver over at most ``PER_GRADE`` labelled
 documents of each grade, all grades weighing the same; feature numbers go there,
@@ -34,10 +35,10 @@ from tokenmill.llm.common import Memo, extended, fold, labelled_sample, plain_wo
 #: Bound of the fit: labelled documents of each grade.
 PER_GRADE = 4000
 BITS = 18
-EPOCHS = 6
+EPOCHS = 20
 BATCH = 32
 RATE = 1.0
-DECAY = 1e-5
+DECAY = 1e-4
 SHAPES = 4
 BEGINNINGS = (4, 6)
 STEPS = 11
@@ -100,49 +101,62 @@ def tails(model: Model, latent: np.ndarray) -> np.ndarray:
     return np.concatenate([np.ones((len(latent), 1)), above], axis=1)
 
 
+def cuts_of(free: np.ndarray) -> np.ndarray:
+    """Thresholds: the first, then steps given by their logs, so always in
+    order."""
+    return np.cumsum(np.concatenate([free[:1], np.exp(free[1:])]))
+
+
+def gradients(
+    weights: np.ndarray, free: np.ndarray, batch: list[np.ndarray], y: np.ndarray, share: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the weighted negative log-likelihood: the features of the batch and
+    the gradient of each, and that of ``free``."""
+    latent = scores(weights, batch)
+    edges = np.concatenate([[-np.inf], cuts_of(free), [np.inf]])
+    high = 1 / (1 + np.exp(-np.clip(edges[y + 1] - latent, -500, 500)))
+    low = 1 / (1 + np.exp(-np.clip(edges[y] - latent, -500, 500)))
+    inside = np.maximum(high - low, 1e-9)
+    # d log(high - low) by the upper edge, by the lower and by the score
+    up, down = high * (1 - high) / inside, low * (1 - low) / inside
+    back = share * (up - down)
+    sizes = np.array([len(f) for f in batch])
+    flat = np.concatenate(batch)
+    values = np.repeat(back / np.sqrt(np.maximum(1, sizes - SHAPES)), sizes)
+    values = np.where(flat >= 1 << BITS, np.repeat(back, sizes), values)
+    used, which = np.unique(flat, return_inverse=True)
+    by_cut = np.array([(share * (down * (y == i + 1) - up * (y == i))).sum() for i in range(len(free))])
+    after = by_cut[::-1].cumsum()[::-1]  # a step moves all cuts above it
+    return used, np.bincount(which, values), after * np.concatenate([[1.0], np.exp(free[1:])])
+
+
 def fit(features: list[np.ndarray], y: np.ndarray, weight: np.ndarray, grades: list[int], seed: int = 42) -> Model:
-    """``y`` counts up the list of grades."""
+    """``y`` counts up the list of grades. Weights and thresholds are the means
+    over the second half of the epochs, which single batches move little."""
     k = len(grades)
     weights = np.zeros((1 << BITS) + SHAPES * STEPS)
     square = np.full_like(weights, 1e-4)
     below = np.array([(weight * (y <= i)).sum() / weight.sum() for i in range(k - 1)])
     cuts = np.log(below / (1 - below))
-    # first threshold, then the logs of the steps: always in order
     free = np.concatenate([cuts[:1], np.log(np.maximum(np.diff(cuts), 1e-2))])
     free_square = np.full_like(free, 1e-2)
     rng = np.random.default_rng(seed)
-    for _ in range(EPOCHS):
+    total, total_free, steps = np.zeros_like(weights), np.zeros_like(free), 0
+    for epoch in range(EPOCHS):
         order = rng.permutation(len(y))
         for at in range(0, len(y), BATCH):
             some = order[at : at + BATCH]
-            batch = [features[i] for i in some]
-            theta = np.cumsum(np.concatenate([free[:1], np.exp(free[1:])]))
-            latent = scores(weights, batch)
-            edges = np.concatenate([[-np.inf], theta, [np.inf]])
-            high = 1 / (1 + np.exp(-np.clip(edges[y[some] + 1] - latent, -500, 500)))
-            low = 1 / (1 + np.exp(-np.clip(edges[y[some]] - latent, -500, 500)))
-            share = weight[some] / len(some)
-            inside = np.maximum(high - low, 1e-9)
-            # d log(high - low) by the upper edge, by the lower and by the score
-            up, down = high * (1 - high) / inside, low * (1 - low) / inside
-            back = share * (up - down)
-            sizes = np.array([len(f) for f in batch])
-            flat = np.concatenate(batch)
-            values = np.repeat(back / np.sqrt(np.maximum(1, sizes - SHAPES)), sizes)
-            values = np.where(flat >= 1 << BITS, np.repeat(back, sizes), values)
-            used, which = np.unique(flat, return_inverse=True)
-            grad = np.bincount(which, values) + DECAY * weights[used]
+            used, grad, grad_free = gradients(
+                weights, free, [features[i] for i in some], y[some], weight[some] / len(some)
+            )
+            grad += DECAY * weights[used]
             square[used] += grad**2
             weights[used] -= RATE * grad / np.sqrt(square[used])
-            by_cut = np.array(
-                [(share * (down * (y[some] == i + 1) - up * (y[some] == i))).sum() for i in range(k - 1)]
-            )
-            after = by_cut[::-1].cumsum()[::-1]  # a step moves all cuts above it
-            grad_free = after * np.concatenate([[1.0], np.exp(free[1:])])
             free_square += grad_free**2
             free -= RATE * grad_free / np.sqrt(free_square)
-    theta = np.cumsum(np.concatenate([free[:1], np.exp(free[1:])]))
-    return Model(weights, theta, grades)
+        if epoch >= EPOCHS // 2:
+            total, total_free, steps = total + weights, total_free + free, steps + 1
+    return Model(total / steps, cuts_of(total_free / steps), grades)
 
 
 def train(
