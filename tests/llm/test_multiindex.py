@@ -49,7 +49,7 @@ def test_few_codes(spark, n):
 
 
 def test_probing(spark):
-    """More codes than the sample, close neighbours and far ones."""
+    """Close neighbours and far ones."""
     rng = random.Random(1)
     centres = [signed(rng) for _ in range(150)]
     codes = [(i, near(rng, centres[i % 150], 6)) for i in range(3000)]
@@ -64,6 +64,34 @@ def test_equal_codes_and_repeated_rows(spark):
     check(spark, codes, [c for c in codes if c[0] % 50 == 0] + [(1, 77), (3, 12345)])
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_given_vectors_end_by_radius(spark, sf, monkeypatch):
+    """Whole tables as the query asks: every query's k-th distance is covered by
+    the radii that were probed for it, and nothing but probes gives candidates."""
+    codes = multiindex.sign_codes(spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")).persist()
+    known = [(r["id"], r["code"]) for r in codes.collect()]
+    probed = []
+    inner = multiindex._probes
+
+    def watched(queries, cuts, radii):
+        probed.append((len(cuts) * (radii[-1] + 1) - 1, {r["q"]: r["bound"] for r in queries.collect()}))
+        return inner(queries, cuts, radii)
+
+    monkeypatch.setattr(multiindex, "_probes", watched)
+    rows = multiindex.nearest(codes, codes.where("id % 20 = 0"), 10).collect()
+    want = brute(known, [c for c in known if c[0] % 20 == 0], 10)
+    got = {}
+    for r in sorted(rows, key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append((r["distance"], r["id"]))
+    assert got == want
+    last = {}
+    for covered, asked in probed:
+        last |= dict.fromkeys(asked, covered)
+    far = {code: want[i][-1][0] for i, code in known if i in want}
+    assert last.keys() == far.keys()
+    assert all(last[q] >= far[q] for q in far)
+
+
 def test_segments_cover_the_code():
     for n in (1, 100, 10**5, 10**7, 10**10):
         cuts = multiindex.segments(n)

@@ -8,12 +8,10 @@ its k-th verified distance is at most what the radii so far cover. The radius
 grows by one segment at a time: with r + 1 done in the first b segments, all
 distances up to m * (r + 1) + b - 1 are covered.
 
-Segments are as wide as the number of codes needs (log2 of it, 16 bits at
-least), so that an index cell holds few codes. A bounded sample of codes gives
-every query a first bound, and only candidates within a query's bound leave the
-join, never all that were met. When a ring would take more probes than there are
-codes, and these are at most PROBES, the rest of the queries is compared with all
-of them instead.
+Segments are as wide as the number of codes needs (log2 of it), so that an index
+cell holds few codes. Only candidates within a query's bound, the k-th distance
+it has so far, leave the join, never all that were met. Every query ends by its
+covered radius, at every size of the table.
 
 Equal codes are one: an index entry holds a code with its least k + 1 ids, as
 many as any query can use, so neither a code of a third of all rows nor as many
@@ -40,13 +38,12 @@ from pyspark.sql import functions as F
 from tokenmill.scratch import stored
 
 BITS = 64
-WIDTH = 16
-#: Codes of the first bound.
-SAMPLE = 1024
+#: Least width of a segment.
+WIDTH = 4
 #: Radii are probed together while a query needs no more probes than this.
 FEW = 1024
-#: Codes that may be sent to all tasks.
-PROBES = 1 << 16
+#: Probes that a task makes, about.
+PROBES = 1 << 20
 
 
 def signs(vectors: list[np.ndarray]) -> np.ndarray:
@@ -106,6 +103,8 @@ def _probes(queries: DataFrame, cuts: list[tuple[int, int]], radii: list[int]) -
                     # what smaller radii and the segments before cover may do
                     asking = np.flatnonzero(bound > len(cuts) * r + i - 1)
                     ring_ = masks[width, r]
+                    if not len(ring_):  # a narrower segment has no such values
+                        continue
                     step = max(1, (1 << 18) // len(ring_))
                     for at in range(0, len(asking), step):
                         some = asking[at : at + step]
@@ -124,31 +123,6 @@ def _least(rows: DataFrame, key: str, k: int) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
 
 
-def _against(queries: DataFrame, codes: np.ndarray, ids: list[list[int]], k: int) -> DataFrame:
-    """Each query's k least (dist, id) among the given codes."""
-    lengths = np.array([len(i) for i in ids], dtype=np.int64)
-    flat = np.array([i for some in ids for i in some], dtype=np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for q in np.asarray(batch.column("q")):
-                # the count of a signed number is that of its absolute value
-                dist = np.repeat(np.bitwise_count((codes ^ q).view(np.uint64)), lengths)
-                if len(dist) > k:
-                    near = np.flatnonzero(dist <= np.partition(dist, k - 1)[k - 1])
-                else:
-                    near = np.arange(len(dist))
-                best = near[np.lexsort((flat[near], dist[near]))][:k]
-                out += [(int(q), int(dist[i]), int(flat[i])) for i in best]
-            if out:
-                columns = zip(*out)
-                kinds = (("q", pa.int64()), ("dist", pa.int32()), ("id", pa.int64()))
-                yield pa.RecordBatch.from_pydict({n: pa.array(c, t) for (n, t), c in zip(kinds, columns)})
-
-    return queries.select("q").mapInArrow(run, "q long, dist int, id long")
-
-
 def nearest(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """For each row (id, code) of ``queries`` its k nearest others among the
     rows of ``codes``: query_id, rank, id and distance."""
@@ -158,19 +132,12 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     first = Window.partitionBy("code").orderBy("id")
     index = codes.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= want)
     index = stored(index.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "near-index")
-    n = index.count()
-    open_ = asked.select("q").distinct()
+    cuts = segments(index.count())
+    spark = codes.sparkSession
+    open_ = stored(asked.select("q").distinct(), "near-open")
+    best = spark.createDataFrame([], "q long, dist int, id long")
     found: DataFrame | None = None
-
-    def listed(rows: DataFrame) -> tuple[np.ndarray, list[list[int]]]:
-        """A bounded number of codes, for all tasks."""
-        got = rows.toArrow()
-        return got["code"].to_numpy().astype(np.int64), got["ids"].to_pylist()
-
-    cuts = segments(n)
-    sample = index if n <= SAMPLE else index.orderBy(F.xxhash64("code"), "code").limit(SAMPLE)
-    best = stored(_least(_against(open_, *listed(sample), want), "q", want), "near-best")
-    covered = BITS if n <= SAMPLE else -1
+    covered = -1
     parts = index.select(
         "code", "ids", F.explode(F.array(*[F.struct(F.lit(i).alias("s"), _cut("code", *c).alias("v")) for i, c in enumerate(cuts)])).alias("p")
     ).select("p.s", "p.v", "code", "ids")
@@ -185,18 +152,16 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         finished = best.join(done, "q", "left_semi")
         found = finished if found is None else found.unionByName(finished)
         live = bounds.where(F.col("bound") > covered)
-        if covered >= BITS or not live.limit(1).count():
+        n_live = live.count()
+        if not n_live:
             break
         best = best.join(live.select("q"), "q", "left_semi")
         open_ = live.select("q")
         radii = [radius]
-        while sum(comb(w, r) for _, w in cuts for r in (*radii, radii[-1] + 1)) <= FEW:
+        while radii[-1] < cuts[0][1] and sum(comb(w, r) for _, w in cuts for r in (*radii, radii[-1] + 1)) <= FEW:
             radii.append(radii[-1] + 1)
         probes = sum(comb(w, r) for _, w in cuts for r in radii)
-        if probes > n and n <= PROBES:
-            best = stored(_against(open_, *listed(index), want), "near-best")
-            covered = BITS
-            continue
+        live = live.repartition(1 + n_live * probes // PROBES)
         dist = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
         met = (
             _probes(live, cuts, radii)
