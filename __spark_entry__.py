@@ -667,8 +667,9 @@ def merge_from_files(spark, sf_dir):
 
 
 def measurement_files(spark, sf_dir):
-    """Events, a third in each CSV shape, read into one table."""
-    events, paths = _events(spark, sf_dir), {}
+    """Events, a third in each CSV shape, written to one folder and read into
+    one table by the files' own headers."""
+    events, folder = _events(spark, sf_dir), new_path(spark, "csv")
     time, number = F.col("time_us"), F.col("event_id")
     timed = (number % 100).cast("string")
     warm = F.when(number % 2 == 0, F.concat(F.lit("warmup"), number % 10)).otherwise(timed)
@@ -681,15 +682,14 @@ def measurement_files(spark, sf_dir):
         "gpu_mem_mb": number % 500,
         "cpu_pct": number % 7,
     }
-    for at, (shape_name, columns) in enumerate(measurements.SHAPES.items()):
-        path = paths[shape_name] = new_path(spark, f"csv-{shape_name}")
+    for at, columns in enumerate(measurements.SHAPES.values()):
         cells = []
         for name, (common, kind) in columns.items():
             value = values.get(common, number % 1000 if kind == "int" else time)
             cells.append(value.cast(kind).alias(name))
         rows = events.filter(number % 3 == at).select(*cells)
-        rows.write.option("header", True).csv(path)
-    read = measurements.read_all_measurements(spark, {k: [v] for k, v in paths.items()})
+        rows.write.mode("append").option("header", True).csv(folder)
+    read = measurements.read_mixed_measurements(spark, folder)
     # a missing number is told apart from others alike in all engines
     return read.withColumns({c: F.col(c).cast("double") for c in ("gpu_mem_mb", "cpu_pct")})
 

@@ -65,6 +65,31 @@ def test_measurement_shapes_in_one_table(spark, tmp_path):
     assert measures.drop_warmup_rows(df).count() == 3
 
 
+def test_a_mixed_folder_reads_by_its_own_headers(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    for i, (shape, text) in enumerate(CSV.items()):
+        write(folder / f"{i}-any.csv", text)
+        write(folder / f"{i}-crlf.csv", text.replace("\n", "\r\n"))
+    write(folder / "odd.csv", CSV["timing"].replace("RDMA_us", "Other_us"))
+    write(folder / "empty.csv", "")
+    write(folder / "head.csv", CSV["results"].split("\n")[0] + "\n")
+    headers = ms.file_headers(spark, str(folder))
+    shapes = {r.file_path.rsplit("/", 1)[1]: r.shape for r in headers.collect()}
+    names = list(CSV)
+    assert shapes == {f"{i}-{k}.csv": names[i] for i in range(3) for k in ("any", "crlf")} | {"odd.csv": None, "head.csv": "results"}
+    (unknown,) = ms.unknown_headers(headers).collect()
+    assert unknown.file_path.endswith("odd.csv") and "Other_us" in unknown.header
+    mixed = ms.read_mixed_measurements(spark, str(folder))
+    paths = {s: [str(folder / f"{i}-any.csv")] for i, s in enumerate(CSV)}
+    sorted_out = ms.read_all_measurements(spark, paths)
+    assert dict(mixed.dtypes) == dict(sorted_out.dtypes)
+    one = sorted(map(repr, sorted_out.select(*mixed.columns).collect()))
+    assert sorted(map(repr, mixed.collect())) == sorted(2 * one)
+    plan = mixed.select("*")._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert plan.count("FileScan text") == 1
+
+
 def test_unexpected_header_is_refused(spark, tmp_path):
     path = write(tmp_path / "bad.csv", CSV["timing"].replace("RDMA_us", "Other_us"))
     with pytest.raises(Exception):

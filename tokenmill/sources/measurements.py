@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokenmill.scratch import stored
+from tokenmill.sizes import broadcast_if_small
+
 # The columns of each CSV shape in file order, with their name in
 # the common table.
 SHAPES: dict[str, dict[str, tuple[str, str]]] = {
@@ -118,6 +121,73 @@ def read_all_measurements(spark: SparkSession, paths: Mapping[str, Sequence[str]
     )
 
 
+def file_headers(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``file_path``, ``header`` and ``shape`` of every CSV file: its first line,
+    and the shape whose columns that names, NULL if none does.
+
+    One pass over the files that sends a line for each file.
+    """
+    lines = spark.read.text(path).select(
+        "_metadata.file_path",
+        "_metadata.file_block_start",
+        F.rtrim(F.regexp_replace("value", "[\r\ufeff]", "")).alias("header"),
+        # lines of a task are numbered in their order
+        F.monotonically_increasing_id().alias("_at"),
+    )
+    first = lines.filter("file_block_start = 0").groupBy("file_path").agg(F.min_by("header", "_at").alias("header"))
+    shape = F.lit(None).cast("string")
+    for name, columns in SHAPES.items():
+        shape = F.when(F.col("header") == ",".join(columns), name).otherwise(shape)
+    return first.withColumn("shape", shape)
+
+
+def unknown_headers(headers: DataFrame) -> DataFrame:
+    """Files whose first line names the columns of no shape."""
+    return headers.filter("shape IS NULL").select("file_path", "header")
+
+
+#: Columns of the common table with the types that ``union_measurements`` gives.
+COMMON = {
+    "scenario": "string", "payload_kb": "int", "iteration": "string", "textgen_us": "double",
+    "tokenize_us": "double", "total_us": "double", "transfer_us": "double", "compute_us": "double",
+    "gpu_util_pct": "double", "gpu_mem_mb": "int", "cpu_pct": "int", "run": "int",
+}
+
+
+def read_mixed_measurements(
+    spark: SparkSession, path: str | list[str], headers: DataFrame | None = None
+) -> DataFrame:
+    """CSV files of any of the shapes in one table, each file by its own header.
+
+    ``headers`` are those of :func:`file_headers`. Files with other headers are
+    left out; ``unknown_headers`` lists them. The lines are read once, whatever
+    the number of shapes, and parsed by the shape of their file.
+    """
+    known = stored(file_headers(spark, path) if headers is None else headers, "csv-headers")
+    known = known.filter("shape IS NOT NULL").select("file_path", "header", "shape")
+    sized = broadcast_if_small(known, F.octet_length("file_path") + F.octet_length("header") + 32)
+    lines = spark.read.text(path).select("_metadata.file_path", F.regexp_replace("value", "[\r\ufeff]", "").alias("line"))
+    rows = lines.join(sized, "file_path").filter((F.rtrim("line") != F.col("header")) & (F.trim("line") != ""))
+    parsed = {}
+    for name, columns in SHAPES.items():
+        schema = ", ".join(f"{common} {COMMON[common]}" for common, _ in columns.values())
+        parsed[f"_{name}"] = F.when(F.col("shape") == name, F.from_csv("line", schema))
+    rows = rows.withColumns(parsed)
+    cells = []
+    for common, kind in COMMON.items():
+        found = [
+            F.col(f"_{name}.{common}") for name, columns in SHAPES.items() if common in {c for c, _ in columns.values()}
+        ]
+        cells.append(F.coalesce(*found).cast(kind).alias(common))
+    number = F.regexp_extract("iteration", "([0-9]+)$", 1).cast("int")
+    return rows.select(*cells).withColumns(
+        {
+            "run": F.coalesce("run", number),
+            "is_warmup": F.coalesce(F.col("iteration").startswith("warmup"), F.lit(False)),
+        }
+    )
+
+
 def read_summary(spark: SparkSession, path: str) -> DataFrame:
     """The summary table, whose two-level header takes three lines."""
     lines = F.split("value", "\r\n|\n")
