@@ -31,7 +31,7 @@ from tokenmill.plans import corpus_vocabulary as cv
 from tokenmill.plans.batches import batch_sweep, padded_batches, transfer_modes
 from tokenmill.plans.comparison import compare_tokenizers
 from tokenmill.scratch import new_path, stored
-from tokenmill.sources import measurements, sinks, vocabularies
+from tokenmill.sources import layout, measurements, sinks, vocabularies
 from tokenmill.streaming.stream import encode_stream
 
 import oracles
@@ -751,12 +751,12 @@ def result_files(spark, sf_dir):
 
 
 def transfer_files(spark, sf_dir):
-    """Both modes written and read back: what each row holds."""
+    """Both modes written by key and read back: what each row holds."""
     texts, path = _texts(spark, sf_dir), new_path(spark, "transfer")
     batches = padded_batches(texts, _vocab(spark, sf_dir), BATCH)
-    sinks.write_transfer(path, texts, batches)
-    ids = _joined(spark.read.parquet(f"{path}/mode=A"))
-    sent = spark.read.parquet(f"{path}/mode=B")
+    sinks.write_transfer(path, texts, batches, key="doc_id")
+    ids = _joined(layout.read_keyed(spark, f"{path}/mode=A", "doc_id"))
+    sent = layout.read_keyed(spark, f"{path}/mode=B", "doc_id")
     return ids.select(
         F.lit("A").alias("mode"), "doc_id", "batch_idx", F.md5(F.col("token_ids").cast("binary")).alias("content_md5")
     ).unionByName(

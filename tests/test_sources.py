@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tokenmill.operators import measures
 from tokenmill.sources import measurements as ms
-from tokenmill.sources import sinks
+from tokenmill.sources import layout, sinks
 from tokenmill.sources.vocabularies import (
     load_bpe_vocabulary,
     load_merges,
@@ -151,3 +151,42 @@ def test_sinks(spark, tmp_path):
     assert {r.mode for r in both.collect()} == {"A", "B"}
     sinks.write_tokens(batches.withColumn("lang", F.lit("en")), str(tmp_path / "p"), ["lang"])
     assert spark.read.parquet(str(tmp_path / "p")).first().lang == "en"
+
+
+def test_keyed_tables_open_only_the_files_of_a_range(spark, tmp_path):
+    path = str(tmp_path / "keyed")
+    rows = [(i if i % 50 else None, f"t{i}") for i in range(1000)]
+    schema = "doc_id long, text string"
+    layout.write_keyed(spark.createDataFrame(rows, schema).repartition(5), path, "doc_id", 8)
+    manifest = layout.read_manifest(spark, path).collect()
+    assert sum(r.n_rows for r in manifest) == 1000 and sum(r.n_null for r in manifest) == 20
+    edges = sorted((r.least, r.greatest) for r in manifest if r.least is not None)
+    assert all(a[1] < b[0] for a, b in zip(edges, edges[1:])) and len(edges) >= 6
+    whole = layout.read_keyed(spark, path, "doc_id")
+    assert sorted(map(repr, whole.collect())) == sorted(map(repr, spark.createDataFrame(rows, schema).collect()))
+    some = layout.read_keyed(spark, path, "doc_id", 101, 160)
+    assert sorted(r.doc_id for r in some.collect()) == [i for i in range(101, 161) if i % 50]
+    wanted = [r.file for r in manifest if r.least is not None and r.least <= 160 and r.greatest >= 101]
+    opened, named = ({f.rsplit("/", 1)[1] for f in files} for files in (some.inputFiles(), wanted))
+    assert opened == named and len(wanted) <= 2
+    plan = some.sortWithinPartitions("doc_id")._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "Exchange" not in plan
+    assert layout.read_keyed(spark, path, "doc_id", 5000).collect() == []
+    with pytest.raises(FileNotFoundError):
+        layout.read_keyed(spark, str(tmp_path / "none"), "doc_id")
+
+
+def test_a_rerun_replaces_a_keyed_table_as_a_whole(spark, tmp_path):
+    path = tmp_path / "rerun"
+    for n in (30, 10):
+        layout.write_keyed(spark.range(n).withColumnRenamed("id", "k"), str(path), "k", 3)
+        assert layout.read_keyed(spark, str(path), "k").count() == n
+    names = [p.name for p in path.iterdir()]
+    assert len([n for n in names if n.startswith("run-")]) == len([n for n in names if n.startswith("manifest-")]) == 1
+    # a run that ended before its manifest is not seen
+    spark.range(99).withColumnRenamed("id", "k").write.parquet(f"{path}/run-broken")
+    (path / "manifest-99999999999999999999").mkdir()
+    assert layout.read_keyed(spark, str(path), "k").count() == 10
+    texts = spark.createDataFrame([(1, "ab"), (2, "c")], "doc_id long, text string")
+    sinks.write_transfer(str(tmp_path / "both"), texts, texts.select("doc_id"), key="doc_id")
+    assert layout.read_keyed(spark, str(tmp_path / "both/mode=A"), "doc_id", 2).first().doc_id == 2

@@ -7,19 +7,28 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tokenmill.sources.layout import write_keyed
+
 
 def write_transfer(
     path: str,
     texts: DataFrame | None = None,
     batches: DataFrame | None = None,
     mode: str = "overwrite",
+    key: str | None = None,
 ) -> None:
     """Texts as they are (folder ``mode=B``), padded token rows
-    (``mode=A``), or both."""
-    if batches is not None:
-        batches.write.mode(mode).parquet(f"{path}/mode=A")
-    if texts is not None:
-        texts.write.mode(mode).parquet(f"{path}/mode=B")
+    (``mode=A``), or both.
+
+    With a ``key`` each is a table of key ranges with a manifest
+    (:mod:`tokenmill.sources.layout`), replaced as a whole."""
+    for name, rows in (("A", batches), ("B", texts)):
+        if rows is None:
+            continue
+        if key is not None:
+            write_keyed(rows, f"{path}/mode={name}", key)
+        else:
+            rows.write.mode(mode).parquet(f"{path}/mode={name}")
 
 
 def write_tokens(encoded: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
