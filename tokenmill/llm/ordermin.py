@@ -39,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenmill.llm.common import frugal, sub_batches
@@ -240,13 +240,19 @@ def _walked(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # list of those is small
     one = (F.col("_copy") == F.col("copy")) & F.col("_id").eqNullSafe(F.col("least"))
     listed = broadcast_if_small(wanted.select("copy", "least", "node"), F.lit(64))
-    texts = marked.join(listed, one).select("node", F.col("_text").alias("text"))
-    texts = stored(texts.dropDuplicates(["node"]), "near-texts")
+    # a row that comes again is there as often
+    texts = stored(marked.join(listed, one).select("node", F.col("_text").alias("text")), "near-texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-        right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        both = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+        """Links among stored pairs. A text is sent once for either end, and
+        only if it is one."""
+
+        def end(name: str) -> DataFrame:
+            ends = broadcast_if_small(pairs.select(F.col(name).alias("node")).distinct(), F.lit(16))
+            mine = texts.join(ends, "node", "left_semi").groupBy("node").agg(F.first("text").alias(f"text_{name}"))
+            return mine.withColumnRenamed("node", name)
+
+        both = pairs.select("a", "b").join(end("b"), "b").join(end("a"), "a").select("a", "b", "text_a", "text_b")
         return both.mapInArrow(frugal(_verified), "a long, b long")
 
     def near(x: str, y: str):
@@ -266,7 +272,7 @@ def _walked(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         .distinct()
     )
     candidates = stored(candidates, "near-candidates")
-    first = candidates.groupBy("b").agg(F.min("a").alias("a"))
+    first = stored(candidates.groupBy("b").agg(F.min("a").alias("a")), "near-first")
     labels = components(stored(verified(first), "near-links"))
     labels = _joined(candidates.join(first, ["a", "b"], "left_anti"), labels, verified)
     labels = stored(labels, "near-labels")
@@ -342,27 +348,48 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _residual(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs within groups of more than one class that the word counts do not
-    rule out, whatever the size of the group.
-
-    A group is dealt into blocks and every two blocks are compared by a task of
-    their own, so rows grow with members times blocks; pairs become rows only
-    after their bound.
+    """Pairs of different classes within groups that the word counts do not rule
+    out, whatever the size of the group.
+
+    The members of a group are dealt into blocks: a class of BLOCK members or
+    more has blocks of its own, all smaller ones share some. Every two blocks
+    that can hold two classes are compared by a task of their own. So the
+    members of a large class are sent to the blocks of other classes, never to
+    each other, and pairs become rows only after their bound.
     """
+    group, kind = ["key", "scale"], ["key", "scale", "_of"]
     members = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    groups = members.groupBy("key", "scale").agg(
-        F.count("*").alias("_n"), F.min("label").alias("_least"), F.max("label").alias("_most")
+    members = stored(members, "near-members")
+    sizes = stored(members.groupBy(*group, "label").agg(F.count("*").alias("_n")), "near-sizes")
+    large = F.col("_n") >= BLOCK
+    groups = sizes.groupBy(*group).agg(
+        F.sum("_n").alias("_all"), F.count("*").alias("_classes"), F.sum(F.when(large, 0).otherwise(F.col("_n"))).alias("_few")
     )
     # the least node of a group has been compared with the others
-    groups = groups.where("_n > 2 AND _least < _most").select("key", "scale", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"))
-    left = stored(members.join(groups, ["key", "scale"]), "near-left")
-    profiles = texts.join(left.select("node").distinct(), "node", "left_semi").mapInArrow(_profiles, "node long, profile binary")
-    blocks = left.withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
-    blocks = blocks.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    blocks = blocks.withColumns({"low": F.least("block", "_other"), "high": F.greatest("block", "_other")})
-    blocks = blocks.join(stored(profiles, "near-profiles"), "node").select(*(c.split()[0] for c in PROFILED.split(", ")))
+    groups = stored(groups.where("_all > 2 AND _classes > 1").select(*group, "_few"), "near-groups")
+    parts = F.ceil(F.col("_n") / BLOCK).cast("int").alias("_parts")
+    own = sizes.where(large).join(groups, group, "left_semi").select(*group, F.col("label").alias("_of"), parts)
+    few = groups.where("_few > 0").select(*group, F.lit(-1).cast("long").alias("_of"), F.col("_few").alias("_n"))
+    kinds = stored(own.unionByName(few.select(*kind, parts)), "near-kinds")
+    number = Window.partitionBy(*group).orderBy("_of", "_part")
+    blocks = kinds.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    blocks = stored(blocks.withColumn("block", F.row_number().over(number).cast("int")), "near-blocks")
+
+    left = members.join(groups, group, "left_semi").join(
+        own.select(*group, F.col("_of").alias("label"), F.lit(True).alias("_large")), [*group, "label"], "left"
+    )
+    left = left.withColumn("_of", F.when(F.col("_large"), F.col("label")).otherwise(F.lit(-1).cast("long"))).drop("_large")
+    left = left.join(kinds, kind).withColumn("_part", F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int"))
+    left = left.join(blocks.select(*kind, "_part", "block"), [*kind, "_part"])
+    left = stored(left.select(*kind, "node", "label", "n", "block"), "near-left")
+    others = blocks.select(*group, F.col("_of").alias("_other_of"), F.col("block").alias("_other"))
+    met = left.join(others, group).where((F.col("_of") == -1) | (F.col("_of") != F.col("_other_of")))
+    met = met.withColumns({"low": F.least("block", "_other"), "high": F.greatest("block", "_other")})
+    profiles = texts.join(left.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    profiles = stored(profiles.mapInArrow(_profiles, "node long, profile binary"), "near-profiles")
     places = ("key", "scale", "low", "high")
-    ordered = blocks.repartition(*places).sortWithinPartitions(*places)
+    met = met.join(profiles, "node").select(*(c.split()[0] for c in PROFILED.split(", ")))
+    ordered = met.repartition(*places).sortWithinPartitions(*places)
     return ordered.mapInArrow(frugal(_compared), "a long, b long").distinct()
 
 
