@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tokenmill.functions.words import basic_tokens, split_chunks
 from tokenmill.operators.assemble import HOT_BYTES, HOT_ROWS, assemble
 from tokenmill.operators.dictionary import Dictionary, store_dictionary, word_counts
 from tokenmill.operators.greedy import with_token_ids
+from tokenmill.operators.trie import Trie, lists
 from tokenmill.operators.vocabulary import Vocabulary
 
 # Mark of a continuation piece and longest word that the published
@@ -26,42 +31,49 @@ def special_id(vocab: Vocabulary, token: str) -> int:
     return row.token_id
 
 
-def whole_cover_walk(hits: Column, n_chars: Column, unknown: int) -> Column:
-    """IDs of the longest pieces that follow one another from the start; one
-    unknown token unless they cover the whole word."""
-    state = F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("ids"))
-
-    def step(acc: Column, hit: Column) -> Column:
-        return F.when(
-            hit["start"] == acc["next"],
-            F.struct(
-                (hit["start"] - hit["neg_size"]).alias("next"),
-                F.concat(acc["ids"], F.array(hit["token_id"])).alias("ids"),
-            ),
-        ).otherwise(acc)
-
-    return F.aggregate(
-        hits,
-        state,
-        step,
-        lambda acc: F.when(acc["next"] == n_chars, acc["ids"]).otherwise(
-            F.array(F.lit(unknown))
-        ),
-    )
-
-
-def piece_heads(tokens: DataFrame) -> DataFrame:
-    """``(head, sizes)``: the sizes to try, one, two and the lengths of the
-    pieces that begin with the same three characters, continuations apart from
-    beginnings."""
-    marked = F.col("token").startswith(CONTINUATION)
-    skip = F.when(marked, len(CONTINUATION)).otherwise(0)
-    size = F.length("token") - skip
-    return (
-        tokens.filter(size >= 3)
-        .groupBy(F.substring("token", F.lit(1), skip + 3).alias("head"))
-        .agg(F.concat(F.array(F.lit(1), F.lit(2)), F.collect_set(size)).alias("sizes"))
-    )
+class PieceCutter:
+    """WordPiece of columns of basic tokens: one trie for beginnings, one for
+    continuations without their mark."""
+
+    def __init__(self, tokens: dict[str, int], unknown: int, max_word_chars: int | None) -> None:
+        marked = {t: i for t, i in tokens.items() if t.startswith(CONTINUATION)}
+        # a marked token may also begin a word that starts with the mark
+        self.first = Trie((t.encode(), i) for t, i in tokens.items() if t)
+        self.later = Trie((t[len(CONTINUATION) :].encode(), i) for t, i in marked.items() if t != CONTINUATION)
+        self.unknown, self.max_word_chars = unknown, max_word_chars
+
+    def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """IDs of all words, one after the other, and their numbers. The longest
+        pieces follow one another from the start; a word that they do not cover
+        is one unknown token."""
+        sizes = pc.binary_length(words).to_numpy().astype(np.int64)
+        data = np.frombuffer(b"".join(words.cast(pa.binary()).to_pylist()), dtype=np.uint8)
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        fits = sizes > 0
+        if self.max_word_chars is not None:
+            fits &= pc.utf8_length(words).to_numpy() <= self.max_word_chars
+        stop = np.repeat(np.where(fits, ends, 0), sizes)
+        begin = np.zeros(len(data), dtype=np.int64)
+        begin[starts[fits]] = ends[fits]
+        size, token = self.later.longest(data, stop)
+        size_first, token_first = self.first.longest(data, begin)
+        size[starts[fits]], token[starts[fits]] = size_first[starts[fits]], token_first[starts[fits]]
+        whole = np.zeros(len(sizes), dtype=bool)
+        visited = np.zeros(len(data), dtype=bool)
+        word, at = np.flatnonzero(fits), starts[fits]
+        while len(word):
+            visited[at] = True
+            step = size[at]
+            word, at = word[step > 0], (at + step)[step > 0]
+            over = at == ends[word]
+            whole[word[over]] = True
+            word, at = word[~over], at[~over]
+        visited &= np.repeat(whole, sizes)
+        visited[starts[~whole & (sizes > 0)]] = True
+        token[starts[~whole & (sizes > 0)]] = self.unknown
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        return token[visited], np.bincount(owner[visited], minlength=len(sizes))
 
 
 def piece_words(
@@ -71,62 +83,23 @@ def piece_words(
     max_word_chars: int | None = MAX_WORD_CHARS,
 ) -> DataFrame:
     """``pieces`` of distinct ``word`` rows (chunks between white space): one
-    array of token IDs per basic token. Basic tokens of more than
-    ``max_word_chars`` characters are unknown; None sets no limit."""
-    unknown = special_id(vocab, unk)
-    others = [c for c in words.columns if c != "word"]
-    longest = max(vocab.longest, 1)
-    if max_word_chars is not None:
-        longest = min(longest, max_word_chars)
-    basic = words.select(
-        "word", *others, F.posexplode_outer(basic_tokens(F.col("word"))).alias("_at", "form")
-    )
-    basic = basic.withColumn("_len", F.coalesce(F.length("form"), F.lit(0)))
-    cut = F.col("_len")
-    if max_word_chars is not None:
-        cut = F.when(cut <= max_word_chars, cut).otherwise(0)
-    mark = F.when(F.col("start") > 0, CONTINUATION).otherwise("")
-    # start -1 keeps basic tokens without any piece
-    starts = basic.withColumn("start", F.explode(F.sequence(F.lit(-1), cut - 1)))
-    placed = starts.withColumn(
-        "_room", F.least(F.lit(longest), F.col("_len") - F.col("start"))
-    ).withColumn(
-        "head",
-        F.when(
-            (F.col("start") >= 0) & (F.col("_room") >= 3),
-            F.concat(mark, F.substring("form", F.col("start") + 1, F.lit(3))),
-        ),
-    )
-    sizes = F.when(F.col("start") < 0, F.array(F.lit(0))).otherwise(
-        F.coalesce("sizes", F.array(F.lit(1), F.lit(2)))
-    )
-    pieces = (
-        placed.join(vocab.sized(piece_heads(vocab.tokens)), "head", "left")
-        .withColumn("size", F.explode(sizes))
-        .filter((F.col("start") < 0) | (F.col("size") <= F.col("_room")))
-        .withColumn(
-            "token",
-            F.when(
-                F.col("start") >= 0,
-                F.concat(mark, F.substring("form", F.col("start") + 1, F.col("size"))),
-            ),
-        )
-    )
-    found = pieces.join(vocab.lookup(), "token", "left").filter(
-        F.col("token_id").isNotNull() | (F.col("start") < 0)
-    )
-    hit = F.struct("start", (-F.col("size")).alias("neg_size"), "token_id")
-    per_basic = (
-        found.groupBy("word", *others, "_at", F.length("form").alias("_n"))
-        .agg(F.sort_array(F.collect_list(F.when(F.col("start") >= 0, hit))).alias("_hits"))
-        .withColumn("ids", whole_cover_walk(F.col("_hits"), F.col("_n"), unknown))
-    )
-    part = F.when(F.col("_n").isNotNull(), F.struct("_at", "ids"))
-    return (
-        per_basic.groupBy("word", *others)
-        .agg(F.sort_array(F.collect_list(part)).alias("_parts"))
-        .select("word", *others, F.transform("_parts", lambda p: p["ids"]).alias("pieces"))
-    )
+    array of token IDs per basic token, found where the words are. Basic tokens
+    of more than ``max_word_chars`` characters are unknown; None sets no limit."""
+    cutter = PieceCutter(vocab.mapping, special_id(vocab, unk), max_word_chars)
+    names = [*words.columns, "pieces"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            basic = batch.column(batch.num_columns - 1)
+            inner = lists(*cutter(basic.flatten()))
+            counts = pc.list_value_length(basic).fill_null(0).to_numpy()
+            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            pieces = pa.ListArray.from_arrays(pa.array(offsets), inner)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pieces], names=names)
+
+    fields = StructType.fromDDL("pieces array<array<int>>").fields
+    rows = words.withColumn("_basic", basic_tokens(F.col("word")))
+    return rows.mapInArrow(run, StructType([*words.schema.fields, *fields]))
 
 
 def piece_dictionary(
