@@ -40,51 +40,37 @@ class Trie:
                     values.append(-1)
                 node = following
             values[node] = value
-        size = 512 + 2 * len(children)
-        self.base = np.zeros(size, dtype=np.int32)
-        self.check = np.full(size, -1, dtype=np.int32)
-        self.value = np.full(size, -1, dtype=np.int32)
-        used = bytearray(size)
-        used[0] = 1
-        self.value[0] = values[0]
+        base, check, value = ([fill] * 256 for fill in (0, -1, -1))
+        value[0] = values[0]
+        holes: list[int] = []
         place = {0: 0}
-        free = 1  # no slot before it is free
-        # nodes with many children first: they need the most room together
-        for node in self._by_level(children):
-            own = sorted(children[node])
-            if not own:
-                continue
-            while used[free]:
-                free += 1
-            slot = max(free, own[0] + 1)
-            while True:
-                if slot + 256 >= len(used):
-                    used.extend(bytes(len(used)))
-                    self.base, self.check, self.value = (
-                        np.concatenate([a, np.full(len(a), fill, dtype=np.int32)])
-                        for a, fill in ((self.base, 0), (self.check, -1), (self.value, -1))
-                    )
-                base = slot - own[0]
-                if not any(used[base + c] for c in own):
-                    break
-                slot += 1
-            at = place[node]
-            self.base[at] = base
-            for c in own:
-                child = children[node][c]
-                used[base + c] = 1
-                self.check[base + c] = at
-                self.value[base + c] = values[child]
-                place[child] = base + c
-        last = len(used.rstrip(b"\0")) + 256
-        self.base, self.check, self.value = self.base[:last].copy(), self.check[:last].copy(), self.value[:last].copy()
-
-    @staticmethod
-    def _by_level(children: list[dict[int, int]]) -> Iterable[int]:
         level = [0]
         while level:
-            yield from sorted(level, key=lambda n: -len(children[n]))
-            level = [c for n in level for c in children[n].values()]
+            for node in level:
+                own = sorted(children[node])
+                if not own:
+                    continue
+                # a node with one child takes a gap that others left
+                if len(own) == 1 and holes:
+                    first = holes.pop()
+                else:
+                    first = len(check)
+                    span = own[-1] - own[0] + 1
+                    base += [0] * span
+                    check += [-1] * span
+                    value += [-1] * span
+                    holes += [first + c - own[0] for c in range(own[0], own[-1]) if c not in children[node]]
+                at = place[node]
+                base[at] = first - own[0]
+                for c in own:
+                    child = children[node][c]
+                    slot = first + c - own[0]
+                    check[slot], value[slot], place[child] = at, values[child], slot
+            level = [child for node in level for child in children[node].values()]
+        # the last node's row may be asked for any byte
+        self.base = np.array(base + [0] * 256, dtype=np.int32)
+        self.check = np.array(check + [-1] * 256, dtype=np.int32)
+        self.value = np.array(value + [-1] * 256, dtype=np.int32)
 
     def longest(self, data: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Length and token of the longest match at every place; ``stop`` is the
