@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenmill.llm.common import Memo, extended, fold, labelled_sample, plain_words, sub_batches, texts_of
+from tokenmill.llm.common import Memo, extended, fold, give_back, labelled_sample, plain_words, sub_batches, texts_of
 
 #: Bound of the fit: labelled documents of each grade.
 PER_GRADE = 4000
@@ -167,6 +167,19 @@ def train(
     text_col: str = "text",
 ) -> Model:
     """Model of the labels outside fold 0."""
+    try:
+        return _trained(docs, labels, per_grade, id_col, text_col)
+    finally:
+        give_back()  # the sample was in this process
+
+
+def _trained(
+    docs: DataFrame,
+    labels: DataFrame,
+    per_grade: int = PER_GRADE,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> Model:
     grade = F.when(F.col("quality") == 0, 0).when(F.coalesce(F.col("toxic"), F.lit(0)) == 1, 1).when(
         F.col("quality") == 1, 2
     )
