@@ -8,6 +8,7 @@ from tokenmill.functions.words import split_words
 from tokenmill.operators.decode import decode_tokens
 from tokenmill.operators.dictionary import (
     greedy_dictionary,
+    segment_words,
     whole_word_hits,
     whole_word_misses,
     word_counts,
@@ -197,6 +198,16 @@ def test_decode_restores_words(spark, docs, corpus_vocab):
         assert back[r.doc_id] == want
 
 
+def test_decode_and_cut_send_nothing(spark, docs, corpus_vocab):
+    rows = spark.range(3).select("id", F.array(F.lit(1)).alias("token_ids"), F.lit("ab").alias("word"))
+    for made in (
+        decode_tokens(rows, corpus_vocab, ["id"]),
+        segment_words(rows.select("word"), corpus_vocab),
+    ):
+        plan = made._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+        assert "MapInArrow" in plan and "Exchange" not in plan and "Join" not in plan
+
+
 def test_decode_skips_unknown_ids(spark):
     vocab = table(spark, {"a": 0, "Ġb": 1})
     df = spark.createDataFrame([(1, [0, 99, 1]), (2, [])], "doc_id long, token_ids array<int>")

@@ -81,6 +81,31 @@ def test_percentiles_by_refinement(spark, limit, buckets):
         assert [row.p0, row.p50, row.p90, row.p99, row.p100] == pytest.approx(list(want))
 
 
+def test_what_percentiles_store_does_not_grow_with_rows(spark, monkeypatch):
+    """Ranges are stored, never values; the last step orders at most ``limit``
+    values for each wanted rank."""
+    held = []
+    inner = measures.stored
+
+    def watched(df, name):
+        out = inner(df, name)
+        held.append(out.count())
+        return out
+
+    monkeypatch.setattr(measures, "stored", watched)
+    sizes = {}
+    for n in (3000, 60_000):
+        held.clear()
+        df = spark.range(n).select((F.col("id") % 2).alias("g"), F.rand(n).alias("v"))
+        rows = measures.exact_percentiles(df.persist(), ["g"], "v", limit=200, buckets=64)
+        got = {r.g: [r.p50, r.p90, r.p99] for r in rows.collect()}
+        for g, mine in got.items():
+            values = [r.v for r in df.where(F.col("g") == g).collect()]
+            assert mine == pytest.approx(list(np.percentile(values, [50, 90, 99])))
+        sizes[n] = max(held)
+    assert sizes[60_000] <= 2 * 3 * 2 + 2 and sizes[3000] <= 2 * 3 * 2 + 2
+
+
 def test_skip_warmup(spark):
     data = [(i, "a" if i % 3 else None) for i in range(30)]
     df = spark.createDataFrame(data, "id long, g string")
