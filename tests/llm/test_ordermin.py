@@ -176,6 +176,28 @@ def test_like_texts_whose_groups_have_another_least_node(spark, monkeypatch):
     assert len(like) >= 35 and got == union(like, sorted(texts))
 
 
+def test_large_classes_meet_the_others_of_their_groups(spark, monkeypatch):
+    """Families of near copies around one passage, larger than a block, beside
+    small classes that share their groups and may join them."""
+    rng = random.Random(21)
+    passage, rows = words(rng, 150), []
+    for _ in range(3):
+        text = f"{words(rng, 28)} {passage} {words(rng, 28)}"
+        rows += [edited(rng, text, 0.03) for _ in range(26)] + [edited(rng, text, 0.16) for _ in range(6)]
+    rows += [f"{words(rng, 28)} {passage} {words(rng, 28)}" for _ in range(12)]
+    rng.shuffle(rows)
+    rows = [(i, t, "en", "a") for i, t in enumerate(rows)]
+    texts = {i: t.encode().split() for i, t, *_ in rows}
+    keys = {i: set(ordermin.sketch(t).tolist()) for i, t in texts.items()}
+    like = [(a, b) for a in texts for b in texts if a < b and keys[a] & keys[b] and ordermin.alike(texts[a], texts[b])]
+    want = union(like, sorted(texts))
+    assert max(Counter(want.values()).values()) > 20 and len(set(want.values())) > 5
+    for block in (8, 16, 1024):
+        monkeypatch.setattr(ordermin, "BLOCK", block)
+        got = {r["doc_id"]: r["class_id"] for r in ordermin.classes(frame(spark, rows)).collect()}
+        assert got == want
+
+
 def test_like_texts_at_the_border_share_a_sketch():
     rng, found = random.Random(14), 0
     for _ in range(300):

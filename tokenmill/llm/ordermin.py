@@ -39,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenmill.llm.common import frugal, sub_batches
@@ -233,7 +233,8 @@ def _walked(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         # sketches of more than one row; arrays of sketches are never sent
         keyed = sketched.select(F.col("row").alias("node"), F.explode(F.array_distinct("keys")).alias("key"))
         groups = keyed.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
-        shared = keyed.join(groups, "key").join(copies.select("node", "n"), "node")
+        groups = broadcast_if_small(stored(groups, "near-keys"), F.lit(16))
+        shared = keyed.join(groups, "key").join(broadcast_if_small(copies.select("node", "n"), F.lit(24)), "node")
         shared = stored(shared.select("node", "n", "key"), "near-shared", outer=True)
     wanted = stored(copies.join(shared.select("node").distinct(), "node", "left_semi"), "near-wanted")
     # only rows with the least id of their text are sent, and none while the
@@ -348,44 +349,62 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _residual(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs of different classes within groups that the word counts do not rule
-    out, whatever the size of the group.
-
-    The members of a group are dealt into blocks: a class of BLOCK members or
-    more has blocks of its own, all smaller ones share some. Every two blocks
-    that can hold two classes are compared by a task of their own. So the
-    members of a large class are sent to the blocks of other classes, never to
-    each other, and pairs become rows only after their bound.
+    """Pairs of different classes that share a group and that the word counts do
+    not rule out, whatever the size of groups and classes.
+
+    Groups are taken as their classes, one row for each. Members of small classes
+    are dealt into blocks of their group, and every two blocks are compared by a
+    task of their own. A class of BLOCK nodes or more is large: it is dealt into
+    parts once, not in each group, and every node that shares a group with it is
+    sent to its parts. So rows of a large class are as many as its nodes, and
+    pairs become rows only after their bound.
     """
-    group, kind = ["key", "scale"], ["key", "scale", "_of"]
+    group = ["key", "scale"]
     members = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     members = stored(members, "near-members")
-    sizes = stored(members.groupBy(*group, "label").agg(F.count("*").alias("_n")), "near-sizes")
-    large = F.col("_n") >= BLOCK
-    groups = sizes.groupBy(*group).agg(
-        F.sum("_n").alias("_all"), F.count("*").alias("_classes"), F.sum(F.when(large, 0).otherwise(F.col("_n"))).alias("_few")
-    )
+    nodes = stored(members.select("node", "label", "n").distinct(), "near-nodes")
+    large = nodes.groupBy("label").agg(F.count("*").alias("_size")).where(F.col("_size") >= BLOCK)
+    large = stored(large.withColumn("_parts", F.ceil(F.col("_size") / BLOCK).cast("int")), "near-large")
+    held = stored(members.groupBy(*group, "label").agg(F.count("*").alias("_n")), "near-classes")
+    several = held.groupBy(*group).agg(F.sum("_n").alias("_all"), F.count("*").alias("_k"))
     # the least node of a group has been compared with the others
-    groups = stored(groups.where("_all > 2 AND _classes > 1").select(*group, "_few"), "near-groups")
-    parts = F.ceil(F.col("_n") / BLOCK).cast("int").alias("_parts")
-    own = sizes.where(large).join(groups, group, "left_semi").select(*group, F.col("label").alias("_of"), parts)
-    few = groups.where("_few > 0").select(*group, F.lit(-1).cast("long").alias("_of"), F.col("_few").alias("_n"))
-    kinds = stored(own.unionByName(few.select(*kind, parts)), "near-kinds")
-    number = Window.partitionBy(*group).orderBy("_of", "_part")
-    blocks = kinds.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    blocks = stored(blocks.withColumn("block", F.row_number().over(number).cast("int")), "near-blocks")
-
-    left = members.join(groups, group, "left_semi").join(
-        own.select(*group, F.col("_of").alias("label"), F.lit(True).alias("_large")), [*group, "label"], "left"
+    several = several.where("_all > 2 AND _k > 1").select(*group)
+    held = stored(held.join(several, group, "left_semi").join(large, "label", "left"), "near-classes")
+    few = members.join(held.where("_size IS NULL").select(*group, "label"), [*group, "label"])
+    few = stored(few, "near-few")
+    big = held.where("_size IS NOT NULL").select(*group, F.col("label").alias("of"), F.col("_size").alias("_of_size"))
+
+    # within groups: small classes against each other
+    blocks = few.groupBy(*group).agg(
+        F.count("*").alias("_n"), F.min("label").alias("_least"), F.max("label").alias("_most")
     )
-    left = left.withColumn("_of", F.when(F.col("_large"), F.col("label")).otherwise(F.lit(-1).cast("long"))).drop("_large")
-    left = left.join(kinds, kind).withColumn("_part", F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int"))
-    left = left.join(blocks.select(*kind, "_part", "block"), [*kind, "_part"])
-    left = stored(left.select(*kind, "node", "label", "n", "block"), "near-left")
-    others = blocks.select(*group, F.col("_of").alias("_other_of"), F.col("block").alias("_other"))
-    met = left.join(others, group).where((F.col("_of") == -1) | (F.col("_of") != F.col("_other_of")))
-    met = met.withColumns({"low": F.least("block", "_other"), "high": F.greatest("block", "_other")})
-    profiles = texts.join(left.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    blocks = blocks.where("_least < _most").select(*group, F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"))
+    dealt = few.join(blocks, group).withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    dealt = dealt.withColumns({"low": F.least("block", "_other"), "high": F.greatest("block", "_other")})
+
+    # large classes: against the nodes of smaller ones that share a group
+    asked = few.join(big, group).select("of", "node", "label", "n")
+    mine = big.select(*group, F.col("of").alias("label"), F.col("_of_size").alias("_size"))
+    lesser = (F.col("_size") < F.col("_of_size")) | ((F.col("_size") == F.col("_of_size")) & (F.col("label") > F.col("of")))
+    both = mine.join(big, group).where(lesser).select("of", "label").distinct()
+    asked = asked.unionByName(nodes.join(both, "label").select("of", "node", "label", "n")).distinct()
+    asked = stored(asked.join(large.select(F.col("label").alias("of"), "_parts"), "of"), "near-asked")
+    parted = asked.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).withColumn("block", F.lit(1))
+    own = nodes.join(large, "label").join(asked.select(F.col("of").alias("label")).distinct(), "label", "left_semi")
+    own = own.select(
+        F.col("label").alias("of"), "node", "label", "n",
+        F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int").alias("_part"), F.lit(0).alias("block"),
+    )
+    parted = own.unionByName(parted.select(*own.columns))
+    # a part is a group of its own: below zero no scale lies
+    parted = parted.select(
+        F.col("of").alias("key"), (-1 - F.col("_part").cast("long")).alias("scale"),
+        F.lit(0).alias("low"), F.lit(1).alias("high"), "block", "node", "label", "n",
+    )
+    met = dealt.select(*parted.columns).unionByName(parted)
+    wanted = met.select("node").distinct()
+    profiles = texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     profiles = stored(profiles.mapInArrow(_profiles, "node long, profile binary"), "near-profiles")
     places = ("key", "scale", "low", "high")
     met = met.join(profiles, "node").select(*(c.split()[0] for c in PROFILED.split(", ")))
