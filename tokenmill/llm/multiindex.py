@@ -8,8 +8,8 @@ its k-th verified distance is at most what the radii so far cover. The radius
 grows by one segment at a time: with r + 1 done in the first b segments, all
 distances up to m * (r + 1) + b - 1 are covered.
 
-Segments are as wide as the number of codes needs (log2 of it), so that an index
-cell holds few codes. Only candidates within a query's bound, the k-th distance
+Segments are nearly as wide as the number of codes needs (log2 of it), so that an
+index cell holds few codes. Only candidates within a query's bound, the k-th distance
 it has so far, leave the join, never all that were met. Every query ends by its
 covered radius, at every size of the table.
 
@@ -40,6 +40,9 @@ from tokenmill.scratch import stored
 BITS = 64
 #: Least width of a segment.
 WIDTH = 4
+#: Bits that a segment has less than the number of codes: some codes in a cell
+#: cost less than the probes of larger radii in wider segments.
+SPARE = 2
 #: Radii are probed together while a query needs no more probes than this.
 FEW = 1024
 #: Probes that a task makes, about.
@@ -78,7 +81,7 @@ def sign_codes(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
 
 def segments(n_codes: int) -> list[tuple[int, int]]:
     """(shift, width) of each segment, for that many codes."""
-    width = max(WIDTH, min(BITS // 2, round(log2(max(2, n_codes)))))
+    width = max(WIDTH, min(BITS // 2, round(log2(max(2, n_codes))) - SPARE))
     count = -(-BITS // width)
     widths = [BITS // count + (i < BITS % count) for i in range(count)]
     return [(sum(widths[:i]), w) for i, w in enumerate(widths)]
