@@ -140,10 +140,18 @@ def normalize(text: Column) -> Column:
     return F.lower(F.translate(strip_accents(cleaned), "Σ", "σ"))
 
 
+BASIC_TOKEN = (
+    f"{CJK}|[{PUNCTUATION}]|"
+    f"[^{WHITE_SPACE}{PUNCTUATION}&&[^{CJK[1:-1]}]]+"
+)
+
+
 def basic_tokens(text: Column) -> Column:
     """Words, single punctuation marks and single ideographs of a chunk."""
-    pattern = (
-        f"{CJK}|[{PUNCTUATION}]|"
-        f"[^{WHITE_SPACE}{PUNCTUATION}&&[^{CJK[1:-1]}]]+"
-    )
-    return F.regexp_extract_all(normalize(text), F.lit(pattern), F.lit(0))
+    return F.regexp_extract_all(normalize(text), F.lit(BASIC_TOKEN), F.lit(0))
+
+
+def text_basic_tokens(text: str) -> Column:
+    """The basic tokens of all chunks of a text. Cleaning drops some white space
+    with the controls, so all of it is blank before."""
+    return basic_tokens(F.regexp_replace(text, f"[{WHITE_SPACE}]", " "))

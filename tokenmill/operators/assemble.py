@@ -14,6 +14,11 @@ HOT_ROWS = 500_000
 HOT_BYTES = BROADCAST_BYTES
 
 
+def bounds(hot_rows: int | None, hot_bytes: int | None) -> tuple[int, int]:
+    """The bounds asked for, or the usual ones."""
+    return HOT_ROWS if hot_rows is None else hot_rows, HOT_BYTES if hot_bytes is None else hot_bytes
+
+
 def assemble(
     texts: DataFrame,
     keys: Sequence[str],

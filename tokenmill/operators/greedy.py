@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenmill.functions.words import split_words
-from tokenmill.operators.assemble import HOT_BYTES, HOT_ROWS, assemble
-from tokenmill.operators.dictionary import Dictionary, greedy_dictionary
+from tokenmill.functions.words import spaced_words, split_words
+from tokenmill.operators.assemble import assemble, bounds
+from tokenmill.operators.dictionary import Dictionary, greedy_dictionary, vocabulary_segmenter
+from tokenmill.operators.inplace import GreedyCut, encode_in_place
 from tokenmill.operators.vocabulary import Vocabulary
 
 
@@ -22,16 +23,23 @@ def greedy_encode(
     max_tokens: int | None = None,
     max_word_bytes: int | None = None,
     max_match_bytes: int | None = None,
-    hot_rows: int = HOT_ROWS,
-    hot_bytes: int = HOT_BYTES,
+    hot_rows: int | None = None,
+    hot_bytes: int | None = None,
 ) -> DataFrame:
     """``token_ids`` and ``n_tokens`` in place of ``text``, one row per text.
 
     ``keys`` identify a text and are unique; other columns are kept. A space
     before a word counts only after the first token of the text. With
-    ``byte_view`` the texts hold one character per byte. ``dictionary`` may be
-    one built earlier from a corpus that has all words of these texts.
+    ``byte_view`` the texts hold one character per byte. Words are cut where their
+    text is. ``dictionary`` may be one built earlier from a corpus that has all
+    words of these texts: it is joined instead, as is one built here if bounds of
+    its broadcast part are given.
     """
+    if dictionary is None and hot_rows is None and hot_bytes is None:
+        segmenter = vocabulary_segmenter(vocab, max_match_bytes)
+        cut = GreedyCut(segmenter, byte_view, max_word_bytes)
+        rows = encode_in_place(texts, spaced_words("text"), lambda: cut)
+        return with_token_ids(rows, F.col("token_ids"), max_tokens)
     if dictionary is None:
         dictionary = greedy_dictionary(
             split_words(texts.select("text")), vocab, byte_view, max_word_bytes, max_match_bytes
@@ -43,7 +51,7 @@ def greedy_encode(
     else:
         entry = F.struct("bare", later.alias("later"))
     rows = assemble(
-        texts, keys, split_words, dictionary, entry, hot_rows, hot_bytes
+        texts, keys, split_words, dictionary, entry, *bounds(hot_rows, hot_bytes)
     )
     if vocab.covers_all_bytes:
         parts = F.transform("entries", lambda e: e["entry"])
@@ -66,7 +74,7 @@ def greedy_encode(
 
 
 def with_token_ids(rows: DataFrame, token_ids, max_tokens: int | None) -> DataFrame:
-    kept = [c for c in rows.columns if c != "entries" and not c.startswith("_")]
+    kept = [c for c in rows.columns if c not in ("entries", "token_ids") and not c.startswith("_")]
     if max_tokens is not None:
         token_ids = F.slice(token_ids, 1, max_tokens)
     return rows.select(*kept, token_ids.alias("token_ids")).withColumn(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tokenmill.functions.bytelevel import to_byte_symbols
-from tokenmill.functions.words import split_pre_tokens
-from tokenmill.operators.assemble import HOT_BYTES, HOT_ROWS, assemble
+from tokenmill.functions.words import pre_token_list, split_pre_tokens
+from tokenmill.operators.assemble import assemble, bounds
 from tokenmill.operators.dictionary import Dictionary, store_dictionary, word_counts
 from tokenmill.operators.greedy import with_token_ids
+from tokenmill.operators.inplace import MergeCut, encode_in_place
 from tokenmill.operators.trie import lists
 from tokenmill.operators.vocabulary import Vocabulary
 from tokenmill.sizes import BROADCAST_BYTES, BROADCAST_ROWS
@@ -92,10 +93,16 @@ def merged(form: str, ranks: dict[tuple[str, str], int]) -> list[str]:
     return [p for p in pieces if p is not None]
 
 
+def id_merger(merges: MergeRules, vocab: Vocabulary) -> Callable[[str], list[int]]:
+    """IDs of a form; a piece without a token gives nothing."""
+    ranks, tokens = merges.ranks, vocab.mapping
+    return lambda form: [i for i in map(tokens.get, merged(form, ranks)) if i is not None]
+
+
 def merge_words(words: DataFrame, merges: MergeRules, vocab: Vocabulary) -> DataFrame:
     """``ids`` of distinct ``word`` rows (pre-tokens), found where the words are.
     A piece without a token gives nothing."""
-    ranks, tokens = merges.ranks, vocab.mapping
+    merge = id_merger(merges, vocab)
     names = [*words.columns, "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +111,7 @@ def merge_words(words: DataFrame, merges: MergeRules, vocab: Vocabulary) -> Data
             counts = []
             for form in batch.column(batch.num_columns - 1).to_pylist():
                 held = len(ids)
-                ids += [i for i in map(tokens.get, merged(form, ranks)) if i is not None]
+                ids += merge(form)
                 counts.append(len(ids) - held)
             found = lists(np.array(ids, dtype=np.int32), np.array(counts, dtype=np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], names=names)
@@ -126,14 +133,19 @@ def merge_encode(
     keys: Sequence[str] = ("doc_id",),
     dictionary: Dictionary | None = None,
     max_tokens: int | None = None,
-    hot_rows: int = HOT_ROWS,
-    hot_bytes: int = HOT_BYTES,
+    hot_rows: int | None = None,
+    hot_bytes: int | None = None,
 ) -> DataFrame:
-    """Merge-rank BPE of every text: ``token_ids`` and ``n_tokens``."""
+    """Merge-rank BPE of every text: ``token_ids`` and ``n_tokens``. Pre-tokens are
+    merged where their text is, unless a dictionary or bounds are given."""
+    if dictionary is None and hot_rows is None and hot_bytes is None:
+        merge = id_merger(merges, vocab)
+        rows = encode_in_place(texts, pre_token_list("text"), lambda: MergeCut(merge))
+        return with_token_ids(rows, F.col("token_ids"), max_tokens)
     if dictionary is None:
         dictionary = merge_dictionary(split_pre_tokens(texts.select("text")), merges, vocab)
     rows = assemble(
-        texts, keys, split_pre_tokens, dictionary, F.col("ids"), hot_rows, hot_bytes
+        texts, keys, split_pre_tokens, dictionary, F.col("ids"), *bounds(hot_rows, hot_bytes)
     )
     ids = F.flatten(F.transform("entries", lambda e: e["entry"]))
     return with_token_ids(rows, ids, max_tokens)

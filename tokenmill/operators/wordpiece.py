@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,10 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tokenmill.functions.words import basic_tokens, split_chunks
-from tokenmill.operators.assemble import HOT_BYTES, HOT_ROWS, assemble
+from tokenmill.functions.words import basic_tokens, split_chunks, text_basic_tokens
+from tokenmill.operators.assemble import assemble, bounds
 from tokenmill.operators.dictionary import Dictionary, store_dictionary, word_counts
 from tokenmill.operators.greedy import with_token_ids
+from tokenmill.operators.inplace import PieceCut, encode_in_place
 from tokenmill.operators.trie import Trie, lists
 from tokenmill.operators.vocabulary import Vocabulary
 
@@ -76,6 +78,12 @@ class PieceCutter:
         return token[visited], np.bincount(owner[visited], minlength=len(sizes))
 
 
+@lru_cache(maxsize=8)
+def piece_cutter(vocab: Vocabulary, unk: str, max_word_chars: int | None) -> PieceCutter:
+    """Built once for a vocabulary, whatever the number of jobs that use it."""
+    return PieceCutter(vocab.mapping, special_id(vocab, unk), max_word_chars)
+
+
 def piece_words(
     words: DataFrame,
     vocab: Vocabulary,
@@ -85,7 +93,7 @@ def piece_words(
     """``pieces`` of distinct ``word`` rows (chunks between white space): one
     array of token IDs per basic token, found where the words are. Basic tokens
     of more than ``max_word_chars`` characters are unknown; None sets no limit."""
-    cutter = PieceCutter(vocab.mapping, special_id(vocab, unk), max_word_chars)
+    cutter = piece_cutter(vocab, unk, max_word_chars)
     names = [*words.columns, "pieces"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,23 +128,32 @@ def wordpiece_encode(
     max_tokens: int | None = None,
     special_tokens: bool = False,
     max_word_chars: int | None = MAX_WORD_CHARS,
-    hot_rows: int = HOT_ROWS,
-    hot_bytes: int = HOT_BYTES,
+    hot_rows: int | None = None,
+    hot_bytes: int | None = None,
 ) -> DataFrame:
     """WordPiece of every text: ``token_ids`` and ``n_tokens``.
 
     ``max_words`` keeps the first words of a text, ``max_tokens`` the first
-    tokens; ``special_tokens`` puts ``[CLS]`` and ``[SEP]`` around them.
+    tokens; ``special_tokens`` puts ``[CLS]`` and ``[SEP]`` around them. Words are
+    cut where their text is, unless a dictionary or bounds are given.
     """
-    if dictionary is None:
-        dictionary = piece_dictionary(split_chunks(texts.select("text")), vocab, max_word_chars)
-    rows = assemble(
-        texts, keys, split_chunks, dictionary, F.col("pieces"), hot_rows, hot_bytes
-    )
-    words = F.flatten(F.transform("entries", lambda e: e["entry"]))
-    if max_words is not None:
-        words = F.slice(words, 1, max_words)
-    ids = F.flatten(words)
+    if dictionary is None and hot_rows is None and hot_bytes is None:
+        cut = PieceCut(piece_cutter(vocab, "[UNK]", max_word_chars))
+        words = text_basic_tokens("text")
+        if max_words is not None:
+            words = F.slice(words, 1, max_words)
+        rows = encode_in_place(texts, words, lambda: cut)
+        ids = F.col("token_ids")
+    else:
+        if dictionary is None:
+            dictionary = piece_dictionary(split_chunks(texts.select("text")), vocab, max_word_chars)
+        rows = assemble(
+            texts, keys, split_chunks, dictionary, F.col("pieces"), *bounds(hot_rows, hot_bytes)
+        )
+        words = F.flatten(F.transform("entries", lambda e: e["entry"]))
+        if max_words is not None:
+            words = F.slice(words, 1, max_words)
+        ids = F.flatten(words)
     if not special_tokens:
         return with_token_ids(rows, ids, max_tokens)
     if max_tokens is not None:
