@@ -502,12 +502,8 @@ def _tables(spark, sf_dir):
 
 def _checksum(rows, *keys):
     """Sums over the vectors of a text, rounded: order decides last digits."""
-    total = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)
-    return rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_vectors"),
-        (F.round(F.sum(total), 3) + 0).alias("sum_all"),
-        (F.round(F.sum(F.get("vec", F.lit(0))), 3) + 0).alias("sum_first"),
-    )
+    sums = embed.vector_sums(rows, keys)
+    return sums.withColumns({c: F.round(c, 3) + 0 for c in ("sum_all", "sum_first")})
 
 
 def embedding_lookup(spark, sf_dir):

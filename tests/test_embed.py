@@ -89,3 +89,38 @@ def test_no_row_zero_and_no_place_give_null(spark, tokens):
     assert got[1, 1] == pytest.approx([2.3, 0.4], abs=1e-6) and got[5, 1] is None and got[0, 0] is None
     none = spark.createDataFrame([], "doc_id long, pos int, token_id int")
     assert embed.embedding_lookup(none, word).collect() == []
+
+
+def test_steps_are_one_pass_and_sums_leave_it(spark, tokens):
+    """Vectors of several steps are made and added up in one narrow pass; the sums
+    are those of the vectors, also where a row has none."""
+    word, pos, kind = vectors(spark, WORD, "token_id"), vectors(spark, POS, "pos"), vectors(spark, TYPE, "type_id")
+    rows = tokens.withColumn("doc_id", F.expr("if(pos = 6, null, pos div 3)"))
+    without = vectors(spark, {1: [1.0, -1.0]}, "token_id")
+    for table, bounds, n in ((word, {}, 2), (word, {"max_rows": 0}, 2), (without, {}, 99)):
+        found = embed.embedding_lookup(rows, table, **bounds)
+        made = embed.affine_tanh(embed.embedding_sum(found, pos, kind, F.lit(n)), GAMMA, BETA)
+        sums = embed.vector_sums(made, ["doc_id"])
+        if not bounds:
+            for df in (made, sums):
+                plan = df._jdf.queryExecution().toString().split("== Physical Plan ==")[1].split("== Initial")[0]
+                assert plan.count("MapInArrow") == 1
+        want = {}
+        for r in made.collect():
+            held = want.setdefault(r.doc_id, [0, None, None])
+            held[0] += 1
+            if r.vec is not None:
+                held[1:] = [(held[1] or 0) + sum(r.vec), (held[2] or 0) + r.vec[0]]
+        got = {r.doc_id: [r.n_vectors, r.sum_all, r.sum_first] for r in sums.collect()}
+        assert got.keys() == want.keys()
+        for doc_id, row in want.items():
+            assert got[doc_id] == pytest.approx(row, nan_ok=True) if None not in row else got[doc_id] == row
+
+
+def test_places_beyond_the_bounds_are_sent_as_far_as_they_occur(spark, tokens):
+    word, kind = vectors(spark, WORD, "token_id"), vectors(spark, TYPE, "type_id")
+    pos = spark.range(5000).select(F.col("id").alias("pos"), F.array_repeat(F.col("id").cast("float"), 2).alias("vec"))
+    found = embed.embedding_lookup(tokens, word)
+    whole = embed.embedding_sum(found, pos, kind, F.lit(5000)).collect()
+    got = embed.embedding_sum(found, pos, kind, F.lit(5000), max_rows=100).collect()
+    assert sorted(got, key=lambda r: r.pos) == sorted(whole, key=lambda r: r.pos)
