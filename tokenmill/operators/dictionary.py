@@ -35,21 +35,31 @@ def word_counts(words: DataFrame) -> DataFrame:
     )
 
 
-def word_forms(words: DataFrame) -> DataFrame:
-    """``(form, n_occ)``: words in the byte alphabet, with the space symbol on
-    every word but the first of its text that has a space before it."""
+def prefixed_counts(words: DataFrame) -> DataFrame:
+    """``(word, prefixed, n_occ)``: prefixed is every word but the first of its
+    text that has a space before it."""
     prefixed = F.col("has_space") & (F.col("word_idx") > 0)
-    counts = (
+    return (
         words.filter(F.col("word").isNotNull())
         .groupBy("word", prefixed.alias("prefixed"))
         .agg(F.count(F.lit(1)).alias("n_occ"))
     )
+
+
+def forms_of_counts(counts: DataFrame) -> DataFrame:
+    """``(form, n_occ)`` of :func:`prefixed_counts`."""
     form = F.concat(
         F.when(F.col("prefixed"), SPACE_SYMBOL).otherwise(""), to_byte_symbols(F.col("word"))
     )
     return counts.select(form.alias("form"), "n_occ")
 
 
+def word_forms(words: DataFrame) -> DataFrame:
+    """``(form, n_occ)``: words in the byte alphabet, with the space symbol on
+    every word but the first of its text that has a space before it."""
+    return forms_of_counts(prefixed_counts(words))
+
+
 def whole_word_hits(forms: DataFrame, vocab: Vocabulary) -> DataFrame:
     """Forms that are a vocabulary token."""
     tokens = vocab.lookup().withColumnRenamed("token", "form")

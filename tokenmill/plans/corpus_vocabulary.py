@@ -1,4 +1,7 @@
-"""Vocabularies derived from a corpus, for corpora without vocabulary files."""
+"""Vocabularies derived from a corpus, for corpora without vocabulary files.
+
+Counts are stored once: the texts are split in one pass, and what asks a table of
+counts again (its histogram, its most frequent rows) reads the files."""
 
 from __future__ import annotations
 
@@ -8,8 +11,9 @@ from pyspark.sql import functions as F
 
 from tokenmill.functions.bytelevel import byte_symbols, to_byte_symbols
 from tokenmill.functions.words import basic_tokens
-from tokenmill.operators.dictionary import frequency_bins, word_counts, word_forms
+from tokenmill.operators.dictionary import forms_of_counts, frequency_bins, prefixed_counts, word_counts
 from tokenmill.operators.wordpiece import CONTINUATION
+from tokenmill.scratch import stored
 
 SPECIAL_TOKENS = ("[UNK]", "[CLS]", "[SEP]")
 
@@ -73,9 +77,11 @@ def byte_level_vocabulary(
     """``(token, token_id)``: the byte alphabet, then the most frequent word
     forms and the most frequent short substrings. The defaults give at most the
     published 50,257 tokens; a corpus that has fewer gives what it has."""
-    forms = most_frequent(word_forms(words), "form", n_words)
+    counts = stored(prefixed_counts(words), "corpus-words")
+    forms = most_frequent(forms_of_counts(counts), "form", n_words)
+    each = counts.groupBy("word").agg(F.sum("n_occ").alias("n_occ"))
     pieces = most_frequent(
-        substring_counts(word_counts(words), to_byte_symbols(F.col("word"))), "piece", n_pieces
+        stored(substring_counts(each, to_byte_symbols(F.col("word"))), "corpus-pieces"), "piece", n_pieces
     )
     tokens = (
         forms.select(F.col("form").alias("token"), "n_occ")
@@ -99,6 +105,7 @@ def wordpiece_vocabulary(
         .groupBy("form")
         .agg(F.sum("n_occ").alias("n_occ"))
     )
+    basic = stored(basic, "corpus-basic")
     starts = basic.withColumn(
         "start", F.explode(F.sequence(F.lit(1), F.length("form")))
     ).withColumn("size", F.explode(F.array(*[F.lit(k) for k in (1, 2, 3, 4)])))
@@ -118,7 +125,7 @@ def wordpiece_vocabulary(
         most_frequent(basic, "form", n_words)
         .select(F.col("form").alias("token"), "n_occ")
         .union(
-            most_frequent(pieces, "piece", n_pieces).select(
+            most_frequent(stored(pieces, "corpus-pieces"), "piece", n_pieces).select(
                 F.col("piece").alias("token"), "n_occ"
             )
         )
@@ -136,7 +143,7 @@ def substring_merges(pre_tokens: DataFrame, n_rules: int = 49_992) -> DataFrame:
     symbols, short ones first; three symbols join a pair and a symbol, four
     symbols join two pairs."""
     counts = substring_counts(word_counts(pre_tokens), to_byte_symbols(F.col("word")))
-    top = most_frequent(counts, "piece", n_rules)
+    top = most_frequent(stored(counts, "corpus-pieces"), "piece", n_rules)
     cut = F.when(F.length("piece") == 2, 1).otherwise(2)
     order = W.orderBy(F.length("piece"), F.desc("n_occ"), "piece")
     return top.select(
