@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tokenmill.functions.words import chunk_list, pre_token_list, spaced_words
+from tokenmill.functions.words import chunk_list, pre_token_list, spaced_words, text_basic_tokens
 from tokenmill.operators.assemble import HOT_BYTES, HOT_ROWS
-from tokenmill.operators.dictionary import Dictionary, hot_words, segment_words, store_dictionary, word_counts
-from tokenmill.operators.merges import MergeRules, merge_words
+from tokenmill.operators.dictionary import (
+    Dictionary,
+    hot_words,
+    segment_words,
+    store_dictionary,
+    vocabulary_segmenter,
+    word_counts,
+)
+from tokenmill.operators.inplace import GreedyCut, MergeCut, PieceCut, parts
+from tokenmill.operators.merges import MergeRules, id_merger, merge_words
 from tokenmill.operators.vocabulary import Vocabulary
-from tokenmill.operators.wordpiece import piece_words
+from tokenmill.operators.wordpiece import MAX_WORD_CHARS, piece_cutter, piece_words
 
 #: The units of the tokenizers, told apart by a first letter.
 GREEDY, MERGE, PIECE = "g", "m", "p"
@@ -63,6 +74,40 @@ def unit_dictionary(
     return store_dictionary(table, F.octet_length("word") + 24, "unit-tokens")
 
 
+def _hashed(modulus_bytes: int) -> Column:
+    n = F.coalesce(F.octet_length("text"), F.lit(0))
+    return F.floor(n / modulus_bytes).cast("long").alias("hash")
+
+
+def counted_in_place(
+    texts: DataFrame,
+    vocab: Vocabulary,
+    merges: MergeRules,
+    merge_vocab: Vocabulary,
+    pieces: Vocabulary,
+    keys: Sequence[str] = ("doc_id",),
+    modulus_bytes: int = 4,
+) -> DataFrame:
+    """The columns of :func:`compare_counts`; each text is cut by all tokenizers
+    where it is, in one pass without a shuffle."""
+    units = {"_words": spaced_words("text"), "_basic": text_basic_tokens("text"), "_pre": pre_token_list("text")}
+    rows = texts.select(*keys, _hashed(modulus_bytes), *[column.alias(name) for name, column in units.items()])
+    greedy = GreedyCut(vocabulary_segmenter(vocab, None))
+    merge = id_merger(merges, merge_vocab)
+    piece = PieceCut(piece_cutter(pieces, "[UNK]", MAX_WORD_CHARS))
+    names = [*keys, *ALGORITHMS, "hash"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutters = {"_words": greedy, "_pre": MergeCut(merge), "_basic": piece}
+        for batch in batches:
+            for part in parts(batch):
+                n = [pc.list_value_length(cut(part.column(c))).cast(pa.int64()) for c, cut in cutters.items()]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), *n, part.column("hash")], names=names)
+
+    counts = StructType.fromDDL(", ".join(f"{a} long" for a in [*ALGORITHMS, "hash"])).fields
+    return rows.mapInArrow(run, StructType([*(rows.schema[k] for k in keys), *counts]))
+
+
 def compare_counts(
     texts: DataFrame,
     dictionary: Dictionary,
@@ -86,8 +131,7 @@ def compare_counts(
         F.coalesce(F.sum(F.when(F.substring("word", 1, 1) == kind, n)), F.lit(0)).cast("long").alias(name)
         for kind, name in zip((GREEDY, MERGE, PIECE), ALGORITHMS)
     ]
-    hashed = F.floor(F.coalesce(F.octet_length("text"), F.lit(0)) / modulus_bytes).cast("long").alias("hash")
-    units = text_units(texts.select(*keys, hashed, "text"), [*keys, "hash"])
+    units = text_units(texts.select(*keys, _hashed(modulus_bytes), "text"), [*keys, "hash"])
     near = units.join(hot, "word", "left").groupBy(*keys, "hash").agg(*sums)
     if whole:
         return near.select(*keys, *ALGORITHMS, "hash")
@@ -109,8 +153,11 @@ def compare_tokenizers(
 ) -> DataFrame:
     """Tokens per text of the greedy, merge-rank and WordPiece tokenizers and of
     the hash; ``keys`` identify a text. The greedy vocabulary has all bytes, so
-    that each word gives a token."""
+    that each word gives a token. With bounds of its broadcast part a dictionary
+    of all units is made and joined instead of cutting the texts where they are."""
     if not vocab.covers_all_bytes:
         raise ValueError("the vocabulary lacks some of the 256 bytes")
+    if not bounds:
+        return counted_in_place(texts, vocab, merges, merge_vocab, pieces, keys)
     dictionary = unit_dictionary(texts, vocab, merges, merge_vocab, pieces)
     return compare_counts(texts, dictionary, keys=keys, **bounds)
