@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tokenmill.llm import ordinal, toxicity
+from tokenmill.llm import common, ordinal, toxicity
 from samples import frame, words
 
 LABELS = "doc_id long, quality int, toxic int, score string"
@@ -207,3 +207,53 @@ def test_queries_on_held_out_rows(spark, name, least):
             else:
                 right.append(r["selected"] == (known["quality"] == 1 and known["toxic"] == 0))
     assert sum(right) / len(right) > least
+
+
+@pytest.mark.parametrize("module", [toxicity, ordinal])
+def test_every_labelled_row_is_learned_from(spark, module, monkeypatch):
+    """Each text has a word of its own: the model knows those of all shards."""
+    rng = random.Random(5)
+    texts = [f"{rng.choice('abcdef')} {rng.choice('ghijkl')}" for _ in range(11_000)]
+    texts = [f"{t} only{i}" for i, t in enumerate(texts)]
+    learned = [i for i in range(11_000) if not held_out(i)]
+    labels = [(i, int(i % 3 > 0), int(i % 3 == 1), "x") for i in learned]
+    docs = frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    seen = []
+    whole = common.in_shards
+
+    def watched(*args):
+        shards = whole(*args)
+        seen.extend(len(r["y"]) // 4 for r in shards.select("y").collect())
+        return shards
+
+    monkeypatch.setattr(module, "in_shards", watched)
+    monkeypatch.setattr(common, "SHARD_ROWS", 2500)
+    model = module.train(docs, spark.createDataFrame(labels, LABELS))
+    wanted = [i for i in learned if module is ordinal or zlib.crc32(str(i).encode()) % 5 != toxicity.CALIBRATION_FOLD]
+    assert sum(seen) == len(wanted) and len(seen) > 1
+    if module is ordinal:
+        words = {i: zlib.crc32(f"only{i}".encode()) & ((1 << ordinal.BITS) - 1) for i in wanted}
+        assert all(model.weights[w] for w in words.values())
+    else:
+        start = toxicity.new_model().table
+        rows = np.concatenate([toxicity.word_rows(f"only{i}".encode())[:2] for i in wanted])
+        assert (model.table[rows] != start[rows]).any(axis=1).mean() > 0.9
+
+
+def test_shards_follow_from_the_rows(spark, monkeypatch):
+    rows = spark.createDataFrame([(i % 700, f"text {i}", i % 2) for i in range(900)] + [(1, None, 0)], "doc_id long, text string, y int")
+    monkeypatch.setattr(common, "SHARD_ROWS", 100)
+
+    def pack(texts):
+        return ("|".join(texts).encode(),)
+
+    one, two = (
+        sorted(map(tuple, common.in_shards(df, 901, 9000, pack, ("texts",)).collect()))
+        for df in (rows, rows.repartition(7, "text"))
+    )
+    assert one == two and len(one) > 5
+    assert sum(len(r[2]) // 4 for r in one) == 901 == sum(len(r[3].split(b"|")) for r in one)
+    # equal rows, which share a shard, are cut into parts
+    equal = spark.createDataFrame([(1, "same", 1)] * 950, "doc_id long, text string, y int")
+    parts = sorted((r["part"], len(r["y"]) // 4) for r in common.in_shards(equal, 950, 3800, pack, ("texts",)).collect())
+    assert parts == [(0, 200), (1, 200), (2, 200), (3, 200), (4, 150)]

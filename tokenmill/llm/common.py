@@ -17,6 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tokenmill.scratch import stored
+from tokenmill.sizes import broadcast_if_small
+
 #: White space of the word contracts: blank and the controls 9 to 13. It is
 #: also what ``bytes.split()`` splits at.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -134,35 +137,104 @@ class Memo(dict):
         return value
 
 
-def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: Column, per_class: int, id_col: str = "doc_id"
-) -> tuple[DataFrame, dict[int, int]]:
-    """Documents with ``y`` and ``fold`` for a bounded fit, and the number of
-    labelled ids of each class.
+def labelled(docs: DataFrame, labels: DataFrame, label: Column, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """All documents that have a label outside fold 0, with ``y`` and ``fold``,
+    and the labelled ids.
 
-    At most ``per_class`` ids of each class, the first by hash. Ids of fold 0
-    are never among them. An id with several labels has its greatest, an id or
-    label that is null is left out. Ids are thinned by their hash before they
-    are ordered, so no task sees many more than it keeps.
-    """
+    An id with several labels has its greatest, an id or label that is null is
+    left out."""
     ids = labels.select(F.col(id_col).alias("_id"), label.cast("int").alias("y"))
     ids = ids.where(F.col("_id").isNotNull() & F.col("y").isNotNull() & (fold("_id") != 0))
-    ids = ids.groupBy("_id").agg(F.max("y").alias("y")).withColumn("_h", F.xxhash64("_id"))
-    counts = {r["y"]: r["count"] for r in ids.groupBy("y").count().collect()}
-    low = F.col("_h").bitwiseAND((1 << 31) - 1)
-    taken = [
-        ids.where((F.col("y") == y) & (low < int(min(1.0, 2 * per_class / n) * 2**31)))
-        .orderBy("_h", "_id")
-        .limit(per_class)
-        for y, n in sorted(counts.items())
-    ]
-    if not taken:
-        return docs.limit(0).withColumns({"y": F.lit(0), "fold": F.lit(0)}), counts
-    sample = taken[0]
-    for more in taken[1:]:
-        sample = sample.unionByName(more)
-    sample = F.broadcast(sample.select("_id", "y", fold("_id").alias("fold")))
-    return docs.join(sample, docs[id_col] == sample["_id"]).drop("_id"), counts
+    ids = ids.groupBy("_id").agg(F.max("y").alias("y")).withColumn("fold", fold("_id"))
+    sent = broadcast_if_small(ids, F.lit(24))
+    return docs.join(sent, docs[id_col] == sent["_id"]).drop("_id"), ids
+
+
+#: Documents and bytes of text that are learned from at once, on average.
+SHARD_ROWS = 8000
+SHARD_BYTES = 32 << 20
+
+
+def in_shards(
+    rows: DataFrame, n: int, n_bytes: int, pack: Callable[[list[str]], tuple[bytes, ...]], names: tuple[str, ...]
+) -> DataFrame:
+    """``rows`` (doc_id, text, y; ``n`` of them with ``n_bytes`` of text) dealt by
+    hash into shards, one stored row for each: ``shard``, ``part``, ``y`` and what
+    ``pack`` makes of its texts, as binary ``names``.
+
+    Which rows share a shard, and their order, follow from the rows alone. A
+    shard of more than twice the average size is cut into parts."""
+    count = max(1, -(-n // SHARD_ROWS), -(-n_bytes // SHARD_BYTES))
+    keyed = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y").withColumn("_h", F.xxhash64("doc_id", "text"))
+    keyed = keyed.withColumn("shard", F.pmod("_h", F.lit(count)).cast("int"))
+    dealt = keyed.repartitionById(count, F.col("shard")).sortWithinPartitions("shard", "doc_id", "_h")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, part, texts, y, size = None, 0, [], [], 0
+
+        def done() -> pa.RecordBatch:
+            columns = [pa.array([at], pa.int32()), pa.array([part], pa.int32())]
+            columns += [pa.array([x], pa.binary()) for x in (np.array(y, np.int32).tobytes(), *pack(texts))]
+            return pa.RecordBatch.from_arrays(columns, names=["shard", "part", "y", *names])
+
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("shard", "text", "y"))
+            for shard, text, label in zip(*columns):
+                full = len(y) >= 2 * SHARD_ROWS or size >= 2 * SHARD_BYTES
+                if y and (full or shard != at):
+                    yield done()
+                    part = part + 1 if shard == at else 0
+                    texts, y, size = [], [], 0
+                at = shard
+                texts.append(text)
+                y.append(label)
+                size += len(text)
+        if y:
+            yield done()
+
+    schema = ", ".join(["shard int", "part int", "y binary", *(f"{c} binary" for c in names)])
+    return stored(dealt.select("shard", "text", "y").mapInArrow(frugal(run), schema), "fit-shards")
+
+
+def exact(values: np.ndarray) -> np.ndarray:
+    """Rounded to multiples of 2 ** -24, so that sums do not depend on the order."""
+    return (np.rint(values.astype(np.float64) * (1 << 24)) / (1 << 24)).astype(np.float32)
+
+
+def fit_round(
+    shards: DataFrame, state: list[np.ndarray], learn: Callable[[list[np.ndarray], dict], list[np.ndarray]], more: int = 0
+) -> list[np.ndarray]:
+    """State after each shard learned from ``state`` on its own: every row of the
+    state is the mean over the shards that moved it.
+
+    ``learn`` gets copies of the arrays (rows by columns) and the row of a shard,
+    and returns arrays of that shape, ``more`` of them than it gets; where no
+    shard moved them those are like the first."""
+    width = state[0].shape[1]
+    frozen = [x.copy() for x in state]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                after = learn([x.copy() for x in frozen], row)
+                moved = np.flatnonzero(np.any([(x != y).any(axis=1) for x, y in zip(after, frozen)], axis=0))
+                parts = [exact(x[moved]) for x in after]
+                columns = [np.ascontiguousarray(x[:, k]) for x in parts for k in range(width)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(moved.astype(np.int32)), *map(pa.array, columns)],
+                    names=["place", *(f"v{k}" for k in range(len(columns)))],
+                )
+
+    names = [f"v{k}" for k in range((len(frozen) + more) * width)]
+    schema = ", ".join(["place int", *(f"{c} float" for c in names)])
+    means = shards.mapInArrow(frugal(run), schema).groupBy("place").agg(*(F.avg(c).alias(c) for c in names))
+    found = means.toArrow()
+    new = [x.copy() for x in [*frozen, *frozen[:1] * more]]
+    places = found["place"].to_numpy()
+    for k, name in enumerate(names):
+        new[k // width][places, k % width] = found[name].to_numpy()
+    return new
 
 
 #: ASCII that is neither letter nor digit separates the words of classifiers.

@@ -12,9 +12,11 @@ characters, each 1 / sqrt(their number), and the shape of the text: shares of
 words that are upper case, repeat the word before, end in marks, hold no letter,
 in steps of a tenth.
 
-The fit is Adagrad in numpy on the driver over at most ``PER_GRADE`` labelled
-documents of each grade, all grades weighing the same; feature numbers go there,
-not texts. Null and empty texts have shape features only. Without
+The fit is Adagrad in numpy in the tasks, over all labelled documents, all grades
+weighing the same. They are dealt into shards; in each of ``ROUNDS`` rounds every
+shard is gone through ``EPOCHS / ROUNDS`` times from the common weights, and each
+weight becomes its mean over the shards that moved it. Only these means come to
+the driver. Null and empty texts have shape features only. Without
 labelled documents of two grades every document has the greatest grade there is
 (0 without any) for certain.
 """
@@ -30,12 +32,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenmill.llm.common import Memo, extended, fold, give_back, labelled_sample, plain_words, sub_batches, texts_of
+from tokenmill.llm.common import (
+    Memo,
+    extended,
+    fit_round,
+    fold,
+    in_shards,
+    labelled,
+    plain_words,
+    sub_batches,
+    texts_of,
+)
+from tokenmill.scratch import temporary_tables
 
-#: Bound of the fit: labelled documents of each grade.
-PER_GRADE = 4000
 BITS = 18
 EPOCHS = 20
+ROUNDS = 4
 BATCH = 32
 RATE = 1.0
 DECAY = 1e-4
@@ -130,86 +142,91 @@ def gradients(
     return used, np.bincount(which, values), after * np.concatenate([[1.0], np.exp(free[1:])])
 
 
-def fit(features: list[np.ndarray], y: np.ndarray, weight: np.ndarray, grades: list[int], seed: int = 42) -> Model:
-    """``y`` counts up the list of grades. Weights and thresholds are the means
-    over the second half of the epochs, which single batches move little."""
-    k = len(grades)
-    weights = np.zeros((1 << BITS) + SHAPES * STEPS)
-    square = np.full_like(weights, 1e-4)
-    below = np.array([(weight * (y <= i)).sum() / weight.sum() for i in range(k - 1)])
+def packed_features(texts: list[str]) -> tuple[bytes, bytes]:
+    """Number of features of each text, and the features."""
+    make = Features()
+    found = [make(t) for t in texts]
+    return np.array([len(f) for f in found], np.int32).tobytes(), b"".join(f.tobytes() for f in found)
+
+
+def epoch(
+    weights: np.ndarray, square: np.ndarray, free: np.ndarray, free_square: np.ndarray,
+    features: list[np.ndarray], y: np.ndarray, weight: np.ndarray, rng: np.random.Generator,
+) -> None:
+    """Adagrad on small batches, each document once."""
+    order = rng.permutation(len(y))
+    for at in range(0, len(y), BATCH):
+        some = order[at : at + BATCH]
+        used, grad, grad_free = gradients(weights, free, [features[i] for i in some], y[some], weight[some] / len(some))
+        grad += DECAY * weights[used]
+        square[used] += grad**2
+        weights[used] -= RATE * grad / np.sqrt(square[used])
+        free_square += grad_free**2
+        free -= RATE * grad_free / np.sqrt(free_square)
+
+
+def fit(shards: DataFrame, drawn: list[int], grades: list[int], seed: int = 42) -> Model:
+    """Rounds over shards of packed features; ``drawn`` documents of each grade
+    are in them. Weights and thresholds are the means over the second half of the
+    epochs, which single batches move little."""
+    size = (1 << BITS) + SHAPES * STEPS
+    present = np.array(drawn) > 0
+    by_grade = sum(drawn) / present.sum() / np.maximum(1, drawn)
+    below = np.clip(np.cumsum(present)[:-1] / present.sum(), 1e-3, 1 - 1e-3)
     cuts = np.log(below / (1 - below))
     free = np.concatenate([cuts[:1], np.log(np.maximum(np.diff(cuts), 1e-2))])
-    free_square = np.full_like(free, 1e-2)
-    rng = np.random.default_rng(seed)
-    total, total_free, steps = np.zeros_like(weights), np.zeros_like(free), 0
-    for epoch in range(EPOCHS):
-        order = rng.permutation(len(y))
-        for at in range(0, len(y), BATCH):
-            some = order[at : at + BATCH]
-            used, grad, grad_free = gradients(
-                weights, free, [features[i] for i in some], y[some], weight[some] / len(some)
-            )
-            grad += DECAY * weights[used]
-            square[used] += grad**2
-            weights[used] -= RATE * grad / np.sqrt(square[used])
-            free_square += grad_free**2
-            free -= RATE * grad_free / np.sqrt(free_square)
-        if epoch >= EPOCHS // 2:
-            total, total_free, steps = total + weights, total_free + free, steps + 1
-    return Model(total / steps, cuts_of(total_free / steps), grades)
+    start = np.concatenate([np.zeros(size), free])
+    squares = np.concatenate([np.full(size, 1e-4), np.full(len(free), 1e-2)])
+    state, means = [start[:, None], squares[:, None]], []
+    for number in range(ROUNDS):
+
+        def learn(arrays: list[np.ndarray], row: dict) -> list[np.ndarray]:
+            values, square = (x[:, 0] for x in arrays)
+            y = np.frombuffer(row["y"], np.int32)
+            ends = np.cumsum(np.frombuffer(row["sizes"], np.int32), dtype=np.int64)
+            features = np.split(np.frombuffer(row["features"], np.int32), ends[:-1])
+            rng = np.random.default_rng([seed, number, row["shard"], row["part"]])
+            total, epochs = np.zeros_like(values), EPOCHS // ROUNDS
+            for _ in range(epochs):
+                epoch(values[:size], square[:size], values[size:], square[size:], features, y, by_grade[y], rng)
+                total += values
+            return [values[:, None], square[:, None], total[:, None] / epochs]
+
+        *state, mean = fit_round(shards, state, learn, more=1)
+        if number >= ROUNDS // 2:
+            means.append(mean[:, 0])
+    mean = np.mean(means, axis=0)
+    return Model(mean[:size], cuts_of(mean[size:]), grades)
 
 
 def train(
     docs: DataFrame,
     labels: DataFrame,
-    per_grade: int = PER_GRADE,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> Model:
     """Model of the labels outside fold 0."""
-    try:
-        return _trained(docs, labels, per_grade, id_col, text_col)
-    finally:
-        give_back()  # the sample was in this process
-
-
-def _trained(
-    docs: DataFrame,
-    labels: DataFrame,
-    per_grade: int = PER_GRADE,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> Model:
     grade = F.when(F.col("quality") == 0, 0).when(F.coalesce(F.col("toxic"), F.lit(0)) == 1, 1).when(
         F.col("quality") == 1, 2
     )
     rated = labels.select(F.col(id_col).alias("doc_id"), "quality", "toxic")
-    sample, counts = labelled_sample(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), rated, grade, per_grade
-    )
-    grades = sorted(counts)
-    nothing = Model(np.zeros((1 << BITS) + SHAPES * STEPS), np.zeros(0), grades[-1:] or [0])
-    if len(grades) < 2:
-        return nothing
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Features()
-        for batch in sub_batches(batches, "text"):
-            lists = pa.array([make(x) for x in texts_of(batch.column("text"))], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), lists], names=["doc_id", "y", "f"])
-
-    kind = sample.schema["doc_id"].dataType.simpleString()
-    rows = sample.select("doc_id", "text", "y").mapInArrow(run, f"doc_id {kind}, y int, f array<int>").toArrow()
-    order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
-    lists = rows["f"].combine_chunks()
-    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-    features = [flat[ends[i] : ends[i + 1]] for i in order]
-    y = np.searchsorted(grades, rows["y"].to_numpy()[order])
-    drawn = np.bincount(y, minlength=len(grades))
-    if (drawn > 0).sum() < 2:
-        return nothing
-    weight = (1 / np.maximum(1, drawn))[y]
-    return fit(features, y, weight / weight.mean(), grades)
+    rows, ids = labelled(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), rated, grade)
+    grades = sorted(r["y"] for r in ids.select("y").distinct().collect())
+    sizes = rows.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n_bytes"))
+    sizes = {r["y"]: (r["n"], r["n_bytes"]) for r in sizes.collect()}
+    if len(sizes) < 2:
+        return Model(np.zeros((1 << BITS) + SHAPES * STEPS), np.zeros(0), grades[-1:] or [0])
+    drawn = [sizes.get(g, (0, 0))[0] for g in grades]
+    place = F.array_position(F.array(*map(F.lit, grades)), F.col("y")) - 1
+    with temporary_tables(docs.sparkSession):
+        shards = in_shards(
+            rows.withColumn("y", place.cast("int")),
+            sum(drawn),
+            sum(size for _, size in sizes.values()),
+            packed_features,
+            ("sizes", "features"),
+        )
+        return fit(shards, drawn, grades)
 
 
 def grade_texts(
