@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tokenmill.llm import ordermin
@@ -242,3 +243,43 @@ def test_query_finds_what_all_pairs_find(spark):
     got = {r["doc_id"]: r["class_id"] for r in queries.QUERIES["op5_order_minhash"](spark, folder).collect()}
     assert len(got) == len(docs)
     assert got == brute(docs)
+
+
+def test_rare_grams_of_similar_texts_meet():
+    rng = random.Random(21)
+    counts = np.random.default_rng(2).integers(1, 255, 1 << ordermin.COUNTERS).astype(np.uint8)
+    counts[counts == 1] = 2
+    met = 0
+    for _ in range(3000):
+        a = " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 40)))
+        b = edited(rng, a, 0.3)
+        one, two = ([w.encode() for w in t.split()] for t in (a, b))
+        if two and ordermin.alike(one, two):
+            met += 1
+            grams = (ordermin.rare_grams(ordermin.word_pairs(w), counts) for w in (one, two))
+            assert set(next(grams).tolist()) & set(next(grams).tolist())
+    assert met > 500
+
+
+def test_crowded_groups_are_split_without_loss(spark, monkeypatch):
+    """Unlike texts with one passage, and similar ones among them."""
+    rng = random.Random(22)
+    passage = words(rng, 80)
+    rows = [(i, f"{words(rng, 40)} {passage} {words(rng, 40)}", "en", "a") for i in range(300)]
+    rows += [(1000 + i, edited(rng, rows[i][1], 0.08), "en", "a") for i in range(60)]
+    rows += [(2000 + i, edited(rng, rows[1000 % 300 - i][1], 0.12), "en", "a") for i in range(40)]
+    sizes, split = [], ordermin._split
+
+    def watched(crowd, texts):
+        found = split(crowd, texts)
+        sizes.append((crowd.count(), found.groupBy("key").count().agg({"count": "max"}).first()[0] or 0, found.count()))
+        return found
+
+    monkeypatch.setattr(ordermin, "_split", watched)
+    monkeypatch.setattr(ordermin, "BLOCK", 64)
+    got = {r["doc_id"]: r["class_id"] for r in ordermin.classes(frame(spark, rows)).collect()}
+    assert got == brute(rows)
+    (nodes, most, n), = sizes
+    assert nodes > 250 and most < 64  # no longer crowded
+    longest = max(len(t.split()) for _, t, *_ in rows)
+    assert n <= nodes * (2 * longest // 5 + 1)

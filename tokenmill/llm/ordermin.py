@@ -19,8 +19,11 @@ share a step of one).
    of its groups, which settles most copies of one text, however many there are.
 2. All those candidates that are not in one class by then are verified.
 3. Groups that still hold several classes are compared in full: all pairs of
-   different classes whose word counts allow the similarity are verified. Groups
-   are dealt into blocks for that; the bound is exact, so no pair is lost.
+   different classes whose word counts allow the similarity are verified. The
+   bound is exact, so no pair is lost. Crowded groups, as those of a passage that
+   unlike texts share, are first split by the rare pairs of words of each text,
+   of which similar texts must share one (``rare_grams``); what is still crowded
+   is dealt into blocks.
 
 Classes are the connected components of the links, and each document gets the
 least id of its class, null if no row of it has one.
@@ -56,6 +59,9 @@ SIMILAR = (4, 5)
 #: Places of a word profile, and members of a group that are compared at once.
 PROFILE = 512
 BLOCK = 1024
+#: Counters behind the order of word pairs, as 1 << COUNTERS, and those of a row.
+COUNTERS = 22
+COUNTED = 16
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 MIX2 = np.uint64(0xBF58476D1CE4E5B9)
@@ -76,13 +82,39 @@ def labelled_runs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     for part in (h[i : i + n] for i in range(min(RUN, len(h)))):
         runs = runs * MIX + part
     runs = _mixed(runs)
-    order = np.argsort(runs, kind="stable")
-    ordered = runs[order]
+    return runs, _numbered(runs)
+
+
+def _numbered(values: np.ndarray) -> np.ndarray:
+    """Hashes of values with how often each came before."""
+    order = np.argsort(values, kind="stable")
+    ordered = values[order]
     first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    places = np.arange(n)
-    label = np.empty(n, dtype=np.uint64)
+    places = np.arange(len(values))
+    label = np.empty(len(values), dtype=np.uint64)
     label[order] = places - np.maximum.accumulate(np.where(first, places, 0))
-    return runs, runs + label * MIX
+    return values + label * MIX
+
+
+def word_pairs(words: list[bytes]) -> np.ndarray:
+    """Hash of each word with the one before it, as often as it comes."""
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+    return _numbered(_mixed(np.concatenate([[np.uint64(0)], h[:-1]]) * MIX + h))
+
+
+def rare_grams(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The rarest of a text's ``word_pairs``, so many that two texts of the
+    similarity share one of theirs; without those that no other text can have.
+
+    An edit takes two pairs away, so similar texts of at most m words share at
+    least m - 2 * (allowed edits) of them, and of two sets in one order that share
+    t, the first size - t + 1 of either have one in common. Any counts give such
+    an order; that of true ones puts a common passage last."""
+    n = len(grams)
+    count = counts[grams >> np.uint64(64 - COUNTERS)]
+    most = 2 * n * (SIMILAR[1] - SIMILAR[0]) // SIMILAR[1] + 1
+    first = np.lexsort((grams, count))[:most]
+    return grams[first[count[first] > 1]]
 
 
 def sketch(words: list[bytes]) -> np.ndarray:
@@ -347,13 +379,61 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pairs(pa.Table.from_batches(held))
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counters of word pairs, up to 255, in rows of 1 << COUNTED."""
+    counts = np.zeros(1 << COUNTERS, dtype=np.uint8)
+    for batch in sub_batches(batches, "text"):
+        for text in batch.column("text").to_pylist():
+            found, n = np.unique(word_pairs((text or "").encode().split()) >> np.uint64(64 - COUNTERS), return_counts=True)
+            counts[found] = np.minimum(counts[found] + n, 255)
+    rows = counts.reshape(-1, 1 << COUNTED)
+    used = np.flatnonzero(rows.any(axis=1))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(used.astype(np.int32)), pa.array([rows[i].tobytes() for i in used], pa.binary())], names=["at", "counts"]
+    )
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total, at = np.zeros(1 << COUNTED, dtype=np.int64), None
+    for batch in batches:
+        for at, counts in zip(batch.column("at").to_pylist(), batch.column("counts").to_pylist()):
+            total += np.frombuffer(counts, np.uint8)
+    if at is not None:
+        counts = np.minimum(total, 255).astype(np.uint8).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([counts], pa.binary())], names=["at", "counts"])
+
+
+def _split(crowd: DataFrame, texts: DataFrame) -> DataFrame:
+    """The nodes of crowded groups in groups of one rare word pair each."""
+    mine = texts.join(crowd.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    mine = stored(mine, "near-crowd")
+    tasks = -(-mine.count() // (16 * BLOCK))
+    each = mine.coalesce(tasks).mapInArrow(frugal(_counted), "at int, counts binary")
+    counts = np.zeros((1 << COUNTERS - COUNTED, 1 << COUNTED), dtype=np.uint8)
+    for row in each.groupBy("at").applyInArrow(_added, "at int, counts binary").collect():
+        counts[row["at"]] = np.frombuffer(row["counts"], np.uint8)
+    counts = counts.ravel()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sub_batches(batches, "text"):
+            words = [(x or "").encode().split() for x in batch.column("text").to_pylist()]
+            keys = [rare_grams(word_pairs(w), counts).view(np.int64) for w in words]
+            node = np.repeat(batch.column("node").to_numpy(), [len(k) for k in keys])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(node)], names=["key", "node"])
+
+    rare = mine.mapInArrow(frugal(run), "key long, node long")
+    # no scale is as great
+    return stored(rare.join(crowd, "node").withColumn("scale", F.lit(1 << 40)), "near-split")
+
+
 def _residual(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs of different classes that share a group and that the word counts do
     not rule out, whatever the size of groups and classes.
 
-    Groups are taken as their classes, one row for each. Members of small classes
-    are dealt into blocks of their group, and every two blocks are compared by a
-    task of their own. A class of BLOCK nodes or more is large: it is dealt into
+    Groups are taken as their classes, one row for each. Groups of more than BLOCK
+    members of small classes are split by rare word pairs. What is left of that
+    size is dealt into blocks, and every two blocks are compared by a task of their
+    own. A class of BLOCK nodes or more is large: it is dealt into
     parts once, not in each group, and every node that shares a group with it is
     sent to its parts. So rows of a large class are as many as its nodes, and
     pairs become rows only after their bound.
@@ -374,11 +454,18 @@ def _residual(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFr
     big = held.where("_size IS NOT NULL").select(*group, F.col("label").alias("of"), F.col("_size").alias("_of_size"))
 
     # within groups: small classes against each other
-    blocks = few.groupBy(*group).agg(
-        F.count("*").alias("_n"), F.min("label").alias("_least"), F.max("label").alias("_most")
-    )
-    blocks = blocks.where("_least < _most").select(*group, F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"))
-    dealt = few.join(blocks, group).withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    def blocks_of(rows: DataFrame) -> DataFrame:
+        found = rows.groupBy(*group).agg(
+            F.count("*").alias("_n"), F.min("label").alias("_least"), F.max("label").alias("_most")
+        )
+        return found.where("_least < _most").select(*group, F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"))
+
+    near = few.select(*group, "node", "label", "n")
+    crowded = stored(blocks_of(near).where("_blocks > 1").select(*group), "near-crowded")
+    if crowded.limit(1).count():
+        crowd = stored(near.join(crowded, group).select("node", "label", "n").distinct(), "near-crowd-nodes")
+        near = near.join(crowded, group, "left_anti").unionByName(_split(crowd, texts).select(*near.columns))
+    dealt = near.join(blocks_of(near), group).withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     dealt = dealt.withColumns({"low": F.least("block", "_other"), "high": F.greatest("block", "_other")})
 
