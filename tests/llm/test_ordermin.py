@@ -283,3 +283,57 @@ def test_crowded_groups_are_split_without_loss(spark, monkeypatch):
     assert nodes > 250 and most < 64  # no longer crowded
     longest = max(len(t.split()) for _, t, *_ in rows)
     assert n <= nodes * (2 * longest // 5 + 1)
+
+
+def test_rare_words_of_similar_texts_meet_at_about_one_place():
+    rng = random.Random(31)
+    counts = np.random.default_rng(3).integers(2, 1000, 1 << ordermin.COUNTERS).astype(np.int32)
+    met = 0
+    for _ in range(3000):
+        a = " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 40)))
+        one, two = ([w.encode() for w in t.split()] for t in (a, edited(rng, a, 0.3)))
+        if two and ordermin.alike(one, two):
+            met += 1
+            apart = max(len(one), len(two)) // 5
+            places = [
+                {w: (x, y) for w, x, y in zip(*(c.tolist() for c in ordermin.rare_words(ordermin.word_hashes(t), counts)))}
+                for t in (one, two)
+            ]
+            assert len(places[0]) <= len(one) // 5 + 1
+            assert any(
+                places[0][w][0] <= places[1][w][1] + apart and places[1][w][0] <= places[0][w][1] + apart
+                for w in places[0].keys() & places[1].keys()
+            )
+    assert met > 500
+
+
+def test_groups_of_a_passage_send_each_node_once(spark, monkeypatch):
+    """Unlike texts with one passage share many groups, none of them crowded; rows
+    that are compared do not grow with the groups a text is in."""
+    rng = random.Random(32)
+    own = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(45))
+    passage = words(rng, 60)
+    rows = [(i, f"{own()} {passage} {own()}", "en", "a") for i in range(150)]
+    rows += [(1000 + i, edited(rng, rows[i][1], 0.1), "en", "a") for i in range(20)]
+    sizes, stored = Counter(), ordermin.stored
+
+    def watched(df, name, **more):
+        found = stored(df, name, **more)
+        if name in ("near-few", "near-split"):
+            sizes[name] += found.count()
+        return found
+
+    monkeypatch.setattr(ordermin, "stored", watched)
+    got = {r["doc_id"]: r["class_id"] for r in ordermin.classes(frame(spark, rows)).collect()}
+    assert got == brute(rows)
+    assert sizes.total() < 4 * len(rows), sizes
+
+
+def test_nodes_of_groups_by_list_and_by_join(spark, monkeypatch):
+    rows = [(i, i % 7, 50 + i, [i, i + 100, 7], [2 * (i % 2), 1]) for i in range(40)]
+    nodes = spark.createDataFrame(rows, "node long, label long, n long, keys array<long>, scales array<long>")
+    groups = spark.createDataFrame([(5, 2), (6, 2), (7, 2), (108, 1)], "key long, scale long")
+    want = sorted((i, i % 7, 50 + i) for i in range(40) if i % 2 or i == 8)
+    for listed in (1000, 0):
+        monkeypatch.setattr(ordermin, "BROADCAST_ROWS", listed)
+        assert sorted(map(tuple, ordermin._of_groups(nodes, groups).collect())) == want

@@ -20,10 +20,10 @@ share a step of one).
 2. All those candidates that are not in one class by then are verified.
 3. Groups that still hold several classes are compared in full: all pairs of
    different classes whose word counts allow the similarity are verified. The
-   bound is exact, so no pair is lost. Crowded groups, as those of a passage that
-   unlike texts share, are first split by the rare pairs of words of each text,
-   of which similar texts must share one (``rare_grams``); what is still crowded
-   is dealt into blocks.
+   bound is exact, so no pair is lost. Of groups of more than ``FEW``, as those of
+   a passage that unlike texts share, only the nodes are kept, once each, and
+   grouped anew by their rare words: similar texts share one of theirs at about
+   the same place (``rare_words``). What is still crowded is dealt into blocks.
 
 Classes are the connected components of the links, and each document gets the
 least id of its class, null if no row of it has one.
@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from tokenmill.llm.common import frugal, sub_batches
 from tokenmill.llm.components import components
 from tokenmill.scratch import new_path, stored, temporary_tables
-from tokenmill.sizes import broadcast_if_small
+from tokenmill.sizes import BROADCAST_ROWS, broadcast_if_small
 
 RUN = 5
 #: Of pairs just at the similarity, by scattered changes of words, 99 % share a
@@ -59,7 +59,9 @@ SIMILAR = (4, 5)
 #: Places of a word profile, and members of a group that are compared at once.
 PROFILE = 512
 BLOCK = 1024
-#: Counters behind the order of word pairs, as 1 << COUNTERS, and those of a row.
+#: Nodes of small classes in a group that are compared as they are.
+FEW = 32
+#: Counters behind the order of words, as 1 << COUNTERS, and those of a row.
 COUNTERS = 22
 COUNTED = 16
 
@@ -110,11 +112,36 @@ def rare_grams(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
     least m - 2 * (allowed edits) of them, and of two sets in one order that share
     t, the first size - t + 1 of either have one in common. Any counts give such
     an order; that of true ones puts a common passage last."""
-    n = len(grams)
+    return grams[_rarest(grams, counts, 2)]
+
+
+def _rarest(grams: np.ndarray, counts: np.ndarray, lost: int) -> np.ndarray:
+    """Places of the rarest grams, one more than the allowed edits take away;
+    equal ones in the order of the text."""
     count = counts[grams >> np.uint64(64 - COUNTERS)]
-    most = 2 * n * (SIMILAR[1] - SIMILAR[0]) // SIMILAR[1] + 1
+    most = lost * len(grams) * (SIMILAR[1] - SIMILAR[0]) // SIMILAR[1] + 1
     first = np.lexsort((grams, count))[:most]
-    return grams[first[count[first] > 1]]
+    return first[count[first] > 1]
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return _mixed(np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words)))
+
+
+def rare_words(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rarest of a text's words, each with its first and its last place among
+    those; without words that no other text can have.
+
+    Texts at the similarity, the longer of m words, align but for at most m / 5
+    words of either. So at most that many come before the rarest aligned word, and
+    the first aligned occurrence of it in one text is aligned with the first in the
+    other, at most m / 5 places off."""
+    places = _rarest(hashes, counts, 1)
+    words, which = np.unique(hashes[places], return_inverse=True)
+    low, high = np.full(len(words), len(hashes)), np.zeros(len(words), np.int64)
+    np.minimum.at(low, which, places)
+    np.maximum.at(high, which, places)
+    return words, low, high
 
 
 def sketch(words: list[bytes]) -> np.ndarray:
@@ -266,8 +293,10 @@ def _walked(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         keyed = sketched.select(F.col("row").alias("node"), F.explode(F.array_distinct("keys")).alias("key"))
         groups = keyed.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
         shared = keyed.join(groups, "key").join(copies.select("node", "n"), "node")
-        shared = stored(shared.select("node", "n", "key"), "near-shared", outer=True)
-    wanted = stored(copies.join(shared.select("node").distinct(), "node", "left_semi"), "near-wanted")
+        # one row a node: what asks for nodes or classes need not read its keys one by one
+        shared = shared.groupBy("node", "n").agg(F.collect_list("key").alias("keys"))
+        shared = stored(shared, "near-shared", outer=True)
+    wanted = stored(copies.join(shared.select("node"), "node", "left_semi"), "near-wanted")
     # only rows with the least id of their text are sent, and none while the
     # list of those is small
     one = (F.col("_copy") == F.col("copy")) & F.col("_id").eqNullSafe(F.col("least"))
@@ -293,8 +322,8 @@ def _walked(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     # groups of a sketch, by two staggered scales of length
     step = F.log(F.col("n")) / float(np.log(SIMILAR[1] / SIMILAR[0])) / 2
-    scales = F.array(2 * F.floor(step), 2 * F.floor(step + 0.5) + 1)
-    members = shared.withColumn("scale", F.explode(scales))
+    shared = shared.withColumn("scales", F.array(2 * F.floor(step), 2 * F.floor(step + 0.5) + 1))
+    members = _members(shared)
     least = members.groupBy("key", "scale").agg(F.min(F.struct("node", "n")).alias("first"))
     candidates = (
         members.join(least, ["key", "scale"])
@@ -308,12 +337,17 @@ def _walked(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     labels = components(stored(verified(first), "near-links"))
     labels = _joined(candidates.join(first, ["a", "b"], "left_anti"), labels, verified)
     labels = stored(labels, "near-labels")
-    rest = _residual(members, labels, texts).join(candidates, ["a", "b"], "left_anti")
+    rest = _residual(shared, labels, texts).join(candidates, ["a", "b"], "left_anti")
     labels = _joined(rest, labels, verified)
     rows = named.join(copies, "copy").join(labels, "node", "left")
     return rows.select("id", "copy", F.coalesce("label", "node").alias("label"))
 
 
+def _members(shared: DataFrame) -> DataFrame:
+    """One row for each group of a node."""
+    return shared.withColumn("key", F.explode("keys")).withColumn("scale", F.explode("scales")).drop("keys", "scales")
+
+
 def _joined(pairs: DataFrame, labels: DataFrame, verified) -> DataFrame:
     """Labels after the pairs that are not of one class are verified."""
     for end in ("a", "b"):
@@ -380,12 +414,11 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counters of word pairs, up to 255, in rows of 1 << COUNTED."""
-    counts = np.zeros(1 << COUNTERS, dtype=np.uint8)
+    """In how many texts words come, in rows of 1 << COUNTED counters."""
+    counts = np.zeros(1 << COUNTERS, dtype=np.int32)
     for batch in sub_batches(batches, "text"):
         for text in batch.column("text").to_pylist():
-            found, n = np.unique(word_pairs((text or "").encode().split()) >> np.uint64(64 - COUNTERS), return_counts=True)
-            counts[found] = np.minimum(counts[found] + n, 255)
+            counts[np.unique(word_hashes((text or "").encode().split()) >> np.uint64(64 - COUNTERS))] += 1
     rows = counts.reshape(-1, 1 << COUNTED)
     used = np.flatnonzero(rows.any(axis=1))
     yield pa.RecordBatch.from_arrays(
@@ -394,83 +427,152 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, at = np.zeros(1 << COUNTED, dtype=np.int64), None
+    total, at = np.zeros(1 << COUNTED, dtype=np.int32), None
     for batch in batches:
         for at, counts in zip(batch.column("at").to_pylist(), batch.column("counts").to_pylist()):
-            total += np.frombuffer(counts, np.uint8)
+            total += np.frombuffer(counts, np.int32)
     if at is not None:
-        counts = np.minimum(total, 255).astype(np.uint8).tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([counts], pa.binary())], names=["at", "counts"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["at", "counts"]
+        )
+
+
+RARE = "key long, node long, label long, n long, low long, high long"
+
+
+def _with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a word that another class has too, in a text of such a length
+    and about there. Rows come ordered by word and length. Words of more texts
+    than BLOCK are not looked through and keep all theirs."""
+
+    def kept(rows: pa.Table) -> pa.RecordBatch:
+        key, label, n, low, high = (rows.column(c).to_numpy() for c in ("key", "label", "n", "low", "high"))
+        keep, at, step = np.zeros(len(key), bool), np.arange(len(key)), 0
+        while len(at) and step < BLOCK:
+            step += 1
+            at = at[at + step < len(key)]
+            at = at[(key[at] == key[at + step]) & (n[at] * SIMILAR[1] >= n[at + step] * SIMILAR[0])]
+            other = at + step
+            apart = n[other] * (SIMILAR[1] - SIMILAR[0]) // SIMILAR[1]
+            met = (label[at] != label[other]) & (low[at] <= high[other] + apart) & (low[other] <= high[at] + apart)
+            keep[at[met]] = keep[other[met]] = True
+        keep |= np.isin(key, key[at])
+        return rows.filter(pa.array(keep)).combine_chunks()
+
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size < 1 << 16 or held[0].column("key")[0] == batch.column("key")[-1]:
+            continue
+        rows = pa.Table.from_batches(held)
+        key = rows.column("key").to_numpy()
+        cut = int(np.flatnonzero(key != key[-1])[-1]) + 1
+        yield from kept(rows.slice(0, cut)).to_batches()
+        held = rows.slice(cut).to_batches()
+        size = len(key) - cut
+    if held:
+        yield from kept(pa.Table.from_batches(held)).to_batches()
 
 
 def _split(crowd: DataFrame, texts: DataFrame) -> DataFrame:
-    """The nodes of crowded groups in groups of one rare word pair each."""
+    """The nodes of crowded groups in groups of one rare word each."""
     mine = texts.join(crowd.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    mine = stored(mine, "near-crowd")
+    mine = stored(mine.join(crowd, "node"), "near-crowd")
     tasks = -(-mine.count() // (16 * BLOCK))
-    each = mine.coalesce(tasks).mapInArrow(frugal(_counted), "at int, counts binary")
-    counts = np.zeros((1 << COUNTERS - COUNTED, 1 << COUNTED), dtype=np.uint8)
+    each = mine.select("text").coalesce(tasks).mapInArrow(frugal(_counted), "at int, counts binary")
+    counts = np.zeros((1 << COUNTERS - COUNTED, 1 << COUNTED), dtype=np.int32)
     for row in each.groupBy("at").applyInArrow(_added, "at int, counts binary").collect():
-        counts[row["at"]] = np.frombuffer(row["counts"], np.uint8)
+        counts[row["at"]] = np.frombuffer(row["counts"], np.int32)
     counts = counts.ravel()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sub_batches(batches, "text"):
-            words = [(x or "").encode().split() for x in batch.column("text").to_pylist()]
-            keys = [rare_grams(word_pairs(w), counts).view(np.int64) for w in words]
-            node = np.repeat(batch.column("node").to_numpy(), [len(k) for k in keys])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(node)], names=["key", "node"])
-
-    rare = mine.mapInArrow(frugal(run), "key long, node long")
+            found = [rare_words(word_hashes((x or "").encode().split()), counts) for x in batch.column("text").to_pylist()]
+            of = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+            key, low, high = (np.concatenate(x) for x in zip(*found))
+            node, label, n = (batch.column(c).to_numpy()[of] for c in ("node", "label", "n"))
+            columns = (key.view(np.int64), node, label, n, low, high)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[c.split()[0] for c in RARE.split(", ")])
+
+    rare = mine.repartition("node").mapInArrow(frugal(run), RARE)
+    rare = rare.repartition("key").sortWithinPartitions("key", "n").mapInArrow(frugal(_with_partner), RARE)
     # no scale is as great
-    return stored(rare.join(crowd, "node").withColumn("scale", F.lit(1 << 40)), "near-split")
+    return stored(rare.select("key", F.lit(1 << 40).alias("scale"), "node", "label", "n"), "near-split")
 
 
-def _residual(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+def _of_groups(nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """node, label and n of the nodes in any of the groups. These are looked up in
+    each node's own list; a longer list of groups is joined."""
+    ids = groups.select(F.xxhash64("key", "scale").alias("id"))
+    if groups.count() > BROADCAST_ROWS:
+        return _members(nodes).join(groups, ["key", "scale"], "left_semi").select("node", "label", "n").distinct()
+    wanted = np.unique(ids.toArrow().column("id").to_numpy())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mine = batch.column("ids")
+            of = np.repeat(np.arange(batch.num_rows), mine.value_lengths().to_numpy())
+            hit = np.unique(of[np.isin(mine.flatten().to_numpy(), wanted)])
+            yield batch.select(["node", "label", "n"]).take(pa.array(hit))
+
+    of_scale = F.transform("scales", lambda s: F.transform("keys", lambda k: F.xxhash64(k, s)))
+    rows = nodes.select("node", "label", "n", F.flatten(of_scale).alias("ids"))
+    return rows.mapInArrow(frugal(run), "node long, label long, n long")
+
+
+def _residual(shared: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs of different classes that share a group and that the word counts do
     not rule out, whatever the size of groups and classes.
 
-    Groups are taken as their classes, one row for each. Groups of more than BLOCK
-    members of small classes are split by rare word pairs. What is left of that
-    size is dealt into blocks, and every two blocks are compared by a task of their
+    Nodes of groups of more than FEW members of small classes are taken once each
+    and grouped by rare words. A word of more than BLOCK nodes is dealt into
+    blocks, and every two blocks are compared by a task of their
     own. A class of BLOCK nodes or more is large: it is dealt into
     parts once, not in each group, and every node that shares a group with it is
     sent to its parts. So rows of a large class are as many as its nodes, and
     pairs become rows only after their bound.
     """
     group = ["key", "scale"]
-    members = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    members = stored(members, "near-members")
-    nodes = stored(members.select("node", "label", "n").distinct(), "near-nodes")
+    few = min(FEW, BLOCK)
+    shared = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    shared = stored(shared, "near-nodes")
+    nodes = shared.select("node", "label", "n")
     large = nodes.groupBy("label").agg(F.count("*").alias("_size")).where(F.col("_size") >= BLOCK)
     large = stored(large.withColumn("_parts", F.ceil(F.col("_size") / BLOCK).cast("int")), "near-large")
-    held = stored(members.groupBy(*group, "label").agg(F.count("*").alias("_n")), "near-classes")
-    several = held.groupBy(*group).agg(F.sum("_n").alias("_all"), F.count("*").alias("_k"))
+    shared = shared.join(large.select("label", "_size"), "label", "left")
+    members, small = _members(shared), F.col("_size").isNull()
+    own_label = F.when(small, F.col("label"))
+    held = members.groupBy(*group).agg(
+        F.count("*").alias("_all"), F.min("label").alias("_one"), F.max("label").alias("_other"),
+        F.count(own_label).alias("_n"), F.min(own_label).alias("_least"), F.max(own_label).alias("_most"),
+    )
     # the least node of a group has been compared with the others
-    several = several.where("_all > 2 AND _k > 1").select(*group)
-    held = stored(held.join(several, group, "left_semi").join(large, "label", "left"), "near-classes")
-    few = members.join(held.where("_size IS NULL").select(*group, "label"), [*group, "label"])
-    few = stored(few, "near-few")
-    big = held.where("_size IS NOT NULL").select(*group, F.col("label").alias("of"), F.col("_size").alias("_of_size"))
+    held = stored(held.where("_all > 2 AND _one < _other"), "near-groups")
+    small_members = members.where(small).select(*group, "node", "label", "n")
+    big = members.where(~small).select(*group, F.col("label").alias("of"), F.col("_size").alias("_of_size")).distinct()
+    big = stored(big.join(held, group, "left_semi"), "near-big")
 
     # within groups: small classes against each other
-    def blocks_of(rows: DataFrame) -> DataFrame:
-        found = rows.groupBy(*group).agg(
-            F.count("*").alias("_n"), F.min("label").alias("_least"), F.max("label").alias("_most")
-        )
-        return found.where("_least < _most").select(*group, F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"))
-
-    near = few.select(*group, "node", "label", "n")
-    crowded = stored(blocks_of(near).where("_blocks > 1").select(*group), "near-crowded")
+    several = held.where("_least < _most")
+    near = small_members.join(several.where(F.col("_n") <= few).select(*group), group)
+    near = stored(near.withColumns({c: F.lit(0) for c in ("low", "high", "block")}), "near-few")
+    crowded = several.where(F.col("_n") > few).select(*group)
     if crowded.limit(1).count():
-        crowd = stored(near.join(crowded, group).select("node", "label", "n").distinct(), "near-crowd-nodes")
-        near = near.join(crowded, group, "left_anti").unionByName(_split(crowd, texts).select(*near.columns))
-    dealt = near.join(blocks_of(near), group).withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
-    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    dealt = dealt.withColumns({"low": F.least("block", "_other"), "high": F.greatest("block", "_other")})
+        crowd = stored(_of_groups(shared.where(small), crowded), "near-crowd-nodes")
+        split = _split(crowd, texts)
+        blocks = split.groupBy(*group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks")).where("_blocks > 1")
+        dealt = split.join(blocks, group, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+        dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+        dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        dealt = dealt.withColumns({"low": F.least("block", "_other"), "high": F.greatest("block", "_other")})
+        near = near.unionByName(dealt.select(*near.columns))
 
     # large classes: against the nodes of smaller ones that share a group
-    asked = few.join(big, group).select("of", "node", "label", "n")
+    asked = small_members.join(big, group).select("of", "node", "label", "n")
     mine = big.select(*group, F.col("of").alias("label"), F.col("_of_size").alias("_size"))
     lesser = (F.col("_size") < F.col("_of_size")) | ((F.col("_size") == F.col("_of_size")) & (F.col("label") > F.col("of")))
     both = mine.join(big, group).where(lesser).select("of", "label").distinct()
@@ -488,7 +590,7 @@ def _residual(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFr
         F.col("of").alias("key"), (-1 - F.col("_part").cast("long")).alias("scale"),
         F.lit(0).alias("low"), F.lit(1).alias("high"), "block", "node", "label", "n",
     )
-    met = dealt.select(*parted.columns).unionByName(parted)
+    met = near.select(*parted.columns).unionByName(parted)
     wanted = met.select("node").distinct()
     profiles = texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     profiles = stored(profiles.mapInArrow(_profiles, "node long, profile binary"), "near-profiles")
